@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.texts import WHITE_SPACE, file_bytes, slices
 
 #: Encoded runs that a worker keeps; beyond, it starts anew.
-MOST_RUNS = 500_000
+MOST_RUNS = 600_000
 #: Bytes of new words that one recursive query takes.
 QUERY_BYTES = 800_000
 #: Longer words contract every occurrence of their lowest rank in a step, so that steps don't grow with length.
@@ -101,7 +101,7 @@ class ByteBpe:
         pos = np.arange(lengths.sum(), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
         self.db.register("start", pa.table({"word": word, "pos": pos, "tok": np.concatenate(starts)}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + _ENCODE)
-        found = self.db.execute(_DECODE).to_arrow_table().to_pydict()
+        found = self.db.sql(_DECODE).to_arrow_table().to_pydict()
         self.db.unregister("start")
         for at, ids, hexed in zip(found["word"], found["ids"], found["hex"], strict=True):
             self.words[words[at]] = ids

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import encode_documents
+from tessera.llm.language import identify
 from tessera.llm.mixing import mix_copies
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
@@ -38,11 +39,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLES: dict[str, str] = {}
