@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.language import identify
+from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix_copies
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
@@ -43,12 +44,17 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
     "op5_token_counts": op5_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {}
