@@ -14,6 +14,7 @@ from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix_copies
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
+from tessera.llm.vectors import exact_top_k, forest_top_k
 
 TOKEN_LIMIT = 2048
 
@@ -31,11 +32,19 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -51,7 +60,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
+    "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
+    "op6_forest_search": op6_forest_search,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
