@@ -12,6 +12,7 @@ from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.language import identify
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix_copies
+from tessera.llm.near_duplicates import link_documents
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.vectors import exact_top_k, forest_top_k
@@ -57,6 +58,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
