@@ -13,6 +13,7 @@ from tessera.llm.language import identify
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.mixing import mix_copies
 from tessera.llm.near_duplicates import link_documents
+from tessera.llm.pii import find_pii
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.vectors import exact_top_k, forest_top_k
@@ -33,6 +34,10 @@ def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -65,6 +70,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
+    "op3_personal_data": op3_personal_data,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_token_counts": op5_token_counts,
     "op6_forest_search": op6_forest_search,
