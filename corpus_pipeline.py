@@ -1,24 +1,68 @@
-"""Documents through the stages of a training-data pipeline."""
+"""Documents through the stages of a training-data pipeline: each stage is one operator at work on what is left."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.byte_bpe import encode_documents
+from tessera.llm.language import UNDETERMINED, identify
 from tessera.llm.mixing import mix_documents
+from tessera.llm.near_duplicates import link_documents
+from tessera.llm.pii import find_pii
 from tessera.llm.scratch import materialise
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is in ``ids`` (kept_id), a null id among them."""
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, with that language; those without a text or a letter go."""
+    found = identify(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True)
+    return found.filter(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    linked = link_documents(docs, size=4, percent=85)
+    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return _kept(docs, first).dropDuplicates(["doc_id"])
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data in their texts replaced by its kind; n_chars follows the text."""
+    return find_pii(docs, mask=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as a mix of their sources by target weight takes them."""
     return mix_documents(docs)
 
 
-STAGES = [("mix", mix_stage)]
+def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents of the mix, with digests of the ids and of the decoded text."""
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES = [
+    ("language", identify_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("personal_data", pii_stage),
+    ("mix", mix_stage),
+    ("encode", encode_stage),
+]
 
+#: Fitted models and hashes decide in every stage, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.texts import slices
 
@@ -202,30 +203,32 @@ def scorer_of(key: str, shared) -> Scorer:
     return _SCORERS[key]
 
 
-def identify(docs: DataFrame, path: str, sample: int = SAMPLE) -> DataFrame:
+def identify(docs: DataFrame, path: str, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
     """The language of every whole text of ``docs`` (doc_id, text, lang), learned from its own labelled rows.
 
     Returns one row (doc_id, held_out, lang_pred, score) for each row: the most probable of the learned languages
     and its posterior under equal priors. A text that is null or has no letter is ``und`` with score 0, as is any
     text if nothing is labelled. ``lang`` and ``doc_id`` only choose the rows to learn from. Ties go to the first
-    language by name. Null and repeated ids are rows like any other; other columns are ignored.
+    language by name. Null and repeated ids are rows like any other; other columns are ignored. With ``keep`` the
+    rows are those of ``docs`` with lang_pred and score added.
     """
     pieces = vocabulary(path)
     models = fit_languages(docs, pieces, sample)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((list(models), np.stack(list(models.values()), axis=1) if models else None, pieces))
     key = uuid.uuid4().hex
-    kind = dict(docs.dtypes)["doc_id"]
+    chosen = docs if keep else docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    names = [c for c in chosen.columns if keep or c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(key, shared)
         for part, texts in slices(batches):
             rows = scorer.predict(texts)
-            columns = [part.column(0), part.column(1), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
+            found = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + found, [*names, "lang_pred", "score"])
 
-    chosen = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return chosen.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([chosen.schema[c] for c in names]).add("lang_pred", "string").add("score", "double")
+    return chosen.mapInArrow(run, schema)
 
 
 def brute_force(word: str, p: dict[str, float]) -> float:

@@ -36,7 +36,9 @@ def random_texts(n, seed=2):
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.Field().fit(pii.examples_of(random_texts(120, seed=7)))
+    rng = random.Random(7)
+    found = ["jo.lee@mail.example.com", "a_b@site.org", "+1 (555) 010-9999", "+44 20 7946 0958", "192.0.2.17", "4111 1111 1111 1111"]
+    return pii.Field().fit(pii.examples_of([f"we wrote to {rng.choice(found)} in {rng.randint(1900, 2030)}" for _ in range(120)]))
 
 
 def test_base_against_plain_patterns():
