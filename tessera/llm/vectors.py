@@ -33,20 +33,28 @@ LEAF_QUERIES = 4096
 
 
 def usable(table: DataFrame, nonzero: bool = False) -> DataFrame:
-    """Rows (vec_id, v array<double>) whose id is not null and whose vector is not null, empty or holding null or non-finite components."""
+    """Rows (vec_id, v array<double>) whose id is not null and whose vector is not null, empty or holding null or non-finite components.
+
+    Rows that agree in both are one.
+    """
     v = F.transform("embedding", lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & (F.size("v") > 0)).filter(F.coalesce(finite, F.lit(False)))
-    return rows.filter(F.exists("v", lambda x: x != 0)) if nonzero else rows
+    rows = rows.filter(F.exists("v", lambda x: x != 0)) if nonzero else rows
+    return rows.dropDuplicates(["vec_id", "v"])
 
 
 def _matrix(packed: pd.Series, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(packed), dtype).reshape(len(packed), -1)
 
 
-def _merge(found: DataFrame, k: int, kind: str) -> DataFrame:
-    """The best k of what all blocks found for each query: greatest score first, ties to the smaller id."""
-    best = F.slice(F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_list("found")), lambda r: F.struct((-r["score"]).alias("s"), r["vec_id"].alias("vec_id"))))), 1, k)
+def _merge(found: DataFrame, k: int, kind: str, copies: int = 1) -> DataFrame:
+    """The best k of what all blocks found for each query: greatest score first, ties to the smaller id.
+
+    A row may have been found up to ``copies`` times, so the first k * copies hold k different ones if there are as many.
+    """
+    ordered = F.array_sort(F.transform(F.flatten(F.collect_list("found")), lambda r: F.struct((-r["score"]).alias("s"), r["vec_id"].alias("vec_id"))))
+    best = F.slice(F.array_distinct(F.slice(ordered, 1, k * copies)), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "r"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("r.vec_id").alias("vec_id"), (-F.col("r.s")).cast(kind).alias("score"))
 
@@ -263,4 +271,4 @@ def forest_top_k(table: DataFrame, every: int = 20, k: int = 20, trees: int = TR
 
     keys = ["tree", "leaf", "chunk", "queries"]
     found = leaf_rows.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(rerank, RESULT.format("double"))
-    return _merge(found, k, "double")
+    return _merge(found, k, "double", trees)
