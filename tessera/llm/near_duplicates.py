@@ -37,7 +37,7 @@ TILE = 64
 SUB_TILE = 1024
 #: Bits of the filter that picks texts whose arrays are needed; its misses only cost time.
 FILTER_BITS = 24
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 MOST_BITMAP = 1 << 14
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -144,12 +144,17 @@ def tile_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray,
     keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
     pairs = [np.stack([node[i[keep]], node[j[keep]]], axis=1)]
     for s, size in zip(starts[sizes > tile].tolist(), sizes[sizes > tile].tolist(), strict=True):
-        first = s
-        while first < s + size:  # bands: sizes within reach of the band's first node, which all are paired with
-            last = first + int(np.searchsorted(n[first : s + size], 100 * n[first] // percent, side="right"))
-            rest = np.arange(first + 1, last)
-            pairs.append(np.stack([np.full(len(rest), node[first]), node[rest]], axis=1))
-            first = last
+        # Even with the smallest node in reach, a row needs enough shingles from its place on; the others meet elsewhere.
+        own = np.arange(s, s + size)
+        least = np.maximum(n[s], -(-percent * n[own] // 100))
+        able = n[own] - at[own] >= needed(n[own], least, percent)
+        large[own[~able]] = False
+        own = own[able]
+        while len(own):  # bands: sizes within reach of the band's first node, which all are paired with
+            rest = own[1 : int(np.searchsorted(n[own], 100 * n[own[0]] // percent, side="right"))]
+            near = rest[np.minimum(n[own[0]] - at[own[0]], n[rest] - at[rest]) >= needed(n[own[0]], n[rest], percent)]
+            pairs.append(np.stack([np.full(len(near), node[own[0]]), node[near]], axis=1))
+            own = own[1 + len(rest) :]
     found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
     found = np.unique(np.sort(found, axis=1), axis=0)
     return found[:, 0], found[:, 1], large
@@ -245,16 +250,16 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
         key, node, n, at = key[fresh], node[fresh], n[fresh], at[fresh]
         a, b, large = tile_pairs(key, node, n, at, percent, TILE)
         none = lambda length: pa.nulls(length, pa.int64())
-        names = ["a", "b", "key", "node", "n"]
+        names = ["a", "b", "key", "node", "n", "at"]
         for lo in range(0, len(a), 100_000):
             x, y = pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([x, y, none(len(x)), none(len(x)), none(len(x))], names)
+            yield pa.RecordBatch.from_arrays([x, y, *[none(len(x))] * 4], names)
         k = int(large.sum())
-        yield pa.RecordBatch.from_arrays([none(k), none(k), pa.array(key[large]), pa.array(node[large]), pa.array(n[large])], names)
+        yield pa.RecordBatch.from_arrays([none(k), none(k), *[pa.array(v[large]) for v in (key, node, n, at)]], names)
 
-    dealt = placed.repartition(partitions(spark), "key").mapInArrow(tiles, "a bigint, b bigint, key bigint, node bigint, n bigint")
+    dealt = placed.repartition(partitions(spark), "key").mapInArrow(tiles, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint")
     dealt = materialise(dealt, "shingle-tiles")
-    large_tiles = dealt.filter("key is not null").select("key", "node", "n")
+    large_tiles = dealt.filter("key is not null").select("key", "node", "n", "at")
 
     signatures = materialise(sets.filter("sig is not null").groupBy("node").agg(F.min("doc_id").alias("from_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "shingle-bitmaps")
     within = _compare_bitmaps(dealt.filter("a is not null").select("a", "b").distinct(), signatures, percent)
@@ -391,14 +396,20 @@ def _large_tile_pairs(rows: DataFrame, labels: DataFrame, signatures: DataFrame,
         n, m = left["n"].to_numpy(np.int64), right["n_"].to_numpy(np.int64)
         la, lb = left["label"].to_numpy(), right["label_"].to_numpy()
         na, nb = left["node"].to_numpy(), right["node_"].to_numpy()
+        ra, rb = n - left["at"].to_numpy(np.int64), m - right["at_"].to_numpy(np.int64)
         sa, sb = left["sig"].tolist(), right["sig_"].tolist()
         out = [np.zeros((0, 2), np.int64)]
-        for i in range(len(na)):
-            near = np.flatnonzero((lb != la[i]) & (100 * m >= percent * n[i]) & (100 * n[i] >= percent * m))
-            if len(near):
-                most = bound([sa[i]] * len(near), [sb[j] for j in near], np.full(len(near), n[i]), m[near])
-                near = near[most >= needed(np.full(len(near), n[i]), m[near], percent)]
-                out.append(np.stack([np.minimum(na[i], nb[near]), np.maximum(na[i], nb[near])], axis=1))
+        for lo in range(0, len(na), 64):
+            part = slice(lo, lo + 64)
+            x, y = n[part, None], m[None, :]
+            room = (la[part, None] != lb[None, :]) & (100 * y >= percent * x) & (100 * x >= percent * y)
+            room &= np.minimum(ra[part, None], rb[None, :]) >= needed(x, y, percent)
+            i, j = np.nonzero(room)
+            for at in range(0, len(i), 20_000):
+                p, q = i[at : at + 20_000] + lo, j[at : at + 20_000]
+                good = bound([sa[k] for k in p], [sb[k] for k in q], n[p], m[q]) >= needed(n[p], m[q], percent)
+                p, q = p[good], q[good]
+                out.append(np.stack([np.minimum(na[p], nb[q]), np.maximum(na[p], nb[q])], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     keys = ["key", "i", "j"]

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import oracles
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.language import identify
 from tessera.llm.licenses import scan_licenses
@@ -80,4 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_top_k": oracles.EXACT_TOP_K,
+    "op9_license_scan": oracles.LICENSE_SCAN,
+    "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
+}
