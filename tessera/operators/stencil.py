@@ -7,8 +7,13 @@ from math import exp
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image_id", "y").orderBy("x")
-COLUMN = Window.partitionBy("image_id", "x").orderBy("y")
+
+def _row():
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def _column():
+    return Window.partitionBy("image_id", "x").orderBy("y")
 
 
 def _beside(v: str, k: int, window, border: str = "clamp") -> Column:
@@ -31,8 +36,8 @@ def _beside(v: str, k: int, window, border: str = "clamp") -> Column:
 
 def _nine(df: DataFrame) -> DataFrame:
     """Columns n<row><column> of the 3 x 3 neighbourhood."""
-    wide = df.withColumns({f"h{i}": _beside("v", i - 1, ROW) for i in range(3)})
-    return wide.withColumns({f"n{j}{i}": _beside(f"h{i}", j - 1, COLUMN) for i in range(3) for j in range(3)})
+    wide = df.withColumns({f"h{i}": _beside("v", i - 1, _row()) for i in range(3)})
+    return wide.withColumns({f"n{j}{i}": _beside(f"h{i}", j - 1, _column()) for i in range(3) for j in range(3)})
 
 
 def gradient(df: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def gaussian_blur(df: DataFrame, sigma: float, radius: int | None = None, border
     radius = int(4 * sigma + 0.5) if radius is None else radius
     weights = gaussian_weights(sigma, radius)
     total = lambda v, window: sum((F.lit(w) * _beside(v, k - radius, window, border) for k, w in enumerate(weights)), F.lit(0.0))
-    return df.withColumn("across", total("v", ROW)).withColumn("blur", total("across", COLUMN)).drop("across")
+    return df.withColumn("across", total("v", _row())).withColumn("blur", total("across", _column())).drop("across")
 
 
 def dilate(marked: DataFrame, grid: DataFrame, steps: int) -> DataFrame:

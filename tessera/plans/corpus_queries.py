@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera import schemas
 from tessera.functions import text as tx
@@ -180,7 +179,7 @@ def changed_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, greatest(2, least(256, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 16))) AS colours, greatest(1, least(10, CAST(floor(value) AS INT))) AS quality FROM events")
 def parameter_clamping(spark: SparkSession, d: str) -> DataFrame:
     events = spark.read.parquet(f"{d}/events.parquet")
-    k = F.from_json("props", T.StructType.fromDDL("k int"))["k"]
+    k = F.from_json("props", schemas.PARAMETERS)["k"]
     return events.select("event_id", F.greatest(F.lit(2), F.least(F.lit(256), F.coalesce(k, F.lit(16)))).alias("colours"), F.greatest(F.lit(1), F.least(F.lit(10), F.floor("value").cast("int"))).alias("quality"))
 
 

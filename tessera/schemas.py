@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-PIXELS = T.StructType.fromDDL("image_id string, x int, y int, r int, g int, b int")
-METRICS = T.StructType.fromDDL(
-    "ts timestamp, operation string, duration_ms double, memory_mb double, cpu_percent double, algorithm_id string, request_id string, success boolean, metadata map<string,string>"
-)
-LOG = T.StructType.fromDDL(
-    "timestamp string, level string, logger string, message string, module string, function string, line int, request_id string, operation_id string, "
-    "algorithm_id string, user_session string, duration_ms double, performance_data string, exception string, _corrupt_record string"
+_KINDS = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "doubles": T.ArrayType(T.DoubleType()), "texts": T.MapType(T.StringType(), T.StringType()),
+}
+
+
+def _table(**columns: str) -> T.StructType:
+    """A struct by names of kinds; needs no session, unlike parsing DDL."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in columns.items()])
+
+
+PIXELS = _table(image_id="string", x="int", y="int", r="int", g="int", b="int")
+METRICS = _table(ts="timestamp", operation="string", duration_ms="double", memory_mb="double", cpu_percent="double", algorithm_id="string", request_id="string", success="boolean", metadata="texts")
+LOG = _table(
+    timestamp="string", level="string", logger="string", message="string", module="string", function="string", line="int", request_id="string", operation_id="string",
+    algorithm_id="string", user_session="string", duration_ms="double", performance_data="string", exception="string", _corrupt_record="string",
 )
-BENCHMARK = T.StructType.fromDDL("timestamp timestamp, device string, radius int, elapsed_ms double, width int, height int")
-FOCUS_RANGES = T.ArrayType(T.StructType.fromDDL("target_hsv array<double>, range_h double, range_s double, range_v double, boost_factor double"))
-PIPELINE = T.ArrayType(T.StructType.fromDDL("method string, params map<string,string>"))
+BENCHMARK = _table(timestamp="timestamp", device="string", radius="int", elapsed_ms="double", width="int", height="int")
+FOCUS_RANGES = T.ArrayType(_table(target_hsv="doubles", range_h="double", range_s="double", range_v="double", boost_factor="double"))
+PIPELINE = T.ArrayType(_table(method="string", params="texts"))
+PARAMETERS = _table(k="int")
 
 
 def validate(df: DataFrame, schema: T.StructType) -> list[str]:
