@@ -179,3 +179,8 @@ def edit_conflicts(placed: DataFrame) -> DataFrame:
     earlier = placed.select(F.col("doc_id").alias("d"), F.col("edit_id").alias("e"), F.col("first_line").alias("lo"), F.col("last_line").alias("hi"))
     meets = (F.col("doc_id") == F.col("d")) & (F.col("e") < F.col("edit_id")) & (F.col("lo") <= F.col("last_line")) & (F.col("hi") >= F.col("first_line"))
     return placed.join(earlier, meets, "left_semi")
+
+
+def search_breakdown(found: DataFrame) -> DataFrame:
+    """Results by source."""
+    return found.groupBy("source").agg(F.count("*").alias("n"))

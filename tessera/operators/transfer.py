@@ -272,3 +272,14 @@ def transfer_pipeline(content: DataFrame, reference: DataFrame, steps: Sequence[
     for d in seen[1:]:
         union = union.unionByName(d)
     return union
+
+
+def validate_config(config: Mapping) -> list[str]:
+    """Everything wrong with a transfer's configuration: weights and strengths outside 0..1, unknown channels, sizes below 1."""
+    wrong = [f"{k}: {v!r} is not between 0 and 1" for k, v in config.items() if k in ("weight", "strength", "blend") and not (isinstance(v, (int, float)) and 0 <= v <= 1)]
+    wrong += [f"weights: {c}: {w!r} is not between 0 and 1" for c, w in config.get("weights", {}).items() if not (isinstance(w, (int, float)) and 0 <= w <= 1)]
+    wrong += [f"{k}: unknown channel {c!r}" for k in ("channels", "weights") for c in config.get(k, ()) if c not in LAB]
+    wrong += [f"{k}: {config[k]!r} is not a positive whole number" for k in ("tile", "segments") if k in config and not (isinstance(config[k], int) and config[k] > 0)]
+    if isinstance(config.get("tile"), int) and config.get("overlap", 0) >= config["tile"]:
+        wrong.append("overlap: not smaller than tile")
+    return wrong + validate_steps(config.get("steps", ()))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.functions import color
+from tessera.functions.text import file_name
 from tessera.operators.telemetry import operation_aggregates, resource_bands
+from tessera.operators.transfer import moment_transfer
+from tessera.sources.images import explode_pixels, write_manifest
 
 LATE = "10 minutes"
 
@@ -68,3 +72,28 @@ def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
     query.awaitTermination()
     return query
+
+
+def incremental_transfer(spark: SparkSession, folder: str, reference: DataFrame, out: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
+    """Moment transfer of images that are new in a folder since the last run: each once, by the file source's checkpoint.
+
+    A micro-batch has at most ``files_per_batch`` files, which bounds the list of its paths. Results are pixel tables
+    by image; a manifest beside them has one row for each file, with an error for those that don't decode.
+    """
+    new = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").collect()]
+        if not paths:
+            return
+        session = batch.sparkSession
+        raw = session.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+        found = raw.select(file_name(F.col("origin")).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
+        pixels = explode_pixels(found).select("image_id", "x", "y", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).select("image_id", "x", "y", "lab.*")
+        moment_transfer(pixels, reference).write.mode("append").partitionBy("image_id").parquet(f"{out}/pixels")
+        ok = found.select("image_id", F.lit(True).alias("success"))
+        manifest = batch.select(file_name(F.col("path")).alias("image_id")).join(ok, "image_id", "left")
+        manifest = manifest.select("image_id", F.coalesce("success", F.lit(False)).alias("success"), F.when(F.col("success").isNull(), "UNREADABLE_IMAGE").alias("error"), F.lit(None).cast("double").alias("elapsed_ms"))
+        write_manifest(manifest, f"{out}/manifest")
+
+    return run_available(new, checkpoint, each)
