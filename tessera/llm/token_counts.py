@@ -63,12 +63,14 @@ class Transducer:
         self.words: dict[str, int] = {}
         self.known: dict[str, int] = {}
 
+    def trim(self) -> None:
+        """Start anew where too many transitions are kept."""
+        for table in (self.words, self.known):
+            if len(table) > MOST_TRANSITIONS:
+                table.clear()
+
     def annotate(self, words: Iterable[str]) -> None:
         """Compile the transitions over the given words."""
-        if len(self.words) > MOST_TRANSITIONS:
-            self.words.clear()
-        if len(self.known) > MOST_TRANSITIONS:
-            self.known.clear()
         split = {w: self.pieces(w) for w in words}
         new = {p for pieces in split.values() for p in pieces if p not in self.known}
         for width in (8, 16, 32, 64):
@@ -160,13 +162,11 @@ def _count(machine: Transducer, texts: list[str]) -> list[int]:
     """Tokens of texts that begin and end at a reset. Special strings are one token each and resets besides."""
     parts = [machine.cut(t) if any(x in t for x in machine.special) else [t] for t in texts]
     split = [[w for part in p for w in machine.resets(part)] for p in parts]
+    machine.trim()
     # Membership, not a difference of sets: that would walk through the whole table for every call.
     new = {w for words in split for w in words if w not in machine.words}
     if new:
-        kept = machine.words
         machine.annotate(new)
-        if len(kept) <= len(new):  # the table began anew
-            machine.annotate({w for words in split for w in words if w not in kept})
     emitted = machine.words.__getitem__
     return [sum(map(emitted, words)) + len(p) - 1 for words, p in zip(split, parts, strict=True)]
 
