@@ -27,7 +27,7 @@ LEVELS = 6
 #: Vectors that the forest's hyperplanes are fitted on, at most: the first by hash of the id.
 FOREST_SAMPLE = 20_000
 #: A query takes leaves from the queue until they hold this many times the number of vectors, counted per tree.
-SEARCH_SHARE = 1.15
+SEARCH_SHARE = 1.5
 LEAF_ROWS = 512
 LEAF_QUERIES = 4096
 
