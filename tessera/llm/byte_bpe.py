@@ -12,7 +12,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import duckdb
 import numpy as np
@@ -21,12 +20,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import WHITE_SPACE, file_bytes, slices
+from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 
 #: Encoded runs that a worker keeps; beyond, it starts anew.
-MOST_RUNS = 600_000
+MOST_RUNS = 400_000
 #: Bytes of new words that one recursive query takes.
-QUERY_BYTES = 800_000
+QUERY_BYTES = 400_000
 #: Longer words contract every occurrence of their lowest rank in a step, so that steps don't grow with length.
 LONG_WORD = 256
 
@@ -70,7 +69,7 @@ class ByteBpe:
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.pairs = {(x, y): r for x, y, r in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self.db.register("m", pa.table({"a": a, "b": b, "rank": rank}))
         self.db.execute("CREATE TABLE merges AS SELECT a, b, CAST(rank AS BIGINT) AS rank FROM m")
         self.db.register("v", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "name": list(map(str, ranks.values())), "hex": [t.hex() for t in ranks]}))
@@ -148,9 +147,8 @@ class ByteBpe:
 _RUN = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held(f"codec {path} {pattern}", lambda: ByteBpe(path, pattern))
 
 
 def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.texts import slices
+from tessera.llm.texts import held, slices
 
 #: Labelled documents of each language that a model is fitted on, at most: the first by hash of the id.
 SAMPLE = 250
@@ -32,7 +32,7 @@ PSEUDO = 0.05
 UNSEEN = 1e-7
 #: Pieces don't cross multiples of so many characters of a word, which keeps products of probabilities in range.
 STRETCH = 32
-MOST_WORDS = 400_000
+MOST_WORDS = 300_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -192,15 +192,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scorer_of(key: str, shared) -> Scorer:
     """The scorer of one call of :func:`identify`, kept by a worker for all its tasks."""
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(*shared.value)
-    return _SCORERS[key]
+    return held(f"scorer {key}", lambda: Scorer(*shared.value))
 
 
 def identify(docs: DataFrame, path: str, sample: int = SAMPLE, keep: bool = False) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import materialise, partitions
-from tessera.llm.texts import slices
+from tessera.llm.texts import held, slices
 
 CELL_BITS = 22
 RANGES = 64
@@ -50,11 +50,8 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(held("word hashes", _Words).__getitem__, words), np.uint64, len(words))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:

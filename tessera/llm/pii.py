@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import slices
+from tessera.llm.texts import held, slices
 
 # The base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -118,7 +118,7 @@ _DIGITS = (7, 9, 11, 12, 13, 16, 17, 20)
 FEATURES = 16 + len(_DIGITS) + 1
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _features(segment: str, before: str, after: str) -> bytes:
     """What holds of a segment as a whole, and of the characters beside it."""
     digits = re.sub("[^0-9]", "", segment)
@@ -355,15 +355,13 @@ def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
     return out
 
 
-_FIELDS: dict[str, Field] = {}
-
-
 def field_of(key: str, shared) -> Field:
-    if key not in _FIELDS:
-        _FIELDS.clear()
-        _FIELDS[key] = Field()
-        _FIELDS[key].w, _FIELDS[key].t = shared.value
-    return _FIELDS[key]
+    def build() -> Field:
+        field = Field()
+        field.w, field.t = shared.value
+        return field
+
+    return held(f"field {key}", build)
 
 
 def fit_field(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import gc
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import pyarrow as pa
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: Python work goes over slices of about so many characters, so that memory is bounded by a text, not a batch.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -30,7 +31,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
                 begin, chars, values = i + 1, 0, []
 
 
-@lru_cache(maxsize=4)
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, build: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, such as a table of known words: of one operator at a time.
+
+    Workers outlive stages; what the last operator kept goes when the next one begins, so that their tables don't add up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = build()
+    return _HELD[name]
+
+
 def file_bytes(path: str) -> bytes:
-    """A vocabulary file, read once in each worker."""
     return Path(path).read_bytes()

@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import WHITE_SPACE, file_bytes, slices
+from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 
 #: Texts of more characters are cut into chunks of so many.
 CHUNK = 32_768
@@ -153,9 +152,8 @@ def _byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def transducer(path: str) -> Transducer:
-    return Transducer(path)
+    return held(f"transducer {path}", lambda: Transducer(path))
 
 
 def _count(machine: Transducer, texts: list[str]) -> list[int]:
