@@ -271,11 +271,7 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     links = materialise(links.unionByName(_intersect(rest, arrays, percent)), "links")
     if not large_tiles.isEmpty():
         labels = connected_components(links)
-        more = _large_tile_pairs(large_tiles, labels, signatures, percent).join(within, ["a", "b"], "left_anti")
-        more = materialise(more, "large-tile-pairs")
-        if not more.isEmpty():
-            arrays = _arrays(docs, sets, more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))), size)
-            links = materialise(links.unionByName(_intersect(more, arrays, percent)), "links")
+        links = materialise(links.unionByName(_large_tile_links(docs, sets, large_tiles, labels, signatures, size, percent)), "links")
     labels = connected_components(links)
 
     lows = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
@@ -370,11 +366,12 @@ def _intersect(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(check, "a bigint, b bigint")
 
 
-def _large_tile_pairs(rows: DataFrame, labels: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs between different components of a large tile whose sizes and bitmaps leave room for a link.
+def _large_tile_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, labels: DataFrame, signatures: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between different components of large tiles, enough to join all that are linked there.
 
     Rows of a tile are cut into sub-tiles by size; two sub-tiles meet in a task of their own unless their sizes are
-    out of reach.
+    out of reach. There, pairs whose places, sizes and bitmaps leave room are intersected, unless links found before
+    have already joined their components: a task gives fewer links than it has rows.
     """
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
@@ -384,7 +381,8 @@ def _large_tile_pairs(rows: DataFrame, labels: DataFrame, signatures: DataFrame,
     ranges = cut.groupBy("key", "sub").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     x, y = ranges.select("key", F.col("sub").alias("i"), F.col("most").alias("most_i")), ranges.select("key", F.col("sub").alias("j"), F.col("least").alias("least_j"))
     meets = x.join(y, "key").filter((F.col("i") <= F.col("j")) & (F.col("least_j") * percent <= F.col("most_i") * 100)).select("key", "i", "j")
-    full = cut.join(signatures.select("node", "sig"), "node")
+    arrays = _arrays(docs, sets, cut.select("node"), size).dropDuplicates(["node"])
+    full = cut.join(signatures.select("node", "sig"), "node").join(arrays, "node")
     left = meets.join(full.withColumnRenamed("sub", "i"), ["key", "i"])
     right = meets.join(full.withColumnRenamed("sub", "j"), ["key", "j"])
     right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])
@@ -395,7 +393,16 @@ def _large_tile_pairs(rows: DataFrame, labels: DataFrame, signatures: DataFrame,
         na, nb = left["node"].to_numpy(), right["node_"].to_numpy()
         ra, rb = n - left["at"].to_numpy(np.int64), m - right["at_"].to_numpy(np.int64)
         sa, sb = left["sig"].tolist(), right["sig_"].tolist()
-        out = [np.zeros((0, 2), np.int64)]
+        xa, xb = ([np.frombuffer(v, np.uint64) for v in c] for c in (left["array"], right["array_"]))
+        root: dict[int, int] = {}
+        out = []
+
+        def find(label: int) -> int:
+            while (up := root.get(label, label)) != label:
+                root[label] = root.get(up, up)
+                label = up
+            return label
+
         for lo in range(0, len(na), 64):
             part = slice(lo, lo + 64)
             x, y = n[part, None], m[None, :]
@@ -405,10 +412,12 @@ def _large_tile_pairs(rows: DataFrame, labels: DataFrame, signatures: DataFrame,
             for at in range(0, len(i), 20_000):
                 p, q = i[at : at + 20_000] + lo, j[at : at + 20_000]
                 good = bound([sa[k] for k in p], [sb[k] for k in q], n[p], m[q]) >= needed(n[p], m[q], percent)
-                p, q = p[good], q[good]
-                out.append(np.stack([np.minimum(na[p], nb[q]), np.maximum(na[p], nb[q])], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+                for u, v in zip(p[good].tolist(), q[good].tolist(), strict=True):
+                    mine, other = find(la[u]), find(lb[v])
+                    if mine != other and linked(xa[u], xb[v], percent):
+                        root[mine] = other
+                        out.append((na[u], nb[v]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
     keys = ["key", "i", "j"]
-    found = left.groupBy(*keys).cogroup(right.groupBy("key_", "i_", "j_")).applyInPandas(compare, "a bigint, b bigint")
-    return found.distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy("key_", "i_", "j_")).applyInPandas(compare, "a bigint, b bigint")
