@@ -16,11 +16,6 @@ from tessera.llm.scratch import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in ``ids`` (kept_id), a null id among them."""
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, with that language; those without a text or a letter go."""
     found = identify(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True)
@@ -28,10 +23,17 @@ def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
-    linked = link_documents(docs, size=4, percent=85)
-    first = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return _kept(docs, first).dropDuplicates(["doc_id"])
+    """One document of each group of near copies: the one with the smallest id, a null id being the greatest.
+
+    Rows are told apart by numbers of their own, so null and repeated ids decide nothing but that order: rows of
+    different texts all stay, and of copies under one id the one with the smallest hash of its text.
+    """
+    numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    linked = link_documents(numbered.select(F.col("row").alias("doc_id"), "text"), size=4, percent=85)
+    ranked = numbered.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank"))
+    member = linked.select(F.col("doc_id").alias("row"), "component_id").join(ranked, "row")
+    first = member.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("row"))
+    return numbered.join(first, "row", "left_semi").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

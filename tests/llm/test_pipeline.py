@@ -63,6 +63,22 @@ def test_stages_against_brute_force(spark, folder):
     assert encode_documents.__name__ and all(len(r.ids) == r.n_tokens > 0 for r in encoded.collect())
 
 
+def words(rng, n):
+    return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    alone = [words(rng, 30) for _ in range(40)]
+    copied = words(rng, 30)
+    rows = [(None, t) for t in alone[:20]] + [(7, t) for t in alone[20:]] + [(None, copied), (7, copied), (3, copied + "\n"), (3, copied + "\n"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = cp.near_duplicate_stage(spark, docs, "")
+    assert out.columns == cp.COLUMNS
+    want = [*rows[:40], (3, copied + "\n"), (None, None), (None, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
+
+
 def test_run(spark, folder):
     out = cp.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
