@@ -14,6 +14,8 @@ from tessera.llm.pii import find_pii
 from tessera.llm.scratch import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this percentage of their word shingles of this size; the query op10_ngram_jaccard has its own.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     different texts all stay, and of copies under one id the one with the smallest hash of its text.
     """
     numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
-    linked = link_documents(numbered.select(F.col("row").alias("doc_id"), "text"), size=4, percent=85)
+    linked = link_documents(numbered.select(F.col("row").alias("doc_id"), "text"), size=NEAR_SIZE, percent=NEAR_PERCENT)
     ranked = numbered.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank"))
     member = linked.select(F.col("doc_id").alias("row"), "component_id").join(ranked, "row")
     first = member.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("row"))

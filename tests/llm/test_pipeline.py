@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.pii import base_spans
 from test_mixing import size, targets
-from test_near_duplicates import brute
+from test_near_duplicates import brute, shingle_set
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,25 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
 
 
+def test_near_duplicates_against_five_word_brute_force(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = words(rng, 1000 if g < 6 else 200)
+        rows += [base, base + " " + words(rng, 180 + 12 * g if g < 6 else rng.randint(20, 70))]
+    rows += ["one two three four", "one two three  FOUR", "one two three five", "one two"]
+    sets = [shingle_set(t, 5) for t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if x == group[i] else x for x in group]
+    want = sorted({min(i for i, x in enumerate(group) if x == g) for g in group})
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in cp.near_duplicate_stage(spark, docs, "").select("doc_id").collect()) == want
+    assert not any(2 * g + 1 in want for g in range(6))
+
+
 def test_run(spark, folder):
     out = cp.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
