@@ -16,7 +16,7 @@ import hashlib
 import random
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +35,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Documents with base matches that the field is fitted on, at most: the first by hash of the id.
 SAMPLE = 150
+#: Stretches that the field is fitted on, at most: the fixed ones and a seeded sample of whole stretches.
 MOST_WINDOWS = 200
+#: Characters of a stretch that the field is fitted on, about: the cut is after the entity or token that it falls in.
+MOST_CHARS = 400
 EPOCHS = 8
-MOST_TOKENS = 16
+#: Tokens of an entity, at most: an address of eight names takes 8 + 7 * 5 with " [dot] " and " [at] " between them.
+MOST_TOKENS = 44
 LEAST_DIGITS = 7
 #: Posterior from which a segment that no base pattern matches is reported.
 SURE = 0.95
@@ -129,7 +133,7 @@ def _features(segment: str, before: str, after: str) -> bytes:
         1.0,
         "@" in segment,
         _BRACKET_AT.search(segment) is not None,
-        len(halves) == 2 and re.fullmatch(r"[\w.%+-]+", halves[0]) is not None,
+        len(halves) == 2 and re.fullmatch(r"[\w.%+-]+(\s*[\[(] ?dot ?[\])]\s*[\w.%+-]+)*", halves[0]) is not None,
         len(halves) == 2 and re.fullmatch(r"[A-Za-z0-9-]+((\.|\s*[\[(] ?dot ?[\])]\s*)[A-Za-z0-9-]+)+", halves[1]) is not None,
         segment[0] == "+",
         re.fullmatch(r"\+?[0-9 ().-]+", segment) is not None,
@@ -149,25 +153,30 @@ def _features(segment: str, before: str, after: str) -> bytes:
 
 
 class Lattice:
-    """The candidate segments of one stretch, by end, with their features."""
+    """The candidate segments of one stretch, by end, with their features; ``gold`` spans are candidates in any case."""
 
-    def __init__(self, text: str, before: str = "", after: str = ""):
+    def __init__(self, text: str, before: str = "", after: str = "", gold: Sequence[Span] = ()):
         self.spans = [m.span() for m in _TOKEN.finditer(text)]
         n = len(self.spans)
+        starts, ends = {a: i for i, (a, _) in enumerate(self.spans)}, {b: i + 1 for i, (_, b) in enumerate(self.spans)}
+        #: Gold spans by tokens; a span that begins or ends inside a token is an error of whoever gives it.
+        self.gold = [(kind, starts[a], ends[b]) for kind, a, b in gold]
+        known = {(b, e) for _, b, e in self.gold}
+        first = [min([max(0, e - MOST_TOKENS), *[b for b, x in known if x == e]]) for e in range(n + 1)]
         self.begin, self.end, rows = [], [], []
         self.by_end: list[list[int]] = [[] for _ in range(n + 1)]
         for e in range(1, n + 1):
-            for b in range(max(0, e - MOST_TOKENS), e):
+            for b in range(first[e], e):
                 lo, hi = self.spans[b][0], self.spans[e - 1][1]
                 segment = text[lo:hi]
-                if e - b == 1 or _possible(segment):
+                if e - b == 1 or (b, e) in known or (e - b <= MOST_TOKENS and _possible(segment)):
                     self.by_end[e].append(len(rows))
                     self.begin.append(b)
                     self.end.append(e)
                     rows.append(_features(segment, text[lo - 1 : lo] or before, text[hi : hi + 1] or after))
         self.x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, FEATURES)
         single = np.array(self.end) - np.array(self.begin) == 1
-        can = np.array([_possible(text[self.spans[b][0] : self.spans[e - 1][1]]) for b, e in zip(self.begin, self.end, strict=True)])
+        can = np.array([(b, e) in known or _possible(text[self.spans[b][0] : self.spans[e - 1][1]]) for b, e in zip(self.begin, self.end, strict=True)])
         #: Outside segments are single tokens; entities need an anchor.
         self.barred = np.zeros((len(rows), LABELS), bool)
         self.barred[~can, :OUTSIDE] = True
@@ -253,15 +262,14 @@ class Field:
         """Stochastic gradient ascent with a step of its own for each weight."""
         data = []
         for text, spans in examples:
-            lattice = Lattice(text)
-            starts = {a: i for i, (a, _) in enumerate(lattice.spans)}
-            ends = {b: i + 1 for i, (_, b) in enumerate(lattice.spans)}
+            lattice = Lattice(text, gold=spans)
             at = {(b, e): r for r, (b, e) in enumerate(zip(lattice.begin, lattice.end, strict=True))}
             gold, place = [], 0
-            for kind, lo, hi in sorted(spans, key=lambda x: x[1]):
-                if lo in starts and hi in ends and place <= starts[lo] and (key := (starts[lo], ends[hi])) in at and not lattice.barred[at[key], kind]:
-                    gold += [(at[i, i + 1], OUTSIDE) for i in range(place, key[0])] + [(at[key], kind)]
-                    place = key[1]
+            for kind, b, e in sorted(lattice.gold, key=lambda x: x[1]):
+                assert (b, e) in at and not lattice.barred[at[b, e], kind], "an entity is no candidate"
+                if place <= b:  # of overlapping entities the first
+                    gold += [(at[i, i + 1], OUTSIDE) for i in range(place, b)] + [(at[b, e], kind)]
+                    place = e
             gold += [(at[i, i + 1], OUTSIDE) for i in range(place, lattice.n)]
             if lattice.n:
                 data.append((lattice, gold))
@@ -296,7 +304,7 @@ def variants(text: str, spans: list[Span], rng: random.Random) -> tuple[str, lis
             if kind == 0:
                 entity = entity.replace("@", rng.choice([" (at) ", " [at] ", "(at)"]))
                 entity = entity.replace(".", rng.choice([".", " [dot] "])) if "[at]" in entity else entity
-            elif kind == 3:
+            elif kind == 3 and not text[max(place, lo - 1) : lo].isdigit():
                 entity = re.sub(r"^\+[0-9]+[ -]?", "", entity) if rng.random() < 0.6 and sum(c.isdigit() for c in entity) > 10 else entity.replace("+", "00", 1)
         gap = text[place:lo]
         out += [gap, entity]
@@ -315,21 +323,36 @@ _EXAMPLES = (
 )
 
 
-def examples_of(texts: list[str], seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Stretches with their base matches, once as they are and once varied; a seed fixes the draws."""
+def _stretch_end(text: str, lo: int, hi: int, spans: list[Span], most_chars: int) -> int:
+    """Where the stretch is cut: at ``most_chars``, or after the entities and the token that this falls in."""
+    cut = lo + most_chars
+    if cut >= hi:
+        return hi
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        cut = b if a < cut < b else cut
+    inside = next((m.end() for m in _TOKEN.finditer(text, lo, hi) if m.start() < cut <= m.end()), cut)
+    return min(hi, inside)
+
+
+def examples_of(texts: list[str], seed: int = 11, most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS) -> list[tuple[str, list[Span]]]:
+    """Stretches with their base matches, once as they are and once varied; a seed fixes the draws.
+
+    ``most_windows`` bounds their number, by a sample of whole stretches; ``most_chars`` their length, never inside
+    an entity.
+    """
     rng = random.Random(seed)
     out = []
     for text in [*_EXAMPLES, *texts]:
         spans = base_spans(text)
         for lo, hi in windows(text):
-            stretch = text[lo:hi][:400]
+            stretch = text[lo : _stretch_end(text, lo, hi, spans, most_chars)]
             inside = [(k, a - lo, b - lo) for k, a, b in spans if lo <= a and b <= lo + len(stretch)]
             out.append((stretch, inside))
             if inside:
                 out.append(variants(stretch, inside, rng))
-    if len(out) > MOST_WINDOWS:
+    if len(out) > most_windows:
         fixed = out[: 2 * len(_EXAMPLES)]
-        out = fixed + rng.sample(out[2 * len(_EXAMPLES) :], MOST_WINDOWS - len(fixed))
+        out = fixed + rng.sample(out[2 * len(_EXAMPLES) :], max(0, most_windows - len(fixed)))
     return out
 
 
@@ -364,11 +387,13 @@ def field_of(key: str, shared) -> Field:
     return held(f"field {key}", build)
 
 
-def fit_field(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field fitted on at most ``sample`` documents that look as if they held base matches."""
+def fit_field(
+    docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS,
+) -> Field:
+    """The field fitted on at most ``sample`` documents that look as if they held base matches; see :func:`examples_of`."""
     likely = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}|[0-9]\.[0-9]+\.[0-9]"))
     texts = [r.text for r in likely.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).collect()]
-    return Field().fit(examples_of(texts))
+    return Field().fit(examples_of(texts, most_windows=most_windows, most_chars=most_chars))
 
 
 def named(spans: list[Span], likely: list[Span]) -> str:
@@ -391,15 +416,19 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[place:]
 
 
-def find_pii(docs: DataFrame, sample: int = SAMPLE, mask: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_pii(
+    docs: DataFrame, sample: int = SAMPLE, mask: bool = False, id_col: str = "doc_id", text_col: str = "text", most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS,
+) -> DataFrame:
     """Personal data in every whole text of ``docs``.
 
     Returns for each row: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256 and spans (base matches
     and, as ``likely_<kind>``, what the field adds; offsets in code points, end exclusive). With ``mask`` the result is
     ``docs`` itself with spans replaced in the text by their kind, a null text staying null. Null and empty texts have
-    no spans. Rows are worked on where they are; null and repeated ids are rows like any other.
+    no spans. Rows are worked on where they are; null and repeated ids are rows like any other. ``sample``,
+    ``most_windows`` and ``most_chars`` bound only what the field is fitted on: documents, stretches of them, and about
+    the characters of a stretch.
     """
-    field = fit_field(docs, sample, id_col, text_col)
+    field = fit_field(docs, sample, id_col, text_col, most_windows, most_chars)
     shared = docs.sparkSession.sparkContext.broadcast((field.w, field.t))
     key = uuid.uuid4().hex
 

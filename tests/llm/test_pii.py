@@ -80,6 +80,27 @@ def test_field_adds_variants_and_leaves_plain_numbers(field):
         assert kinds(clean) == []
 
 
+def test_long_variants_are_found_and_masked(field):
+    for entity in ("jo.lee [at] mail [dot] example [dot] com", "jo [dot] lee [at] mail [dot] example [dot] com"):
+        text = f"please write to {entity} today"
+        lo = text.index(entity)
+        assert (0, lo, lo + len(entity)) in pii.added_spans(field, text, pii.base_spans(text))
+        assert pii.masked(text, pii.added_spans(field, text, [])) == "please write to [EMAIL] today"
+
+
+def test_every_entity_is_a_candidate_in_training():
+    long = ".".join("abcdefghijklmnopqrstuvwxyz") + "@mail.example.com"
+    texts = [f"{long} and", "1.2.3.4, a@b.co", "12+1 555 010 9999, 99+44 20 7946 0958", "é" * 390 + ",jo.lee@mail.example.com,jo@x.org " + "x" * 50]
+    for seed in range(20):
+        for stretch, spans in pii.examples_of(texts, seed, most_chars=400):
+            lattice = pii.Lattice(stretch, gold=spans)
+            at = {(b, e): r for r, (b, e) in enumerate(zip(lattice.begin, lattice.end, strict=True))}
+            assert len(lattice.gold) == len(spans) and not any(lattice.barred[at[b, e], kind] for kind, b, e in lattice.gold)
+    cut = [(s, spans) for s, spans in pii.examples_of(texts) if s.startswith("é")]
+    assert cut and cut[0][0].endswith("jo.lee@mail.example.com") and len(cut[0][1]) == 1
+    pii.Field().fit(pii.examples_of(texts), epochs=1)
+
+
 def test_query_rows(spark):
     texts = [None, "", "call +1 (523) 555-1055 or a@b.co, é a@b.co", "1.2.3.4 4111 1111 1111 1111", "x" * 50_000 + " a@b.co", *random_texts(40)]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
