@@ -12,6 +12,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,19 +21,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.scratch import materialise
 from tessera.llm.texts import held, slices
 
 #: Labelled documents of each language that a model is fitted on, at most: the first by hash of the id.
 SAMPLE = 250
-#: Languages with the most labelled documents that a model is fitted for, at most; bounds what is broadcast.
-MOST_LANGUAGES = 200
+#: Languages that are broadcast and scored at once; more are scored in several passes.
+BLOCK_LANGUAGES = 64
+#: Rows of sampled ids up to which they are broadcast to find the texts.
+MOST_BROADCAST = 50_000
 ROUNDS = 2
 PSEUDO = 0.05
 #: Probability of a character that is no piece, in any language.
 UNSEEN = 1e-7
-#: Pieces don't cross multiples of so many characters of a word, which keeps products of probabilities in range.
-STRETCH = 32
+#: Forward and backward values are rescaled each time so many characters are passed, which keeps them in range.
+RESCALE = 32
 MOST_WORDS = 300_000
+#: Scores that a worker keeps, and forward values that it computes at once, at most (of one word at least).
+MOST_SCORES = 10_000_000
+MOST_CELLS = 2_700_000
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -42,9 +49,19 @@ def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def stretches(word: str) -> list[str]:
-    whole = START + word
-    return [whole[i : i + STRETCH] for i in range(0, len(whole), STRETCH)] if len(whole) > STRETCH else [whole]
+def in_batches(words: list[str], columns: int = 1) -> Iterator[list[str]]:
+    """The words by length, so many at a time as have MOST_CELLS forward values in all."""
+    words = sorted(words, key=lambda w: (len(w), w))
+    begin = 0
+    for i in range(1, len(words) + 1):
+        if i == len(words) or (i + 1 - begin) * (len(words[i]) + 1) * columns > MOST_CELLS:
+            yield words[begin:i]
+            begin = i
+
+
+def window_of(place: np.ndarray | int) -> np.ndarray | int:
+    """Positions whose values share a scale: 0 to RESCALE, then RESCALE at a time."""
+    return np.maximum(place - 1, 0) // RESCALE
 
 
 def vocabulary(path: str) -> list[str]:
@@ -80,52 +97,81 @@ class Lattice:
         table = np.array(out, np.int64).reshape(-1, 4)
         return tuple(table[np.argsort(table[:, 2], kind="stable")].T)
 
-    def forward(self, words: list[str], edges, p: np.ndarray) -> np.ndarray:
-        """Sums of all ways to reach each position of each word; p has a row for each piece and a column for each language."""
+    def forward(self, words: list[str], edges, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of all ways to reach each position of each word, and the logs of their scales by window of positions.
+
+        p has a row for each piece and a column for each language.
+        """
         word, begin, end, piece = edges
         reach = np.zeros((len(words), max(map(len, words)) + 1, p.shape[1]))
+        scale = np.zeros((len(words), window_of(reach.shape[1] - 1) + 1, p.shape[1]))
         reach[:, 0] = 1
         bounds = np.searchsorted(end, np.arange(reach.shape[1] + 1))
         for e in range(1, reach.shape[1]):
             part = slice(bounds[e], bounds[e + 1])
+            now = window_of(e)
+            if now and (e - 1) % RESCALE == 0:
+                last = reach[:, e - 1]
+                scale[:, now] = scale[:, now - 1] + np.log(np.where(last > 0, last, 1))
             ways = reach[word[part], begin[part]] * p[piece[part]]
+            if now:
+                ways *= np.exp(scale[word[part], window_of(begin[part])] - scale[word[part], now])
             for lang in range(p.shape[1]):
                 reach[:, e, lang] = np.bincount(word[part], ways[:, lang], len(words))
-        return reach
+        return reach, scale
 
     def score(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Log-probability of each word under each language."""
-        reach = self.forward(words, self.edges(words), p)
-        return np.log(reach[np.arange(len(words)), [len(w) for w in words]])
+        at, lengths = np.arange(len(words)), np.array([len(w) for w in words])
+        edges = self.edges(words)
+        # A word that is too long for all languages at once takes fewer of them at a time.
+        step = max(1, min(p.shape[1], MOST_CELLS // (len(words) * (int(lengths.max()) + 1))))
+        out = []
+        for lo in range(0, p.shape[1], step):
+            reach, scale = self.forward(words, edges, p[:, lo : lo + step])
+            out.append(np.log(reach[at, lengths]) + scale[at, window_of(lengths)])
+        return np.concatenate(out, axis=1)
+
+    def expected(self, words: list[str], edges, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the words, each taken n times, under the probabilities p."""
+        word, begin, end, piece = edges
+        lengths = np.array([len(w) for w in words])
+        ahead, up = (x[:, :, 0] for x in self.forward(words, edges, p[:, None]))
+        back, down = np.zeros_like(ahead), np.zeros_like(up)
+        at = np.arange(len(words))
+        back[at, lengths] = 1
+        order = np.argsort(begin, kind="stable")
+        bounds = np.searchsorted(begin[order], np.arange(ahead.shape[1] + 1))
+        for b in range(ahead.shape[1] - 1, -1, -1):
+            part = order[bounds[b] : bounds[b + 1]]
+            now = window_of(b)
+            if b and b % RESCALE == 0 and now + 1 < up.shape[1]:
+                last = back[:, b + 1]
+                down[:, now] = down[:, now + 1] + np.log(np.where(last > 0, last, 1))
+            ways = back[word[part], end[part]] * p[piece[part]]
+            if up.shape[1] > 1:
+                ways *= np.exp(down[word[part], window_of(end[part])] - down[word[part], now])
+            back[:, b] += np.bincount(word[part], ways, len(words))
+        share = ahead[word, begin] * p[piece] * back[word, end] / ahead[word, lengths[word]]
+        if up.shape[1] > 1:
+            share *= np.exp(up[word, window_of(begin)] + down[word, window_of(end)] - up[word, window_of(lengths[word])])
+        return np.bincount(piece, n[word] * share, len(p))
 
 
 def fit(texts: list[str], pieces: list[str]) -> np.ndarray:
     """Probabilities of the pieces, the unknown piece last, by expectation maximisation over all segmentations."""
     lattice = Lattice(pieces)
-    counted = Counter(s for t in texts for w in words_of(t) for s in stretches(w))
-    words = sorted(counted)
+    counted = Counter(START + w for t in texts for w in words_of(t))
     p = np.full(len(pieces) + 1, 1.0)
     p[-1] = UNSEEN
-    if not words:
+    if not counted:
         p[:-1] /= len(pieces)
         return p
-    n = np.array([counted[w] for w in words], float)
-    edges = lattice.edges(words)
-    word, begin, end, piece = edges
-    expected = np.bincount(piece, n[word], len(p))
-    lengths = np.array([len(w) for w in words])
+    parts = [(words, lattice.edges(words), np.array([counted[w] for w in words], float)) for words in in_batches(list(counted))]
+    expected = sum(np.bincount(piece, n[word], len(p)) for _, (word, _, _, piece), n in parts)
     for _ in range(ROUNDS):
         p[:-1] = (expected[:-1] + PSEUDO) / (expected[:-1].sum() + PSEUDO * len(pieces))
-        ahead = lattice.forward(words, edges, p[:, None])[:, :, 0]
-        back = np.zeros_like(ahead)
-        back[np.arange(len(words)), lengths] = 1
-        order = np.argsort(begin, kind="stable")
-        bounds = np.searchsorted(begin[order], np.arange(ahead.shape[1] + 1))
-        for b in range(ahead.shape[1] - 1, -1, -1):
-            part = order[bounds[b] : bounds[b + 1]]
-            back[:, b] += np.bincount(word[part], back[word[part], end[part]] * p[piece[part]], len(words))
-        share = ahead[word, begin] * p[piece] * back[word, end] / ahead[word, lengths[word]]
-        expected = np.bincount(piece, n[word] * share, len(p))
+        expected = sum(lattice.expected(words, edges, n, p) for words, edges, n in parts)
     p[:-1] = (expected[:-1] + PSEUDO) / (expected[:-1].sum() + PSEUDO * len(pieces))
     return p
 
@@ -135,24 +181,27 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Piece probabilities by language, from at most ``sample`` labelled documents of each that are not held out."""
+def fit_languages(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> DataFrame:
+    """(lang, p): piece probabilities of every language, from at most ``sample`` labelled documents of each that are not held out."""
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.join(F.broadcast(known), "lang").withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= sample).select("doc_id", "lang").distinct()
-    # At most SAMPLE * MOST_LANGUAGES ids are broadcast to find the texts; repeated ids are cut to the sample again.
-    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
+    chosen = labelled.withColumn("nth", F.row_number().over(by_hash)).filter(F.col("nth") <= sample).select("doc_id", "lang").distinct()
+    chosen = materialise(chosen, "language-sample")
+    if chosen.count() <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
+    # Repeated ids are cut to the sample again.
+    texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(chosen, ["doc_id", "lang"])
     texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("nth") <= sample)
     grouped = texts.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts"))
     shared = spark.sparkContext.broadcast(pieces)
 
     def fit_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"lang": frame["lang"], "p": [fit(list(t), shared.value) for t in frame["texts"]]})
+            for lang, t in zip(frame["lang"], frame["texts"], strict=True):
+                yield pd.DataFrame({"lang": [lang], "p": [fit(list(t), shared.value)]})
 
-    return {r.lang: np.array(r.p) for r in grouped.mapInPandas(fit_each, "lang string, p array<double>").orderBy("lang").collect()}
+    return materialise(grouped.mapInPandas(fit_each, "lang string, p array<double>"), "language-models")
 
 
 class Scorer:
@@ -164,31 +213,29 @@ class Scorer:
         self.scores = np.zeros((0, len(languages)))
 
     def learn(self, words: list[str]) -> None:
-        cut = [stretches(w) for w in words]
-        flat = sorted({s for c in cut for s in c}, key=len)
-        found: dict[str, np.ndarray] = {}
-        for i in range(0, len(flat), 20_000):
-            found.update(zip(flat[i : i + 20_000], self.lattice.score(flat[i : i + 20_000], self.p), strict=True))
-        new = np.array([sum(found[s] for s in c) for c in cut]).reshape(-1, len(self.languages))
-        self.rows.update((w, len(self.scores) + i) for i, w in enumerate(words))
-        self.scores = np.concatenate([self.scores, new])
-
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.languages:
-            return [(UNDETERMINED, 0.0)] * len(texts)
+        new = [np.zeros((0, len(self.languages)))]
+        for batch in in_batches([START + w for w in words], len(self.languages)):
+            new.append(self.lattice.score(batch, self.p))
+            self.rows.update(zip([w[1:] for w in batch], range(len(self.rows), len(self.rows) + len(batch)), strict=True))
+        self.scores = np.concatenate([self.scores, *new])
+
+    def predict(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """Of each text the most probable language, its log-probability, and the sum of all probabilities over its own.
+
+        The language of a text without words is null.
+        """
         split = [words_of(t) for t in texts]
-        if len(self.rows) > MOST_WORDS:
+        if len(self.rows) > min(MOST_WORDS, MOST_SCORES // len(self.languages)):
             self.rows, self.scores = {}, self.scores[:0]
-        self.learn(sorted({w for words in split for w in words} - self.rows.keys()))
-        out = []
+        self.learn(list({w for words in split for w in words} - self.rows.keys()))
+        out: list[tuple[str | None, float, float]] = []
         for words in split:
             if not words:
-                out.append((UNDETERMINED, 0.0))
+                out.append((None, 0.0, 1.0))
                 continue
             total = self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            share = np.exp(total - total.max())
-            best = int(share.argmax())
-            out.append((self.languages[best], float(share[best] / share.sum())))
+            best = int(total.argmax())
+            out.append((self.languages[best], float(total[best]), float(np.exp(total - total[best]).sum())))
         return out
 
 
@@ -209,20 +256,43 @@ def identify(docs: DataFrame, path: str, sample: int = SAMPLE, keep: bool = Fals
     pieces = vocabulary(path)
     models = fit_languages(docs, pieces, sample)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((list(models), np.stack(list(models.values()), axis=1) if models else None, pieces))
-    key = uuid.uuid4().hex
+    languages = [r.lang for r in models.select("lang").orderBy("lang").collect()]
+    blocks = [languages[i : i + BLOCK_LANGUAGES] for i in range(0, len(languages), BLOCK_LANGUAGES)]
     chosen = docs if keep else docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     names = [c for c in chosen.columns if keep or c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(key, shared)
-        for part, texts in slices(batches):
-            rows = scorer.predict(texts)
-            found = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + found, [*names, "lang_pred", "score"])
-
-    schema = T.StructType([chosen.schema[c] for c in names]).add("lang_pred", "string").add("score", "double")
-    return chosen.mapInArrow(run, schema)
+    if not blocks:
+        return chosen.select(*names, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+
+    def scored(rows: DataFrame, names: list[str], block: list[str]) -> DataFrame:
+        """The columns ``names`` of the rows, with the best language of the block: lang_pred, its log-probability, all over its own."""
+        found = {r.lang: r.p for r in models.filter(F.col("lang").between(block[0], block[-1])).collect()}
+        shared = spark.sparkContext.broadcast((block, np.stack([np.array(found[lang]) for lang in block], axis=1), pieces))
+        key = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = scorer_of(key, shared)
+            for part, texts in slices(batches):
+                told = list(zip(*scorer.predict(texts), strict=True))
+                more = [pa.array(list(v), t) for v, t in zip(told, (pa.string(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + more, [*names, "lang_pred", "top", "over"])
+
+        schema = T.StructType([rows.schema[c] for c in names]).add("lang_pred", "string").add("top", "double").add("over", "double")
+        return rows.mapInArrow(run, schema)
+
+    if len(blocks) == 1:
+        score = F.when(F.col("lang_pred").isNull(), 0.0).otherwise(1 / F.col("over")).alias("score")
+        return scored(chosen, names, blocks[0]).select(*names, F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), score)
+
+    # More languages than a block: a pass for each over numbered rows; what it tells of a row is joined by the number.
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = materialise(chosen.withColumn(row, F.monotonically_increasing_id()), "language-rows")
+    told = [materialise(scored(numbered.select(row, "text"), [row], block).filter("lang_pred is not null"), "language-block") for block in blocks]
+    each = reduce(DataFrame.unionByName, told).groupBy(row).agg(
+        F.min(F.struct((-F.col("top")).alias("less"), "lang_pred")).alias("best"), F.collect_list(F.struct("top", "over")).alias("all"),
+    )
+    total = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["over"] * F.exp(x["top"] + F.col("best.less")))
+    each = each.select(row, F.col("best.lang_pred").alias("lang_pred"), (1 / total).alias("score"))
+    return numbered.join(each, row, "left").select(*names, F.coalesce("lang_pred", F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def brute_force(word: str, p: dict[str, float]) -> float:

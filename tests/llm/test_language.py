@@ -20,6 +20,40 @@ def test_forward_sums_all_segmentations():
         assert s[0] == pytest.approx(math.log(lg.brute_force(w, table)))
 
 
+def test_long_words_are_summed_over_all_segmentations():
+    rng = np.random.default_rng(3)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab"]
+    p = np.append(rng.random(len(pieces)) / 10, lg.UNSEEN)
+    words = ["▁" + "".join(rng.choice(list("abx"), n)) for n in (31, 32, 33, 64, 65, 150, 3000)]
+    want = []
+    for w in words:
+        ways = [0.0]
+        for e in range(1, len(w) + 1):
+            ways.append(np.logaddexp.reduce([ways[b] + math.log(p[pieces.index(w[b:e])] if w[b:e] in pieces else p[-1]) for b in range(max(0, e - 3), e) if w[b:e] in pieces or e - b == 1]))
+        want.append(ways[-1])
+    assert lg.Lattice(pieces).score(words, p[:, None])[:, 0] == pytest.approx(want)
+    # The derivative of the log-probability by the log of a piece's probability is how often it is expected.
+    lattice = lg.Lattice(pieces)
+    got = lattice.expected(words, lattice.edges(words), np.ones(len(words)), p)
+    for i in range(len(p)):
+        up, down = p.copy(), p.copy()
+        up[i], down[i] = p[i] * math.exp(1e-4), p[i] * math.exp(-1e-4)
+        change = (lattice.score(words, up[:, None]) - lattice.score(words, down[:, None])).sum() / 2e-4
+        assert got[i] == pytest.approx(change, rel=1e-4, abs=1e-5)
+
+
+def test_every_label_is_learned_in_blocks(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1000 * i + j, f"{a}{b}{a}{b}{b} {b}{a}{a}{b}{a} " * 3, f"{a}{b}") for i, (a, b) in enumerate((a, b) for a in letters[:15] for b in letters[10:25] if a < b) for j in range(6)]
+    docs = spark.createDataFrame([*rows, (None, None, None), (7, "12", "ab")], "doc_id long, text string, lang string")
+    assert docs.select("lang").distinct().count() > 130
+    many = sorted(map(str, ((r.doc_id, r.lang_pred, round(r.score, 9)) for r in lg.identify(docs, PATH).collect())))
+    monkeypatch.setattr(lg, "BLOCK_LANGUAGES", 1000)
+    one = sorted(map(str, ((r.doc_id, r.lang_pred, round(r.score, 9)) for r in lg.identify(docs, PATH).collect())))
+    assert many == one
+    assert len({r.lang_pred for r in lg.identify(docs, PATH, keep=True).collect()} - {"und"}) > 130
+
+
 def test_fit_is_a_distribution():
     pieces = lg.vocabulary(PATH)
     p = lg.fit(["the thing and the other thing"], pieces)
