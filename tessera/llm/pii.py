@@ -3,8 +3,9 @@
 The field scores whole candidate segments: a segment of up to MOST_TOKENS tokens with a type gets the weights of what
 holds of it as a whole (digits in it, checksum, separators, brackets, what stands at its edges), plus a weight for the
 types of neighbouring segments. Segmentation and types of a stretch are chosen together by dynamic programming over
-segment ends. Only segments with an ``@``, a bracketed "at" or at least LEAST_DIGITS digits can be entities, so text
-without any is all outside and needs no pass; that is part of the model, not a shortcut around it.
+segment ends. Entities are bounded: MOST_TOKENS tokens, with one ``@`` or bracketed "at" and a dot behind it, or of
+LEAST_DIGITS to MOST_DIGITS digits and what may stand between them. Text without any is all outside and needs no pass;
+that is part of the model, not a shortcut around it. Every step is linear in the length of a text.
 
 Weights are fitted by stochastic gradient ascent on the conditional likelihood of segmentations, on a bounded sample
 of documents with base matches and on variants of those matches that the base patterns don't cover.
@@ -16,6 +17,7 @@ import hashlib
 import random
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -42,15 +44,25 @@ MOST_CHARS = 400
 EPOCHS = 8
 #: Tokens of an entity, at most: an address of eight names takes 8 + 7 * 5 with " [dot] " and " [at] " between them.
 MOST_TOKENS = 44
-LEAST_DIGITS = 7
+LEAST_DIGITS, MOST_DIGITS = 7, 20
+#: Characters of an entity without an "at", besides digits.
+_BETWEEN = frozenset(" ().+/-")
+#: Characters that a stretch reaches to either side of what makes an entity possible.
+REACH = 160
+#: Tokens that one lattice takes; longer stretches are cut with an overlap of MOST_TOKENS at either side.
+LATTICE_TOKENS = 1024
 #: Posterior from which a segment that no base pattern matches is reported.
 SURE = 0.95
 OUTSIDE = len(KINDS)
 LABELS = len(KINDS) + 1
 
-_AT_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOTTED = re.compile(r"[0-9]\.[0-9]")
+#: Every run of digits, with the three that follow it if they do: a run that begins no address is passed over as a whole.
+_RUN_OR_IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 _BRACKET_AT = re.compile(r"[\[(] ?at ?[\])]", re.IGNORECASE)
-_ANCHOR = re.compile(r"[0-9@]+|[\[(] ?(?:at|dot) ?[\])]", re.IGNORECASE)
+_BRACKET_DOT = re.compile(r"[\[(] ?dot ?[\])]", re.IGNORECASE)
+_ANCHOR = re.compile(r"@|[\[(] ?(?:at|dot) ?[\])]|[0-9](?:[ ().+/-]{0,3}[0-9])*", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|.", re.DOTALL)
 
 Span = tuple[int, int, int]
@@ -72,13 +84,20 @@ def _small(part: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) of the base patterns, in order of kind and start; matches that fail their test are dropped."""
     out: list[Span] = []
-    if "@" in text:
-        # A match never leaves the run of its characters around an "@", so only those runs are looked through.
-        for run in _AT_RUN.finditer(text):
-            out += [(0, run.start() + m.start(), run.start() + m.end()) for m in EMAIL.finditer(run.group())]
-    for m in IP.finditer(text):
-        if all(map(_small, m.group().split("."))):
-            out.append((1, *m.span()))
+    # A local part never holds an "@", so each is looked at once: from the start of its local part, or from the match before.
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < at and (m := EMAIL.match(text, start)):
+            out.append((0, start, m.end()))
+            done = m.end()
+        at = text.find("@", at + 1)
+    if _DOTTED.search(text):
+        for m in _RUN_OR_IP.finditer(text):
+            if m.group(1) and all(map(_small, m.group().split("."))):
+                out.append((1, *m.span()))
     for m in CARD.finditer(text):
         digits = re.sub("[ -]", "", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -91,31 +110,73 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Stretches of words around digits, "@" and bracketed "at" or "dot", joined where at most two characters part them.
+    """Stretches of words around "@", bracketed "at" or "dot" and runs of enough digits, joined where at most two characters part them.
 
-    A bracketed word stands between the words that it joins, so those come along.
+    A bracketed word stands between the words that it joins, so those come along. A word is followed for REACH
+    characters at most.
     """
     found: list[tuple[int, int]] = []
     for m in _ANCHOR.finditer(text):
         start, end = m.span()
         if found and end <= found[-1][1]:
             continue
+        if "0" <= text[start] <= "9" and end - start - sum(map(m.group().count, _BETWEEN)) < LEAST_DIGITS:
+            continue
         if text[start] in "[(":
             start -= start > 0 and text[start - 1] == " "
             end += end < len(text) and text[end] == " "
-        while start > 0 and not text[start - 1].isspace():
+        least, most = max(0, start - REACH), min(len(text), end + REACH)
+        while start > least and not text[start - 1].isspace():
             start -= 1
-        while end < len(text) and not text[end].isspace():
+        while end < most and not text[end].isspace():
             end += 1
         if found and start - found[-1][1] <= 2:
-            found[-1] = (found[-1][0], max(end, found[-1][1]))
+            found[-1] = (min(start, found[-1][0]), max(end, found[-1][1]))
         else:
             found.append((start, end))
-    return [w for w in found if _possible(text[w[0] : w[1]])]
+    return found
+
 
+def _holds_anchor(part: str) -> bool:
+    return any(m[0] not in "0123456789" or sum(map(str.isdigit, m)) >= LEAST_DIGITS for m in map(re.Match.group, _ANCHOR.finditer(part)))
 
-def _possible(segment: str) -> bool:
-    return "@" in segment or sum("0" <= c <= "9" for c in segment) >= LEAST_DIGITS or _BRACKET_AT.search(segment) is not None
+
+def candidates(text: str, spans: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, end) by tokens of the segments that can be entities, by end, then from the nearest start on."""
+    tokens = [text[a:b] for a, b in spans]
+    place = {a: i for i, (a, _) in enumerate(spans)}
+    after = {b: i + 1 for i, (_, b) in enumerate(spans)}
+    # Of each token: where an "at", or a dot, that begins with it ends.
+    at = {i: i + 1 for i, t in enumerate(tokens) if t == "@"}
+    at |= {place[m.start()]: after[m.end()] for m in _BRACKET_AT.finditer(text) if m.start() in place and m.end() in after}
+    dot = {i: i + 1 for i, t in enumerate(tokens) if t == "."}
+    dot |= {place[m.start()]: after[m.end()] for m in _BRACKET_DOT.finditer(text) if m.start() in place and m.end() in after}
+    digit = [len(t) if "0" <= t[0] <= "9" else 0 for t in tokens]
+    between = [_BETWEEN.issuperset(t) for t in tokens]
+    out = []
+    last_at = -1
+    for e in range(1, len(tokens) + 1):
+        if e - 1 in at:
+            last_at = e - 1
+        tail = tokens[e - 1]
+        if not (tail[0].isalnum() or tail == ")"):
+            continue
+        digits, numeric, ats, dotted = 0, True, 0, False
+        for b in range(e - 1, max(-1, e - 1 - MOST_TOKENS), -1):
+            digits += digit[b]
+            numeric = numeric and (digit[b] > 0 or between[b]) and digits <= MOST_DIGITS
+            if not numeric and not ats and last_at < max(0, e - MOST_TOKENS):
+                break
+            ats += at.get(b, e + 1) <= e
+            if ats > 1:
+                break
+            dotted = dotted or (not ats and dot.get(b, e + 1) <= e)
+            head = tokens[b][0]
+            if ats and dotted and b not in at and (head.isalnum() or head in "_%+"):
+                out.append((b, e))
+            elif not ats and numeric and digits >= LEAST_DIGITS and (digit[b] or head in "+("):
+                out.append((b, e))
+    return out
 
 
 _DIGITS = (7, 9, 11, 12, 13, 16, 17, 20)
@@ -153,7 +214,7 @@ def _features(segment: str, before: str, after: str) -> bytes:
 
 
 class Lattice:
-    """The candidate segments of one stretch, by end, with their features; ``gold`` spans are candidates in any case."""
+    """The segments of one stretch, by end, with their features: single tokens and candidates, ``gold`` spans in any case."""
 
     def __init__(self, text: str, before: str = "", after: str = "", gold: Sequence[Span] = ()):
         self.spans = [m.span() for m in _TOKEN.finditer(text)]
@@ -161,26 +222,21 @@ class Lattice:
         starts, ends = {a: i for i, (a, _) in enumerate(self.spans)}, {b: i + 1 for i, (_, b) in enumerate(self.spans)}
         #: Gold spans by tokens; a span that begins or ends inside a token is an error of whoever gives it.
         self.gold = [(kind, starts[a], ends[b]) for kind, a, b in gold]
-        known = {(b, e) for _, b, e in self.gold}
-        first = [min([max(0, e - MOST_TOKENS), *[b for b, x in known if x == e]]) for e in range(n + 1)]
+        can = {*candidates(text, self.spans), *((b, e) for _, b, e in self.gold)}
         self.begin, self.end, rows = [], [], []
         self.by_end: list[list[int]] = [[] for _ in range(n + 1)]
-        for e in range(1, n + 1):
-            for b in range(first[e], e):
-                lo, hi = self.spans[b][0], self.spans[e - 1][1]
-                segment = text[lo:hi]
-                if e - b == 1 or (b, e) in known or (e - b <= MOST_TOKENS and _possible(segment)):
-                    self.by_end[e].append(len(rows))
-                    self.begin.append(b)
-                    self.end.append(e)
-                    rows.append(_features(segment, text[lo - 1 : lo] or before, text[hi : hi + 1] or after))
+        for e, b in sorted({(e, b) for b, e in can} | {(e, e - 1) for e in range(1, n + 1)}):
+            self.by_end[e].append(len(rows))
+            self.begin.append(b)
+            self.end.append(e)
+            lo, hi = self.spans[b][0], self.spans[e - 1][1]
+            rows.append(_features(text[lo:hi], text[lo - 1 : lo] or before, text[hi : hi + 1] or after))
         self.x = np.frombuffer(b"".join(rows), np.float64).reshape(-1, FEATURES)
-        single = np.array(self.end) - np.array(self.begin) == 1
-        can = np.array([(b, e) in known or _possible(text[self.spans[b][0] : self.spans[e - 1][1]]) for b, e in zip(self.begin, self.end, strict=True)])
+        pairs = list(zip(self.begin, self.end, strict=True))
         #: Outside segments are single tokens; entities need an anchor.
         self.barred = np.zeros((len(rows), LABELS), bool)
-        self.barred[~can, :OUTSIDE] = True
-        self.barred[~single, OUTSIDE] = True
+        self.barred[[p not in can for p in pairs], :OUTSIDE] = True
+        self.barred[[e - b > 1 for b, e in pairs], OUTSIDE] = True
         self.n = n
 
     def scores(self, w: np.ndarray) -> np.ndarray:
@@ -334,47 +390,83 @@ def _stretch_end(text: str, lo: int, hi: int, spans: list[Span], most_chars: int
     return min(hi, inside)
 
 
+def stretches_of(text: str, most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS) -> list[tuple[str, list[Span]]]:
+    """The first ``most_windows`` stretches of a text, each cut after about ``most_chars``, with the base matches inside."""
+    spans = sorted(base_spans(text), key=lambda x: x[1])
+    begins = [a for _, a, _ in spans]
+    out = []
+    for lo, hi in windows(text)[:most_windows]:
+        near = spans[bisect_left(begins, lo) : bisect_left(begins, hi)]
+        stretch = text[lo : _stretch_end(text, lo, hi, near, most_chars)]
+        out.append((stretch, sorted((k, a - lo, b - lo) for k, a, b in near if b <= lo + len(stretch))))
+    return out
+
+
 def examples_of(texts: list[str], seed: int = 11, most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS) -> list[tuple[str, list[Span]]]:
-    """Stretches with their base matches, once as they are and once varied; a seed fixes the draws.
+    """What the field learns from the fixed examples and the given texts; see :func:`varied`."""
+    return varied([s for t in texts for s in stretches_of(t, most_windows, most_chars)], seed, most_windows)
+
 
-    ``most_windows`` bounds their number, by a sample of whole stretches; ``most_chars`` their length, never inside
-    an entity.
+def varied(stretches: list[tuple[str, list[Span]]], seed: int = 11, most_windows: int = MOST_WINDOWS) -> list[tuple[str, list[Span]]]:
+    """Stretches with their base matches, once as they are and once varied, the fixed ones first; a seed fixes the draws.
+
+    ``most_windows`` bounds their number, by a sample of whole stretches.
     """
     rng = random.Random(seed)
-    out = []
-    for text in [*_EXAMPLES, *texts]:
-        spans = base_spans(text)
-        for lo, hi in windows(text):
-            stretch = text[lo : _stretch_end(text, lo, hi, spans, most_chars)]
-            inside = [(k, a - lo, b - lo) for k, a, b in spans if lo <= a and b <= lo + len(stretch)]
+    out, fixed = [], []
+    for known, found in ((True, [s for t in _EXAMPLES for s in stretches_of(t)]), (False, stretches)):
+        for stretch, inside in found:
             out.append((stretch, inside))
             if inside:
                 out.append(variants(stretch, inside, rng))
-    if len(out) > most_windows:
-        fixed = out[: 2 * len(_EXAMPLES)]
-        out = fixed + rng.sample(out[2 * len(_EXAMPLES) :], max(0, most_windows - len(fixed)))
-    return out
+        if known:
+            fixed, out = out, []
+    if len(fixed) + len(out) > most_windows:
+        out = rng.sample(out, min(len(out), max(0, most_windows - len(fixed))))
+    return fixed + out
+
+
+def _pieces(tokens: int) -> list[tuple[int, int, int, int]]:
+    """(first, end, own first, own end) of the lattices over so many tokens: what begins in its own part is theirs."""
+    step = LATTICE_TOKENS - 2 * MOST_TOKENS
+    if tokens <= LATTICE_TOKENS:
+        return [(0, tokens, 0, tokens)]
+    return [(max(0, i - MOST_TOKENS), min(tokens, i + step + MOST_TOKENS), i, i + step) for i in range(0, tokens, step)]
 
 
 def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
     """Segments that the field is sure of and that touch no base match."""
     out = []
+    taken = np.array(sorted((a, b) for _, a, b in base), np.int64).reshape(-1, 2)
+    # Base matches may overlap, so a segment is free if no match that begins before its end reaches beyond its start.
+    begins, reach = taken[:, 0], np.maximum.accumulate(taken[:, 1]) if len(taken) else taken[:, 1]
+
+    def free(a: int, b: int) -> bool:
+        before = int(np.searchsorted(begins, b))
+        return before == 0 or reach[before - 1] <= a
+
     for lo, hi in windows(text):
-        inside = [(a, b) for _, a, b in base if a < hi and b > lo]
-        # A stretch whose possible parts are all base matches has nothing to add.
-        rest = "".join(c for i, c in enumerate(text[lo:hi], lo) if not any(a <= i < b for a, b in inside)) if inside else text[lo:hi]
-        if not _possible(rest):
-            continue
-        lattice = Lattice(text[lo:hi], text[lo - 1 : lo], text[hi : hi + 1])
-        path = field.best(lattice)
-        if all(y == OUTSIDE for _, y in path):
+        # An added segment lies between base matches, so a stretch where nothing is left there has nothing to add.
+        edges = taken[np.searchsorted(reach, lo, side="right") : np.searchsorted(begins, hi)]
+        gaps = zip([lo, *np.maximum.accumulate(edges[:, 1]).tolist()], [*edges[:, 0].tolist(), hi], strict=True)
+        if not any(a < b and _holds_anchor(text[a:b]) for a, b in gaps):
             continue
-        segment, _ = field.posteriors(lattice)
-        for row, y in path:
-            if y != OUTSIDE and segment[row, y] >= SURE:
-                a, b = lo + lattice.spans[lattice.begin[row]][0], lo + lattice.spans[lattice.end[row] - 1][1]
-                if not any(x < b and z > a for x, z in inside):
-                    out.append((y, a, b))
+        spans = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+        for first, end, own, own_end in _pieces(len(spans)):
+            a, b = spans[first][0], spans[end - 1][1]
+            tokens = [(x - a, y - a) for x, y in spans[first:end]]
+            if not any(free(a + tokens[i][0], a + tokens[j - 1][1]) for i, j in candidates(text[a:b], tokens)):
+                continue
+            lattice = Lattice(text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])
+            path = field.best(lattice)
+            if all(y == OUTSIDE for _, y in path):
+                continue
+            segment, _ = field.posteriors(lattice)
+            for row, y in path:
+                if y != OUTSIDE and segment[row, y] >= SURE and own <= first + lattice.begin[row] < own_end:
+                    x, z = a + lattice.spans[lattice.begin[row]][0], a + lattice.spans[lattice.end[row] - 1][1]
+                    if free(x, z):
+                        out.append((y, x, z))
     return out
 
 
@@ -387,18 +479,44 @@ def field_of(key: str, shared) -> Field:
     return held(f"field {key}", build)
 
 
+_LIKELY = r"@|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}|[0-9]\.[0-9]+\.[0-9]"
+
+
 def fit_field(
     docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", most_windows: int = MOST_WINDOWS, most_chars: int = MOST_CHARS,
 ) -> Field:
-    """The field fitted on at most ``sample`` documents that look as if they held base matches; see :func:`examples_of`."""
-    likely = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(r"@|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}|[0-9]\.[0-9]+\.[0-9]"))
-    texts = [r.text for r in likely.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(sample).collect()]
-    return Field().fit(examples_of(texts, most_windows=most_windows, most_chars=most_chars))
+    """The field fitted on at most ``sample`` different documents that look as if they held base matches, the first by hash.
 
+    Only rows whose hash is below a bound are looked at; the bound follows from the number of rows and is raised until
+    there are enough. Tasks cut the stretches, so that what reaches the driver is bounded by the three parameters.
+    """
+    chance = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(chance.alias("h"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
 
-def named(spans: list[Span], likely: list[Span]) -> str:
-    """kind:start:end joined by commas: base matches as given, then what the field adds, as likely_<kind>."""
-    return ",".join([f"{KINDS[k]}:{a}:{b}" for k, a, b in spans] + [f"likely_{KINDS[k]}:{a}:{b}" for k, a, b in sorted(likely)])
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            found = [stretches_of(t, most_windows, most_chars) for t in texts]
+            stretch = pa.array([[s for s, _ in f] for f in found], pa.list_(pa.string()))
+            spans = pa.array([[[x for span in inside for x in span] for _, inside in f] for f in found], pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([part.column(0), stretch, spans], ["h", "stretches", "spans"])
+
+    n, share = docs.count(), 64.0
+    while True:
+        bound = min(1.0, share * sample / max(1, n))
+        near = rows.filter(F.pmod("h", F.lit(1 << 40)) < int(bound * (1 << 40))).filter(F.col("text").rlike(_LIKELY))
+        slim = near.mapInArrow(cut, "h long, stretches array<string>, spans array<array<int>>").dropDuplicates(["h"])
+        order = F.pmod("h", F.lit(1 << 40))
+        found = slim.orderBy(order, "h").limit(sample).collect()
+        if len(found) >= sample or bound == 1:
+            break
+        share *= 8
+    stretches = [(s, list(zip(flat[::3], flat[1::3], flat[2::3], strict=True))) for r in found for s, flat in zip(r.stretches, r.spans, strict=True)]
+    return Field().fit(varied(stretches, most_windows=most_windows))
+
+
+def named(spans: list[Span]) -> str:
+    """kind:start:end by kind as listed, then start, joined by commas."""
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -421,10 +539,13 @@ def find_pii(
 ) -> DataFrame:
     """Personal data in every whole text of ``docs``.
 
-    Returns for each row: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256 and spans (base matches
-    and, as ``likely_<kind>``, what the field adds; offsets in code points, end exclusive). With ``mask`` the result is
-    ``docs`` itself with spans replaced in the text by their kind, a null text staying null. Null and empty texts have
-    no spans. Rows are worked on where they are; null and repeated ids are rows like any other. ``sample``,
+    Returns for each row: doc_id, n_email, n_ip, n_card, n_phone (base matches), base_sha256, spans (base matches and
+    what the field adds, by kind and start; offsets in code points, end exclusive) and added (the latter alone). With
+    ``mask`` the result is ``docs`` itself with spans replaced in the text by their kind, a null text staying null.
+    Null and empty texts have no spans. Very long texts are read whole, in time linear in their length. Rows are worked
+    on where they are; null and repeated ids are rows like any other, repeated rows give equal results. Of spans of two
+    kinds that overlap both are base matches; of equally good segmentations the field takes the one whose segments
+    begin first. Other columns are ignored (with ``mask``: kept). An empty table gives no rows. ``sample``,
     ``most_windows`` and ``most_chars`` bound only what the field is fitted on: documents, stretches of them, and about
     the characters of a stretch.
     """
@@ -440,9 +561,9 @@ def find_pii(
                 base = base_spans(t)
                 rows.append((base, added_spans(model, t, base)))
             counts = [pa.array([sum(k == kind for k, _, _ in base) for base, _ in rows], pa.int64()) for kind in range(len(KINDS))]
-            digests = pa.array([hashlib.sha256(named(base, []).encode()).hexdigest() for base, _ in rows], pa.string())
-            spans = pa.array([named(base, more) for base, more in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, spans], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            digests = pa.array([hashlib.sha256(named(base).encode()).hexdigest() for base, _ in rows], pa.string())
+            spans, added = (pa.array([named(s) for s in column], pa.string()) for column in ([b + m for b, m in rows], [m for _, m in rows]))
+            yield pa.RecordBatch.from_arrays([part.column(0), *counts, digests, spans, added], ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "added"])
 
     def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = field_of(key, shared)
@@ -459,4 +580,4 @@ def find_pii(
         return docs.mapInArrow(hide, docs.schema)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(chosen.dtypes)["doc_id"]
-    return chosen.mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return chosen.mapInArrow(run, f"doc_id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, added string")
