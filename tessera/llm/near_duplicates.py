@@ -9,16 +9,19 @@
    lacks, so bit counts bound the overlap from above; pairs below what is needed go.
 4. What is left is intersected as sorted arrays. First one pair for each node, then, once those links are contracted
    to components, only pairs between different components. Tiles of more than TILE nodes pair each node with the
-   first of its band at first; if their nodes are then still in several components, they are cut into sub-tiles and
-   all pairs of sub-tiles compare bitmaps. So a group of thousands of copies costs about as many comparisons as it
-   has members, and no link between different components is left out.
+   first of its band at first; if their nodes are then still in several components, they are cut into sub-tiles in
+   order of component, and sub-tiles compare bitmaps unless both are one component. So a group of thousands of copies
+   costs about as many comparisons as it has members, and no link between different components is left out.
+
+Rows of tiles are dealt by range of (shingle, size, node), so that a shingle of any share of all rows is spread over
+tasks; a tile on a border between tasks is treated as a large one.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -34,9 +37,11 @@ from tessera.llm.texts import held, slices
 CELL_BITS = 22
 RANGES = 64
 TILE = 64
-SUB_TILE = 1024
-#: Bits of the filter that picks texts whose arrays are needed; its misses only cost time.
-FILTER_BITS = 24
+SUB_TILE = 256
+#: Rows of tiles that a task holds at once, about.
+FLUSH = 200_000
+#: Bits of the filter that picks texts whose arrays are needed: 16 for each wanted id, within these powers of 2. Its misses only cost time.
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 20, 28
 MOST_WORDS = 200_000
 MOST_BITMAP = 1 << 14
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -78,8 +83,9 @@ def needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def node_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+def key_of(s: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -125,8 +131,10 @@ def _window_pairs(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.nda
     return i, j
 
 
-def tile_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of nodes to compare from the rows of whole tiles, and a mark for rows of large tiles.
+def tile_pairs(
+    key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int, tile: int, cut: Sequence[int] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes to compare from the rows of tiles, and a mark for rows of large tiles; those of the shingles ``cut`` count as large.
 
     Rows are (shingle, node, size of the node, place of the shingle in the node's order), already sorted by shingle,
     size and node, without repeats.
@@ -134,16 +142,18 @@ def tile_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray,
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     ends = np.repeat(starts + sizes, sizes)
-    large = np.repeat(sizes > tile, sizes)
+    is_large = (sizes > tile) | np.isin(key[starts], np.array(cut, np.int64))
+    large = np.repeat(is_large, sizes)
     small = np.flatnonzero(~large)
     i, j = _window_pairs(n[small], np.searchsorted(small, ends[small]), percent)
     i, j = small[i], small[j]
     keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
     pairs = [np.stack([node[i[keep]], node[j[keep]]], axis=1)]
-    for s, size in zip(starts[sizes > tile].tolist(), sizes[sizes > tile].tolist(), strict=True):
+    for s, size in zip(starts[is_large].tolist(), sizes[is_large].tolist(), strict=True):
         # Even with the smallest node in reach, a row needs enough shingles from its place on; the others meet elsewhere.
+        # Of a tile that is cut, smaller nodes may be in another part.
         own = np.arange(s, s + size)
-        least = np.maximum(n[s], -(-percent * n[own] // 100))
+        least = np.maximum(0 if key[s] in cut else n[s], -(-percent * n[own] // 100))
         able = n[own] - at[own] >= needed(n[own], least, percent)
         large[own[~able]] = False
         own = own[able]
@@ -201,9 +211,10 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
 
     Two documents link when 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles. A text
     of fewer words is one shingle as a whole; a text without words, or null, has an empty set and links with nothing.
-    Shingles are told apart by 64-bit hashes. Returns doc_id, n_shingles, component_id (the smallest id reachable;
-    of a document that links with none, its own), one row for each row of ``docs``; null ids are passed over when
-    the smallest is taken. Repeated rows are copies of each other. An empty table gives no rows.
+    Shingles are told apart by 64-bit hashes within the pairs that are compared, sets by hashes of 128 bits. Returns
+    doc_id, n_shingles, component_id (the smallest id reachable; of a document that links with none, its own), one row
+    for each row of ``docs``; null ids are passed over when the smallest is taken. Repeated rows are copies of each
+    other. Very long texts are sets like any other. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -212,74 +223,88 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = order.value
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for part, texts in slices(batches):
             out = []
             for t in texts:
                 s = shingles(t, size)
-                node = node_of(s) if len(s) else None
+                key = key_of(s) if len(s) else None
                 keys = sig = None
-                if len(s) and node not in seen:
-                    seen.add(node)
+                if len(s) and key not in seen:
+                    seen.add(key)
                     least = int(needed(np.int64(len(s)), np.int64(-(-percent * len(s) // 100)), percent))
                     cell = rank[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                     keys = s[np.lexsort((s, cell))][: len(s) - least + 1].view(np.int64)
                     sig = bitmap(s)
-                out.append((len(s), node, keys, sig))
+                out.append((len(s), key, keys, sig))
             if len(seen) > 1_000_000:
                 seen.clear()
-            columns = [part.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "node", "keys", "sig"])
+            columns = [part.column(0), *[pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()))]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "key", "keys", "sig"])
+
+    sets = materialise(docs.mapInArrow(prefixes, f"doc_id {kind}, n bigint, key binary, keys array<bigint>, sig binary"), "shingle-sets")
 
-    sets = materialise(docs.mapInArrow(prefixes, f"doc_id {kind}, n bigint, node bigint, keys array<bigint>, sig binary"), "shingle-sets")
+    # Equal sets become one node with a number, which is fixed as the table is written. Rows that repeat a set within a
+    # task hold nothing but its key.
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    nodes = sets.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), first("keys"), first("sig"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+    signatures = nodes.select("node", "n", "sig")
 
-    # Tiles: all nodes that have a shingle early in their order. A node may come from several tasks; repeats go here.
-    placed = sets.filter("keys is not null").select("node", "n", F.posexplode("keys").alias("at", "key"))
+    # Tiles: all nodes that have a shingle early in their order, in the order of shingle, size and node.
+    placed = nodes.select("node", "n", F.posexplode("keys").alias("at", "key"))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), None) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        key, node, n, at = (table.column(c).to_numpy() for c in ("key", "node", "n", "at"))
-        by = np.lexsort((node, n, key))
-        key, node, n, at = key[by], node[by], n[by], at[by].astype(np.int64)
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        key, node, n, at = key[fresh], node[fresh], n[fresh], at[fresh]
-        a, b, large = tile_pairs(key, node, n, at, percent, TILE)
-        none = lambda length: pa.nulls(length, pa.int64())
         names = ["a", "b", "key", "node", "n", "at"]
-        for lo in range(0, len(a), 100_000):
-            x, y = pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])
-            yield pa.RecordBatch.from_arrays([x, y, *[none(len(x))] * 4], names)
-        k = int(large.sum())
-        yield pa.RecordBatch.from_arrays([none(k), none(k), *[pa.array(v[large]) for v in (key, node, n, at)]], names)
-
-    dealt = placed.repartition(partitions(spark), "key").mapInArrow(tiles, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint")
-    dealt = materialise(dealt, "shingle-tiles")
-    large_tiles = dealt.filter("key is not null").select("key", "node", "n", "at")
+        none = lambda length: pa.nulls(length, pa.int64())
 
-    signatures = materialise(sets.filter("sig is not null").groupBy("node").agg(F.min("doc_id").alias("from_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "shingle-bitmaps")
+        def pairs(rows: np.ndarray, cut: list[int]) -> Iterator[pa.RecordBatch]:
+            key, node, n, at = rows
+            a, b, large = tile_pairs(key, node, n, at, percent, TILE, cut)
+            for lo in range(0, len(a), 100_000):
+                x, y = pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])
+                yield pa.RecordBatch.from_arrays([x, y, *[none(len(x))] * 4], names)
+            k = int(large.sum())
+            yield pa.RecordBatch.from_arrays([none(k), none(k), *[pa.array(v[large]) for v in (key, node, n, at)]], names)
+
+        held, cut = np.zeros((4, 0), np.int64), []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if not cut:  # the first shingle may begin in the task before
+                cut = [int(b.column("key")[0].as_py())]
+            held = np.concatenate([held, np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("key", "node", "n", "at")])], axis=1)
+            if held.shape[1] >= FLUSH:
+                last = int(held[0, -1])
+                end = int(np.searchsorted(held[0], last))
+                if end < FLUSH // 2:  # one shingle has most of the rows: they are cut here, as on a border
+                    end, cut = held.shape[1], [*cut, last]
+                yield from pairs(held[:, :end], cut)
+                held = held[:, end:]
+        if held.shape[1]:
+            yield from pairs(held, [*cut, int(held[0, -1])])
+
+    dealt = placed.repartitionByRange(partitions(spark), "key", "n", "node").sortWithinPartitions("key", "n", "node")
+    dealt = materialise(dealt.select("key", "node", "n", F.col("at").cast("long").alias("at")).mapInArrow(tiles, "a bigint, b bigint, key bigint, node bigint, n bigint, at bigint"), "shingle-tiles")
+    large_tiles = dealt.filter("key is not null").select("key", "node", "n", "at")
     within = _compare_bitmaps(dealt.filter("a is not null").select("a", "b").distinct(), signatures, percent)
 
-    # One pair for each node first: most copies of a text are linked by these alone.
-    first = materialise(within.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
-    arrays = _arrays(docs, sets, within.select(F.col("a").alias("node")).unionByName(within.select(F.col("b").alias("node"))), size)
-    links = _intersect(first, arrays, percent)
-    links = materialise(links, "links")
+    # One pair for each node first: most copies of a text are linked by these alone. Each node is in one of them as b.
+    first_pairs = materialise(within.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first-pairs")
+    arrays = _arrays(docs, nodes, within.select(F.col("a").alias("node")).unionByName(within.select(F.col("b").alias("node"))), size)
+    links = materialise(_intersect(first_pairs, arrays, percent, ["b"]), "links")
     labels = connected_components(links)
-    rest = _across(within.join(first, ["a", "b"], "left_anti"), labels)
-    links = materialise(links.unionByName(_intersect(rest, arrays, percent)), "links")
+    rest = _across(within.join(first_pairs, ["a", "b"], "left_anti"), labels)
+    links = materialise(links.unionByName(_intersect(rest, arrays, percent, ["a", "b"])), "links")
     if not large_tiles.isEmpty():
         labels = connected_components(links)
-        links = materialise(links.unionByName(_large_tile_links(docs, sets, large_tiles, labels, signatures, size, percent)), "links")
+        links = materialise(links.unionByName(_large_tile_links(docs, nodes, large_tiles, labels, signatures, size, percent)), "links")
     labels = connected_components(links)
 
-    lows = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = lows.join(labels, "node", "left")
-    joined = named.filter("label is not null")
-    least = joined.groupBy("label").agg(F.min("low").alias("least"))
-    components = named.join(least, "label", "left").select("node", F.coalesce("least", "low").alias("component_id"))
-    return sets.select("doc_id", "n", "node").join(components, "node", "left").select(
+    named = nodes.select("key", "node", "low").join(labels, "node", "left")
+    least = named.filter("label is not null").groupBy("label").agg(F.min("low").alias("least"))
+    components = named.join(least, "label", "left").select("key", F.coalesce("least", "low").alias("component_id"))
+    return sets.select("doc_id", "n", "key").join(components, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -307,16 +332,16 @@ def _compare_bitmaps(pairs: DataFrame, signatures: DataFrame, percent: int) -> D
     return materialise(full.mapInArrow(keep, "a bigint, b bigint"), "bitmap-pairs")
 
 
-def _arrays(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
-    """(node, array) of the given nodes, from their texts.
+def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, array) of the wanted nodes, from their texts.
 
-    A filter of a fixed number of bits over ids picks the texts to read again, so that texts need no shuffle.
+    A filter over ids, of bounded size, picks the texts to read again, so that texts need no shuffle.
     """
     spark = docs.sparkSession
-    nodes = nodes.distinct()
-    origins = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi")
-    bits, ranges = 1 << FILTER_BITS, 256
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    origins = materialise(nodes.select("node", "key", "low").join(wanted.distinct(), "node", "left_semi"), "shingle-origins")
+    bits = 1 << min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * origins.count()).bit_length()))
+    ranges = 256
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -327,34 +352,37 @@ def _arrays(docs: DataFrame, sets: DataFrame, nodes: DataFrame, size: int) -> Da
         packed = [zlib.compress(np.packbits(v).tobytes(), 1) for v in found.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(packed, pa.binary())], ["range", "bits"])
 
-    marked = origins.select(slot.alias("slot")).repartition(min(ranges, partitions(spark)), F.floor(F.col("slot") / F.lit(bits // ranges))).mapInArrow(mark, "range int, bits binary")
-    wanted = np.zeros((ranges, bits // ranges // 8), np.uint8)
+    marked = origins.select(slot("low").alias("slot")).repartition(min(ranges, partitions(spark)), F.floor(F.col("slot") / F.lit(bits // ranges))).mapInArrow(mark, "range int, bits binary")
+    filled = np.zeros((ranges, bits // ranges // 8), np.uint8)
     for r in marked.collect():
-        wanted[r.range] |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    shared = spark.sparkContext.broadcast(wanted.reshape(-1))
+        filled[r.range] |= np.frombuffer(zlib.decompress(r.bits), np.uint8)
+    shared = spark.sparkContext.broadcast(filled.reshape(-1))
     name = uuid.uuid4().hex
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = kept(name, shared)
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             slots = batch.column(1).to_numpy()
             hit = pa.array((filter_[slots >> 3] >> (7 - (slots & 7)) & 1).astype(bool))
             for _, texts in slices([pa.RecordBatch.from_arrays([batch.column(0).filter(hit)], ["text"])]):
-                found = {node_of(s): s for s in (shingles(t, size) for t in texts) if len(s)}
+                found = {key_of(s): s for s in (shingles(t, size) for t in texts) if len(s)}
                 rows = [(k, v.tobytes()) for k, v in found.items() if k not in seen]
                 seen.update(found)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "array"])
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["key", "array"])
 
-    built = docs.select("text", slot.alias("slot")).mapInArrow(build, "node bigint, array binary")
-    return materialise(built.join(nodes, "node", "left_semi"), "shingle-arrays")
+    # Tasks may build the array of a set that several of them hold, each once; the first stays.
+    built = docs.select("text", slot("doc_id").alias("slot")).mapInArrow(build, "key binary, array binary")
+    return materialise(built.join(origins.select("key", "node"), "key").groupBy("node").agg(F.first("array").alias("array")), "shingle-arrays")
 
 
-def _intersect(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold. Pairs are dealt over tasks by their first node; arrays follow, each once a task."""
+def _intersect(pairs: DataFrame, arrays: DataFrame, percent: int, by: Sequence[str]) -> DataFrame:
+    """The pairs that reach the threshold. Pairs are dealt over tasks by the nodes ``by``; arrays follow, each once a task."""
     spark = pairs.sparkSession
     groups = partitions(spark) * 4
-    pairs = pairs.withColumn("task", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int"))
+    pairs = pairs.withColumn("task", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int"))
     follow = pairs.select(F.col("task").alias("to"), F.col("a").alias("node")).unionByName(pairs.select(F.col("task").alias("to"), F.col("b").alias("node"))).distinct()
 
     def check(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -362,27 +390,40 @@ def _intersect(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
         good = [linked(have[a], have[b], percent) for a, b in zip(left["a"], left["b"], strict=True)]
         return left.loc[np.array(good, bool), ["a", "b"]]
 
-    sent = follow.join(arrays.dropDuplicates(["node"]), "node")
+    sent = follow.join(arrays, "node")
     return pairs.groupBy("task").cogroup(sent.groupBy("to")).applyInPandas(check, "a bigint, b bigint")
 
 
-def _large_tile_links(docs: DataFrame, sets: DataFrame, rows: DataFrame, labels: DataFrame, signatures: DataFrame, size: int, percent: int) -> DataFrame:
+def _large_tile_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, labels: DataFrame, signatures: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between different components of large tiles, enough to join all that are linked there.
 
-    Rows of a tile are cut into sub-tiles by size; two sub-tiles meet in a task of their own unless their sizes are
-    out of reach. There, pairs whose places, sizes and bitmaps leave room are intersected, unless links found before
-    have already joined their components: a task gives fewer links than it has rows.
+    Rows are dealt by range of (shingle, component, size, node) and cut there into sub-tiles, so no task sees a whole
+    tile. Two sub-tiles meet in a task of their own unless their sizes are out of reach or both are of one component.
+    There, pairs whose places, sizes and bitmaps leave room are intersected, unless links found before have already
+    joined their components: a task gives fewer links than it has rows.
     """
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-    open_ = labelled.join(mixed, "key", "left_semi").distinct()
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("n", "node")) - 1
-    cut = materialise(open_.withColumn("sub", F.floor(nth / SUB_TILE).cast("int")), "sub-tiles")
-    ranges = cut.groupBy("key", "sub").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = ranges.select("key", F.col("sub").alias("i"), F.col("most").alias("most_i")), ranges.select("key", F.col("sub").alias("j"), F.col("least").alias("least_j"))
-    meets = x.join(y, "key").filter((F.col("i") <= F.col("j")) & (F.col("least_j") * percent <= F.col("most_i") * 100)).select("key", "i", "j")
-    arrays = _arrays(docs, sets, cut.select("node"), size).dropDuplicates(["node"])
-    full = cut.join(signatures.select("node", "sig"), "node").join(arrays, "node")
+    open_ = materialise(labelled.join(mixed, "key", "left_semi").select("key", "label", "n", "node", "at"), "open-tiles")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passed = 0
+        for b in batches:
+            sub = (np.arange(b.num_rows) + passed) // SUB_TILE + b.column("part").to_numpy() * (1 << 40)
+            passed += b.num_rows
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("key", "label", "n", "node", "at")], pa.array(sub)], ["key", "label", "n", "node", "at", "sub"])
+
+    ordered = open_.repartitionByRange(partitions(docs.sparkSession), "key", "label", "n", "node").sortWithinPartitions("key", "label", "n", "node")
+    cut = ordered.withColumn("part", F.spark_partition_id().cast("long")).mapInArrow(number, "key bigint, label bigint, n bigint, node bigint, at bigint, sub bigint")
+    cut = materialise(cut, "sub-tiles")
+    ranges = cut.groupBy("key", "sub").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    x, y = (ranges.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("sub", "least", "most", "lo", "hi")]) for side in "ij")
+    reach = (F.col("least_j") * percent <= F.col("most_i") * 100) & (F.col("least_i") * percent <= F.col("most_j") * 100)
+    one = (F.col("lo_i") == F.col("hi_j")) & (F.col("hi_i") == F.col("lo_j"))
+    meets = x.join(y, "key").filter((F.col("sub_i") <= F.col("sub_j")) & reach & ~one).select("key", F.col("sub_i").alias("i"), F.col("sub_j").alias("j"))
+    meets = materialise(meets, "sub-tile-pairs")
+    arrays = _arrays(docs, nodes, cut.select("node"), size)
+    full = materialise(cut.join(signatures.select("node", "sig"), "node").join(arrays, "node"), "full-sub-tiles")
     left = meets.join(full.withColumnRenamed("sub", "i"), ["key", "i"])
     right = meets.join(full.withColumnRenamed("sub", "j"), ["key", "j"])
     right = right.select(*[F.col(c).alias(f"{c}_") for c in right.columns])

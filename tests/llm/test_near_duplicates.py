@@ -63,9 +63,11 @@ def result(spark, rows, **options):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nd.link_documents(df, **options).collect()), key=key)
 
 
-@pytest.mark.parametrize("tile", [64, 5])
-def test_against_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "flush"), [(64, nd.FLUSH), (5, nd.FLUSH), (5, 40)])
+def test_against_brute_force(spark, monkeypatch, tile, flush):
+    """Also with tiles that are cut inside a task, as a shingle with most of its rows is."""
     monkeypatch.setattr(nd, "TILE", tile)
+    monkeypatch.setattr(nd, "FLUSH", flush)
     monkeypatch.setattr(nd, "SUB_TILE", 20)
     rows = corpus()
     want = brute(rows)
@@ -81,6 +83,15 @@ def test_repeats_nulls_and_empty(spark):
     assert result(spark, []) == []
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(9000)}" for _ in range(150_000))
+    rows = [(1, long, 5, "a", 7), (2, long + " end", 6, "b", 8), (3, "other words stand here", 7, "c", 9)]
+    df = spark.createDataFrame(rows, SCHEMA + ", node int, key string, n int")
+    got = sorted((r.doc_id, r.component_id) for r in nd.link_documents(df).collect())
+    assert got == [(1, 1), (2, 1), (3, 3)]
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
