@@ -40,14 +40,15 @@ def _license_scan() -> str:
     rows = []
     for label, texts in licenses.TEMPLATES.items():
         for t in texts:
-            words = sorted(set(licenses.words_of(t)))
-            rows.append(f"('{label}', {words!r}, {math.ceil(licenses.CONTAINMENT * len(words) - 1e-9)})")
+            every_word = licenses.words_of(t)
+            words = sorted(set(every_word))
+            rows.append(f"('{label}', {licenses.step_of(every_word)}, {words!r}, {math.ceil(licenses.CONTAINMENT * len(words) - 1e-9)})")
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_LOW} AS low FROM documents),
 b AS MATERIALIZED (SELECT id, doc_id, words, {base} FROM (SELECT id, doc_id, {split('low')} AS words FROM d)),
-t(label, terms, need) AS (VALUES {', '.join(rows)}),
-blocks AS (SELECT id, list_distinct({split(f"array_to_string(l[i:i + {licenses.BLOCK_LINES - 1}], chr(10))")}) AS words FROM (SELECT id, string_split(low, chr(10)) AS l FROM d), unnest(range(1, len(l) + 1)) AS r(i)),
-hits AS (SELECT id, label, len(list_intersect(words, terms)) AS k, need, len(terms) AS n FROM blocks, t),
+t(label, step, terms, need) AS (VALUES {', '.join(rows)}),
+blocks AS (SELECT id, step, list_distinct(words[i * step + 1:(i + 2) * step]) AS block FROM b, (SELECT DISTINCT step FROM t), unnest(range(0, (len(words) + step - 1) // step)) AS r(i)),
+hits AS (SELECT id, label, len(list_intersect(block, terms)) AS k, need, len(terms) AS n FROM blocks JOIN t USING (step)),
 m AS (SELECT id, list(DISTINCT label) AS quoted, max(k / n::DOUBLE) AS share FROM hits WHERE k >= need GROUP BY id),
 f AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, {every} AS every, {held} AS held, coalesce(quoted, []) AS quoted, share FROM b LEFT JOIN m USING (id))
 SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) - 1 AS first_word, list_max(every) - 1 AS last_word, array_to_string(list_sort(held), ',') AS base_labels,

@@ -16,13 +16,13 @@ def brute(text):
         hits = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         base += hits
         named |= {label} if hits else set()
-    lines = low.split("\n")
     for label, texts in li.TEMPLATES.items():
         for t in texts:
             want = set(li.words_of(t))
             need = math.ceil(li.CONTAINMENT * len(want) - 1e-9)
-            for i in range(len(lines)):
-                shared = len(want & set(li.words_of("\n".join(lines[i : i + li.BLOCK_LINES]))))
+            step = li.step_of(li.words_of(t))
+            for i in range(0, len(words), step):
+                shared = len(want & set(words[i : i + 2 * step]))
                 if shared >= need:
                     labels.add(label)
                     best = max(best, shared / len(want))
@@ -58,6 +58,18 @@ def test_against_brute_force(spark):
     assert quoted > 10
 
 
+def test_quotations_over_many_lines_and_words_that_only_lie_about(spark):
+    """A quotation is found however it is wrapped; a long text that holds its words far from each other is not."""
+    rng = random.Random(2)
+    quote = li.TEMPLATES["gpl"][1].split()
+    wrapped = "/*\n" + "".join(f" * {w}\n *\n" for w in quote) + " */"
+    scattered = " ".join(w + " " + " ".join(rng.choice(["house", "letter", "green"]) for _ in range(40)) for w in quote)
+    long = " ".join(["house"] * 400_000) + " " + " ".join(quote)
+    rows = [(1, wrapped), (2, scattered), (3, long), (4, " ".join(li.TEMPLATES["cc"][0].split()[:2] + ["x"] * 30 + li.TEMPLATES["cc"][0].split()[2:]))]
+    got = {r.doc_id: r.labels for r in li.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: "gpl", 2: "", 3: "gpl", 4: ""}
+
+
 def test_empty_repeats_and_clashing_columns(spark):
     assert li.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(None, "MIT license", 1, "x")] * 3, SCHEMA + ", row int, labels string")
