@@ -3,7 +3,13 @@
 A text is cut into matches of the tokenizer's pattern, and each distinct match is encoded once: one row for each
 (word, position) joins the merge table, and a recursive query contracts the leftmost pair of lowest rank of each
 word until no word has a pair that merges. Decoding joins the ids with the vocabulary and aggregates the bytes of
-each word in order of position. Texts then put together what their words gave.
+each word in order of position. Texts then put together the ids and the decoded bytes that their words gave.
+
+Long words are cut into parts, which the same query encodes. Tokens are what the whole word would give if and only if
+each pair of neighbours, taken alone, gives that pair again: up to the first merge across a border, what happens
+inside a pair of neighbours is the same in the word and in the pair alone, as each merge is the least by rank and
+place, so that merge would happen in the pair as well. Borders where that fails are encoded anew with tokens around
+them, ever more, until all hold.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 MOST_RUNS = 400_000
 #: Bytes of new words that one recursive query takes.
 QUERY_BYTES = 400_000
-#: Longer words contract every occurrence of their lowest rank in a step, so that steps don't grow with length.
-LONG_WORD = 256
+#: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
+PART, AROUND = 64, 8
+#: Pairs of tokens whose border was looked at that a worker keeps.
+MOST_PAIRS = 200_000
 
-# A word that is itself a token takes part in no merge. Rows of a word that no longer merges are not carried on;
-# its rows of the last step that it reached are its tokens.
+# Rows of a word that no longer merges are not carried on; its rows of the last step that it reached are its tokens.
 _ENCODE = """
 WITH RECURSIVE steps(step, word, pos, tok) AS (
     SELECT 0, word, pos, tok FROM start
@@ -68,18 +75,19 @@ class ByteBpe:
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
-        self.pairs = {(x, y): r for x, y, r in pairs}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
+        self.bytes_of = {r: t for t, r in ranks.items()}
+        # Batches are small enough to stay in memory; nothing is spilled to a folder.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m", pa.table({"a": a, "b": b, "rank": rank}))
         self.db.execute("CREATE TABLE merges AS SELECT a, b, CAST(rank AS BIGINT) AS rank FROM m")
         self.db.register("v", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "name": list(map(str, ranks.values())), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.db.unregister("m")
         self.db.unregister("v")
-        #: Ids of words and of runs, joined by blanks; words that decoding doesn't give back, with what it gives.
-        self.words: dict[str, str] = {}
-        self.runs: dict[str, str] = {}
-        self.changed: dict[str, bytes] = {}
+        #: Ids of words and of runs, joined by blanks, with the bytes that they decode to.
+        self.words: dict[str, tuple[str, bytes]] = {}
+        self.runs: dict[str, tuple[str, bytes]] = {}
+        self.holds: dict[tuple[int, int], bool] = {}
 
     def encode_words(self, words: list[str]) -> None:
         """Encode and decode distinct words by recursive and aggregating queries."""
@@ -90,45 +98,85 @@ class ByteBpe:
             while end < len(words) and (size == 0 or size + len(raw[end]) <= QUERY_BYTES):
                 size += len(raw[end])
                 end += 1
-            self._query(words[begin:end], raw[begin:end])
+            self._encode(words[begin:end], raw[begin:end])
             begin = end
 
-    def _query(self, words: list[str], raw: list[bytes]) -> None:
-        starts = [self._start(b) for b in raw]
-        lengths = np.array([len(s) for s in starts], np.int64)
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    def _encode(self, words: list[str], raw: list[bytes]) -> None:
+        # A word that is itself a token is that token.
+        known = [i for i, r in enumerate(raw) if r in self.ranks]
+        short = [i for i, r in enumerate(raw) if r not in self.ranks and len(r) <= PART]
+        long = [i for i, r in enumerate(raw) if r not in self.ranks and len(r) > PART]
+        other = {i: [self.ranks[raw[i]]] for i in known} | dict(zip(long, self._long([raw[i] for i in long]), strict=True))
+        self._contract([raw[i] for i in short], np.array(short, np.int32))
+        lengths = [len(t) for t in other.values()]
+        rows = {"word": np.repeat(np.array(list(other), np.int32), lengths), "pos": np.array([p for n in lengths for p in range(n)], np.int32), "tok": np.array([t for ids in other.values() for t in ids], np.int32)}
+        self.db.register("more", pa.table(rows))
+        self.db.execute("INSERT INTO encoded SELECT word, pos, tok FROM more")
+        self.db.unregister("more")
+        found = self.db.sql(_DECODE).to_arrow_table().to_pydict()
+        for at, ids, hexed in zip(found["word"], found["ids"], found["hex"], strict=True):
+            self.words[words[at]] = (ids, bytes.fromhex(hexed))
+
+    def _contract(self, raw: list[bytes], numbers: np.ndarray) -> None:
+        """The table ``encoded``: the tokens of each string of bytes under its number."""
+        lengths = np.array([len(r) for r in raw], np.int64)
         pos = np.arange(lengths.sum(), dtype=np.int32) - np.repeat(np.cumsum(lengths) - lengths, lengths).astype(np.int32)
-        self.db.register("start", pa.table({"word": word, "pos": pos, "tok": np.concatenate(starts)}))
+        self.db.register("start", pa.table({"word": np.repeat(numbers, lengths), "pos": pos, "tok": self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]}))
         self.db.execute("CREATE OR REPLACE TEMP TABLE encoded AS " + _ENCODE)
-        found = self.db.sql(_DECODE).to_arrow_table().to_pydict()
         self.db.unregister("start")
-        for at, ids, hexed in zip(found["word"], found["ids"], found["hex"], strict=True):
-            self.words[words[at]] = ids
-            if hexed != raw[at].hex():
-                self.changed[words[at]] = bytes.fromhex(hexed)
-
-    def _start(self, raw: bytes) -> np.ndarray:
-        """Tokens that the query begins with: bytes; a word that is a token as it stands; a long word when short of merges."""
-        if raw in self.ranks:
-            return np.array([self.ranks[raw]], np.int32)
-        ids = self.byte_ids[np.frombuffer(raw, np.uint8)]
-        return ids if len(ids) <= LONG_WORD else self._contract_long(ids)
-
-    def _contract_long(self, ids: np.ndarray) -> np.ndarray:
-        """All occurrences of the lowest rank at once, left to right: a pair that this makes has a higher rank."""
-        none = len(self.ranks)
-        while len(ids) > 1:
-            ranks = np.fromiter((self.pairs.get(p, none) for p in zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True)), np.int64, len(ids) - 1)
-            low = ranks.min()
-            if low == none:
-                break
-            places = np.flatnonzero(ranks == low)
-            first = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) > 1, np.arange(len(places)), 0))
-            places = places[(np.arange(len(places)) - first) % 2 == 0]
-            ids = ids.copy()
-            ids[places] = low
-            ids = np.delete(ids, places + 1)
-        return ids
+
+    def _tokens(self, raw: list[bytes]) -> list[list[int]]:
+        """The tokens of each string of bytes, which are short; equal ones are encoded once."""
+        each = dict.fromkeys(raw)
+        found: list[list[int]] = []
+        step = max(1, QUERY_BYTES // PART)
+        for lo in range(0, len(each), step):
+            part = list(each)[lo : lo + step]
+            self._contract(part, np.arange(len(part), dtype=np.int32))
+            rows = self.db.sql("SELECT list(tok ORDER BY pos) AS ids FROM encoded GROUP BY word ORDER BY word").to_arrow_table()
+            found += rows.column("ids").to_pylist()
+        each = dict(zip(each, found, strict=True))
+        return [each[r] for r in raw]
+
+    def _long(self, raw: list[bytes]) -> list[list[int]]:
+        """The tokens of long words: parts, whose borders are then made to hold."""
+        parts = [[r[i : i + PART] for i in range(0, len(r), PART)] for r in raw]
+        encoded = iter(self._tokens([p for ps in parts for p in ps]))
+        return [self._joined([next(encoded) for _ in ps]) for ps in parts]
+
+    def _joined(self, parts: list[list[int]]) -> list[int]:
+        tokens = [t for p in parts for t in p]
+        borders = np.cumsum([len(p) for p in parts])[:-1].tolist()
+        around = AROUND
+        while bad := [p for p, holds in zip(borders, self._hold([(tokens[p - 1], tokens[p]) for p in borders]), strict=True) if not holds]:
+            regions: list[list[int]] = []
+            for p in bad:
+                lo, hi = max(0, p - around), min(len(tokens), p + around)
+                if regions and lo <= regions[-1][1]:
+                    regions[-1][1] = hi
+                else:
+                    regions.append([lo, hi])
+            new = self._tokens([b"".join(self.bytes_of[t] for t in tokens[lo:hi]) for lo, hi in regions])
+            out, borders, place = [], [], 0
+            for (lo, hi), ids in zip(regions, new, strict=True):
+                out += tokens[place:lo]
+                borders.append(len(out))
+                out += ids
+                borders.append(len(out))
+                place = hi
+            tokens = out + tokens[place:]
+            borders = [p for p in dict.fromkeys(borders) if 0 < p < len(tokens)]
+            around *= 2
+        return tokens
+
+    def _hold(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether the bytes of each pair of tokens, taken alone, are encoded as that pair."""
+        if len(self.holds) > MOST_PAIRS:
+            self.holds.clear()
+        new = [p for p in dict.fromkeys(pairs) if p not in self.holds]
+        for (a, b), ids in zip(new, self._tokens([self.bytes_of[a] + self.bytes_of[b] for a, b in new]), strict=True):
+            self.holds[a, b] = ids == [a, b]
+        return [self.holds[p] for p in pairs]
 
     def learn(self, runs: set[str]) -> None:
         """Encode runs of the text; the pattern never matches across the borders of runs."""
@@ -140,7 +188,11 @@ class ByteBpe:
         new = {w for words in split.values() for w in words} - self.words.keys()
         self.encode_words(sorted(new, key=len))
         for run, words in split.items():
-            self.runs[run] = " ".join(map(self.words.__getitem__, words))
+            if len(words) == 1:
+                self.runs[run] = self.words[words[0]]
+            else:
+                found = [self.words[w] for w in words]
+                self.runs[run] = (" ".join([i for i, _ in found]), b"".join([b for _, b in found]))
 
 
 #: What the pattern does at white space: a blank belongs to the word behind it, all before it stands alone.
@@ -158,19 +210,21 @@ def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
     new = seen if len(bpe.runs) > MOST_RUNS else seen - bpe.runs.keys()
     if new:
         bpe.learn(new)
-    ids = [" ".join(map(bpe.runs.__getitem__, runs)) for runs in split]
-    if not bpe.changed:  # every word that was met came back as its own bytes
-        return [(i, t.encode()) for i, t in zip(ids, texts, strict=True)]
-    back = lambda t: b"".join(bpe.changed.get(w) or w.encode() for w in bpe.matches(t))
-    return [(i, back(t)) for i, t in zip(ids, texts, strict=True)]
+    out = []
+    for runs in split:
+        found = list(map(bpe.runs.__getitem__, runs))
+        out.append((" ".join([i for i, _ in found]), b"".join([b for _, b in found])))
+    return out
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text of ``docs`` with the ranks at ``path`` and decode the ids again.
 
     Returns one row (id, n_tokens, ids_sha256, decoded_sha256) for each row; with ``keep_ids`` also the ids
-    themselves as array<int>. Null and empty texts have no ids. Rows are worked on where they are, without a
-    shuffle; null and repeated ids are rows like any other; other columns are ignored.
+    themselves as array<int>. The decoded digest is of the bytes that the ids stand for. Null and empty texts have no
+    ids. Very long texts and words are encoded whole. Of pairs of equal rank the leftmost merges. Rows are worked on
+    where they are, without a shuffle; null and repeated ids are rows like any other, equal texts give equal results;
+    other columns are ignored. An empty table gives no rows.
     """
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 

@@ -38,6 +38,24 @@ def test_ids_and_round_trip(spark):
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_long_words():
+    """Words of any length go through the recursive query in parts, also where borders of parts fall into tokens."""
+    rng = random.Random(4)
+    bpe, enc = bb.ByteBpe(PATH, P.PATTERN), library()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    long = ["a" * 100_000, "ab" * 30_000, "".join(rng.choice(letters) for _ in range(100_000)), "".join(rng.choice("0123456789") for _ in range(40_000)), "=-" * 900 + "=" * 700, "internationalization" * 300]
+    long += ["".join(rng.choice("aeinrst") for _ in range(rng.randint(65, 900))) for _ in range(300)] + ["日本" * 200, "é" * 301]
+    for text, (ids, raw) in zip(long, bb.encode_texts(bpe, long), strict=True):
+        assert ids == " ".join(map(str, enc.encode_ordinary(text))) and raw == text.encode()
+
+
+def test_decoded_bytes_are_those_of_the_ids(monkeypatch):
+    bpe = bb.ByteBpe(PATH, P.PATTERN)
+    bpe.db.execute("UPDATE vocab SET hex = '2a' WHERE name = '64'")
+    ((ids, raw),) = bb.encode_texts(bpe, ["a b"])
+    assert ids == "64 275" and raw == b"* b"
+
+
 def test_caches_that_start_anew(monkeypatch):
     monkeypatch.setattr(bb, "MOST_RUNS", 5)
     bpe, enc = bb.ByteBpe(PATH, P.PATTERN), library()
