@@ -38,6 +38,8 @@ CELL_BITS = 22
 RANGES = 64
 TILE = 64
 SUB_TILE = 256
+#: Keys of tiles up to which they are broadcast.
+MOST_BROADCAST = 100_000
 #: Rows of tiles that a task holds at once, about.
 FLUSH = 200_000
 #: Bits of the filter that picks texts whose arrays are needed: 16 for each wanted id, within these powers of 2. Its misses only cost time.
@@ -404,6 +406,8 @@ def _large_tile_links(docs: DataFrame, nodes: DataFrame, rows: DataFrame, labels
     """
     labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    mixed = materialise(mixed, "mixed-tiles")
+    mixed = F.broadcast(mixed) if mixed.count() <= MOST_BROADCAST else mixed
     open_ = materialise(labelled.join(mixed, "key", "left_semi").select("key", "label", "n", "node", "at"), "open-tiles")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
