@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values that windows over distinct values are cut into.
+PARTS = 32
+#: Values of a reference in a cell of the grid of shares, and cells at most.
+GRID_ROWS, MOST_CELLS = 8, 1 << 24
+
 
 def channel_moments(df: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
     """Mean, population deviation, least, greatest and count of each channel: one row a group, columns <channel>_<statistic>."""
@@ -76,36 +81,74 @@ def nearest_cdf_table(content: DataFrame, reference: DataFrame) -> DataFrame:
     return met.select("image_id", "bin", F.when(F.col("below").isNotNull() & lower, F.col("below.to")).otherwise(F.col("above.to")).alias("mapped"))
 
 
-def quantile_map(content: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """For each distinct content value (key, value, cdf): the reference's value at that share (value, cdf), linearly between neighbours.
+def ranges_of(counts: DataFrame, by: str, parts: int = PARTS) -> tuple[list[float], int]:
+    """Values that cut the rows of ``counts`` into about equal ranges, and the number of rows."""
+    at = [i / parts for i in range(1, parts)]
+    bounds, n = counts.agg(F.percentile_approx(F.col(by).cast("double"), at, 1000), F.count("*")).first()
+    return sorted(set(bounds or [])), n
+
 
-    Shares outside the reference's range take its end values. Content and reference are tables of distinct values.
+def running_totals(counts: DataFrame, keys: Sequence[str], by: str, bounds: Sequence[float]) -> DataFrame:
+    """Counts (keys, by, n) with upto (n of all rows of the group up to this one), total and the value before, if any.
+
+    Windows run over one range of values of a group; what stands before a range is taken from the sums of ranges, as
+    many rows for a group as there are ranges. So neither a group nor a table without keys is one task's work.
     """
-    groups = content.select(key).distinct().withColumn("one", F.lit(1))
-    offers = groups.join(reference.select("cdf", F.col("value").alias("to")).withColumn("one", F.lit(1)), "one")
-    both = content.select(key, "value", "cdf", F.lit(None).cast("double").alias("to"), F.lit(1).alias("asks")).unionByName(
-        offers.select(key, F.lit(None).cast("double").alias("value"), "cdf", F.col("to").cast("double").alias("to"), F.lit(0).alias("asks"))
+    value = F.col(by).cast("double")
+    cut = counts.withColumn("range_", sum(((value > b).cast("int") for b in bounds), F.lit(0)))
+    sums = cut.groupBy(*keys, "range_").agg(F.sum("n").alias("of_range"), F.max(by).alias("top"))
+    ahead = Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        *keys, "range_", F.coalesce(F.sum("of_range").over(ahead), F.lit(0)).alias("earlier"), F.max("top").over(ahead).alias("last"), F.sum("of_range").over(Window.partitionBy(*keys)).alias("total"),
     )
-    offer = F.when(F.col("asks") == 0, F.struct("cdf", "to"))
-    ahead = Window.partitionBy(key).orderBy("cdf", "asks")
-    low = F.last(offer, ignorenulls=True).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    behind = Window.partitionBy(key).orderBy(F.desc("cdf"), F.desc("asks"))
-    high = F.last(offer, ignorenulls=True).over(behind.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = both.withColumns({"low": low, "high": high}).filter("asks = 1")
-    share = (F.col("cdf") - F.col("low.cdf")) / (F.col("high.cdf") - F.col("low.cdf"))
-    between = F.col("low.to") + (F.col("high.to") - F.col("low.to")) * share
-    mapped = F.when(F.col("low").isNull(), F.col("high.to")).when(F.col("high").isNull() | (F.col("low.cdf") == F.col("cdf")), F.col("low.to")).otherwise(between)
-    return met.select(key, "value", mapped.alias("mapped"))
-
-
-def exclusive_offsets(counts: DataFrame, key: str, by: str) -> DataFrame:
+    inside = Window.partitionBy(*keys, "range_").orderBy(by)
+    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = cut.withColumns({"upto": upto, "before": F.lag(by).over(inside)}).join(sums, [*keys, "range_"])
+    return counted.select(*keys, by, "n", (F.col("earlier") + F.col("upto")).alias("upto"), "total", F.coalesce("before", "last").alias("before"))
+
+
+def quantile_map(content: DataFrame, reference: DataFrame, n_reference: int) -> DataFrame:
+    """For each content value (key columns, value, cdf): the reference's value at that share, linearly between neighbours.
+
+    ``reference`` is a table of :func:`running_totals` over its ``n_reference`` distinct values, called value. Each of
+    them answers for the shares from the one before, exclusive, to its own; they are laid on a grid of shares of about
+    GRID_ROWS values a cell, on which the two tables meet.
+    """
+    cells = max(1, min(MOST_CELLS, n_reference // GRID_ROWS))
+    cell = lambda share: F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int")
+    answers = reference.select(
+        F.col("value").cast("double").alias("high"), F.col("before").cast("double").alias("low"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("over"), (F.col("upto") / F.col("total")).alias("most"),
+    )
+    answers = answers.withColumn("cell", F.explode(F.sequence(cell(F.col("over")), cell(F.col("most")))))
+    met = content.withColumn("cell", cell(F.col("cdf"))).join(answers, "cell").filter((F.col("over") < F.col("cdf")) & (F.col("cdf") <= F.col("most")))
+    between = F.col("low") + (F.col("high") - F.col("low")) * ((F.col("cdf") - F.col("over")) / (F.col("most") - F.col("over")))
+    mapped = F.when(F.col("low").isNull() | (F.col("most") == F.col("cdf")), F.col("high")).otherwise(between)
+    return met.select(*[c for c in content.columns if c != "cdf"], mapped.alias("mapped"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """(keys, q0, q1, ...): interpolated quantiles of each group, from running totals of its distinct values."""
+    counts = value_counts(df.filter(F.col(value).isNotNull()), keys, value)
+    totals = running_totals(counts, keys, value, ranges_of(counts, value)[0])
+    place = [F.lit(p) * (F.col("total") - 1) for p in shares]
+    at = lambda i: F.max(F.when((F.col("upto") - F.col("n") <= i) & (i < F.col("upto")), F.col(value)))
+    ends = [f for i, p in enumerate(place) for f in (at(F.floor(p)).alias(f"lo{i}"), at(F.ceil(p)).alias(f"hi{i}"), F.max(p - F.floor(p)).alias(f"part{i}"))]
+    found = totals.groupBy(*keys).agg(*ends)
+    return found.select(*keys, *[(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")).alias(f"q{i}") for i in range(len(shares))])
+
+
+def exclusive_offsets(counts: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     """What stands before each row of counts in its group."""
-    before = Window.partitionBy(key).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
 
 
-def position_in(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def position_in(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: int = 64) -> DataFrame:
+    """The number of each row in its group. Rows are numbered in blocks of ``block`` values of the first order column, a number."""
+    cut = df.withColumn("block_", F.floor(F.col(order[0]) / block))
+    sizes = exclusive_offsets(cut.groupBy(*keys, "block_").agg(F.count("*").alias("n")), keys, "block_").drop("n")
+    nth = F.row_number().over(Window.partitionBy(*keys, "block_").orderBy(*order))
+    return cut.withColumn("nth_", nth).join(sizes, [*keys, "block_"]).select(*df.columns, (F.col("offset") + F.col("nth_")).cast("int").alias("position"))
 
 
 def weighted_share(value: Column, weight: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color
@@ -23,37 +23,53 @@ def _rgb_struct(p: Sequence[int]) -> Column:
     return F.struct(*[F.lit(int(v)).alias(c) for c, v in zip(RGB, p, strict=True)])
 
 
-def distance(metric: str, weights: Sequence[float], p: Sequence[int], focus: Sequence[dict]) -> Column:
-    """Distance of the row's colour (rgb, hsv and lab structs) to one entry, divided by the boost of focus boxes around the entry."""
-    entry = [F.lit(int(v)) for v in p]
+#: Entries up to which distances are written out, each with its own constants; beyond, they are one array.
+WRITTEN_OUT = 64
+
+
+def _numbers(spark: SparkSession, palette: Palette, metric: str, focus: Sequence[dict]) -> list[tuple[float, ...]]:
+    """The coordinates of each entry in the space of the metric, and its boost, as numbers."""
+    space = {"rgb": lambda p: F.struct(*[F.lit(float(v)) for v in p]), "hsv": lambda p: color.rgb_to_hsv(*map(F.lit, p)), "lab": lambda p: color.rgb_to_lab(*map(F.lit, p))}
+    if metric not in space:
+        raise ValueError(f"unknown metric {metric!r}; known: {', '.join(sorted(space))}")
+    rows = [F.struct(space[metric](p).alias("at"), color.focus_boost(color.rgb_to_hsv(*map(F.lit, p)), focus).alias("boost")) for p in palette]
+    return [(*r["at"], r["boost"]) for r in spark.sql("SELECT 1").select(F.array(*rows).alias("rows")).first().rows]
+
+
+def _distance(metric: str, weights: Sequence[float], entry: Sequence) -> Column:
+    """Distance of the columns u, v and w, the row's place in the space of the metric, to one entry, over its boost."""
+    square = lambda d: d * d
+    du, dv, dw = (F.col(c) - e for c, e in zip("uvw", entry, strict=False))
     if metric == "hsv":
-        d = color.weighted_hsv_distance(F.col("hsv"), color.rgb_to_hsv(*entry), weights)
+        around = F.least(F.abs(du), 1 - F.abs(du))
+        d = square(around) * weights[0] + square(dv) * weights[1] + square(dw) * weights[2]
     elif metric == "lab":
-        d = color.delta_e76(F.col("lab"), color.rgb_to_lab(*entry))
-    elif metric == "rgb":
-        d = color.weighted_rgb_distance(F.struct(*RGB), _rgb_struct(p), weights)
+        d = F.sqrt(square(du) + square(dv) + square(dw))
     else:
-        raise ValueError(f"unknown metric {metric!r}; known: hsv, lab, rgb")
-    return d / color.focus_boost(color.rgb_to_hsv(*entry), focus) if focus else d
+        d = square(du * weights[0]) + square(dv * weights[1]) + square(dw * weights[2])
+    return d / entry[3]
 
 
 def nearest(pixels: DataFrame, palette: Palette, metric: str = "rgb", weights: Sequence[float] = (1.0, 1.0, 1.0), focus: Sequence[dict] = ()) -> DataFrame:
     """``pixels`` with the index of the nearest entry and its colour (idx, pr, pg, pb); ties go to the lowest index.
 
-    Distances are computed once for each distinct colour, of which there are at most 2**24, and joined back.
+    Entries are numbers in the expression, so every row is mapped where it is: nothing is shuffled or joined.
     """
     if not 0 < len(palette) <= MOST_ENTRIES:
         raise ValueError(f"a palette has 1 to {MOST_ENTRIES} entries, not {len(palette)}")
-    colours = pixels.select(*RGB).distinct()
-    if metric == "hsv":
-        colours = colours.withColumn("hsv", color.rgb_to_hsv(*map(F.col, RGB)))
-    elif metric == "lab":
-        colours = colours.withColumn("lab", color.rgb_to_lab(*map(F.col, RGB)))
-    best = F.array_min(F.array(*[F.struct(distance(metric, weights, p, focus).alias("d"), F.lit(i).alias("idx")) for i, p in enumerate(palette)]))
+    rgb = [F.col(c) for c in RGB]
+    numbers = _numbers(pixels.sparkSession, palette, metric, focus)
+    space = {"rgb": F.struct(*[c.cast("double").alias(c_) for c, c_ in zip(rgb, RGB, strict=True)]), "hsv": color.rgb_to_hsv(*rgb), "lab": color.rgb_to_lab(*rgb)}[metric]
+    fields = {"rgb": RGB, "hsv": ("h", "s", "v"), "lab": ("L", "a", "b")}[metric]
+    placed = pixels.withColumns({n: space[f] for n, f in zip("uvw", fields, strict=True)})
+    if len(palette) <= WRITTEN_OUT:
+        each = F.array(*[F.struct(_distance(metric, weights, n).alias("d"), F.lit(i).alias("idx")) for i, n in enumerate(numbers)])
+    else:
+        listed = F.array(*[F.struct(*[F.lit(float(x)).alias(c) for c, x in zip("uvwb", n, strict=True)]) for n in numbers])
+        each = F.transform(listed, lambda e, i: F.struct(_distance(metric, weights, [e[c] for c in "uvwb"]).alias("d"), i.alias("idx")))
     entries = F.array(*[_rgb_struct(p) for p in palette])
-    mapped = colours.select(*RGB, best["idx"].alias("idx")).withColumn("entry", F.element_at(entries, F.col("idx") + 1))
-    mapped = mapped.select(*RGB, "idx", *[F.col(f"entry.{c}").alias(f"p{c}") for c in RGB])
-    return pixels.join(mapped, list(RGB))
+    mapped = placed.withColumn("idx", F.array_min(each)["idx"]).withColumn("entry", F.element_at(entries, F.col("idx") + 1))
+    return mapped.select(*pixels.columns, "idx", *[F.col(f"entry.{c}").alias(f"p{c}") for c in RGB])
 
 
 def nearest_in_table(pixels: DataFrame, entries: DataFrame, weights: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:

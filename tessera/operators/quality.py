@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import color
+from tessera.operators.difference import with_delta_e2000
 
 LAB = ("L", "a", "b")
 ON = ("image_id", "x", "y")
@@ -15,8 +16,8 @@ def _aligned(result: DataFrame, reference: DataFrame, channels=LAB) -> DataFrame
     return result.join(reference.select(*ON, *[F.col(c).alias(f"o_{c}") for c in channels]), list(ON))
 
 
-def _delta_e():
-    return color.delta_e2000(F.struct(*LAB), F.struct(*[F.col(f"o_{c}").alias(c) for c in LAB]))
+def _with_difference(df: DataFrame) -> DataFrame:
+    return with_delta_e2000(df, LAB, [f"o_{c}" for c in LAB], "de")
 
 
 def report(result: DataFrame, reference: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def report(result: DataFrame, reference: DataFrame) -> DataFrame:
             F.round(F.abs(F.avg(c) - F.avg(o)), 4).alias(f"mean_diff_{c}"),
             F.round(F.abs(F.stddev_pop(c) - F.stddev_pop(o)), 4).alias(f"std_diff_{c}"),
         ]
-    return _aligned(result, reference).withColumn("de", _delta_e()).groupBy("image_id").agg(*aggregates)
+    return _with_difference(_aligned(result, reference)).groupBy("image_id").agg(*aggregates)
 
 
 def gate(reports: DataFrame, most_delta_e: float = 50.0, least_correlation: float = 0.5) -> DataFrame:
@@ -45,8 +46,8 @@ def diagnose(content: DataFrame, result: DataFrame) -> DataFrame:
     for c in LAB:
         same = same & (F.abs(F.col(c) - F.col(f"o_{c}")) < 1)
     s = (
-        _aligned(content, result)
-        .withColumns({"de": _delta_e(), "same": same})
+        _with_difference(_aligned(content, result))
+        .withColumn("same", same)
         .groupBy("image_id")
         .agg(F.avg("de").alias("m"), F.max("de").alias("x"), F.corr("L", "o_L").alias("c"), F.bool_and("same").alias("same"))
     )

@@ -22,14 +22,17 @@ def _beside(v: str, k: int, window, border: str = "clamp") -> Column:
         return F.col(v)
     there = F.lag(v, -k) if k < 0 else F.lead(v, k)
     whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if border == "clamp":
-        edge = F.first(v).over(whole) if k < 0 else F.last(v).over(whole)
-    elif border == "reflect":
-        nth, n = F.row_number().over(window), F.count("*").over(whole)
-        all_ = F.collect_list(v).over(whole)
-        place = F.when(nth + k < 1, 1 - (nth + k)).otherwise(2 * n + 1 - (nth + k))
-        edge = F.element_at(all_, F.greatest(F.lit(1), F.least(n, place)).cast("int"))
-    else:
+    edge = F.first(v).over(whole) if k < 0 else F.last(v).over(whole)
+    if border == "reflect":
+        # The i-th row from the border looks 2 i - 1 rows less far over it, and back: one fixed offset for each i.
+        nth = F.row_number().over(window)
+        from_border = nth if k < 0 else F.count("*").over(whole) - nth + 1
+        far = F.last(v).over(whole) if k < 0 else F.first(v).over(whole)
+        for i in range(abs(k), 0, -1):
+            back = abs(k) - 2 * i + 1
+            mirrored = F.col(v) if back == 0 else (F.lead(v, back) if k < 0 else F.lag(v, back)).over(window)
+            edge = F.when(from_border == i, F.coalesce(mirrored, far)).otherwise(edge)
+    elif border != "clamp":
         raise ValueError(f"unknown border {border!r}; known: clamp, reflect")
     return F.coalesce(there.over(window), edge)
 

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import color
-from tessera.operators.distribution import cumulative, quantile_map, value_counts
+from tessera.operators.difference import with_delta_e2000
+from tessera.operators.distribution import exact_quantiles, quantile_map, ranges_of, running_totals, value_counts
 
 LAB = ("L", "a", "b")
 #: A deviation under which a channel is only shifted.
@@ -114,9 +115,10 @@ def quantile_transfer(content: DataFrame, reference: DataFrame, channels: Sequen
     """Each channel gets the reference's distribution: a value goes to the reference's value of the same cumulative share."""
     out = content
     for c in channels:
-        own = cumulative(value_counts(content, [key], c), key, c).select(key, F.col(c).cast("double").alias("value"), "cdf")
-        ref = cumulative(value_counts(reference.withColumn("all_", F.lit(0)), ["all_"], c), "all_", c).select(F.col(c).cast("double").alias("value"), "cdf")
-        table = quantile_map(own, ref, key).select(F.col(key).alias("key_"), F.col("value").alias("value_"), F.col("mapped").alias(f"new_{c}"))
+        own, ref = (value_counts(df.withColumn("value", F.col(c).cast("double")), keys, "value") for df, keys in ((content, [key]), (reference, [])))
+        own = running_totals(own, [key], "value", ranges_of(own, "value")[0]).select(key, "value", (F.col("upto") / F.col("total")).alias("cdf"))
+        bounds, n = ranges_of(ref, "value")
+        table = quantile_map(own, running_totals(ref, [], "value", bounds), n).select(F.col(key).alias("key_"), F.col("value").alias("value_"), F.col("mapped").alias(f"new_{c}"))
         out = out.join(table, (F.col(key) == F.col("key_")) & (F.col(c).cast("double") == F.col("value_"))).drop("key_", "value_")
     return _result(out, content, channels, lambda c: F.col(f"new_{c}"))
 
@@ -130,24 +132,37 @@ def segmented_transfer(content: DataFrame, reference: DataFrame, segment: Callab
 
 def tercile_transfer(content: DataFrame, reference: DataFrame, channels: Sequence[str] = LAB) -> DataFrame:
     """Segments by each table's own 33rd and 66th percentile of L, content's by image."""
-    cut = lambda v: F.when(F.col("L") <= v[0], 0).when(F.col("L") <= v[1], 1).otherwise(2)
-    thirds = F.percentile("L", F.array(F.lit(0.33), F.lit(0.66))).alias("cuts")
-    c = content.join(content.groupBy("image_id").agg(thirds), "image_id").withColumn("segment", cut(F.col("cuts")))
-    r = reference.join(F.broadcast(reference.agg(thirds))).withColumn("segment", cut(F.col("cuts")))
+    cut = F.when(F.col("L") <= F.col("q0"), 0).when(F.col("L") <= F.col("q1"), 1).otherwise(2)
+    c = content.join(exact_quantiles(content, ["image_id"], "L", (0.33, 0.66)), "image_id").withColumn("segment", cut)
+    r = reference.join(F.broadcast(exact_quantiles(reference, [], "L", (0.33, 0.66)))).withColumn("segment", cut)
     return _result(_with_statistics(c, r, channels, ["image_id"], ["segment"]), content, channels, moved)
 
 
 def zone_transfer(content: DataFrame, reference: DataFrame, channels: Sequence[str] = LAB, reach: float = 15.0, strength: float = 0.8) -> DataFrame:
-    """Fixed tone zones, each against the reference rows within ``reach`` of the zone's mean L, or all of them if none is."""
+    """Fixed tone zones, each against the reference rows within ``reach`` of the zone's mean L, or all of them if none is.
+
+    The reference is added up by whole units of L. A zone takes the sums of the units inside its reach, and single rows
+    of the two units at its ends only.
+    """
     zoned = content.withColumn("zone", color.tone_zone(F.col("L")))
     own = moments(zoned, ["image_id", "zone"], channels, "c")
     means = zoned.groupBy("image_id", "zone").agg(F.avg("L").alias("zone_L"))
-    ref = reference.select(*[F.col(c).alias(f"ref_{c}") for c in dict.fromkeys(["L", *channels])])
-    # One row for each image and zone meets the reference: a range join on brightness, aggregated at once.
-    near = means.join(ref, F.abs(F.col("ref_L") - F.col("zone_L")) < reach, "left")
-    stats = near.groupBy("image_id", "zone").agg(*[f(f"ref_{c}").alias(f"n_{s}_{c}") for c in channels for s, f in (("m", F.avg), ("s", F.stddev_pop))])
+    unit = F.floor("ref_L").cast("int")
+    ref = reference.select(F.col("L").alias("ref_L"), *[F.col(c).cast("double").alias(f"ref_{c}_") for c in channels]).withColumn("unit", unit)
+    powers = [(f"ref_{c}_", k) for c in channels for k in (1, 2)]
+    sums = [F.count("*").alias("n"), *[F.sum(F.col(c) if k == 1 else F.col(c) * F.col(c)).alias(f"{c}{k}") for c, k in powers]]
+    names = ["n", *[f"{c}{k}" for c, k in powers]]
+    low, high = F.floor(F.col("zone_L") - reach).cast("int"), F.floor(F.col("zone_L") + reach).cast("int")
+    inner = means.filter(high - low > 1).select("image_id", "zone", F.explode(F.sequence(low + 1, high - 1)).alias("unit"))
+    inner = inner.join(ref.groupBy("unit").agg(*sums), "unit").select("image_id", "zone", *names)
+    ends = means.select("image_id", "zone", "zone_L", F.explode(F.array_distinct(F.array(low, high))).alias("unit"))
+    near = ends.join(ref, "unit").filter(F.abs(F.col("ref_L") - F.col("zone_L")) < reach)
+    added = inner.unionByName(near.groupBy("image_id", "zone").agg(*sums)).groupBy("image_id", "zone").agg(*[F.sum(n).alias(n) for n in names])
+    mean = {c: F.col(f"ref_{c}_1") / F.col("n") for c in channels}
+    spread = {c: F.sqrt(F.greatest(F.lit(0.0), F.col(f"ref_{c}_2") / F.col("n") - mean[c] * mean[c])) for c in channels}
+    stats = added.select("image_id", "zone", *[mean[c].alias(f"n_m_{c}") for c in channels], *[spread[c].alias(f"n_s_{c}") for c in channels])
     whole = moments(reference, [], channels, "w")
-    full = zoned.join(own, ["image_id", "zone"]).join(stats, ["image_id", "zone"]).join(F.broadcast(whole))
+    full = zoned.join(own, ["image_id", "zone"]).join(stats, ["image_id", "zone"], "left").join(F.broadcast(whole))
     full = full.withColumns({f"r_{s}_{c}": F.coalesce(f"n_{s}_{c}", f"w_{s}_{c}") for c in channels for s in "ms"})
     return _result(full, content, channels, lambda c: color.lerp(F.col(c), moved(c), strength))
 
@@ -163,9 +178,8 @@ def guided_hybrid(content: DataFrame, reference: DataFrame, threshold: float = 1
     a = adaptive.select(*on, *[F.col(c).alias(f"a_{c}") for c in LAB])
     m = by_moments.select(*on, *[F.col(c).alias(f"m_{c}") for c in LAB])
     both = content.join(a, list(on)).join(m, list(on))
-    here, there = F.struct(*LAB), F.struct(*[F.col(f"a_{c}").alias(c) for c in LAB])
-    w = color.clamp(color.delta_e2000(here, there) / threshold, 0.0, 1.0)
-    return _result(both.withColumn("w", w), content, LAB, lambda c: color.lerp(F.col(f"a_{c}"), F.col(f"m_{c}"), F.col("w")))
+    far = with_delta_e2000(both, LAB, [f"a_{c}" for c in LAB], "w")
+    return _result(far.withColumn("w", color.clamp(F.col("w") / threshold, 0.0, 1.0)), content, LAB, lambda c: color.lerp(F.col(f"a_{c}"), F.col(f"m_{c}"), F.col("w")))
 
 
 def similarity_driven(content: DataFrame, reference: DataFrame, similarity: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color
 from tessera.operators import palette as pal
+from tessera.operators.difference import with_delta_e2000
 from tessera.plans.pixel_tables import LAB_SQL, PAIRS_SQL, PIXELS_SQL, lab_sql, labs, pairs, pixels, rounded, rounded_sql
 
 QUERIES = {}
@@ -138,7 +139,9 @@ e7 AS (SELECT *, sqrt(fl*fl + fc*fc + fh*fh + rt*fc*fh) AS de FROM e6)"""
 
 @query(f"WITH {_PQ}, {E2000_SQL} SELECT image_id, x, y, round(de, 5) AS delta_e FROM e7")
 def delta_e2000(spark: SparkSession, d: str) -> DataFrame:
-    return _pair_frame(spark, d).select("image_id", "x", "y", F.round(color.delta_e2000(F.col("p"), F.col("q")), 5).alias("delta_e"))
+    p, q = pairs(spark, d)
+    both = p.join(q.select("image_id", "x", "y", *[F.col(c).alias(f"o_{c}") for c in "Lab"]), ["image_id", "x", "y"])
+    return with_delta_e2000(both, "Lab", [f"o_{c}" for c in "Lab"]).select("image_id", "x", "y", F.round("delta_e", 5).alias("delta_e"))
 
 
 @query(f"WITH {_PQ} SELECT image_id, CASE WHEN d < 1 THEN 'imperceptible' WHEN d < 2 THEN 'barely' WHEN d < 3 THEN 'noticeable' WHEN d < 6 THEN 'clear' ELSE 'very large' END AS band, count(*) AS n FROM (SELECT image_id, {_E76} / 10 AS d FROM pq) GROUP BY ALL")

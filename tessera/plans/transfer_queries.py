@@ -132,7 +132,7 @@ def segment_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {LAB_SQL}, s AS (SELECT image_id, {_SEG} AS segment, count(*) AS n FROM labs GROUP BY ALL) SELECT image_id, segment, n, CAST(coalesce(sum(n) OVER (PARTITION BY image_id ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset FROM s".replace(" AS offset", ' AS "offset"'))
 def prefix_offsets(spark: SparkSession, d: str) -> DataFrame:
     counts = labs(spark, d).groupBy("image_id", color.luminance_segment(F.col("L"), 5).alias("segment")).agg(F.count("*").alias("n"))
-    return dist.exclusive_offsets(counts, "image_id", "segment")
+    return dist.exclusive_offsets(counts, ["image_id"], "segment")
 
 
 @query(f"WITH {LAB_SQL} SELECT image_id, x, y, {_SEG} AS segment, CAST(row_number() OVER (PARTITION BY image_id, {_SEG} ORDER BY y, x) AS INT) AS position FROM labs")
@@ -395,13 +395,12 @@ def colour_difference(spark: SparkSession, d: str) -> DataFrame:
 
 # Stencils
 
-FULL_SQL = PIXELS_SQL + ", f AS (SELECT p.image_id, x, y, r::DOUBLE AS v FROM pixels p JOIN (SELECT image_id, count(*) // 64 AS h FROM pixels GROUP BY 1) USING (image_id) WHERE y < h)"
+FULL_SQL = PIXELS_SQL + ", f AS (SELECT image_id, x, y, r::DOUBLE AS v FROM pixels)"
 
 
-def full_rows(spark: SparkSession, d: str) -> DataFrame:
-    p = pixels(spark, d)
-    heights = p.groupBy("image_id").agg(F.floor(F.count("*") / 64).alias("h"))
-    return p.join(heights, "image_id").filter("y < h").select("image_id", "x", "y", F.col("r").cast("double").alias("v"))
+def values(spark: SparkSession, d: str) -> DataFrame:
+    """The red channel of every pixel; the last row of an image may be shorter than the others."""
+    return pixels(spark, d).select("image_id", "x", "y", F.col("r").cast("double").alias("v"))
 
 
 _NINE = """ h AS (SELECT *, coalesce(lag(v) OVER r, v) AS l, coalesce(lead(v) OVER r, v) AS m FROM f WINDOW r AS (PARTITION BY image_id, y ORDER BY x)),
@@ -411,17 +410,17 @@ n AS (SELECT *, coalesce(lag(l) OVER c, l) AS a0, coalesce(lag(v) OVER c, v) AS
 
 @query(f"WITH {FULL_SQL}, {_NINE} SELECT image_id, x, y, round(grad, 4) AS gradient FROM g")
 def sobel(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stencil.gradient(full_rows(spark, d)).select("image_id", "x", "y", "gradient"), "gradient", digits=4)
+    return rounded(stencil.gradient(values(spark, d)).select("image_id", "x", "y", "gradient"), "gradient", digits=4)
 
 
 @query(f"WITH {FULL_SQL}, {_NINE} SELECT image_id, x, y, list_sort([a0, a1, a2, l, v, m, c0, c1, c2])[5] AS median FROM n")
 def median3(spark: SparkSession, d: str) -> DataFrame:
-    return stencil.median3(full_rows(spark, d))
+    return stencil.median3(values(spark, d))
 
 
 @query(f"WITH {FULL_SQL}, {_NINE}, e AS (SELECT image_id, x, y FROM g WHERE grad > 700) SELECT DISTINCT f.image_id, f.x, f.y FROM f JOIN e ON f.image_id = e.image_id AND abs(f.x - e.x) + abs(f.y - e.y) <= 2 AND f.x BETWEEN e.x - 2 AND e.x + 2")
 def dilate(spark: SparkSession, d: str) -> DataFrame:
-    full = full_rows(spark, d)
+    full = values(spark, d)
     return stencil.dilate(stencil.gradient(full).filter("gradient > 700"), full, 2)
 
 
@@ -433,7 +432,7 @@ def _blur_sql(sigma: float, radius: int) -> str:
 
 @query(f"WITH {FULL_SQL}, {_blur_sql(1.0, 2)} SELECT image_id, x, y, round(blur, 4) AS blur FROM bl")
 def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stencil.gaussian_blur(full_rows(spark, d), 1.0, 2).select("image_id", "x", "y", "blur"), "blur", digits=4)
+    return rounded(stencil.gaussian_blur(values(spark, d), 1.0, 2).select("image_id", "x", "y", "blur"), "blur", digits=4)
 
 
 @query(
@@ -442,4 +441,4 @@ dl AS (SELECT DISTINCT f.image_id, f.x, f.y FROM f JOIN e ON f.image_id = e.imag
 SELECT b.image_id, b.x, b.y, round(CASE WHEN dl.x IS NULL THEN v ELSE v * 0.4::DOUBLE + blur * 0.6::DOUBLE END, 4) AS v FROM bl b LEFT JOIN dl USING (image_id, x, y)"""
 )
 def edge_blend(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(stencil.edge_blend(full_rows(spark, d), 700.0, 1, 1.0, 2, 0.6), "v", digits=4)
+    return rounded(stencil.edge_blend(values(spark, d), 700.0, 1, 1.0, 2, 0.6), "v", digits=4)
