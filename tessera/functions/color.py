@@ -56,8 +56,7 @@ def lab_to_rgb(L: Column, a: Column, b: Column) -> Column:
     out = []
     for name, row in zip("rgb", XYZ_TO_RGB, strict=True):
         linear = sum((F.lit(k) * c for k, c in zip(row, xyz, strict=True)), F.lit(0.0))
-        # A millionth keeps a colour that came from whole channels at them.
-        out.append(F.floor(clamp(_companded(linear), 0.0, 1.0) * 255 + 1e-4).cast("int").alias(name))
+        out.append(F.floor(clamp(_companded(linear), 0.0, 1.0) * 255).cast("int").alias(name))
     return F.struct(*out)
 
 
@@ -121,31 +120,6 @@ def delta_e94(p: Column, q: Column) -> Column:
     return F.sqrt((p["L"] - q["L"]) ** 2 + (dc / sc) ** 2 + dh2 / sh**2)
 
 
-def delta_e2000(p: Column, q: Column) -> Column:
-    """CIEDE2000 with unit weights."""
-    c_mean7 = F.pow((F.sqrt(p["a"] ** 2 + p["b"] ** 2) + F.sqrt(q["a"] ** 2 + q["b"] ** 2)) / 2, F.lit(7.0))
-    g = (1 - F.sqrt(c_mean7 / (c_mean7 + 25.0**7))) / 2
-    a1, a2 = p["a"] * (1 + g), q["a"] * (1 + g)
-    c1, c2 = F.sqrt(a1**2 + p["b"] ** 2), F.sqrt(a2**2 + q["b"] ** 2)
-    angle = lambda a, b: F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)) + 360, F.lit(360.0)))
-    h1, h2 = angle(a1, p["b"]), angle(a2, q["b"])
-    grey = c1 * c2 == 0
-    turn = h2 - h1
-    dh = F.when(grey, 0.0).when(F.abs(turn) <= 180, turn).when(turn > 180, turn - 360).otherwise(turn + 360)
-    dH = F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2)) * 2
-    h_sum = h1 + h2
-    h_mean = F.when(grey, h_sum).when(F.abs(turn) <= 180, h_sum / 2).when(h_sum < 360, (h_sum + 360) / 2).otherwise((h_sum - 360) / 2)
-    l_mean, c_mean = (p["L"] + q["L"]) / 2, (c1 + c2) / 2
-    cos = lambda k, shift: F.cos(F.radians(h_mean * k + shift))
-    t = 1 - cos(1, -30) * 0.17 + cos(2, 0) * 0.24 + cos(3, 6) * 0.32 - cos(4, -63) * 0.20
-    off = (l_mean - 50) ** 2
-    sl, sc, sh = 1 + off * 0.015 / F.sqrt(off + 20), 1 + c_mean * 0.045, 1 + c_mean * t * 0.015
-    c7 = F.pow(c_mean, F.lit(7.0))
-    rt = F.sqrt(c7 / (c7 + 25.0**7)) * -2 * F.sin(F.radians(F.exp(-(((h_mean - 275) / 25) ** 2)) * 60))
-    dl, dc, dh_ = (q["L"] - p["L"]) / sl, (c2 - c1) / sc, dH / sh
-    return F.sqrt(dl**2 + dc**2 + dh_**2 + rt * dc * dh_)
-
-
 def delta_e_band(d: Column) -> Column:
     return F.when(d < 1, "imperceptible").when(d < 2, "barely").when(d < 3, "noticeable").when(d < 6, "clear").otherwise("very large")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,13 @@ def lines(files: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
     return files.select(*keep, split).select(*keep, (F.col("pos") + 1).alias("line_no"), "text")
 
 
-def filter_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), extensions: Sequence[str] = (), max_depth: int | None = None, name: str | None = None, max_size: int | None = None, text_only: bool = False) -> DataFrame:
-    """Files by globs, extensions, depth, part of the name and size; all on metadata, before any content is read."""
+def filter_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), extensions: Sequence[str] = (), max_depth: int | None = None, name: str | None = None, max_size: int | None = None, text_only: bool = False, defaults: bool = False) -> DataFrame:
+    """Files by globs, extensions, depth, part of the name and size; all on metadata, before any content is read.
+
+    With ``defaults`` the default excludes count besides those given, and the default includes where none is given.
+    """
+    if defaults:
+        include, exclude = include or tx.DEFAULT_INCLUDES, [*tx.DEFAULT_EXCLUDES, *exclude]
     path, out = F.col("path"), files
     if include:
         out = out.filter(tx.matches_any(path, list(include)))
@@ -55,20 +61,51 @@ def symbol_search(line_table: DataFrame, name: str) -> DataFrame:
 
 
 def similar_lines(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 3, n_queries: int | None = None) -> DataFrame:
-    """Lines whose similarity to a query (query_id, query) is over ``threshold`` (path, line_no, text, query_id, similarity).
+    """Lines whose similarity to a line of a query (query_id, query) is over ``threshold`` (path, line_no, text, query_id, query_line, similarity).
 
     Two texts of similarity s differ in length by at most (1 - s) of the longer, so lines meet queries on bands of
     length that can reach it; the edit distance is computed only for those.
     """
-    q = queries.select("query_id", F.trim("query").alias("query")).filter(F.length("query") >= least_length)
+    q = queries.select("query_id", F.posexplode(F.split("query", "\n")).alias("query_line", "query")).withColumn("query", tx.stripped(F.col("query"))).filter(F.length("query") >= least_length)
+    return _similar(line_table.withColumn("line", tx.stripped(F.col("text"))).filter(F.length("line") >= least_length), q, [], threshold, n_queries).select(*line_table.columns, "query_id", "query_line", "similarity")
+
+
+def similar_blocks(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 10, n_queries: int | None = None) -> DataFrame:
+    """Blocks of as many lines as a query of several lines has, over ``threshold`` (path, line_no, text, query_id, similarity)."""
+    q = queries.withColumn("k", F.size(F.split("query", "\n"))).filter("k > 1").select("query_id", "k", tx.stripped(F.col("query")).alias("query"))
+    sizes = [r.k for r in q.select("k").distinct().orderBy("k").collect()]  # numbers of lines, few by their nature
+    found = [blocks(line_table, k).withColumns({"k": F.lit(k), "line": tx.stripped(F.col("text"))}) for k in sizes]
+    if not found:
+        found = [line_table.select("path", "line_no", "text", F.lit(0).alias("k"), F.col("text").alias("line")).filter("false")]
+    return _similar(reduce(DataFrame.unionByName, found).filter(F.length("line") >= least_length), q, ["k"], threshold, n_queries).select("path", "line_no", "text", "query_id", "similarity")
+
+
+def _similar(rows: DataFrame, q: DataFrame, on: Sequence[str], threshold: float, n_queries: int | None) -> DataFrame:
+    """Pairs of ``line`` and ``query`` over the threshold, met on bands of length."""
     width = 8
     low, high = F.floor(F.length("query") * threshold / width), F.floor(F.length("query") / threshold / width)
-    q = q.withColumn("band", F.explode(F.sequence(low, high)))
-    trimmed = line_table.withColumn("line", F.trim("text")).filter(F.length("line") >= least_length).withColumn("band", F.floor(F.length("line") / width))
+    lengths = rows.select(F.max(F.length("line"))).first()[0] or 0
+    q = q.withColumn("band", F.explode(F.sequence(low, F.greatest(low, F.least(high, F.lit(lengths // width))))))
     q = F.broadcast(q) if n_queries is not None and n_queries <= BROADCAST_QUERIES else q
     near = F.abs(F.length("line") - F.length("query")) <= (1 - threshold) * F.greatest(F.length("line"), F.length("query"))
-    met = trimmed.join(q, "band").filter(near).withColumn("similarity", tx.similarity(F.lower("line"), F.lower("query")))
-    return met.filter(F.col("similarity") > threshold).select(*line_table.columns, "query_id", "similarity")
+    # Distances cost far more than moving the lines, so these are dealt out over all tasks first.
+    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("band", F.floor(F.length("line") / width)).repartition(spread, "path", "line_no")
+    met = rows.join(q, [*on, "band"]).filter(near)
+    return met.withColumn("similarity", tx.similarity(F.col("line"), F.col("query"))).filter(F.col("similarity") > threshold)
+
+
+def best_matches(line_table: DataFrame, queries: DataFrame, least: float = 0.1, n: int = 5, n_queries: int | None = None) -> DataFrame:
+    """For each file and query the n most similar lines and, for a query of several lines, blocks (path, query_id, nth, kind, line_no, similarity, text).
+
+    Ties: lines before blocks, then by line and by line of the query.
+    """
+    singles = similar_lines(line_table, queries, least, n_queries=n_queries).withColumn("kind", F.lit("single_line"))
+    several = similar_blocks(line_table, queries, least, n_queries=n_queries).withColumns({"kind": F.lit("multi_line"), "query_line": F.lit(0)})
+    columns = ["path", "query_id", "line_no", "query_line", "kind", "similarity", "text"]
+    by = Window.partitionBy("path", "query_id").orderBy(F.desc("similarity"), F.desc("kind"), "line_no", "query_line")
+    ranked = singles.select(columns).unionByName(several.select(columns)).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= n)
+    return ranked.select("path", "query_id", "nth", "kind", "line_no", "similarity", "text")
 
 
 def blocks(line_table: DataFrame, k: int) -> DataFrame:
@@ -110,6 +147,18 @@ def corpus_statistics(files: DataFrame) -> DataFrame:
     return files.select("path", F.length(text).alias("characters"), F.size(F.split(text, "\n")).alias("lines"), tokens.alias("tokens"))
 
 
+def corpus_totals(files: DataFrame) -> DataFrame:
+    """One row: files, and characters, lines and tokens over all of them."""
+    each = corpus_statistics(files)
+    return each.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("characters", "lines", "tokens")])
+
+
+def sorted_listing(files: DataFrame, most: int | None = None) -> DataFrame:
+    """Files in order of path; with ``most`` the first so many, of which each task keeps no more."""
+    ordered = files.orderBy("path")
+    return ordered if most is None else ordered.limit(most)
+
+
 def directory_rollup(files: DataFrame) -> DataFrame:
     """Files and bytes below every directory, at any depth; the root is the empty path."""
     parts = F.split("path", "/")
@@ -153,12 +202,26 @@ def eligibility(content: Column, path: Column, size: Column, limit: int = 5 * 10
     return F.when(size > limit, "FILE_TOO_LARGE").when(tx.classify(content, path) == tx.BINARY, "BINARY_FILE_ERROR").otherwise("OK")
 
 
-def fuzzy_edits(line_table: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.6, n_edits: int | None = None) -> DataFrame:
-    """The best line of each file for each edit (edit_id, old_text, new_text), with its band and whether it would be applied."""
+def fuzzy_edits(files: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.1, n_edits: int | None = None) -> DataFrame:
+    """What becomes of each edit (edit_id, old_text, new_text) in each file (path, text) where anything is like it.
+
+    An exact occurrence is edited. Else the best line or block decides by its band: applied, applied with ``force``,
+    or reported. Returns path, edit_id, band, similarity, kind, line_no, applied and edited, the text with what was
+    found replaced.
+    """
+    e = F.broadcast(edits) if n_edits is not None and n_edits <= BROADCAST_QUERIES else edits
+    exact = files.select("path", "text").join(e, F.contains("text", F.col("old_text")) & (F.length("old_text") > 0))
+    exact = exact.select(
+        "path", "edit_id", F.lit("exact").alias("band"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"), (F.size(F.split(F.substring("text", F.lit(1), F.instr("text", F.col("old_text")) - 1), "\n"))).alias("line_no"),
+        F.lit(True).alias("applied"), exact_edit(F.col("text"), F.col("old_text"), F.col("new_text")).alias("edited"),
+    )
     queries = edits.select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query"))
-    best = top_matches(similar_lines(line_table, queries, least, n_queries=n_edits), ["path", "query_id"], 1)
-    band = tx.similarity_band(F.col("similarity") * 100)
-    return best.select("path", F.col("query_id").alias("edit_id"), "line_no", "similarity", band.alias("band")).withColumn("applied", (F.col("band") == "apply") | ((F.col("band") == "needs force") & F.lit(force)))
+    best = best_matches(lines(files), queries, least, 1, n_edits).select("path", F.col("query_id").alias("edit_id"), "similarity", "kind", "line_no", F.col("text").alias("found"))
+    best = best.join(exact.select("path", "edit_id"), ["path", "edit_id"], "left_anti").withColumn("band", tx.similarity_band(F.col("similarity") * 100))
+    best = best.withColumn("applied", (F.col("band") == "apply") | ((F.col("band") == "needs force") & F.lit(force)))
+    full = best.join(files.select("path", "text"), "path").join(e.select("edit_id", "new_text"), "edit_id")
+    edited = F.when(F.col("applied"), exact_edit(F.col("text"), tx.stripped(F.col("found")), F.col("new_text")))
+    return exact.unionByName(full.select("path", "edit_id", "band", "similarity", "kind", "line_no", "applied", edited.alias("edited")))
 
 
 def window_edits(line_table: DataFrame, old_text: str, least: float = 0.7, most_distance: float = 0.25, ignore_whitespace: bool = True) -> DataFrame:

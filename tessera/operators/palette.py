@@ -5,7 +5,7 @@ A palette is a list of at most 256 (r, g, b) on the driver, which is its bound;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color
+from tessera.operators import stencil
 
 MOST_ENTRIES = 256
 RGB = ("r", "g", "b")
@@ -161,3 +162,57 @@ def decode_palette(wire: Column) -> Column:
     entry = lambda i: F.struct(i.alias("idx"), F.get(values, i * 3).alias("r"), F.get(values, i * 3 + 1).alias("g"), F.get(values, i * 3 + 2).alias("b"))
     entries = F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), entry)
     return F.struct(F.when(reason.isNull(), entries).alias("entries"), reason.alias("reason"))
+
+
+def _channels(pixels: DataFrame, columns: Sequence[str] = RGB) -> DataFrame:
+    """One row (image_id, x, y, v) for each channel; the channel's name is part of the image's."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("v")) for c in columns])).alias("c")
+    return pixels.select("image_id", "x", "y", each).select(F.struct("image_id", "c.channel").alias("image_id"), "x", "y", "c.v")
+
+
+def _from_channels(values: DataFrame, v: str) -> DataFrame:
+    picked = [F.max(F.when(F.col("image_id.channel") == c, F.col(v))).alias(c) for c in RGB]
+    return values.groupBy(F.col("image_id.image_id").alias("image_id"), "x", "y").agg(*picked)
+
+
+def blended_edges(pixels: DataFrame, radius: float, strength: float, threshold: float) -> DataFrame:
+    """Pixels with the blur of each channel blended in by ``strength`` around edges of their grey, fractions cut off.
+
+    Edges have a Sobel magnitude over ``threshold`` and are widened by the whole part of the radius, which is the
+    deviation of the blur as well.
+    """
+    grey = pixels.select("image_id", "x", "y", color.luma(*map(F.col, RGB)).alias("v"))
+    edges = stencil.gradient(grey).filter(F.col("gradient") > threshold).select("image_id", "x", "y")
+    near = stencil.dilate(edges, grey, int(radius)) if int(radius) > 0 else edges
+    blurred = stencil.gaussian_blur(_channels(pixels), radius, border="reflect")
+    mixed = blurred.join(near.select(F.col("image_id").alias("image"), F.col("x").alias("x_"), F.col("y").alias("y_")), (F.col("image_id.image_id") == F.col("image")) & (F.col("x") == F.col("x_")) & (F.col("y") == F.col("y_")), "left")
+    value = F.when(F.col("image").isNotNull(), F.col("v") * (1 - strength) + F.col("blur") * strength).otherwise(F.col("v"))
+    mixed = mixed.select("image_id", "x", "y", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), value))).cast("int").alias("mixed"))
+    return _from_channels(mixed, "mixed")
+
+
+def median_filtered(pixels: DataFrame) -> DataFrame:
+    """Each channel's median over the 3 x 3 neighbourhood."""
+    out = _from_channels(stencil.median3(_channels(pixels)), "median")
+    return out.select("image_id", "x", "y", *[F.col(c).cast("int").alias(c) for c in RGB])
+
+
+def map_image(pixels: DataFrame, palette: Palette, settings: Mapping) -> DataFrame:
+    """The palette pipeline over pixels: dither, map, keep black and white, blend edges, filter; each step as set.
+
+    Settings are those of :mod:`tessera.operators.parameters` with dither, preserve_extremes, edge_blur and median as
+    switches.
+    """
+    dithered = {c: F.col(c) for c in RGB}
+    if settings.get("dither"):
+        dithered = {c: F.floor(color.ordered_dither(F.col(c), F.col("x"), F.col("y"), float(settings["dithering_strength"]))).cast("int") for c in RGB}
+    given = pixels.select("image_id", "x", "y", *[F.col(c).alias(f"o{c}") for c in RGB], *[v.alias(c) for c, v in dithered.items()])
+    weights = [float(settings[f"{n}_weight"]) for n in ("hue", "saturation", "value")]
+    mapped = nearest(given, palette, "hsv", weights)
+    out = F.struct(*[F.col(f"p{c}").alias(c) for c in RGB])
+    if settings.get("preserve_extremes"):
+        out = color.preserve_extremes(out, F.col("or"), F.col("og"), F.col("ob"), int(settings["extremes_threshold"]))
+    result = mapped.select("image_id", "x", "y", out.alias("c")).select("image_id", "x", "y", "c.*")
+    if settings.get("edge_blur"):
+        result = blended_edges(result, float(settings["edge_blur_radius"]), float(settings["edge_blur_strength"]), float(settings["edge_detection_threshold"]))
+    return median_filtered(result) if settings.get("median") else result

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import color
@@ -40,20 +42,24 @@ def gate(reports: DataFrame, most_delta_e: float = 50.0, least_correlation: floa
     return reports.withColumn("passed", ~failed)
 
 
-def diagnose(content: DataFrame, result: DataFrame) -> DataFrame:
-    """Issues, warnings and suggestions for each image, from the change between content and result."""
-    same = F.lit(True)
-    for c in LAB:
-        same = same & (F.abs(F.col(c) - F.col(f"o_{c}")) < 1)
-    s = (
-        _with_difference(_aligned(content, result))
-        .withColumn("same", same)
-        .groupBy("image_id")
-        .agg(F.avg("de").alias("m"), F.max("de").alias("x"), F.corr("L", "o_L").alias("c"), F.bool_and("same").alias("same"))
+def diagnose(content: DataFrame, result: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Issues, warnings and suggestions for each image, from the change between content and result.
+
+    With ``target``, rows at the same places, a result that is everywhere within 5 of it is a warning.
+    """
+    within = lambda p, q, most: reduce(Column.__and__, [F.abs(F.col(p + c) - F.col(q + c)) <= most for c in LAB])
+    full = _with_difference(_aligned(content, result))
+    if target is None:
+        full = full.withColumn("over", F.lit(False))
+    else:
+        full = full.join(target.select(*ON, *[F.col(c).alias(f"t_{c}") for c in LAB]), list(ON)).withColumn("over", within("o_", "t_", 5))
+    s = full.withColumn("same", within("", "o_", 1)).groupBy("image_id").agg(
+        F.avg("de").alias("m"), F.max("de").alias("x"), F.corr("L", "o_L").alias("c"), F.bool_and("same").alias("same"), F.bool_and("over").alias("over")
     )
     m, x, c = F.col("m"), F.col("x"), F.col("c")
     rules = [
         ("issues", F.col("same"), "no effect", "raise the weights"),
+        ("warnings", F.col("over"), "result very similar to target", "lower the weights"),
         ("issues", m > 50, "mean difference very large", "lower the weights"),
         ("issues", x > 100, "largest difference very large", "limit the transfer to a mask"),
         ("issues", c < 0.7, "structure lost", "transfer a and b only"),
@@ -97,3 +103,10 @@ def overall_correlation(left: DataFrame, right: DataFrame) -> DataFrame:
 def colour_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     d = sum((F.pow(F.col(c) - F.col(f"o_{c}"), F.lit(2.0)) for c in "rgb"), F.lit(0.0))
     return _aligned(left, right, "rgb").groupBy("image_id").agg(F.round(F.avg(F.sqrt(d)), 4).alias("colour_difference"))
+
+
+def colour_variance(pixels: DataFrame) -> DataFrame:
+    """The variance of all channel values of each image, from sums, so that nothing is repeated for a channel."""
+    n, total = 3 * F.count("*"), sum((F.sum(F.col(c).cast("double")) for c in "rgb"), F.lit(0.0))
+    squares = sum((F.sum(F.col(c).cast("double") * F.col(c)) for c in "rgb"), F.lit(0.0))
+    return pixels.groupBy("image_id").agg((squares / n - (total / n) * (total / n)).alias("variance"))

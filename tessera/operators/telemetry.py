@@ -31,7 +31,7 @@ def severity(status: Column) -> Column:
 def operation_aggregates() -> list[Column]:
     return [
         F.count("*").alias("calls"), F.sum("duration_ms").alias("total_ms"), F.avg("duration_ms").alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"),
-        F.avg("memory_mb").alias("avg_memory_mb"), F.max("ts").alias("last_call"), F.count_if(~F.col("success")).alias("errors"),
+        F.avg("memory_mb").alias("avg_memory_mb"), F.avg("cpu_percent").alias("avg_cpu_percent"), F.max("ts").alias("last_call"), F.count_if(~F.col("success")).alias("errors"),
     ]
 
 
@@ -55,6 +55,20 @@ def latest(df: DataFrame, n: int, order: Sequence[Column] | None = None) -> Data
     return df.orderBy(*(order or (F.desc("ts"), F.desc("event_id")))).limit(n)
 
 
+def chosen(df: DataFrame, operations: Sequence[str] = (), levels: Sequence[str] = ()) -> DataFrame:
+    """Rows of some operations or levels; without any, all."""
+    for column, values in (("operation", operations), ("level", levels)):
+        if values:
+            df = df.filter(F.col(column).isin(*values))
+    return df
+
+
+def log_tail(logs: DataFrame, n: int, levels: Sequence[str] = ()) -> DataFrame:
+    """The last n lines of a log (timestamp, level, message), oldest first; ties by message."""
+    last = chosen(logs, levels=levels).orderBy(F.desc("timestamp"), F.desc("message")).limit(n)
+    return last.orderBy("timestamp", "message")
+
+
 def health_rollup(checks: DataFrame) -> DataFrame:
     """Counts by status, the worst status and the failing checks, over the latest result of each check (check, status, ts, event_id)."""
     now = latest_per(checks, ["check"])

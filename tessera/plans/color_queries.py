@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color
 from tessera.operators import palette as pal
+from tessera.operators import parameters, quality
 from tessera.operators.difference import with_delta_e2000
+from tessera.sources.images import decimated
 from tessera.plans.pixel_tables import LAB_SQL, PAIRS_SQL, PIXELS_SQL, lab_sql, labs, pairs, pixels, rounded, rounded_sql
 
 QUERIES = {}
@@ -39,15 +39,17 @@ _F = {"fy": "((L + 16) / 116)"}
 _X, _Y, _Z = (f"(CASE WHEN {f} > {6 / 29!r}::DOUBLE THEN {f} * {f} * {f} ELSE ({f} - {4 / 29!r}::DOUBLE) * {3 * (6 / 29) ** 2!r}::DOUBLE END * {w}::DOUBLE)" for f, w in zip((f"({_F['fy']} + a / 500)", _F["fy"], f"({_F['fy']} - b / 200)"), color.WHITE, strict=True))
 
 
-def _channel_sql(row):
+def channel_sql(row):
     lin = "(" + " + ".join(f"{k}::DOUBLE * {v}" for k, v in zip(row, (_X, _Y, _Z), strict=True)) + ")"
     comp = f"(CASE WHEN {lin} <= 0.0031308 THEN {lin} * 12.92 ELSE 1.055::DOUBLE * pow(greatest({lin}, 0.0), {1 / 2.4!r}::DOUBLE) - 0.055 END)"
-    return f"CAST(floor(least(greatest({comp}, 0.0), 1.0) * 255 + 0.0001) AS INT)"
+    return f"CAST(floor(least(greatest({comp}, 0.0), 1.0) * 255) AS INT)"
 
 
-@query(f"WITH {LAB_SQL} SELECT image_id, x, y, " + ", ".join(f"{_channel_sql(row)} AS {c}" for c, row in zip("rgb", color.XYZ_TO_RGB, strict=True)) + " FROM labs")
+@query(f"WITH {LAB_SQL} SELECT image_id, x, y, " + ", ".join(f"{channel_sql(row)} AS {c}" for c, row in zip("rgb", color.XYZ_TO_RGB, strict=True)) + " FROM (SELECT image_id, x, y, L * 0.93::DOUBLE + 2 AS L, a * 0.9::DOUBLE AS a, b * 0.9::DOUBLE AS b FROM labs)")
 def lab_to_rgb(spark: SparkSession, d: str) -> DataFrame:
-    return labs(spark, d).select("image_id", "x", "y", color.lab_to_rgb(F.col("L"), F.col("a"), F.col("b")).alias("rgb")).select("image_id", "x", "y", "rgb.*")
+    """Colours that did not come from whole channels, so that no result stands on the border between two."""
+    paler = labs(spark, d).select("image_id", "x", "y", (F.col("L") * 0.93 + 2).alias("L"), (F.col("a") * 0.9).alias("a"), (F.col("b") * 0.9).alias("b"))
+    return paler.select("image_id", "x", "y", color.lab_to_rgb(F.col("L"), F.col("a"), F.col("b")).alias("rgb")).select("image_id", "x", "y", "rgb.*")
 
 
 _LAB8 = "CAST(least(255, greatest(0, round(L * 255 / 100))) AS INT) AS L8, CAST(least(255, greatest(0, round(a + 128))) AS INT) AS a8, CAST(least(255, greatest(0, round(b + 128))) AS INT) AS b8"
@@ -282,7 +284,7 @@ def distinct_colors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_palette(spark: SparkSession, d: str) -> DataFrame:
-    entries = pal.kmeans_palette(pixels(spark, d), 8, seeds=(42, 43, 44))
+    entries = pal.kmeans_palette(pixels(spark, d), 8)
     return spark.createDataFrame([(i, *e) for i, e in enumerate(entries)], "idx int, r int, g int, b int")
 
 
@@ -293,10 +295,29 @@ def median_cut_palette(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def palette_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Extract a palette, dither, map to the nearest entry, keep black and white."""
+    """Extract a palette, dither, map to the nearest entry, keep black and white, blend edges, filter by the median."""
     p = pixels(spark, d)
     entries = pal.with_extremes([(e.r, e.g, e.b) for e in pal.median_cut_palette(p, 8).collect()])
-    dithered = reduce(lambda df, c: df.withColumn(f"d{c}", F.round(color.ordered_dither(F.col(c), F.col("x"), F.col("y"), 16.0)).cast("int")), "rgb", p)
-    mapped = pal.nearest(dithered.select("image_id", "x", "y", *[F.col(c).alias(f"o{c}") for c in "rgb"], *[F.col(f"d{c}").alias(c) for c in "rgb"]), entries)
-    kept = color.preserve_extremes(F.struct(*[F.col(f"p{c}").alias(c) for c in "rgb"]), F.col("or"), F.col("og"), F.col("ob"), 10)
-    return mapped.select("image_id", "x", "y", kept.alias("c")).select("image_id", "x", "y", "c.*")
+    settings = {n: default for n, (default, *_) in parameters.LIMITS.items()}
+    return pal.map_image(p, entries, settings | {"dither": True, "preserve_extremes": True, "edge_blur": True, "median": True})
+
+
+@query(_map_sql("pow((c.r - q.r) * 0.5, 2) + pow((c.g - q.g) * 1.0, 2) + pow((c.b - q.b) * 0.25, 2)"))
+def map_palette_table(spark: SparkSession, d: str) -> DataFrame:
+    """The palette as a table of at most 256 rows."""
+    return pal.nearest_in_table(pixels(spark, d), palette_table(spark, d), (0.5, 1.0, 0.25)).select("image_id", "x", "y", "idx", "pr", "pg", "pb")
+
+
+@query(f"WITH {PIXELS_SQL}, s AS (SELECT image_id, CAST(ceil((greatest(max(x), max(y)) + 1) / 40.0) AS BIGINT) AS step FROM pixels GROUP BY image_id) SELECT image_id, x, y, r, g, b FROM pixels JOIN s USING (image_id) WHERE x % step = 0 AND y % step = 0")
+def decimated_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return decimated(pixels(spark, d), 40)
+
+
+@query(f"WITH {PIXELS_SQL}, v AS (SELECT image_id, unnest([r, g, b])::DOUBLE AS v FROM pixels) SELECT image_id, round(var_pop(v), 4) AS variance FROM v GROUP BY image_id")
+def colour_variance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(quality.colour_variance(pixels(spark, d)), "variance", digits=4)
+
+
+@query(f"WITH {PIXELS_SQL} SELECT image_id, x, y, round(x / 63.0, 6) AS ramp FROM pixels")
+def ramp(spark: SparkSession, d: str) -> DataFrame:
+    return pixels(spark, d).select("image_id", "x", "y", F.round(color.ramp(F.col("x"), 64), 6).alias("ramp"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera import schemas
 from tessera.functions import text as tx
 from tessera.operators import corpus as co
+from tessera.operators import parameters
 from tessera.plans.pixel_tables import rounded
 
 QUERIES = {}
@@ -48,18 +48,67 @@ def regex_search(spark: SparkSession, d: str) -> DataFrame:
     return co.search(line_table(spark, d), "licensed? under|[0-9]{4}-[0-9]{4}", regex=True).select("path", "line_no")
 
 
-@query(f"WITH {LINES_SQL} SELECT path, line_no FROM lines WHERE contains(lower(text), '(555')")
+@query(f"WITH {LINES_SQL} SELECT path, line_no FROM lines WHERE contains(lower(text), '(6')")
 def invalid_regex_search(spark: SparkSession, d: str) -> DataFrame:
     """A pattern that does not compile is searched for as it stands."""
-    return co.search(line_table(spark, d), "(555", regex=True).select("path", "line_no")
+    return co.search(line_table(spark, d), "(6", regex=True).select("path", "line_no")
 
 
-_SYMBOL = " UNION ALL ".join(f"SELECT path, line_no, {i} AS pattern FROM lines WHERE regexp_matches(text, '\\b{w}\\s+th')" for i, w in enumerate(("def", "class", "function", "const", "let", "var")))
+# Source lines made of parts: a declaration of each in one of six forms.
+_FORMS = ("def {}(x):", "class {}:", "function {}() {{", "const {} = 1", "let {} = 2", "return {}")
+SOURCE_SQL = "source AS (SELECT p_type AS path, CAST(p_partkey AS INT) AS line_no, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '" + "' || name || '".join(f.replace("{{", "{").split("{}")) + "'" for i, f in enumerate(_FORMS)) + " END AS text FROM (SELECT *, replace(p_brand, '#', '_') || '_' || p_size AS name FROM part))"
+_SYMBOL = " UNION ALL ".join(f"SELECT path, line_no, {i} AS pattern FROM source WHERE regexp_matches(text, '\\b{w}\\s+Brand_1')" for i, w in enumerate(("def", "class", "function", "const", "let", "var")))
 
 
-@query(f"WITH {LINES_SQL} {_SYMBOL}")
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("_"), F.col("p_size").cast("string"))
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(_FORMS):
+        before, after = form.replace("{{", "{").split("{}")
+        text = F.when(F.col("p_partkey") % 6 == i, F.concat(F.lit(before), name, F.lit(after))).otherwise(text)
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("path"), F.col("p_partkey").cast("int").alias("line_no"), text.alias("text"))
+
+
+@query(f"WITH {SOURCE_SQL} {_SYMBOL}")
 def symbol_search(spark: SparkSession, d: str) -> DataFrame:
-    return co.symbol_search(line_table(spark, d), "th").select("path", "line_no", "pattern")
+    return co.symbol_search(source_lines(spark, d), "Brand_1").select("path", "line_no", "pattern")
+
+
+@query(f"WITH {SOURCE_SQL}, m AS (SELECT path, line_no, text, CASE WHEN regexp_matches(text, '\\b(def|class|function|const|let|var)\\s+Brand_11') THEN 'symbol' END AS s, CASE WHEN contains(lower(text), 'brand_11') THEN 'text' END AS t FROM source), f AS (SELECT path, line_no, s AS source FROM m WHERE s IS NOT NULL UNION ALL SELECT path, line_no, t FROM m WHERE t IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY path, line_no) AS nth FROM f), k AS (SELECT source FROM r WHERE nth <= CASE source WHEN 'text' THEN 30 ELSE 15 END ORDER BY CASE source WHEN 'symbol' THEN 2 ELSE 3 END, path, line_no LIMIT 30) SELECT source, count(*) AS n FROM k GROUP BY source")
+def search_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of a ranked list of thirty: declarations first, then lines that hold the name."""
+    return co.search_breakdown(co.smart_search(source_lines(spark, d), "Brand_11", 30))
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE regexp_matches(path, '(?i)\\.(py|js|md|txt)$')")
+def listed_by_default(spark: SparkSession, d: str) -> DataFrame:
+    """What a listing admits unless told otherwise: default includes less default excludes."""
+    return co.filter_files(files(spark, d), defaults=True).select("path")
+
+
+@query(f"WITH {FILES_SQL} SELECT path FROM files WHERE path LIKE '%.md' OR path LIKE '%.py'")
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    return co.filter_files(files(spark, d), extensions=["md", "py", "png"], text_only=True).select("path")
+
+
+@query(f"WITH {FILES_SQL} SELECT path, size FROM files ORDER BY path LIMIT 100")
+def sorted_listing(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred files by path: the limit is the feature."""
+    return co.sorted_listing(files(spark, d).select("path", "size"), 100)
+
+
+@query(f"WITH {LINES_SQL} SELECT path, line_no, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS preview FROM lines")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    return line_table(spark, d).select("path", "line_no", tx.preview(F.col("text"), 80).alias("preview"))
+
+
+@query(f"""WITH {FILES_SQL}, e AS (SELECT path, CASE WHEN size > 2000 THEN 'FILE_TOO_LARGE' WHEN path LIKE '%.png' THEN 'BINARY_FILE_ERROR' ELSE 'OK' END AS status FROM files)
+SELECT path, status, CASE status WHEN 'BINARY_FILE_ERROR' THEN 0.95 WHEN 'FILE_TOO_LARGE' THEN 0.1 END::DOUBLE AS confidence, CASE status WHEN 'BINARY_FILE_ERROR' THEN 'edit_file works only on text files. Use write_file with base64 encoding for binary files.' WHEN 'FILE_TOO_LARGE' THEN 'An unexpected error occurred. Check server logs for details.' END AS hint FROM e""")
+def edit_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each file may be edited, and what an error calls for; quotation marks of hints are left out."""
+    status = co.eligibility(F.col("text").cast("binary"), F.col("path"), F.col("size"), 2000)
+    told = files(spark, d).select("path", status.alias("status")).withColumn("h", F.when(F.col("status") != "OK", tx.hint(F.col("status"))))
+    return told.select("path", "status", F.col("h.confidence").alias("confidence"), F.replace("h.hint", F.lit("'"), F.lit("")).alias("hint"))
 
 
 @query(f"WITH {FILES_SQL} SELECT path FROM files WHERE regexp_matches(path, '(?i)^(.*/)?[^/]*\\.(py|md)$') AND NOT regexp_matches(path, '(?i)^src1[^/]*/.*$') AND len(string_split(path, '/')) <= 3 AND size <= 4000 AND contains(path, 'doc_')")
@@ -67,12 +116,12 @@ def glob_filter(spark: SparkSession, d: str) -> DataFrame:
     return co.filter_files(files(spark, d), include=["*.{py,md}"], exclude=["src1*/**"], max_depth=3, name="doc_", max_size=4000).select("path")
 
 
-@query(f"WITH {FILES_SQL} SELECT path, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'md' THEN 'markdown' ELSE 'text' END AS language, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'js' THEN 'text/javascript' WHEN 'md' THEN 'text/markdown' WHEN 'png' THEN 'image/png' ELSE 'text/plain' END AS media_type, regexp_replace(path, '(\\.[a-z]+)$', '_matched\\1') AS result_name, CASE WHEN path LIKE '%.png' THEN 'binary' ELSE 'text' END AS kind FROM files")
+@query(f"WITH {FILES_SQL} SELECT path, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'md' THEN 'markdown' ELSE 'text' END AS language, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'js' THEN 'text/javascript' WHEN 'md' THEN 'text/markdown' WHEN 'png' THEN 'image/png' ELSE 'text/plain' END AS media_type, regexp_replace(path, '(\\.[a-z]+)$', '_matched\\1') AS result_name, CASE WHEN path LIKE '%.png' THEN 'binary' ELSE 'text' END AS kind, 'result_doc_' || doc_id || regexp_extract(path, '(\\.[a-z]+)$', 1) AS written_as FROM files")
 def file_metadata(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
     kind = tx.classify(F.col("text").cast("binary"), p)
     f = files(spark, d).withColumn("kind", kind)
-    return f.select("path", tx.extension(p).alias("ext"), tx.language(p).alias("language"), tx.media_type(p, F.col("kind") == tx.BINARY).alias("media_type"), tx.matched_name(p).alias("result_name"), "kind")
+    return f.select("path", tx.extension(p).alias("ext"), tx.language(p).alias("language"), tx.media_type(p, F.col("kind") == tx.BINARY).alias("media_type"), tx.matched_name(p).alias("result_name"), "kind", tx.result_name(p).alias("written_as"))
 
 
 @query(f"WITH {FILES_SQL}, e AS (SELECT unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS dir, unnest([0, 1, 2]) AS depth, size FROM files) SELECT dir, CAST(depth AS INT) AS depth, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM e GROUP BY ALL")
@@ -85,6 +134,11 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return co.corpus_statistics(files(spark, d))
 
 
+@query(f"WITH {FILES_SQL} SELECT count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, CAST(sum(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda t: t <> ''))) AS BIGINT) AS tokens FROM files")
+def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
+    return co.corpus_totals(files(spark, d))
+
+
 RULES = [("email", "[A-Za-z0-9._]+@[A-Za-z0-9.]+"), ("card", "[0-9]{4} ?[0-9]{4} ?[0-9]{4} ?[0-9]{4}"), ("token", "[0-9a-f]{32}")]
 
 
@@ -122,36 +176,41 @@ def line_context(spark: SparkSession, d: str) -> DataFrame:
     return co.context(line_table(spark, d), 1).select("path", "line_no", F.md5("context").alias("context"))
 
 
-EDITS_SQL = "edits AS (SELECT item_id AS edit_id, string_split(text, chr(10))[1] AS old_text, '[' || item_id || ']' AS new_text FROM benchmark)"
-
-
-def edits(spark: SparkSession, d: str) -> DataFrame:
-    bench = spark.read.parquet(f"{d}/benchmark.parquet")
-    return bench.select(F.col("item_id").alias("edit_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("old_text"), F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("]")).alias("new_text"))
-
-
 @query("SELECT doc_id, md5(CASE WHEN strpos(text, ' the ') > 0 THEN substr(text, 1, strpos(text, ' the ') - 1) || ' THE ' || substr(text, strpos(text, ' the ') + 5) END) AS edited FROM documents")
 def exact_edit(spark: SparkSession, d: str) -> DataFrame:
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", F.md5(co.exact_edit(F.col("text"), F.lit(" the "), F.lit(" THE "))).alias("edited"))
 
 
-_NEAR = """near AS (SELECT path, line_no, edit_id, (greatest(length(t), length(q)) - levenshtein(lower(t), lower(q)))::DOUBLE / greatest(length(t), length(q)) AS similarity
- FROM (SELECT path, line_no, trim(text, ' ') AS t FROM lines) l JOIN (SELECT edit_id, trim(old_text, ' ') AS q FROM edits) e ON length(t) >= 3 AND length(q) >= 3 AND abs(length(t) - length(q)) <= 0.15 * greatest(length(t), length(q)))"""
-
-
 @query()
 def similarity_top5(spark: SparkSession, d: str) -> DataFrame:
-    """The five lines of each file that are most like the first line of a benchmark item: every line against every item."""
-    e = edits(spark, d).select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query"))
-    found = co.similar_lines(line_table(spark, d), e, 0.85, n_queries=e.count())
-    return rounded(co.top_matches(found, ["path"], 5).select("path", "line_no", "query_id", "similarity", "nth"), "similarity")
+    """The five lines or blocks of each file that are most like each benchmark item, over a similarity of 0.1: every line against every item."""
+    e = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = co.best_matches(line_table(spark, d), e, 0.1, 5, n_queries=e.count())
+    return rounded(found.select("path", "query_id", "nth", "kind", "line_no", "similarity"), "similarity")
+
+
+def varied_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as texts to replace: as they are, with a mark behind, with doubled letters, with words left out."""
+    bench, text = spark.read.parquet(f"{d}/benchmark.parquet"), F.col("text")
+    longer = F.replace(text, F.lit("er"), F.lit("eer"))
+    fewer = F.regexp_replace(text, r" (th|an|in)\w* ", " ")
+    old = F.when(F.col("item_id") % 4 == 0, text).when(F.col("item_id") % 4 == 1, F.concat(text, F.lit("!"))).when(F.col("item_id") % 4 == 2, longer).otherwise(fewer)
+    return bench.select(F.col("item_id").alias("edit_id"), old.alias("old_text"), F.concat(F.lit("["), F.col("item_id").cast("string"), F.lit("]")).alias("new_text"))
 
 
 @query()
 def fuzzy_edit(spark: SparkSession, d: str) -> DataFrame:
-    e = edits(spark, d)
-    return rounded(co.fuzzy_edits(line_table(spark, d), e, force=True, least=0.85, n_edits=e.count()), "similarity")
+    """Varied benchmark items replaced in all files, as far as they are like a line or a block: from 0.6, where reports begin."""
+    e = varied_edits(spark, d)
+    out = co.fuzzy_edits(files(spark, d), e, force=True, least=0.6, n_edits=e.count())
+    return rounded(out.select("path", "edit_id", "band", "similarity", "kind", "line_no", "applied", F.md5("edited").alias("edited")), "similarity")
+
+
+@query()
+def window_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The window of each file that is most like a license notice of two lines."""
+    return rounded(co.window_edits(line_table(spark, d), "Licensed under the Apache License,\nVersion 2.0 (the License)"), "similarity")
 
 
 @query(f"WITH {LINES_SQL}, m AS (SELECT path, line_no, 'text' AS source, 3 AS priority FROM lines WHERE contains(lower(text), 'apache') QUALIFY row_number() OVER (ORDER BY path, line_no) <= 20) SELECT * FROM m ORDER BY priority, path, line_no LIMIT 20")
@@ -176,13 +235,34 @@ def changed_lines(spark: SparkSession, d: str) -> DataFrame:
     return co.changed_lines(before, after).agg(F.count("*").alias("changed"))
 
 
-@query("SELECT event_id, greatest(2, least(256, coalesce(CAST(json_extract_string(props, '$.k') AS INT), 16))) AS colours, greatest(1, least(10, CAST(floor(value) AS INT))) AS quality FROM events")
-def parameter_clamping(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet")
-    k = F.from_json("props", schemas.PARAMETERS)["k"]
-    return events.select("event_id", F.greatest(F.lit(2), F.least(F.lit(256), F.coalesce(k, F.lit(16)))).alias("colours"), F.greatest(F.lit(1), F.least(F.lit(10), F.floor("value").cast("int"))).alias("quality"))
+# Settings as JSON, made of events: every seventh is malformed.
+SETTINGS_SQL = """settings AS (SELECT event_id, CASE WHEN event_id % 7 = 3 THEN '{broken' ELSE '{"num_colors": ' || CAST(user_id AS VARCHAR) || ', "quality": ' || CAST(event_id % 15 - 2 AS VARCHAR) || ', "hue_weight": ' || CAST(event_id % 25 AS VARCHAR) || '.5, "extremes_threshold": ' || CAST(event_id % 70 AS VARCHAR) || '}' END AS js,
+ event_id % 7 = 3 AS broken, user_id, event_id % 15 - 2 AS q, event_id % 25 + 0.5::DOUBLE AS hue, event_id % 70 AS x FROM events)"""
 
 
-def focus_ranges(column):
-    """Focus ranges from JSON; null if malformed."""
-    return F.from_json(column, schemas.FOCUS_RANGES)
+def settings(spark: SparkSession, d: str) -> DataFrame:
+    e, text = F.col("event_id"), lambda c: c.cast("string")
+    js = F.concat(F.lit('{"num_colors": '), text(F.col("user_id")), F.lit(', "quality": '), text(e % 15 - 2), F.lit(', "hue_weight": '), text(e % 25), F.lit('.5, "extremes_threshold": '), text(e % 70), F.lit("}"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.when(e % 7 == 3, "{broken").otherwise(js).alias("js"))
+
+
+@query(f"""WITH {SETTINGS_SQL} SELECT event_id, CASE WHEN broken THEN 8 ELSE CAST(greatest(2, least(256, user_id)) AS INT) END AS num_colors, CASE WHEN broken THEN 5 ELSE CAST(greatest(1, least(10, q)) AS INT) END AS quality,
+ CASE WHEN broken THEN 3.0 ELSE greatest(0.1, least(10.0, hue)) END::DOUBLE AS hue_weight, CASE WHEN broken THEN 10 ELSE CAST(greatest(0, least(50, x)) AS INT) END AS extremes_threshold, 1.0::DOUBLE AS saturation_weight, 8.0::DOUBLE AS dithering_strength, 25 AS edge_detection_threshold FROM settings""")
+def parameter_clamping(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters from JSON, with defaults and limits; a malformed text gives all defaults."""
+    parsed = settings(spark, d).select("event_id", parameters.settings(F.col("js")).alias("s"))
+    return parsed.select("event_id", *[F.col(f"s.{n}").alias(n) for n in ("num_colors", "quality", "hue_weight", "extremes_threshold", "saturation_weight", "dithering_strength", "edge_detection_threshold")])
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN 1 END AS n, CASE WHEN p_partkey % 5 <> 0 THEN p_size * 7.0::DOUBLE END AS hue, CASE WHEN p_partkey % 5 <> 0 THEN p_size / 10.0::DOUBLE END AS boost, p_size / 100.0::DOUBLE AS weight_a, 1 AS n_steps FROM part")
+def json_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Focus ranges, weights and steps from JSON; focus ranges that are no list are null."""
+    size = F.col("p_size")
+    one = F.concat(F.lit('{"target_hsv": ['), (size * 7).cast("string"), F.lit(', 50, 60], "range_h": 30, "range_s": 40, "range_v": 50, "boost_factor": '), (size / 10).cast("string"), F.lit("}"))
+    js = F.when(F.col("p_partkey") % 5 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    w = F.concat(F.lit('{"a": '), (size / 100).cast("string"), F.lit("}"))
+    parsed = spark.read.parquet(f"{d}/part.parquet").select(
+        "p_partkey", parameters.focus_ranges(js).alias("f"), parameters.weights(w).alias("w"), parameters.steps(F.lit('[{"method": "basic", "params": {"strength": "0.5"}}]')).alias("s"),
+    )
+    first = F.get("f", F.lit(0))
+    return parsed.select("p_partkey", F.when(F.col("f").isNotNull(), F.size("f")).alias("n"), F.get(first["target_hsv"], F.lit(0)).alias("hue"), first["boost_factor"].alias("boost"), F.element_at("w", F.lit("a")).alias("weight_a"), F.size("s").alias("n_steps"))

@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import telemetry as tm
 from tessera.plans.pixel_tables import rounded
+from tessera.sources.folders import shared_folder
 from tessera.streaming import jobs
 
 QUERIES = {}
@@ -26,13 +28,14 @@ def query(sql: str | None = None):
 
 
 METRIC_SQL = """metric AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, event_type AS operation, value AS duration_ms, concat('algo_', CAST(user_id % 5 AS VARCHAR)) AS algorithm_id,
- CAST(json_extract_string(props, '$.k') AS DOUBLE) AS memory_mb, event_type NOT IN ('error', 'signup', 'view') OR user_id % 5 = 0 AS success, user_id FROM events)"""
+ CAST(json_extract_string(props, '$.k') AS DOUBLE) AS memory_mb, event_type NOT IN ('error', 'signup', 'view') OR user_id % 5 = 0 AS success, user_id, CAST((user_id * 7) % 100 AS DOUBLE) AS cpu_percent FROM events)"""
 
 
 def metrics(df: DataFrame) -> DataFrame:
     return df.select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("operation"), F.col("value").alias("duration_ms"), F.concat(F.lit("algo_"), (F.col("user_id") % 5).cast("string")).alias("algorithm_id"),
         F.get_json_object("props", "$.k").cast("double").alias("memory_mb"), (~F.col("event_type").isin("error", "signup", "view") | (F.col("user_id") % 5 == 0)).alias("success"), "user_id",
+        ((F.col("user_id") * 7) % 100).cast("double").alias("cpu_percent"),
     )
 
 
@@ -40,13 +43,13 @@ def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics(spark.read.parquet(f"{d}/events.parquet"))
 
 
-_OP = "count(*) AS calls, round(sum(duration_ms), 4) AS total_ms, round(avg(duration_ms), 4) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(avg(memory_mb), 4) AS avg_memory_mb, max(ts) AS last_call, count(*) FILTER (NOT success) AS errors"
+_OP = "count(*) AS calls, round(sum(duration_ms), 4) AS total_ms, round(avg(duration_ms), 4) AS avg_ms, min(duration_ms) AS min_ms, max(duration_ms) AS max_ms, round(avg(memory_mb), 4) AS avg_memory_mb, round(avg(cpu_percent), 4) AS avg_cpu_percent, max(ts) AS last_call, count(*) FILTER (NOT success) AS errors"
 
 
 @query(f"WITH {METRIC_SQL} SELECT operation, {_OP.replace('max(ts)', 'CAST(epoch_us(max(ts)) AS BIGINT)')} FROM metric GROUP BY operation")
 def operation_stats(spark: SparkSession, d: str) -> DataFrame:
     out = tm.operation_statistics(_metrics(spark, d)).withColumn("last_call", F.unix_micros("last_call"))
-    return rounded(out, "total_ms", "avg_ms", "avg_memory_mb", digits=4)
+    return rounded(out, "total_ms", "avg_ms", "avg_memory_mb", "avg_cpu_percent", digits=4)
 
 
 _HEALTH = "SELECT algorithm_id, count(*) AS calls, count(*) FILTER (NOT success) AS errors, avg(success::INT) AS rate FROM metric GROUP BY algorithm_id"
@@ -144,6 +147,54 @@ def newest_metrics(spark: SparkSession, d: str) -> DataFrame:
     return tm.latest(spark.read.parquet(f"{d}/events.parquet"), 100).select("event_id", "event_type", "value")
 
 
+@query(f"WITH {METRIC_SQL} SELECT event_id, operation FROM metric WHERE operation IN ('click', 'error')")
+def chosen_operations(spark: SparkSession, d: str) -> DataFrame:
+    return tm.chosen(_metrics(spark, d), operations=("click", "error")).select("event_id", "operation")
+
+
+# Log lines made of events: one for each, with a request in its message.
+LOG_SQL = """logs AS (SELECT event_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S') AS timestamp, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END AS level,
+ CASE user_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'sent' END || ' /users/' || user_id || '?page=' || event_id || ' ' || CASE event_type WHEN 'error' THEN '500' ELSE '200' END AS message FROM events)"""
+
+
+def _logs(spark: SparkSession, d: str) -> DataFrame:
+    kind, user = F.col("event_type"), F.col("user_id")
+    message = F.concat(F.when(user % 3 == 0, "GET").when(user % 3 == 1, "POST").otherwise("sent"), F.lit(" /users/"), user.cast("string"), F.lit("?page="), F.col("event_id").cast("string"), F.lit(" "), F.when(kind == "error", "500").otherwise("200"))
+    level = F.when(kind == "error", "ERROR").when(kind == "signup", "WARNING").otherwise("INFO")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", stamp.alias("timestamp"), level.alias("level"), message.alias("message"))
+
+
+@query(f"WITH {LOG_SQL} SELECT timestamp, level, message FROM logs WHERE level IN ('ERROR', 'WARNING') ORDER BY timestamp DESC, message DESC LIMIT 50")
+def log_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The last fifty errors and warnings: the limit is the feature."""
+    return tm.log_tail(_logs(spark, d).drop("event_id"), 50, ("ERROR", "WARNING"))
+
+
+@query(f"WITH {LOG_SQL} SELECT event_id, nullif(regexp_extract(message, '\\b(GET|POST|PUT|DELETE|PATCH|HEAD)\\b', 1), '') AS method, nullif(regexp_extract(message, '(/[^ ?]*)', 1), '') AS path, CASE WHEN message LIKE '% 500' THEN 500 ELSE 200 END AS status FROM logs")
+def parsed_requests(spark: SparkSession, d: str) -> DataFrame:
+    bare = _logs(spark, d).withColumn("message", F.regexp_replace("message", r"\d+\?page=\d+", "all"))
+    parsed = _logs(spark, d).select("event_id", tm.parse_request(F.col("message")).alias("r")).select("event_id", "r.method", "r.path")
+    return parsed.join(bare.select("event_id", tm.parse_request(F.col("message"))["status"].alias("status")), "event_id")
+
+
+@query(f"WITH {LOG_SQL} SELECT event_id, replace(replace(replace(timestamp, '-', ''), ':', ''), 'T', '_') AS stamp FROM logs")
+def file_stamps(spark: SparkSession, d: str) -> DataFrame:
+    return _logs(spark, d).select("event_id", tx.file_stamp(tx.iso_timestamp(F.col("timestamp"))).alias("stamp"))
+
+
+@query(
+    """WITH logs AS (SELECT l_orderkey, strftime(CAST(l_shipdate AS TIMESTAMP), '%Y-%m-%d') AS timestamp, CASE WHEN l_linenumber = 1 THEN 'started' WHEN l_returnflag = 'R' THEN 'error' ELSE 'completed' END AS kind FROM lineitem)
+SELECT CAST(l_orderkey AS VARCHAR) AS request_id, min(timestamp) FILTER (kind = 'started') AS start_ts, min(timestamp) FILTER (kind <> 'started') AS end_ts, bool_or(kind = 'error') AS failed FROM logs GROUP BY l_orderkey HAVING min(timestamp) FILTER (kind = 'started') IS NOT NULL"""
+)
+def spans_by_request(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as requests: the first line starts one, returned lines are errors, others complete it."""
+    kind = F.when(F.col("l_linenumber") == 1, "started").when(F.col("l_returnflag") == "R", "error").otherwise("completed")
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    logs = items.select(F.col("l_orderkey").cast("string").alias("request_id"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd").alias("timestamp"), F.concat(F.lit("Request "), kind).alias("message"))
+    return tm.spans_by_id(logs)
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
     path = f"{d}/events.parquet"
     schema = spark.read.parquet(path).schema
@@ -153,7 +204,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _collected(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and give the rows of all micro-batches as a table."""
-    base = spark.conf.get("spark.checkpoint.dir", "/tmp/tessera-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_available(df, f"{base}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{base}/rows"), mode)
     return spark.read.schema(df.schema).parquet(f"{base}/rows")
 
@@ -162,7 +213,7 @@ def _collected(spark: SparkSession, df: DataFrame, mode: str = "append") -> Data
 def streamed_operation_stats(spark: SparkSession, d: str) -> DataFrame:
     """Windows of a stream that has ended: all are complete, so the complete mode's last batch is the result."""
     stats = jobs.running_operation_statistics(metrics(_stream(spark, d)))
-    base = spark.conf.get("spark.checkpoint.dir", "/tmp/tessera-streams").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     jobs.run_available(stats, f"{base}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/rows"), "complete")
     out = spark.read.schema(stats.schema).parquet(f"{base}/rows")
     return rounded(out.select(F.unix_micros("window_start").alias("window_start"), "operation", "calls", "total_ms", "errors"), "total_ms", digits=4)
@@ -170,6 +221,7 @@ def streamed_operation_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {METRIC_SQL} SELECT algorithm_id, calls, errors, CASE WHEN rate < 0.5 THEN 'critical' WHEN rate < 0.8 THEN 'warning' ELSE 'healthy' END AS status FROM ({_HEALTH})")
 def streamed_algorithm_health(spark: SparkSession, d: str) -> DataFrame:
+    """The last counts of each algorithm, whatever the number of micro-batches."""
     changes = _collected(spark, jobs.running_algorithm_health(metrics(_stream(spark, d)).select("algorithm_id", "success", "ts", "event_id")))
     return changes.groupBy("algorithm_id").agg(F.max(F.struct("calls", "errors", "status")).alias("last")).select("algorithm_id", "last.*")
 

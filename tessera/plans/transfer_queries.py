@@ -9,7 +9,7 @@ from tessera.functions import color
 from tessera.operators import distribution as dist
 from tessera.operators import quality, stencil
 from tessera.operators import transfer as tr
-from tessera.plans.color_queries import E2000_SQL
+from tessera.plans.color_queries import E2000_SQL, channel_sql
 from tessera.plans.pixel_tables import CHANNELS, LAB_SQL, MASK_SQL, PAIRS_SQL, PIXELS_SQL, content_and_reference, labs, mask, pairs, pixels, rounded, rounded_sql
 
 QUERIES = {}
@@ -368,12 +368,28 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return quality.gate(quality.report(*pairs(spark, d))).select("image_id", "passed")
 
 
-@query(f"WITH {_SIDES}, pq AS (SELECT image_id, L AS L1, a AS a1, b AS b1, oL AS L2, oa AS a2, ob AS b2 FROM lr), {E2000_SQL}, s AS (SELECT image_id, avg(de) AS m, max(de) AS x, corr(L1, L2) AS c, bool_and(abs(L1 - L2) < 1 AND abs(a1 - a2) < 1 AND abs(b1 - b2) < 1) AS same FROM e7 GROUP BY image_id) SELECT image_id, array_to_string(list_filter([CASE WHEN same THEN 'no effect' END, CASE WHEN m > 50 THEN 'mean difference very large' END, CASE WHEN x > 100 THEN 'largest difference very large' END, CASE WHEN c < 0.7 THEN 'structure lost' END], lambda v: v IS NOT NULL), ';') AS issues, array_to_string(list_filter([CASE WHEN m < 2 THEN 'hardly any change' END, CASE WHEN c >= 0.7 AND c < 0.85 THEN 'structure weakened' END], lambda v: v IS NOT NULL), ';') AS warnings FROM s")
+@query(f"WITH {_SIDES}, pq AS (SELECT image_id, L AS L1, a AS a1, b AS b1, oL AS L2, oa AS a2, ob AS b2 FROM lr), {E2000_SQL}, s AS (SELECT image_id, avg(de) AS m, max(de) AS x, corr(L1, L2) AS c, bool_and(abs(L1 - L2) < 1 AND abs(a1 - a2) < 1 AND abs(b1 - b2) < 1) AS same FROM e7 GROUP BY image_id) SELECT image_id, array_to_string(list_filter([CASE WHEN same THEN 'no effect' END, CASE WHEN m > 50 THEN 'mean difference very large' END, CASE WHEN x > 100 THEN 'largest difference very large' END, CASE WHEN c < 0.7 THEN 'structure lost' END], lambda v: v IS NOT NULL), ';') AS issues, array_to_string(list_filter([CASE WHEN m < 2 THEN 'hardly any change' END, CASE WHEN c >= 0.7 AND c < 0.85 THEN 'structure weakened' END], lambda v: v IS NOT NULL), ';') AS warnings, array_to_string(list_filter([CASE WHEN same THEN 'raise the weights' END, CASE WHEN m > 50 THEN 'lower the weights' END, CASE WHEN x > 100 THEN 'limit the transfer to a mask' END, CASE WHEN c < 0.7 THEN 'transfer a and b only' END, CASE WHEN m < 2 AND NOT same THEN 'raise the weights' END, CASE WHEN c >= 0.7 AND c < 0.85 THEN 'lower the weight of L' END], lambda v: v IS NOT NULL), ';') AS suggestions FROM s")
 def diagnose_transfer(spark: SparkSession, d: str) -> DataFrame:
-    return quality.diagnose(*pairs(spark, d)).select("image_id", F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"))
+    return quality.diagnose(*pairs(spark, d)).select("image_id", F.array_join("issues", ";").alias("issues"), F.array_join("warnings", ";").alias("warnings"), F.array_join("suggestions", ";").alias("suggestions"))
 
 
-@query(f"WITH {LAB_SQL} SELECT image_id, count(*) AS n, count(*) FILTER (L < 0 OR L > 100.0001 OR a < -128 OR a > 127 OR b < -128 OR b > 127) AS out_of_range, false AS round_trip_off FROM labs GROUP BY image_id")
+@query(f"WITH {_SIDES} SELECT image_id, image_id = 'p0' AS over_transfer FROM lr GROUP BY image_id HAVING count(*) FILTER (L IS NULL) = 0")
+def over_transfer(spark: SparkSession, d: str) -> DataFrame:
+    """A result that is 3 off its target everywhere is too like it; one that is 6 off is not."""
+    left, right = pairs(spark, d)
+    moved = right.select("image_id", "x", "y", *[(F.col(c) + F.when(F.col("image_id") == "p0", 3.0).otherwise(6.0)).alias(c) for c in CHANNELS])
+    return quality.diagnose(left, moved, right).select("image_id", F.array_contains("warnings", "result very similar to target").alias("over_transfer"))
+
+
+@query(f"WITH {_SIDES.split(', lr AS')[0]} SELECT count(*) FILTER (l.x IS NULL OR r.x IS NULL) = 0 AS same_shape FROM left_ l FULL JOIN right_ r ON l.image_id = r.image_id AND l.x = r.x AND l.y = r.y")
+def same_shape(spark: SparkSession, d: str) -> DataFrame:
+    return tr.same_shape(*pairs(spark, d), ["image_id", "x", "y"])
+
+
+_BACK = " + ".join(f"abs({o} - {channel_sql(row)})" for o, row in zip(("r", "g", "bl"), color.XYZ_TO_RGB, strict=True))
+
+
+@query(f"WITH {LAB_SQL}, e AS (SELECT *, ({_BACK}) / 3.0 AS off FROM labs) SELECT image_id, count(*) AS n, count(*) FILTER (L < 0 OR L > 100.0001 OR a < -128 OR a > 127 OR b < -128 OR b > 127) AS out_of_range, avg(off) > 5 OR max(off) > 20 AS round_trip_off FROM e GROUP BY image_id")
 def diagnose_conversion(spark: SparkSession, d: str) -> DataFrame:
     return quality.diagnose_conversion(pixels(spark, d))
 

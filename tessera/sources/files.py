@@ -23,14 +23,22 @@ def _quoted(text: str) -> str:
 
 
 def read_files(spark: SparkSession, folder: str, encoding: str = "auto", max_size: int = 5 * 1024 * 1024) -> DataFrame:
-    """Text of files by encoding, with kind, media type and, instead of text, an error for what is too large to read."""
+    """Text of files by encoding, with kind and media type; instead of text, an error for what is too large or not of the encoding.
+
+    The content of files that are too large is not read: the limit is a filter of the scan.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    fits = F.col("length") <= max_size
     kind = tx.classify(F.col("content"), F.col("path"))
-    return raw.select(
+    bad = F.lit(encoding == "utf-8") & ~F.is_valid_utf8(F.col("content").cast("string"))
+    fits = raw.filter(F.col("length") <= max_size).select(
         "path", F.col("length").alias("size"), "modificationTime", kind.alias("kind"), tx.media_type(F.col("path"), kind == tx.BINARY).alias("media_type"),
-        F.when(fits, tx.decoded(F.col("content"), encoding)).alias("text"), F.when(~fits, "FILE_TOO_LARGE").alias("error"),
+        F.when(~bad, tx.decoded(F.col("content"), encoding)).alias("text"), F.when(bad, "NOT_UTF8").alias("error"),
+    )
+    named = F.when(tx.extension(F.col("path")).isin(*tx.BINARY_EXTENSIONS), tx.BINARY).alias("kind")
+    large = raw.filter(F.col("length") > max_size).select(
+        "path", F.col("length").alias("size"), "modificationTime", named, tx.media_type(F.col("path"), F.coalesce(named == tx.BINARY, F.lit(False))).alias("media_type"), F.lit(None).cast("string").alias("text"), F.lit("FILE_TOO_LARGE").alias("error"),
     )
+    return fits.unionByName(large)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -15,6 +15,12 @@ def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return named.select(file_name(F.col("origin")).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
 
 
+def unreadable_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(image_id, error) of the image files of a folder that don't decode."""
+    listed = spark.read.format("binaryFile").load(folder).select(file_name(F.col("path")).alias("image_id"))
+    return listed.filter(extension(F.col("image_id")).isin(*IMAGE_EXTENSIONS)).join(read_images(spark, folder).select("image_id"), "image_id", "left_anti").withColumn("error", F.lit("UNREADABLE_IMAGE"))
+
+
 def explode_pixels(images: DataFrame) -> DataFrame:
     """One row for each pixel: grey is repeated over the channels, transparency is laid on white.
 

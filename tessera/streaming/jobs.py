@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,7 +27,7 @@ def running_operation_statistics(metrics: DataFrame, window: str = "1 minute", l
     return out.select(F.col("window.start").alias("window_start"), "operation", *[c for c in out.columns if c not in ("window", "operation")])
 
 
-HEALTH = "algorithm_id string, calls bigint, errors bigint, status string, last_errors array<bigint>"
+HEALTH = "algorithm_id string, calls bigint, errors bigint, status string, changed boolean, last_errors array<bigint>"
 STATE = "calls bigint, errors bigint, status string, last_errors array<bigint>"
 
 
@@ -41,12 +42,11 @@ def _health(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
     rate = 1 - errors / calls
     now = "critical" if rate < 0.5 else "warning" if rate < 0.8 else "healthy"
     state.update((calls, errors, now, last))
-    if now != status:
-        yield pd.DataFrame([(key[0], calls, errors, now, last)], columns=["algorithm_id", "calls", "errors", "status", "last_errors"])
+    yield pd.DataFrame([(key[0], calls, errors, now, bool(now != status), last)], columns=["algorithm_id", "calls", "errors", "status", "changed", "last_errors"])
 
 
 def running_algorithm_health(metrics: DataFrame) -> DataFrame:
-    """A row whenever an algorithm's status changes, with its counts and its last ten errors: state of a bounded size for each."""
+    """A row for each algorithm of a micro-batch: its counts so far, whether its status changed, and its last ten errors; state of a bounded size."""
     return metrics.groupBy("algorithm_id").applyInPandasWithState(_health, HEALTH, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
@@ -90,10 +90,13 @@ def incremental_transfer(spark: SparkSession, folder: str, reference: DataFrame,
         raw = session.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
         found = raw.select(file_name(F.col("origin")).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
         pixels = explode_pixels(found).select("image_id", "x", "y", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).select("image_id", "x", "y", "lab.*")
+        began = time.monotonic()
         moment_transfer(pixels, reference).write.mode("append").partitionBy("image_id").parquet(f"{out}/pixels")
+        # Images of a micro-batch are worked on together, so each is given an equal part of its time.
+        each_ms = (time.monotonic() - began) * 1000 / len(paths)
         ok = found.select("image_id", F.lit(True).alias("success"))
         manifest = batch.select(file_name(F.col("path")).alias("image_id")).join(ok, "image_id", "left")
-        manifest = manifest.select("image_id", F.coalesce("success", F.lit(False)).alias("success"), F.when(F.col("success").isNull(), "UNREADABLE_IMAGE").alias("error"), F.lit(None).cast("double").alias("elapsed_ms"))
+        manifest = manifest.select("image_id", F.coalesce("success", F.lit(False)).alias("success"), F.when(F.col("success").isNull(), "UNREADABLE_IMAGE").alias("error"), F.when(F.col("success"), F.lit(each_ms)).alias("elapsed_ms"))
         write_manifest(manifest, f"{out}/manifest")
 
     return run_available(new, checkpoint, each)

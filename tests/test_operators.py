@@ -1,10 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions import color
 from tessera.functions import text as tx
-from tessera.operators import corpus, palette, stencil, transfer
+from tessera.operators import corpus, palette, parameters, stencil, transfer
+from tessera.operators import distribution as dist
+from tessera.operators.difference import with_delta_e2000
 
 LAB = "L double, a double, b double"
 
@@ -33,7 +36,9 @@ def test_known_lab_values_and_round_trip(spark, rgb, lab):
     [((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, 3.1571, -77.2803), (50, 0, -82.7485), 2.8615), ((50, 2.8361, -74.0200), (50, 0, -82.7485), 3.4412), ((50, -1.3802, -84.2814), (50, 0, -82.7485), 1.0), ((50, -1.1848, -84.8006), (50, 0, -82.7485), 1.0), ((50, 0, 0), (50, 0, 0), 0.0)],
 )
 def test_ciede2000(spark, p, q, want):
-    assert value(spark, color.delta_e2000(point(*p), point(*q))) == pytest.approx(want, abs=1e-4)
+    one = spark.createDataFrame([(*map(float, p), *map(float, q))], "L double, a double, b double, L2 double, a2 double, b2 double")
+    out = with_delta_e2000(one, "Lab", ("L2", "a2", "b2"))
+    assert out.columns[-1] == "delta_e" and out.first().delta_e == pytest.approx(want, abs=1e-4)
 
 
 def pixels(spark, rows):
@@ -97,19 +102,86 @@ def test_edits(spark):
     lines = spark.createDataFrame([("f", 1, "alpha    beta"), ("f", 2, "gamma"), ("g", 1, "nothing alike")], "path string, line_no int, text string")
     got = {r.path: (r.line_no, r.status) for r in corpus.window_edits(lines, "alpha beta", least=0.6).collect()}
     assert got["f"] == (1, "OK") and got["g"][1] == "NO_MATCH_FOUND"
-    edits = spark.createDataFrame([(1, "gamma", "x"), (2, "alpha   beta!", "y")], "edit_id int, old_text string, new_text string")
-    banded = {(r.path, r.edit_id): (r.band, r.applied) for r in corpus.fuzzy_edits(lines, edits, n_edits=2).collect()}
-    assert banded[("f", 1)] == ("apply", True) and banded[("f", 2)][0] in ("diagnose", "needs force")
+    texts = spark.createDataFrame([("f", "alpha    beta\ngamma\ndelta one\nepsilon two"), ("g", "nothing alike")], "path string, text string")
+    edits = spark.createDataFrame([(1, "gamma", "x"), (2, "alpha   beta!", "y"), (3, "delta onne\nepsilon twos", "z"), (4, "epsilon twa", "w")], "edit_id int, old_text string, new_text string")
+    for force in (False, True):
+        banded = {(r.path, r.edit_id): r for r in corpus.fuzzy_edits(texts, edits, force, 0.6, n_edits=4).collect()}
+        assert (banded["f", 1].band, banded["f", 1].line_no, banded["f", 1].edited) == ("exact", 2, "alpha    beta\nx\ndelta one\nepsilon two")
+        assert banded["f", 2].band in ("diagnose", "needs force") and banded["f", 2].line_no == 1
+        block = banded["f", 3]
+        assert (block.band, block.kind, block.line_no, block.applied) == ("needs force", "multi_line", 3, force)
+        assert block.edited == ("alpha    beta\ngamma\nz" if force else None)
+        assert banded["f", 4].band == "needs force" and banded["f", 4].kind == "single_line"
+        assert not any(path == "g" for path, _ in banded)
     assert value(spark, corpus.eligibility(F.lit(b"x"), F.lit("a.txt"), F.lit(10**9))) == "FILE_TOO_LARGE"
 
 
-def test_similar_lines_against_brute_force(spark):
-    texts = ["the quick brown fox", "the quick brown fix", "a quick brown fox", "entirely different", "the", "", "THE QUICK BROWN FOX jumps"]
-    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(texts)], "path string, line_no int, text string")
-    q = spark.createDataFrame([(0, "the quick brown fox"), (1, "entirely different!")], "query_id int, query string")
-    got = {(r.line_no, r.query_id) for r in corpus.similar_lines(lines, q, 0.7).collect()}
-    every = lines.join(q.withColumn("one", F.lit(1)), F.lit(True)).filter(F.length("text") >= 3).withColumn("s", tx.similarity(F.lower("text"), F.lower("query"))).filter("s > 0.7")
-    assert got == {(r.line_no, r.query_id) for r in every.collect()} and len(got) >= 4
+def brute_matches(text, query, least):
+    """The five best lines and blocks of a text, straight from their definition."""
+    def like(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        longer = max(len(a), len(b))
+        return (longer - row[-1]) / longer
+
+    lines, wanted, out = text.split("\n"), query.split("\n"), []
+    for i, line in enumerate(lines):
+        for j, q in enumerate(wanted):
+            if len(line.strip()) >= 3 and len(q.strip()) >= 3 and (s := like(line.strip(), q.strip())) > least:
+                out.append((-s, 0, i + 1, j))
+    for i in range(len(lines) - len(wanted) + 1):
+        block = "\n".join(lines[i : i + len(wanted)]).strip()
+        if len(wanted) > 1 and len(block) >= 10 and (s := like(block, query.strip())) > least:
+            out.append((-s, 1, i + 1, 0))
+    return [(("single_line", "multi_line")[k], i, round(-s, 9)) for s, k, i, _ in sorted(out)[:5]]
+
+
+@pytest.mark.parametrize("least", [0.1, 0.6])
+def test_best_matches_against_brute_force(spark, least):
+    texts = {"f": "the quick brown fox\nthe quick brown fix\n a quick brown fox \nentirely different\nthe\n\nTHE QUICK BROWN FOX jumps", "g": "é\nquick\n  brown fox\nfox", "h": ""}
+    queries = ["the quick brown fox", "entirely different!", "the quick brown fix\na quick brown fix", "fox\nfo", "quick\nbrown fox"]
+    lines = corpus.lines(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    got = {}
+    for r in corpus.best_matches(lines, q, least, n_queries=len(queries)).orderBy("nth").collect():
+        got.setdefault((r.path, r.query_id), []).append((r.kind, r.line_no, round(r.similarity, 9)))
+    want = {(p, i): found for p, t in texts.items() for i, query in enumerate(queries) if (found := brute_matches(t, query, least))}
+    assert got == want and len(want) >= 4
+
+
+def test_positions_totals_and_quantiles_of_one_group(spark):
+    """A group and a table without keys are cut into ranges; nothing depends on where."""
+    rows = [("i", y, x, float((x * 7 + y * 3) % 50)) for y in range(150) for x in range(3)]
+    df = spark.createDataFrame(rows, "g string, y int, x int, v double").repartition(5)
+    got = {(r.y, r.x): r.position for r in dist.position_in(df, ["g"], ["y", "x"]).collect()}
+    assert got == {(y, x): y * 3 + x + 1 for y in range(150) for x in range(3)}
+    counts = dist.value_counts(df, [], "v")
+    bounds, n = dist.ranges_of(counts, "v", 4)
+    totals = {r.v: (r.upto, r.total, r.before) for r in dist.running_totals(counts, [], "v", bounds).collect()}
+    values = sorted(v for *_, v in rows)
+    known = sorted(set(values))
+    assert n == len(known) and len(bounds) == 3
+    assert totals == {v: (sum(w <= v for w in values), len(values), known[i - 1] if i else None) for i, v in enumerate(known)}
+    cuts = dist.exact_quantiles(df, ["g"], "v", (0.33, 0.5)).first()
+    assert (cuts.q0, cuts.q1) == pytest.approx((np.quantile(values, 0.33), np.quantile(values, 0.5)))
+
+
+def test_mapping_over_many_entries_and_whole_pipeline(spark):
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([("i", x, y, *map(int, rng.integers(0, 256, 3))) for x in range(8) for y in range(8)], schemas.PIXELS)
+    entries = [tuple(map(int, e)) for e in rng.integers(0, 256, (100, 3))]
+    for metric in ("rgb", "lab", "hsv"):
+        got = [r.idx for r in palette.nearest(p, entries, metric).orderBy("x", "y").collect()]
+        halves = [[r for r in palette.nearest(p, part, metric).withColumn("d", F.lit(0)).orderBy("x", "y").collect()] for part in (entries[:50], entries[50:])]
+        assert all(i in (a.idx, b.idx + 50) for i, a, b in zip(got, *halves, strict=True))
+    settings = {n: default for n, (default, *_) in parameters.LIMITS.items()}
+    plain = palette.map_image(p, entries[:4], settings)
+    assert {(r.r, r.g, r.b) for r in plain.collect()} <= set(entries[:4])
+    full = palette.map_image(p, entries[:4], settings | {"dither": True, "preserve_extremes": True, "edge_blur": True, "median": True})
+    assert full.count() == 64 and all(0 <= v <= 255 for r in full.collect() for v in (r.r, r.g, r.b))
 
 
 def test_globs(spark):

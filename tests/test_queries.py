@@ -3,9 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
-from tessera.plans import registry
+from tessera.operators import palette
+from tessera.plans import pixel_tables, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,6 +38,44 @@ def test_against_sql(spark, db, name):
     assert sorted(tuple(norm(r[c]) for c in columns) for r in df.collect()) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+def colours(rows):
+    return {(r.r, r.g, r.b) for r in rows}
+
+
+def test_palettes(spark):
+    """k centres, whose cost is no worse than that of one restart; boxes of the median cut; only mapped colours before blending."""
+    p = pixel_tables.pixels(spark, SF)
+    points = np.array([(r.r, r.g, r.b) for r in p.select("r", "g", "b").collect()], float)
+    cost = lambda centres: ((points[:, None] - np.array(centres, float)[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    best = sorted(colours(registry.QUERIES["kmeans_palette"](spark, SF).collect()))
+    assert len(best) == 8 and cost(best) <= 1.01 * cost(palette.kmeans_palette(p, 8, seeds=(42,)))
+    cut = registry.QUERIES["median_cut_palette"](spark, SF).collect()
+    assert len(cut) == 8 and all(0 <= v <= 255 for r in cut for v in (r.r, r.g, r.b)) and cost(colours(cut)) < cost([points.mean(axis=0)])
+
+
+def test_palette_pipeline(spark):
+    out = registry.QUERIES["palette_pipeline"](spark, SF)
+    assert out.count() == pixel_tables.pixels(spark, SF).count() and out.filter("r < 0 OR r > 255 OR g < 0 OR g > 255 OR b < 0 OR b > 255").isEmpty()
+
+
+def test_similarity_and_edits(spark):
+    """Ranks without gaps and falling similarities; bands that fit the similarity; what is applied is edited."""
+    found = registry.QUERIES["similarity_top5"](spark, SF).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault((r.path, r.query_id), []).append((r.nth, -r.similarity))
+    assert groups and all(sorted(g) == sorted(g, key=lambda x: x[1]) and [n for n, _ in sorted(g)] == list(range(1, len(g) + 1)) and len(g) <= 5 for g in groups.values())
+    edits = registry.QUERIES["fuzzy_edit"](spark, SF).collect()
+    assert {r.band for r in edits} >= {"exact"}
+    for r in edits:
+        assert r.band == "exact" or r.band == ("apply" if r.similarity >= 0.98 else "needs force" if r.similarity >= 0.85 else "diagnose")
+        assert (r.edited is not None) == r.applied
+
+
+def test_window_edits(spark):
+    out = registry.QUERIES["window_edits"](spark, SF).collect()
+    assert len(out) == 200 and {r.status for r in out} <= {"OK", "NO_MATCH", "NO_MATCH_FOUND"}
+
+
+def test_every_query_without_sql_is_tested():
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans_palette", "median_cut_palette", "palette_pipeline", "similarity_top5", "fuzzy_edit", "window_edits"}

@@ -53,6 +53,18 @@ def test_running_health_changes_status(spark, tmp_path):
     assert got[-1].status == "critical" and got[-1].errors == 17 and list(got[-1].last_errors) == list(range(10, 20))
 
 
+def test_running_health_over_several_micro_batches(spark, tmp_path):
+    """The last row of an algorithm has the counts of all micro-batches, also where its status did not change."""
+    for i in range(4):
+        rows = [("a", True, dt.datetime(2024, 1, 1, i, 0), 2 * i), ("a", i != 3, dt.datetime(2024, 1, 1, i, 1), 2 * i + 1), ("b", True, dt.datetime(2024, 1, 1, i, 2), 100 + i)]
+        spark.createDataFrame(rows, "algorithm_id string, success boolean, ts timestamp, event_id long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/m")
+    stream = spark.readStream.schema("algorithm_id string, success boolean, ts timestamp, event_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/m")
+    got = []
+    jobs.run_available(jobs.running_algorithm_health(stream), f"{tmp_path}/c", lambda b, _: got.extend(b.collect()))
+    last = {r.algorithm_id: (r.calls, r.errors, r.status) for r in sorted(got, key=lambda r: r.calls)}
+    assert last == {"a": (8, 1, "healthy"), "b": (4, 0, "healthy")} and sum(r.changed for r in got) == 2
+
+
 def test_breakdown_and_config(spark):
     found = spark.createDataFrame([("text",), ("text",), ("symbol",)], "source string")
     assert {r.source: r.n for r in corpus.search_breakdown(found).collect()} == {"text": 2, "symbol": 1}
