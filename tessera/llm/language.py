@@ -26,6 +26,8 @@ from tessera.llm.texts import held, slices
 
 #: Labelled documents of each language that a model is fitted on, at most: the first by hash of the id.
 SAMPLE = 250
+#: Characters of a sampled document that a model is fitted on, at most; every document is scored whole.
+SAMPLE_CHARS = 20_000
 #: Languages that are broadcast and scored at once; more are scored in several passes.
 BLOCK_LANGUAGES = 64
 #: Rows of sampled ids up to which they are broadcast to find the texts.
@@ -181,8 +183,8 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> DataFrame:
-    """(lang, p): piece probabilities of every language, from at most ``sample`` labelled documents of each that are not held out."""
+def fit_languages(docs: DataFrame, pieces: list[str], sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, p): piece probabilities of every language, from at most ``sample`` labelled documents of each that are not held out, and ``sample_chars`` of each."""
     spark = docs.sparkSession
     labelled = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -193,7 +195,7 @@ def fit_languages(docs: DataFrame, pieces: list[str], sample: int = SAMPLE) -> D
     # Repeated ids are cut to the sample again.
     texts = docs.select("doc_id", "lang", "text").filter(F.col("text").isNotNull()).join(chosen, ["doc_id", "lang"])
     texts = texts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("nth") <= sample)
-    grouped = texts.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    grouped = texts.groupBy("lang").agg(F.sort_array(F.collect_list(F.substring("text", 1, sample_chars))).alias("texts"))
     shared = spark.sparkContext.broadcast(pieces)
 
     def fit_each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,7 +222,10 @@ class Scorer:
         self.scores = np.concatenate([self.scores, *new])
 
     def predict(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
-        """Of each text the most probable language, its log-probability, and the sum of all probabilities over its own.
+        """Of each text the most probable language, its mean log-probability of a word, and the sum of all over its own.
+
+        Languages are compared by the probability of a word on average, which ranks them as the product over all words
+        does; the product itself would tell any long text for certain.
 
         The language of a text without words is null.
         """
@@ -233,7 +238,7 @@ class Scorer:
             if not words:
                 out.append((None, 0.0, 1.0))
                 continue
-            total = self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            total = self.scores[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].mean(axis=0)
             best = int(total.argmax())
             out.append((self.languages[best], float(total[best]), float(np.exp(total - total[best]).sum())))
         return out
@@ -244,17 +249,17 @@ def scorer_of(key: str, shared) -> Scorer:
     return held(f"scorer {key}", lambda: Scorer(*shared.value))
 
 
-def identify(docs: DataFrame, path: str, sample: int = SAMPLE, keep: bool = False) -> DataFrame:
+def identify(docs: DataFrame, path: str, sample: int = SAMPLE, keep: bool = False, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """The language of every whole text of ``docs`` (doc_id, text, lang), learned from its own labelled rows.
 
     Returns one row (doc_id, held_out, lang_pred, score) for each row: the most probable of the learned languages
-    and its posterior under equal priors. A text that is null or has no letter is ``und`` with score 0, as is any
+    and its posterior under equal priors for a word of the text on average. A text that is null or has no letter is ``und`` with score 0, as is any
     text if nothing is labelled. ``lang`` and ``doc_id`` only choose the rows to learn from. Ties go to the first
     language by name. Null and repeated ids are rows like any other; other columns are ignored. With ``keep`` the
     rows are those of ``docs`` with lang_pred and score added.
     """
     pieces = vocabulary(path)
-    models = fit_languages(docs, pieces, sample)
+    models = fit_languages(docs, pieces, sample, sample_chars)
     spark = docs.sparkSession
     languages = [r.lang for r in models.select("lang").orderBy("lang").collect()]
     blocks = [languages[i : i + BLOCK_LANGUAGES] for i in range(0, len(languages), BLOCK_LANGUAGES)]

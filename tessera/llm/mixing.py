@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,18 +144,30 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as many times as :func:`mix_copies` says, columns unchanged."""
+    """The mix itself: the rows of ``docs``, each as many times as :func:`mix_copies` says, columns unchanged.
+
+    Rows of equal id, source and size share their unit's copies in the order of the parts of the input and, within a
+    part, of a hash of the text; which of such rows is first is settled by that alone. A null id or source is a value
+    like any other. Rows without words are taken as often as every row of their source is. Very long texts count by
+    their words. An empty table gives no rows.
+    """
+    unit = ("id_", "source_", "size_")
     copies = mix_copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = materialise(copies, "mix-copies")
     sized = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.spark_partition_id().alias("part_"),
         docs["doc_id"].alias("id_"), docs["source"].alias("source_"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size_"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
-    joined = sized.join(copies, same).select("row", "id_", "source_", "size_", "copies", "rows")
-    # Rows that share a unit are told apart by their number in it; units of one row, nearly all, need none.
-    within = Window.partitionBy("id_", "source_", "size_").orderBy(F.xxhash64("row.text"))
-    nth = F.row_number().over(within) - 1
+    joined = sized.join(copies, same).select("row", "part_", *unit, "copies", "rows")
+    # Units of one row, nearly all, need no numbers. Rows of a larger unit are numbered within each part of the input,
+    # on from what the parts before hold, so a unit of any share of all rows is many tasks' work.
     one = joined.filter("rows = 1").select("row", F.col("copies").alias("times"))
-    many = joined.filter("rows > 1").select("row", (F.floor(F.col("copies") / F.col("rows")) + (nth < F.col("copies") % F.col("rows")).cast("long")).alias("times"))
-    repeated = one.unionByName(many).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    many = joined.filter("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy(*unit, "part_").orderBy(F.xxhash64("row.text"))) - 1)
+    held = sized.drop("row").join(copies.filter("rows > 1").select("doc_id", "source", "size"), same, "left_semi").groupBy(*unit, "part_").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(*unit).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*[F.col(c).alias(f"{c}of") for c in (*unit, "part_")], before.alias("before"))
+    many = many.join(held, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}of")) for c in (*unit, "part_")]))
+    taken = F.floor(F.col("copies") / F.col("rows")) + (F.col("before") + F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
+    repeated = one.unionByName(many.select("row", taken.alias("times"))).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     return repeated.select("row.*")

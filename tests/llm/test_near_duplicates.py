@@ -1,9 +1,11 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from tessera.llm import near_duplicates as nd
+from tessera.llm import scratch
 from tessera.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string"
@@ -105,3 +107,10 @@ def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     out = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert {out[i] for i in range(41)} == {0} and out[100] == out[101] == 100
+
+
+def test_intermediate_tables_can_be_removed(spark, tmp_path):
+    df = scratch.materialise(spark.range(5).toDF("n"), "some")
+    assert df.count() == 5
+    path = scratch._WRITTEN[-1].split("://")[1]
+    assert Path(path).exists() and scratch.remove_tables(spark) >= 1 and not Path(path).exists() and not scratch._WRITTEN

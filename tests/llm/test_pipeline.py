@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tessera.llm.byte_bpe import encode_documents
@@ -63,6 +64,12 @@ def test_stages_against_brute_force(spark, folder):
     assert encode_documents.__name__ and all(len(r.ids) == r.n_tokens > 0 for r in encoded.collect())
 
 
+def test_extra_columns_are_left_out_of_the_run(spark, folder, tmp_path):
+    path, rows = folder
+    spark.read.parquet(f"{path}/documents.parquet").withColumns({"row": F.lit(1), "size": F.lit("x"), "component_id": F.lit(2)}).write.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 50
+
+
 def words(rng, n):
     return " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
 
@@ -98,6 +105,37 @@ def test_near_duplicates_against_five_word_brute_force(spark):
     assert not any(2 * g + 1 in want for g in range(6))
 
 
+def test_mix_of_one_unit_over_many_parts(spark):
+    """Rows of equal id, source and size share their copies whatever the part of the input that they are in."""
+    rows = [(None, "one two three" if i % 2 else "four five six", "en", None, 13) for i in range(60)] + [(1, "a b", "en", "a", 3), (2, None, "en", "a", 0), (3, "", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    mixed = cp.mix_stage(spark, docs, "").collect()
+    want = {None: 0, "a": 0}
+    sizes = {}
+    for _, t, _, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    for r in mixed:
+        want[r.source] += size(r.text)
+    for s, t in targets(sizes).items():
+        assert abs(want[s] - t) <= 3
+    times = {}
+    for r in mixed:
+        times[r.text] = times.get(r.text, 0) + 1
+    assert times["one two three"] + times["four five six"] == round(want[None] / 3)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in cp.STAGES])
+def test_stages_of_empty_and_odd_tables(spark, stage):
+    """An empty table gives none; very long, empty and null texts, null and repeated ids and repeated rows crash no stage."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    fn = dict(cp.STAGES)[stage]
+    assert fn(spark, spark.createDataFrame([], schema), "").count() == 0
+    long = "some words and others stand here " * 20_000
+    rows = [(1, "the house of green water", "en", "a", 24)] * 3 + [(None, long, "en", None, len(long)), (None, None, None, None, None), (7, "", "de", "b", 0), (7, "das haus ist grün und alt", "de", "b", 25)]
+    out = fn(spark, spark.createDataFrame(rows, schema).repartition(2), "")
+    assert out.count() > 0 and (stage == "encode" or out.columns == cp.COLUMNS)
+
+
 def test_run(spark, folder):
     out = cp.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
