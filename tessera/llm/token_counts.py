@@ -1,14 +1,19 @@
 """Exact token counts by a compiled finite-state transducer whose chunk state maps compose.
 
-The tokenizer is compiled, not called. Its pre-tokenizer never joins characters across white space, so white
-space brings the transducer back to its start state. Between two such resets it reads one word; the compiled
-transition from the start state over that word to the start state is annotated with the number of tokens that
-it emits, found once by running the merge table over all new words of a batch together.
-
-A chunk of a text maps a state to a state and a count. Because white space resets, that map is fully given by
-three values: what stands before the first reset (it continues whatever word the previous chunk left open), the
-tokens emitted between the first and the last reset, and what stands after the last reset. Such maps compose
-associatively, so long texts are cut into chunks, counted anywhere, and joined by a prefix scan in pairs.
+The tokenizer is compiled, not called. The transducer reads the bytes of a piece of the pre-tokenizer, the last one
+marked as such, and goes back to its start state there. A state has, for each place where a token that is still being
+read may have begun, what that token has so far, the token that ends before it, and how many tokens stand before it,
+counted from the least; a transition emits what that least number grows by. Which token ends at a place is decided by
+pairs: tokens are the encoding of a text if and only if each pair of neighbours, taken alone, is encoded as that pair,
+because up to the first merge across a border the least merges by rank and place inside a pair are the same in the text
+and in the pair alone. There are finitely many states, as a token has a longest length; states and transitions are
+compiled when they are first met, and the state map of a whole word, from the start state to itself, is kept as well.
+
+White space, and places beside ASCII digits and punctuation that no special string holds, bring the transducer back to
+its start state whatever stands around them: they are resets. So a chunk of a text maps a state to a state and a count
+by three values: what stands before its first reset (it continues whatever the chunk before left open), the tokens
+emitted between the first and the last reset, and what stands after the last. Such maps compose associatively: long
+texts are cut into chunks, which are dealt over tasks and composed in a tree of FAN maps a node.
 """
 
 from __future__ import annotations
@@ -17,18 +22,21 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.scratch import materialise, partitions
 from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 
 #: Texts of more characters are cut into chunks of so many.
 CHUNK = 32_768
-#: Compiled transitions that a worker keeps; beyond, it starts compiling anew.
-MOST_TRANSITIONS = 400_000
+#: Maps of chunks that compose in one group.
+FAN = 64
+LAST, SYMBOLS, EMITTED = 256, 512, 1024
+#: Compiled transitions and states, words and pairs that a worker keeps; beyond, it starts anew.
+MOST_TRANSITIONS, MOST_STATES, MOST_WORDS, MOST_PAIRS = 800_000, 150_000, 300_000, 400_000
 _SPACE = str.maketrans(dict.fromkeys(WHITE_SPACE, " "))
 #: Control characters that Python's split() takes for white space and the tokenizer does not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -39,7 +47,7 @@ def _odd(text: str) -> bool:
 
 
 class Transducer:
-    """Tokens emitted on the way from the start state over a word back to the start state, compiled on demand."""
+    """States and transitions over bytes of a piece, with the number of tokens that each transition emits."""
 
     def __init__(self, path: str):
         spec = json.loads(file_bytes(path))
@@ -49,93 +57,115 @@ class Transducer:
         #: Strings that the tokenizer takes for one token wherever they stand in a text as given.
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)").split
-        self.end = model["end_of_word_suffix"]
+        end = model["end_of_word_suffix"]
         self.size = 1 + max(vocab.values())
         shown = _byte_characters()
-        self.inner = np.array([vocab[shown[b]] for b in range(256)], np.int64)
-        self.final = np.array([vocab[shown[b] + self.end] for b in range(256)], np.int64)
-        pairs = [(vocab[a] * self.size + vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])]
-        pairs.sort()
-        self.pair_keys = np.array([p[0] for p in pairs], np.int64)
-        self.pair_ranks = np.array([p[1] for p in pairs], np.int64)
-        self.pair_ids = np.array([p[2] for p in pairs], np.int64)
+        byte_of = {c: b for b, c in enumerate(shown)}
+        #: Symbols are bytes, and bytes + LAST for the last of a piece.
+        self.symbol_ids = [vocab[c] for c in shown] + [vocab[c + end] for c in shown]
+        self.merges = {vocab[a] * self.size + vocab[b]: (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        self.symbols: dict[int, tuple[int, ...]] = {}
+        #: The tree of all tokens by symbols: child by node * SYMBOLS + symbol, token by node.
+        self.child: dict[int, int] = {}
+        self.token = [-1]
+        self.inner: set[int] = set()
+        for name, number in vocab.items():
+            last = name.endswith(end) and len(name) > len(end)
+            text = name[: -len(end)] if last else name
+            if not all(c in byte_of for c in text):
+                continue  # special strings are no tokens of pieces
+            symbols = [byte_of[c] for c in text]
+            symbols[-1] += LAST * last
+            self.symbols[number] = tuple(symbols)
+            node = 0
+            for x in symbols:
+                self.inner.add(node)
+                at = node * SYMBOLS + x
+                if at not in self.child:
+                    self.child[at] = len(self.token)
+                    self.token.append(-1)
+                node = self.child[at]
+            self.token[node] = number
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        """Only the start state, without transitions."""
+        self.states: list[tuple[tuple[int, int, int], ...]] = [((0, -1, 0),)]
+        self.numbers = {self.states[0]: 0}
+        #: By state * SYMBOLS + symbol: the next state * EMITTED + tokens emitted.
+        self.transitions: dict[int, int] = {}
 
     def trim(self) -> None:
-        """Start anew where too many transitions are kept."""
-        for table in (self.words, self.known):
-            if len(table) > MOST_TRANSITIONS:
+        """Start anew where too much is kept."""
+        if len(self.transitions) > MOST_TRANSITIONS or len(self.states) > MOST_STATES:
+            self.restart()
+        for table, most in ((self.words, MOST_WORDS), (self.pairs, MOST_PAIRS)):
+            if len(table) > most:
                 table.clear()
 
+    def encoded(self, symbols: Iterable[int]) -> list[int]:
+        """The tokens of a few symbols: the leftmost pair of lowest rank merges until none does."""
+        ids = [self.symbol_ids[x] for x in symbols]
+        while True:
+            found = [(m[0], i, m[1]) for i in range(len(ids) - 1) if (m := self.merges.get(ids[i] * self.size + ids[i + 1]))]
+            if not found:
+                return ids
+            _, i, merged = min(found)
+            ids[i : i + 2] = [merged]
+
+    def holds(self, before: int, token: int) -> bool:
+        """Whether a token stays as it is behind another one; at the start of a piece (-1), whether it does at all."""
+        key = before * self.size + token
+        if key not in self.pairs:
+            want = [token] if before < 0 else [before, token]
+            self.pairs[key] = self.encoded(x for t in want for x in self.symbols[t]) == want
+        return self.pairs[key]
+
+    def compile(self, state: int, symbol: int) -> int:
+        """The transition from a state by a symbol."""
+        reading, ends = [], None
+        for node, before, count in self.states[state]:
+            at = self.child.get(node * SYMBOLS + symbol)
+            if at is None:
+                continue
+            if at in self.inner:
+                reading.append((at, before, count))
+            token = self.token[at]
+            if ends is None and token >= 0 and self.holds(before, token):
+                ends = (token, count + 1)
+        token, count = ends
+        if symbol >= LAST:
+            to, emitted = 0, count
+        else:
+            reading.append((0, token, count))
+            emitted = min(c for _, _, c in reading)
+            key = tuple((n, t, c - emitted) for n, t, c in reading)
+            to = self.numbers.setdefault(key, len(self.states))
+            if to == len(self.states):
+                self.states.append(key)
+        made = to * EMITTED + emitted
+        self.transitions[state * SYMBOLS + symbol] = made
+        return made
+
+    def run(self, piece: str) -> int:
+        """Tokens that are emitted on the way over a piece."""
+        raw = piece.encode()
+        get, state, total = self.transitions.get, 0, 0
+        for x in raw[:-1]:
+            made = get(state * SYMBOLS + x)
+            if made is None:
+                made = self.compile(state, x)
+            state = made // EMITTED
+            total += made % EMITTED
+        made = get(state * SYMBOLS + raw[-1] + LAST)
+        return total + (self.compile(state, raw[-1] + LAST) if made is None else made) % EMITTED
+
     def annotate(self, words: Iterable[str]) -> None:
-        """Compile the transitions over the given words."""
-        split = {w: self.pieces(w) for w in words}
-        new = {p for pieces in split.values() for p in pieces if p not in self.known}
-        for width in (8, 16, 32, 64):
-            group = [p for p in new if len(p.encode()) <= width]
-            new.difference_update(group)
-            for i in range(0, len(group), 20_000):
-                self.known.update(zip(group[i : i + 20_000], self.merge(group[i : i + 20_000], width), strict=True))
-        for p in new:
-            self.known[p] = self.merge_long(p)
-        for w, pieces in split.items():
-            self.words[w] = sum(map(self.known.__getitem__, pieces))
-
-    def merge(self, pieces: list[str], width: int) -> list[int]:
-        """Tokens of each piece: all pieces contract their leftmost pair of lowest rank in step, until none has one."""
-        raw = [p.encode() for p in pieces]
-        ids = np.full((len(raw), width), -1, np.int64)
-        for i, b in enumerate(raw):
-            ids[i, : len(b)] = self.inner[np.frombuffer(b, np.uint8)]
-            ids[i, len(b) - 1] = self.final[b[-1]]
-        lengths = np.array([len(b) for b in raw], np.int64)
-        done = lengths.copy()
-        rows = np.arange(len(raw))
-        none = len(self.pair_ranks)
-        while len(rows):
-            key = ids[:, :-1] * self.size + ids[:, 1:]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), none - 1)
-            rank = np.where((self.pair_keys[at] == key) & (ids[:, 1:] >= 0), self.pair_ranks[at], none)
-            best = rank.argmin(axis=1)
-            live = rank[np.arange(len(best)), best] < none
-            done[rows[~live]] = lengths[~live]
-            rows, ids, lengths, best, at = rows[live], ids[live], lengths[live], best[live], at[live]
-            if len(rows):
-                n = np.arange(len(rows))
-                merged = self.pair_ids[at[n, best]]
-                later = np.arange(ids.shape[1] - 1)[None, :] > best[:, None]
-                ids[:, :-1] = np.where(later, ids[:, 1:], ids[:, :-1])
-                ids[:, -1] = -1
-                ids[n, best] = merged
-                lengths = lengths - 1
-                if (top := int(lengths.max())) < ids.shape[1] - 1:
-                    ids = ids[:, : max(2, top)]
-        return done.tolist()
-
-    def merge_long(self, piece: str) -> int:
-        """The same for one long piece: every occurrence of the lowest rank is contracted, left to right, in each step.
-
-        A pair that a contraction makes ranks after the pair that was contracted, as its merge was learned later.
-        """
-        b = np.frombuffer(piece.encode(), np.uint8)
-        ids = self.inner[b]
-        ids[-1] = self.final[b[-1]]
-        none = len(self.pair_ranks)
-        while len(ids) > 1:
-            key = ids[:-1] * self.size + ids[1:]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), none - 1)
-            rank = np.where(self.pair_keys[at] == key, self.pair_ranks[at], none)
-            low = rank.min()
-            if low == none:
-                break
-            places = np.flatnonzero(rank == low)
-            first = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) > 1, np.arange(len(places)), 0))
-            places = places[(np.arange(len(places)) - first) % 2 == 0]
-            ids = ids.copy()
-            ids[places] = self.pair_ids[at[places[0]]]
-            ids = np.delete(ids, places + 1)
-        return len(ids)
+        """The state maps of whole words."""
+        for w in words:
+            self.words[w] = sum(map(self.run, self.pieces(w)))
 
     def resets(self, text: str) -> list[str]:
         """The words between white space of a text, normalised; a final sigma is not treated apart."""
@@ -169,7 +199,10 @@ def _count(machine: Transducer, texts: list[str]) -> list[int]:
     return [sum(map(emitted, words)) + len(p) - 1 for words, p in zip(split, parts, strict=True)]
 
 
-_EDGE = regex.compile("[" + WHITE_SPACE + "]")
+# Of characters that stand in no special string and in no contraction: white space, and the places beside ASCII digits
+# and punctuation where a piece ends whatever else the text holds.
+_PUNCTUATION = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"
+_EDGE = regex.compile(f"[{WHITE_SPACE}]|(?<=[0-9])(?=[\\x21-\\x7e])|(?<=[^{WHITE_SPACE}])(?=[0-9])|(?<=[{_PUNCTUATION}])(?=[A-Za-z])|(?<=[A-Za-z])(?=[{_PUNCTUATION}])")
 
 
 def chunk_map(text: str) -> tuple[str, str | None, str]:
@@ -177,35 +210,38 @@ def chunk_map(text: str) -> tuple[str, str | None, str]:
     first = _EDGE.search(text)
     if not first:
         return text, None, ""
-    last = max(text.rfind(c) for c in WHITE_SPACE)
-    return text[: first.start()], text[first.start() : last + 1], text[last + 1 :]
+    # The last reset is looked for in ever longer ends of the chunk.
+    reach, last = 256, None
+    while last is None:
+        for last in _EDGE.finditer(text, max(first.start(), len(text) - reach)):
+            pass
+        reach *= 8
+    return text[: first.start()], text[first.start() : last.end()], text[last.end() :]
 
 
 def compose(machine: Transducer, maps: list[tuple[str, int | None, str]]) -> tuple[str, int | None, str]:
-    """The map of consecutive chunks: neighbours compose in pairs, level by level, as in a prefix scan."""
-    while len(maps) > 1:
-        joined = []
-        for i in range(0, len(maps) - 1, 2):
-            (head, n, tail), (head2, n2, tail2) = maps[i], maps[i + 1]
-            if n is None and n2 is None:
-                joined.append((head + head2, None, ""))
-            elif n is None:
-                joined.append((head + head2, n2, tail2))
-            elif n2 is None:
-                joined.append((head, n, tail + head2))
-            else:
-                joined.append((head, n + n2 + _count(machine, [tail + head2])[0], tail2))
-        maps = joined + maps[len(maps) // 2 * 2 :]
-    return maps[0]
+    """The map of consecutive chunks."""
+    head, inner, tail = maps[0]
+    open_ = [head] if inner is None else [tail]
+    for head2, inner2, tail2 in maps[1:]:
+        open_.append(head2)
+        if inner2 is None:
+            continue
+        if inner is None:
+            head, inner = "".join(open_), inner2
+        else:
+            inner += inner2 + _count(machine, ["".join(open_)])[0]
+        open_ = [tail2]
+    return ("".join(open_), None, "") if inner is None else (head, inner, "".join(open_))
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """UTF-8 bytes and tokens of every whole text of ``docs``, as the tokenizer file at ``path`` counts them.
 
     Returns one row (id, n_bytes, n_tokens) for each row of ``docs``. Null and empty texts have no tokens. Texts
-    longer than ``chunk`` are cut into chunks that are counted as rows of their own, wherever they land, and
-    composed by number; only their short state maps are shuffled. Null and repeated ids are rows like any other;
-    other columns are ignored. An empty table gives no rows.
+    longer than ``chunk`` are cut into chunks, which are dealt over all tasks; their state maps, short unless a text
+    has no reset for long, are composed FAN at a time, level by level. Equal texts have equal counts; null and repeated
+    ids are rows like any other; other columns are ignored. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     # Nearly all texts are one chunk: their map ends at the edges of the text and needs no composition.
@@ -232,16 +268,27 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def join_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            totals = []
-            for maps in batch.column(2).to_pylist():
-                head, inner, tail = compose(machine, [(m["head"], m["inner"], m["tail"]) for m in maps])
-                totals.append((inner or 0) + sum(_count(machine, [head, tail])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            joined = [compose(machine, [(m["head"], m["inner"], m["tail"]) for m in maps]) for maps in batch.column("maps").to_pylist()]
+            values = [pa.array([j[i] for j in joined], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "n_bytes", "nth")], *values], ["row", "doc_id", "n_bytes", "nth", "head", "inner", "tail"])
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = transducer(path)
+        for b in batches:
+            ends = _count(machine, [x or "" for c in ("head", "tail") for x in b.column(c).to_pylist()])
+            totals = [(n or 0) + ends[i] + ends[b.num_rows + i] for i, n in enumerate(b.column("inner").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(totals, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     out = f"doc_id {kind}, n_bytes bigint, n_tokens bigint"
     counted = short.mapInArrow(count_whole, out)
     starts = F.sequence(F.lit(1), F.length("text"), F.lit(chunk))
-    chunks = long.select("row", "doc_id", "n_bytes", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(chunk)))).alias("nth", "text"))
-    maps = chunks.mapInArrow(map_chunks, f"row bigint, doc_id {kind}, n_bytes bigint, nth int, head string, inner bigint, tail string")
-    ordered = maps.groupBy("row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("nth", "head", "inner", "tail"))).alias("maps"))
-    return counted.unionByName(ordered.select("doc_id", "n_bytes", "maps").mapInArrow(join_maps, out))
+    cut = long.select("row", "doc_id", "n_bytes", F.posexplode(F.transform(starts, lambda s: F.substring(F.col("text"), s, F.lit(chunk)))).alias("nth", "text"))
+    schema = f"row bigint, doc_id {kind}, n_bytes bigint, nth int, head string, inner bigint, tail string"
+    cut = cut.repartition(partitions(docs.sparkSession), "row", "nth")
+    maps = materialise(cut.mapInArrow(map_chunks, schema), "chunk-maps")
+    chunks = (maps.agg(F.max("nth")).first()[0] or 0) + 1
+    while chunks > 1:
+        node = F.floor(F.col("nth") / FAN).cast("int").alias("nth")
+        level = maps.groupBy("row", "doc_id", "n_bytes", node).agg(F.sort_array(F.collect_list(F.struct(F.col("nth").alias("at"), "head", "inner", "tail"))).alias("maps"))
+        maps, chunks = materialise(level.mapInArrow(join_maps, schema), "chunk-maps"), -(-chunks // FAN)
+    return counted.unionByName(maps.mapInArrow(close, out))
