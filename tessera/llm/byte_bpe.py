@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 
-#: Encoded runs that a worker keeps; beyond, it starts anew.
-MOST_RUNS = 400_000
-#: Bytes of new words that one recursive query takes.
-QUERY_BYTES = 400_000
+#: Encoded runs, and words, that make a generation; a worker keeps two, so that what it meets often stays.
+MOST_RUNS = 150_000
+#: Rows that one recursive query makes, about: a string of n bytes has n in the first step, and one less in each.
+QUERY_ROWS = 1_000_000
 #: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
 PART, AROUND = 64, 8
 #: Pairs of tokens whose border was looked at that a worker keeps.
@@ -65,6 +65,29 @@ FROM encoded e JOIN vocab v ON v.tok = e.tok GROUP BY e.word
 """
 
 
+def _rows(raw: bytes) -> int:
+    return len(raw) * (len(raw) + 1) // 2
+
+
+class Generations(dict):
+    """What was met last, and behind it the generation before, of MOST_RUNS entries or somewhat more each."""
+
+    def __init__(self) -> None:
+        self.before: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > MOST_RUNS:
+            self.before = dict(self)
+            self.clear()
+
+    def missing(self, wanted: set) -> set:
+        """What of ``wanted`` neither generation has; what the one before has comes to the front."""
+        absent = {w for w in wanted if w not in self}
+        old = {w for w in absent if w in self.before}
+        self.update((w, self.before[w]) for w in old)
+        return absent - old
+
+
 class ByteBpe:
     """The rank file at ``path`` as DuckDB tables, with the runs that this worker has met."""
 
@@ -77,7 +100,7 @@ class ByteBpe:
         a, b, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self.bytes_of = {r: t for t, r in ranks.items()}
         # Batches are small enough to stay in memory; nothing is spilled to a folder.
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         self.db.register("m", pa.table({"a": a, "b": b, "rank": rank}))
         self.db.execute("CREATE TABLE merges AS SELECT a, b, CAST(rank AS BIGINT) AS rank FROM m")
         self.db.register("v", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "name": list(map(str, ranks.values())), "hex": [t.hex() for t in ranks]}))
@@ -85,8 +108,7 @@ class ByteBpe:
         self.db.unregister("m")
         self.db.unregister("v")
         #: Ids of words and of runs, joined by blanks, with the bytes that they decode to.
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.runs: dict[str, tuple[str, bytes]] = {}
+        self.words, self.runs = Generations(), Generations()
         self.holds: dict[tuple[int, int], bool] = {}
 
     def encode_words(self, words: list[str]) -> None:
@@ -95,8 +117,8 @@ class ByteBpe:
         raw = [w.encode() for w in words]
         while begin < len(words):
             end, size = begin, 0
-            while end < len(words) and (size == 0 or size + len(raw[end]) <= QUERY_BYTES):
-                size += len(raw[end])
+            while end < len(words) and (size == 0 or size + min(_rows(raw[end]), PART * len(raw[end])) <= QUERY_ROWS):
+                size += min(_rows(raw[end]), PART * len(raw[end]))
                 end += 1
             self._encode(words[begin:end], raw[begin:end])
             begin = end
@@ -129,9 +151,13 @@ class ByteBpe:
         """The tokens of each string of bytes, which are short; equal ones are encoded once."""
         each = dict.fromkeys(raw)
         found: list[list[int]] = []
-        step = max(1, QUERY_BYTES // PART)
-        for lo in range(0, len(each), step):
-            part = list(each)[lo : lo + step]
+        every, lo = list(each), 0
+        while lo < len(every):
+            hi, rows = lo, 0
+            while hi < len(every) and (hi == lo or rows + _rows(every[hi]) <= QUERY_ROWS):
+                rows += _rows(every[hi])
+                hi += 1
+            part, lo = every[lo:hi], hi
             self._contract(part, np.arange(len(part), dtype=np.int32))
             rows = self.db.sql("SELECT list(tok ORDER BY pos) AS ids FROM encoded GROUP BY word ORDER BY word").to_arrow_table()
             found += rows.column("ids").to_pylist()
@@ -180,12 +206,9 @@ class ByteBpe:
 
     def learn(self, runs: set[str]) -> None:
         """Encode runs of the text; the pattern never matches across the borders of runs."""
-        if len(self.runs) > MOST_RUNS:
-            self.runs.clear()
-        if len(self.words) > MOST_RUNS:
-            self.words.clear()
         split = {r: self.matches(r) for r in runs}
-        new = {w for words in split.values() for w in words} - self.words.keys()
+        self.words.turn()
+        new = self.words.missing({w for words in split.values() for w in words})
         self.encode_words(sorted(new, key=len))
         for run, words in split.items():
             if len(words) == 1:
@@ -206,9 +229,8 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
     """(ids joined by blanks, decoded bytes) of each text."""
     split = [_RUN.findall(t) for t in texts]
-    seen = {r for runs in split for r in runs}
-    new = seen if len(bpe.runs) > MOST_RUNS else seen - bpe.runs.keys()
-    if new:
+    bpe.runs.turn()
+    if new := bpe.runs.missing({r for runs in split for r in runs}):
         bpe.learn(new)
     out = []
     for runs in split:

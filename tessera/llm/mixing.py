@@ -143,6 +143,10 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     return with_source(rows.select("source", "doc_id", "size", share_of_row.alias("copies"))).select("doc_id", "source", "size", "copies", "source_size", "target")
 
 
+#: Units of several rows up to which they are broadcast.
+BROADCAST_UNITS = 50_000
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as :func:`mix_copies` says, columns unchanged.
 
@@ -159,12 +163,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         docs["doc_id"].alias("id_"), docs["source"].alias("source_"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size_"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
-    joined = sized.join(copies, same).select("row", "part_", *unit, "copies", "rows")
+    shared = copies.filter("rows > 1")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_UNITS else shared
+    joined = lambda units: sized.join(units, same).select("row", "part_", *unit, "copies", "rows")
     # Units of one row, nearly all, need no numbers. Rows of a larger unit are numbered within each part of the input,
     # on from what the parts before hold, so a unit of any share of all rows is many tasks' work.
-    one = joined.filter("rows = 1").select("row", F.col("copies").alias("times"))
-    many = joined.filter("rows > 1").withColumn("nth", F.row_number().over(Window.partitionBy(*unit, "part_").orderBy(F.xxhash64("row.text"))) - 1)
-    held = sized.drop("row").join(copies.filter("rows > 1").select("doc_id", "source", "size"), same, "left_semi").groupBy(*unit, "part_").agg(F.count("*").alias("held"))
+    one = joined(copies.filter("rows = 1")).select("row", F.col("copies").alias("times"))
+    many = joined(shared).withColumn("nth", F.row_number().over(Window.partitionBy(*unit, "part_").orderBy(F.xxhash64("row.text"))) - 1)
+    held = sized.drop("row").join(shared.select("doc_id", "source", "size"), same, "left_semi").groupBy(*unit, "part_").agg(F.count("*").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy(*unit).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.select(*[F.col(c).alias(f"{c}of") for c in (*unit, "part_")], before.alias("before"))
     many = many.join(held, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}of")) for c in (*unit, "part_")]))

@@ -97,3 +97,9 @@ def test_mixed_documents_repeat_rows(spark):
     for r in mix_documents(df).collect():
         got[r.doc_id] += 1
     assert dict(got) == {k: v for k, v in copies.items() if v}
+
+
+def test_a_very_long_text(spark):
+    rows = [(1, "w " * 300_000, "en", "a", 600_000), (2, "w", "en", "a", 1), (3, "x y", "en", "b", 3)]
+    got = {r.doc_id: (r.size, r.copies) for r in mix_copies(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1][0] == 300_000 and all(copies <= 2 for _, copies in got.values())
