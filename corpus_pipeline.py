@@ -13,13 +13,18 @@ from tessera.llm.near_duplicates import link_documents
 from tessera.llm.pii import find_pii
 from tessera.llm.scratch import materialise
 
+#: The columns of documents; a table's further columns are left out of the run, whatever their names.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their word shingles of this size; the query op10_ngram_jaccard has its own.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
 
 
 def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told, with that language; those without a text or a letter go."""
+    """Documents whose language can be told, with that language in ``lang``; a null, empty or letterless text goes.
+
+    Rows with null or repeated ids and repeated rows are told one by one; equal texts are told alike, ties by the name of
+    the language; very long texts are read whole. An empty table, or one without a labelled row, gives no rows.
+    """
     found = identify(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=True)
     return found.filter(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
@@ -28,7 +33,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies: the one with the smallest id, a null id being the greatest.
 
     Rows are told apart by numbers of their own, so null and repeated ids decide nothing but that order: rows of
-    different texts all stay, and of copies under one id the one with the smallest hash of its text.
+    different texts all stay, and of copies under one id the one with the smallest hash of its text; of equal rows one.
+    Null and empty texts are like nothing and stay. Very long texts are compared whole. An empty table gives no rows.
     """
     numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
     linked = link_documents(numbered.select(F.col("row").alias("doc_id"), "text"), size=NEAR_SIZE, percent=NEAR_PERCENT)
@@ -39,17 +45,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with personal data in their texts replaced by its kind; n_chars follows the text."""
+    """The documents with personal data in their texts replaced by its kind; n_chars follows the text.
+
+    Every row stays, whatever its id, and repeated rows stay equal; a null text stays null, with a null n_chars. Of
+    overlapping spans the kind of the first is written. Very long texts are masked whole.
+    """
     return find_pii(docs, mask=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as a mix of their sources by target weight takes them."""
+    """The documents as often as a mix of their sources by target weight takes them; see :func:`mix_documents`.
+
+    A null source is a source, the last one; rows with null or repeated ids are taken each for itself. Rows without
+    words have no weight and are taken as often as all rows of their source are. An empty table gives no rows.
+    """
     return mix_documents(docs)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents of the mix, with digests of the ids and of the decoded text."""
+    """Token ids of the documents of the mix, with digests of the ids and of the decoded bytes, one row for each row.
+
+    A null or empty text has no ids; very long texts and words are encoded whole; equal texts give equal rows.
+    """
     return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
 
 

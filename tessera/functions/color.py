@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import cbrt
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,37 @@ def rgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((f[1] * 116 - 16).alias("L"), ((f[0] - f[1]) * 500).alias("a"), ((f[1] - f[2]) * 200).alias("b"))
 
 
+def lab_of(r: int, g: int, b: int) -> tuple[float, float, float]:
+    """The same of one colour, as numbers."""
+    linear = [c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in (r / 255.0, g / 255.0, b / 255.0)]
+    shares = [sum(k * c for k, c in zip(row, linear, strict=True)) / white for row, white in zip(RGB_TO_XYZ, WHITE, strict=True)]
+    x, y, z = (cbrt(t) if t > DELTA**3 else t / (3 * DELTA**2) + 4 / 29 for t in shares)
+    return y * 116 - 16, (x - y) * 500, (y - z) * 200
+
+
+def hsv_of(r: int, g: int, b: int) -> tuple[float, float, float]:
+    """Hue, saturation and value of one colour, each in 0..1, as numbers."""
+    top, span = max(r, g, b), float(max(r, g, b) - min(r, g, b))
+    if span == 0:
+        sixths = 0.0
+    elif top == r:
+        sixths = ((g - b) / span + 6) % 6.0
+    else:
+        sixths = (b - r) / span + 2 if top == g else (r - g) / span + 4
+    return sixths / 6, span / top if top else 0.0, top / 255.0
+
+
+def boost_of(hsv: tuple[float, float, float], ranges: Sequence[dict]) -> float:
+    """The product of the boosts of all focus boxes that hold one colour."""
+    out = 1.0
+    for f in ranges:
+        target = f["target_hsv"]
+        dh = abs(hsv[0] * 360 - target[0])
+        if min(dh, 360 - dh) <= f["range_h"] / 2 and abs(hsv[1] * 100 - target[1]) <= f["range_s"] / 2 and abs(hsv[2] * 100 - target[2]) <= f["range_v"] / 2:
+            out *= float(f["boost_factor"])
+    return out
+
+
 def lab_to_rgb(L: Column, a: Column, b: Column) -> Column:
     """sRGB of a CIELAB colour as struct<r,g,b> of ints: out-of-gamut values are clipped, fractions cut off."""
     fy = (L + 16) / 116
@@ -142,15 +174,6 @@ def in_focus(hsv: Column, target: Sequence[float], range_h: float, range_s: floa
     return (F.least(dh, 360 - dh) <= range_h / 2) & (F.abs(hsv["s"] * 100 - target[1]) <= range_s / 2) & (F.abs(hsv["v"] * 100 - target[2]) <= range_v / 2)
 
 
-def focus_boost(hsv: Column, ranges: Sequence[dict]) -> Column:
-    """The product of the boosts of all focus boxes that hold the colour."""
-    out = F.lit(1.0)
-    for f in ranges:
-        inside = in_focus(hsv, f["target_hsv"], f["range_h"], f["range_s"], f["range_v"])
-        out = out * F.when(inside, F.lit(float(f["boost_factor"]))).otherwise(F.lit(1.0))
-    return out
-
-
 def ordered_dither(value: Column, x: Column, y: Column, amplitude: float) -> Column:
     matrix = F.array(*[F.lit(v) for v in bayer()])
     cell = F.element_at(matrix, (F.pmod(y, F.lit(8)) * 8 + F.pmod(x, F.lit(8)) + 1).cast("int"))

@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color
@@ -20,35 +20,34 @@ RGB = ("r", "g", "b")
 Palette = Sequence[tuple[int, int, int]]
 
 
-def _rgb_struct(p: Sequence[int]) -> Column:
-    return F.struct(*[F.lit(int(v)).alias(c) for c, v in zip(RGB, p, strict=True)])
-
-
 #: Entries up to which distances are written out, each with its own constants; beyond, they are one array.
 WRITTEN_OUT = 64
 
 
-def _numbers(spark: SparkSession, palette: Palette, metric: str, focus: Sequence[dict]) -> list[tuple[float, ...]]:
-    """The coordinates of each entry in the space of the metric, and its boost, as numbers."""
-    space = {"rgb": lambda p: F.struct(*[F.lit(float(v)) for v in p]), "hsv": lambda p: color.rgb_to_hsv(*map(F.lit, p)), "lab": lambda p: color.rgb_to_lab(*map(F.lit, p))}
+def _numbers(palette: Palette, metric: str, focus: Sequence[dict]) -> list[tuple[float, ...]]:
+    """The coordinates of each entry in the space of the metric, and its boost."""
+    space = {"rgb": lambda *p: tuple(map(float, p)), "hsv": color.hsv_of, "lab": color.lab_of}
     if metric not in space:
         raise ValueError(f"unknown metric {metric!r}; known: {', '.join(sorted(space))}")
-    rows = [F.struct(space[metric](p).alias("at"), color.focus_boost(color.rgb_to_hsv(*map(F.lit, p)), focus).alias("boost")) for p in palette]
-    return [(*r["at"], r["boost"]) for r in spark.sql("SELECT 1").select(F.array(*rows).alias("rows")).first().rows]
+    return [(*space[metric](*p), color.boost_of(color.hsv_of(*p), focus)) for p in palette]
 
 
-def _distance(metric: str, weights: Sequence[float], entry: Sequence) -> Column:
-    """Distance of the columns u, v and w, the row's place in the space of the metric, to one entry, over its boost."""
-    square = lambda d: d * d
-    du, dv, dw = (F.col(c) - e for c, e in zip("uvw", entry, strict=False))
+def _distance(metric: str, weights: Sequence[float], entry: Sequence[str]) -> str:
+    """Distance of the columns u, v and w, the row's place in the space of the metric, to one entry, over its boost, as SQL."""
+    square = lambda d: f"(({d}) * ({d}))"
+    du, dv, dw = (f"{c} - {e}" for c, e in zip("uvw", entry, strict=False))
+    k = [_number(x) for x in weights]
     if metric == "hsv":
-        around = F.least(F.abs(du), 1 - F.abs(du))
-        d = square(around) * weights[0] + square(dv) * weights[1] + square(dw) * weights[2]
+        d = f"{square(f'least(abs({du}), 1D - abs({du}))')} * {k[0]} + {square(dv)} * {k[1]} + {square(dw)} * {k[2]}"
     elif metric == "lab":
-        d = F.sqrt(square(du) + square(dv) + square(dw))
+        d = f"sqrt({square(du)} + {square(dv)} + {square(dw)})"
     else:
-        d = square(du * weights[0]) + square(dv * weights[1]) + square(dw * weights[2])
-    return d / entry[3]
+        d = " + ".join(square(f"({x}) * {n}") for x, n in zip((du, dv, dw), k, strict=True))
+    return f"({d}) / {entry[3]}"
+
+
+def _number(x: float) -> str:
+    return f"({float(x)!r}D)"
 
 
 def nearest(pixels: DataFrame, palette: Palette, metric: str = "rgb", weights: Sequence[float] = (1.0, 1.0, 1.0), focus: Sequence[dict] = ()) -> DataFrame:
@@ -59,18 +58,19 @@ def nearest(pixels: DataFrame, palette: Palette, metric: str = "rgb", weights: S
     if not 0 < len(palette) <= MOST_ENTRIES:
         raise ValueError(f"a palette has 1 to {MOST_ENTRIES} entries, not {len(palette)}")
     rgb = [F.col(c) for c in RGB]
-    numbers = _numbers(pixels.sparkSession, palette, metric, focus)
+    numbers = _numbers(palette, metric, focus)
     space = {"rgb": F.struct(*[c.cast("double").alias(c_) for c, c_ in zip(rgb, RGB, strict=True)]), "hsv": color.rgb_to_hsv(*rgb), "lab": color.rgb_to_lab(*rgb)}[metric]
     fields = {"rgb": RGB, "hsv": ("h", "s", "v"), "lab": ("L", "a", "b")}[metric]
     placed = pixels.withColumns({n: space[f] for n, f in zip("uvw", fields, strict=True)})
     if len(palette) <= WRITTEN_OUT:
-        each = F.array(*[F.struct(_distance(metric, weights, n).alias("d"), F.lit(i).alias("idx")) for i, n in enumerate(numbers)])
+        each = F.expr("array(" + ", ".join(_distance(metric, weights, [_number(x) for x in n]) for n in numbers) + ")")
     else:
-        listed = F.array(*[F.struct(*[F.lit(float(x)).alias(c) for c, x in zip("uvwb", n, strict=True)]) for n in numbers])
-        each = F.transform(listed, lambda e, i: F.struct(_distance(metric, weights, [e[c] for c in "uvwb"]).alias("d"), i.alias("idx")))
-    entries = F.array(*[_rgb_struct(p) for p in palette])
-    mapped = placed.withColumn("idx", F.array_min(each)["idx"]).withColumn("entry", F.element_at(entries, F.col("idx") + 1))
-    return mapped.select(*pixels.columns, "idx", *[F.col(f"entry.{c}").alias(f"p{c}") for c in RGB])
+        listed = ", ".join("struct(" + ", ".join(f"{_number(x)} AS {c}" for c, x in zip("uvwb", n, strict=True)) + ")" for n in numbers)
+        each = F.expr(f"transform(array({listed}), e -> {_distance(metric, weights, [f'e.{c}' for c in 'uvwb'])})")
+    # The position of the least is the first one, so ties go to the lowest index.
+    mapped = placed.withColumn("ds", each).withColumn("idx", (F.array_position("ds", F.array_min("ds")) - 1).cast("int"))
+    channels = [F.expr(f"element_at(array({', '.join(str(int(p[k])) for p in palette)}), idx + 1)").alias(f"p{c}") for k, c in enumerate(RGB)]
+    return mapped.select(*pixels.columns, "idx", *channels)
 
 
 def nearest_in_table(pixels: DataFrame, entries: DataFrame, weights: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
