@@ -46,7 +46,7 @@ def test_palettes(spark):
     """k centres, whose cost is no worse than that of one restart; boxes of the median cut; only mapped colours before blending."""
     p = pixel_tables.pixels(spark, SF)
     points = np.array([(r.r, r.g, r.b) for r in p.select("r", "g", "b").collect()], float)
-    cost = lambda centres: ((points[:, None] - np.array(centres, float)[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    cost = lambda centres: ((points[:, None] - np.array(list(centres), float)[None]) ** 2).sum(axis=2).min(axis=1).sum()
     best = sorted(colours(registry.QUERIES["kmeans_palette"](spark, SF).collect()))
     assert len(best) == 8 and cost(best) <= 1.01 * cost(palette.kmeans_palette(p, 8, seeds=(42,)))
     cut = registry.QUERIES["median_cut_palette"](spark, SF).collect()
