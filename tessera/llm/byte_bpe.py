@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
 
 #: Encoded runs, and words, that make a generation; a worker keeps two, so that what it meets often stays.
-MOST_RUNS = 150_000
+MOST_RUNS = 300_000
 #: Rows that one recursive query makes, about: a string of n bytes has n in the first step, and one less in each.
 QUERY_ROWS = 1_000_000
 #: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
