@@ -69,6 +69,18 @@ def _rows(raw: bytes) -> int:
     return len(raw) * (len(raw) + 1) // 2
 
 
+def _around(places: list[int], n: int, reach: int) -> list[list[int]]:
+    """Stretches of tokens around places, joined where they meet."""
+    out: list[list[int]] = []
+    for p in places:
+        lo, hi = max(0, p - reach), min(n, p + reach)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([lo, hi])
+    return out
+
+
 class Generations(dict):
     """What was met last, and behind it the generation before, of MOST_RUNS entries or somewhat more each."""
 
@@ -165,35 +177,33 @@ class ByteBpe:
         return [each[r] for r in raw]
 
     def _long(self, raw: list[bytes]) -> list[list[int]]:
-        """The tokens of long words: parts, whose borders are then made to hold."""
+        """The tokens of long words: parts, whose borders are then made to hold, of all words in the same rounds."""
         parts = [[r[i : i + PART] for i in range(0, len(r), PART)] for r in raw]
         encoded = iter(self._tokens([p for ps in parts for p in ps]))
-        return [self._joined([next(encoded) for _ in ps]) for ps in parts]
-
-    def _joined(self, parts: list[list[int]]) -> list[int]:
-        tokens = [t for p in parts for t in p]
-        borders = np.cumsum([len(p) for p in parts])[:-1].tolist()
-        around = AROUND
-        while bad := [p for p, holds in zip(borders, self._hold([(tokens[p - 1], tokens[p]) for p in borders]), strict=True) if not holds]:
-            regions: list[list[int]] = []
-            for p in bad:
-                lo, hi = max(0, p - around), min(len(tokens), p + around)
-                if regions and lo <= regions[-1][1]:
-                    regions[-1][1] = hi
-                else:
-                    regions.append([lo, hi])
-            new = self._tokens([b"".join(self.bytes_of[t] for t in tokens[lo:hi]) for lo, hi in regions])
-            out, borders, place = [], [], 0
-            for (lo, hi), ids in zip(regions, new, strict=True):
-                out += tokens[place:lo]
-                borders.append(len(out))
-                out += ids
-                borders.append(len(out))
-                place = hi
-            tokens = out + tokens[place:]
-            borders = [p for p in dict.fromkeys(borders) if 0 < p < len(tokens)]
+        words, borders = [], []
+        for ps in parts:
+            found = [next(encoded) for _ in ps]
+            words.append([t for ids in found for t in ids])
+            borders.append(np.cumsum([len(ids) for ids in found])[:-1].tolist())
+        open_, around = list(range(len(raw))), AROUND
+        while open_:
+            holds = iter(self._hold([(words[i][p - 1], words[i][p]) for i in open_ for p in borders[i]]))
+            bad = {i: [p for p in borders[i] if not next(holds)] for i in open_}
+            open_ = [i for i in open_ if bad[i]]
+            regions = {i: _around(bad[i], len(words[i]), around) for i in open_}
+            new = iter(self._tokens([b"".join(self.bytes_of[t] for t in words[i][lo:hi]) for i in open_ for lo, hi in regions[i]]))
+            for i in open_:
+                out, edges, place = [], [], 0
+                for lo, hi in regions[i]:
+                    out += words[i][place:lo]
+                    edges.append(len(out))
+                    out += next(new)
+                    edges.append(len(out))
+                    place = hi
+                words[i] = out + words[i][place:]
+                borders[i] = [p for p in dict.fromkeys(edges) if 0 < p < len(words[i])]
             around *= 2
-        return tokens
+        return words
 
     def _hold(self, pairs: list[tuple[int, int]]) -> list[bool]:
         """Whether the bytes of each pair of tokens, taken alone, are encoded as that pair."""
