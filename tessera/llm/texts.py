@@ -49,3 +49,27 @@ def held(name: str, build: Callable[[], Any]) -> Any:
 
 def file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
+
+
+class Known:
+    """What a worker has worked out, by key, and behind it the generation before; each of about ``most`` bytes."""
+
+    def __init__(self, most: int) -> None:
+        self.now: dict = {}
+        self.before: dict = {}
+        self.most, self.size = most, 0
+
+    def missing(self, wanted: set) -> set:
+        """What of ``wanted`` neither generation has; what the one before has comes to the front. Call before each slice."""
+        if self.size > self.most:
+            self.before, self.now, self.size = self.now, {}, 0
+        absent = {w for w in wanted if w not in self.now}
+        old = {w for w in absent if w in self.before}
+        for w in old:
+            self.add(w, self.before[w], 0)
+        return absent - old
+
+    def add(self, key: Any, value: Any, size: int) -> None:
+        """Keep an entry that takes ``size`` bytes besides what a key and a place in a table take."""
+        self.now[key] = value
+        self.size += size + 250
