@@ -26,6 +26,19 @@ reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM reach r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
 
+_TERMS = r"list_filter(regexp_split_to_array({}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+LEXICAL_SEARCH = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, {_TERMS.format(_LOW)} AS terms FROM documents),
+l AS (SELECT count(*) AS n, CAST(sum(len(terms)) AS BIGINT) AS l FROM d WHERE len(terms) > 0),
+tf AS MATERIALIZED (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(terms) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, l GROUP BY t, n),
+q AS (SELECT item, item_id, unnest(list_distinct({_TERMS.format(_LOW)})) AS t FROM (SELECT row_number() OVER () AS item, * FROM benchmark)),
+s AS (SELECT item, item_id, d.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * n) // l)))) AS BIGINT) AS score
+ FROM q JOIN w USING (t) JOIN tf USING (t) JOIN d USING (id), l GROUP BY item, item_id, id, d.doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def _license_scan() -> str:
     split = lambda t: f"list_filter(regexp_split_to_array({t}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"

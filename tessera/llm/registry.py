@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.llm import oracles
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.language import identify
+from tessera.llm.lexical import rank_documents
 from tessera.llm.licenses import scan_licenses
 from tessera.llm.manifest import dataset_manifest
 from tessera.llm.mixing import mix_copies
@@ -70,6 +71,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_lexical_search": op11_lexical_search,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -98,5 +104,6 @@ ORACLES: dict[str, str] = {
     "op4_exact_top_k": oracles.EXACT_TOP_K,
     "op9_license_scan": oracles.LICENSE_SCAN,
     "op10_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op11_lexical_search": oracles.LEXICAL_SEARCH,
     "op13_merkle_manifest": oracles.MERKLE_MANIFEST,
 }
