@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-
-#: Queries of a similarity join that are broadcast; more are joined by a shuffle on length bands.
-BROADCAST_QUERIES = 10_000
+from tessera.operators.matching import find_patterns, similar_pairs
 
 
 def lines(files: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
@@ -60,48 +58,31 @@ def symbol_search(line_table: DataFrame, name: str) -> DataFrame:
     return line_table.select("path", "line_no", "text", hits)
 
 
-def similar_lines(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 3, n_queries: int | None = None) -> DataFrame:
-    """Lines whose similarity to a line of a query (query_id, query) is over ``threshold`` (path, line_no, text, query_id, query_line, similarity).
-
-    Two texts of similarity s differ in length by at most (1 - s) of the longer, so lines meet queries on bands of
-    length that can reach it; the edit distance is computed only for those.
-    """
+def similar_lines(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 3) -> DataFrame:
+    """Lines whose similarity to a line of a query (query_id, query) is over ``threshold`` (path, line_no, text, query_id, query_line, similarity)."""
     q = queries.select("query_id", F.posexplode(F.split("query", "\n")).alias("query_line", "query")).withColumn("query", tx.stripped(F.col("query"))).filter(F.length("query") >= least_length)
-    return _similar(line_table.withColumn("line", tx.stripped(F.col("text"))).filter(F.length("line") >= least_length), q, [], threshold, n_queries).select(*line_table.columns, "query_id", "query_line", "similarity")
+    rows = line_table.withColumn("line", tx.stripped(F.col("text"))).filter(F.length("line") >= least_length)
+    return similar_pairs(rows, q, threshold).select(*line_table.columns, "query_id", "query_line", "similarity")
 
 
-def similar_blocks(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 10, n_queries: int | None = None) -> DataFrame:
+def similar_blocks(line_table: DataFrame, queries: DataFrame, threshold: float, least_length: int = 10) -> DataFrame:
     """Blocks of as many lines as a query of several lines has, over ``threshold`` (path, line_no, text, query_id, similarity)."""
     q = queries.withColumn("k", F.size(F.split("query", "\n"))).filter("k > 1").select("query_id", "k", tx.stripped(F.col("query")).alias("query"))
     sizes = [r.k for r in q.select("k").distinct().orderBy("k").collect()]  # numbers of lines, few by their nature
-    found = [blocks(line_table, k).withColumns({"k": F.lit(k), "line": tx.stripped(F.col("text"))}) for k in sizes]
-    if not found:
-        found = [line_table.select("path", "line_no", "text", F.lit(0).alias("k"), F.col("text").alias("line")).filter("false")]
-    return _similar(reduce(DataFrame.unionByName, found).filter(F.length("line") >= least_length), q, ["k"], threshold, n_queries).select("path", "line_no", "text", "query_id", "similarity")
-
-
-def _similar(rows: DataFrame, q: DataFrame, on: Sequence[str], threshold: float, n_queries: int | None) -> DataFrame:
-    """Pairs of ``line`` and ``query`` over the threshold, met on bands of length."""
-    width = 8
-    low, high = F.floor(F.length("query") * threshold / width), F.floor(F.length("query") / threshold / width)
-    lengths = rows.select(F.max(F.length("line"))).first()[0] or 0
-    q = q.withColumn("band", F.explode(F.sequence(low, F.greatest(low, F.least(high, F.lit(lengths // width))))))
-    q = F.broadcast(q) if n_queries is not None and n_queries <= BROADCAST_QUERIES else q
-    near = F.abs(F.length("line") - F.length("query")) <= (1 - threshold) * F.greatest(F.length("line"), F.length("query"))
-    # Distances cost far more than moving the lines, so these are dealt out over all tasks first.
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("band", F.floor(F.length("line") / width)).repartition(spread, "path", "line_no")
-    met = rows.join(q, [*on, "band"]).filter(near)
-    return met.withColumn("similarity", tx.similarity(F.col("line"), F.col("query"))).filter(F.col("similarity") > threshold)
-
-
-def best_matches(line_table: DataFrame, queries: DataFrame, least: float = 0.1, n: int = 5, n_queries: int | None = None) -> DataFrame:
+    found = [line_table.select("path", "line_no", "text", F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), F.lit(0.0).alias("similarity")).filter("false")]
+    for k in sizes:
+        rows = blocks(line_table, k).withColumn("line", tx.stripped(F.col("text"))).filter(F.length("line") >= least_length)
+        found.append(similar_pairs(rows, q.filter(F.col("k") == k), threshold).select("path", "line_no", "text", "query_id", "similarity"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def best_matches(line_table: DataFrame, queries: DataFrame, least: float = 0.1, n: int = 5) -> DataFrame:
     """For each file and query the n most similar lines and, for a query of several lines, blocks (path, query_id, nth, kind, line_no, similarity, text).
 
     Ties: lines before blocks, then by line and by line of the query.
     """
-    singles = similar_lines(line_table, queries, least, n_queries=n_queries).withColumn("kind", F.lit("single_line"))
-    several = similar_blocks(line_table, queries, least, n_queries=n_queries).withColumns({"kind": F.lit("multi_line"), "query_line": F.lit(0)})
+    singles = similar_lines(line_table, queries, least).withColumn("kind", F.lit("single_line"))
+    several = similar_blocks(line_table, queries, least).withColumns({"kind": F.lit("multi_line"), "query_line": F.lit(0)})
     columns = ["path", "query_id", "line_no", "query_line", "kind", "similarity", "text"]
     by = Window.partitionBy("path", "query_id").orderBy(F.desc("similarity"), F.desc("kind"), "line_no", "query_line")
     ranked = singles.select(columns).unionByName(several.select(columns)).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= n)
@@ -134,7 +115,7 @@ def smart_search(line_table: DataFrame, query: str, max_results: int, threshold:
     found = symbols.unionByName(texts)
     spark = line_table.sparkSession
     if found.isEmpty():
-        found = tag(similar_lines(line_table, spark.createDataFrame([(0, query)], "query_id int, query string"), threshold, n_queries=1), "similarity", 4)
+        found = tag(similar_lines(line_table, spark.createDataFrame([(0, query)], "query_id int, query string"), threshold), "similarity", 4)
     caps = F.when(F.col("source") == "text", max_results).otherwise(max(1, max_results // 2))
     first = Window.partitionBy("source").orderBy("path", "line_no")
     return found.distinct().withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= caps).orderBy("priority", "path", "line_no").limit(max_results).drop("nth")
@@ -202,46 +183,61 @@ def eligibility(content: Column, path: Column, size: Column, limit: int = 5 * 10
     return F.when(size > limit, "FILE_TOO_LARGE").when(tx.classify(content, path) == tx.BINARY, "BINARY_FILE_ERROR").otherwise("OK")
 
 
-def fuzzy_edits(files: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.1, n_edits: int | None = None) -> DataFrame:
-    """What becomes of each edit (edit_id, old_text, new_text) in each file (path, text) where anything is like it.
+def located_edits(files: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.1) -> DataFrame:
+    """Where each edit (edit_id, old_text, new_text) belongs in each file (path, text) in which anything is like it.
 
-    An exact occurrence is edited. Else the best line or block decides by its band: applied, applied with ``force``,
-    or reported. Returns path, edit_id, band, similarity, kind, line_no, applied and edited, the text with what was
-    found replaced.
+    An exact occurrence is where it belongs, with band ``exact``. Else the best line or block decides by its band:
+    applied, applied with ``force``, or reported. Returns path, edit_id, band, similarity, kind, line_no, last_line,
+    applied, target (what stands there) and new_text.
     """
-    e = F.broadcast(edits) if n_edits is not None and n_edits <= BROADCAST_QUERIES else edits
-    exact = files.select("path", "text").join(e, F.contains("text", F.col("old_text")) & (F.length("old_text") > 0))
+    e = edits.select("edit_id", "old_text", "new_text")
+    exact = find_patterns(files.select("path", "text"), e, pattern="old_text")
+    line = F.size(F.split(F.substring("text", F.lit(1), F.col("at") - 1), "\n"))
     exact = exact.select(
-        "path", "edit_id", F.lit("exact").alias("band"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"), (F.size(F.split(F.substring("text", F.lit(1), F.instr("text", F.col("old_text")) - 1), "\n"))).alias("line_no"),
-        F.lit(True).alias("applied"), exact_edit(F.col("text"), F.col("old_text"), F.col("new_text")).alias("edited"),
+        "path", "edit_id", F.lit("exact").alias("band"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"), line.alias("line_no"),
+        (line + F.size(F.split("old_text", "\n")) - 1).alias("last_line"), F.lit(True).alias("applied"), F.col("old_text").alias("target"), "new_text",
     )
-    queries = edits.select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query"))
-    best = best_matches(lines(files), queries, least, 1, n_edits).select("path", F.col("query_id").alias("edit_id"), "similarity", "kind", "line_no", F.col("text").alias("found"))
+    best = best_matches(lines(files), edits.select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query")), least, 1)
+    best = best.select("path", F.col("query_id").alias("edit_id"), "similarity", "kind", "line_no", F.col("text").alias("found"))
     best = best.join(exact.select("path", "edit_id"), ["path", "edit_id"], "left_anti").withColumn("band", tx.similarity_band(F.col("similarity") * 100))
-    best = best.withColumn("applied", (F.col("band") == "apply") | ((F.col("band") == "needs force") & F.lit(force)))
-    full = best.join(files.select("path", "text"), "path").join(e.select("edit_id", "new_text"), "edit_id")
-    edited = F.when(F.col("applied"), exact_edit(F.col("text"), tx.stripped(F.col("found")), F.col("new_text")))
-    return exact.unionByName(full.select("path", "edit_id", "band", "similarity", "kind", "line_no", "applied", edited.alias("edited")))
+    best = best.withColumn("applied", (F.col("band") == "apply") | ((F.col("band") == "needs force") & F.lit(force))).join(e.select("edit_id", "new_text"), "edit_id")
+    last = F.col("line_no") + F.size(F.split("found", "\n")) - 1
+    return exact.unionByName(best.select("path", "edit_id", "band", "similarity", "kind", "line_no", last.alias("last_line"), "applied", tx.stripped(F.col("found")).alias("target"), "new_text"))
+
 
+def fuzzy_edits(files: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.1) -> DataFrame:
+    """What becomes of each edit in each file where anything is like it, each for itself.
 
-def window_edits(line_table: DataFrame, old_text: str, least: float = 0.7, most_distance: float = 0.25, ignore_whitespace: bool = True) -> DataFrame:
-    """For each file the best window of as many lines as ``old_text`` has, compared in prepared form, with a status."""
+    Returns what :func:`located_edits` finds (path, edit_id, band, similarity, kind, line_no, applied) and edited, the
+    text with what was found replaced. :func:`tessera.operators.edits.edited_files` puts the edits of a file together.
+    """
+    found = located_edits(files, edits, force, least).join(files.select("path", "text"), "path")
+    edited = F.when(F.col("applied"), exact_edit(F.col("text"), F.col("target"), F.col("new_text")))
+    return found.select("path", "edit_id", "band", "similarity", "kind", "line_no", "applied", edited.alias("edited"))
+
+
+def window_edits(line_table: DataFrame, old_text: str, least: float = 0.7, most_distance: float = 0.25, ignore_whitespace: bool = True, case_sensitive: bool = False) -> DataFrame:
+    """For each file the best window of as many lines as ``old_text`` has, compared in prepared form, with a status.
+
+    A window counts from a similarity of ``least`` on if its distance is at most ``most_distance`` of the longer of the
+    two texts as they stand; without one, line and similarity are null. With ``case_sensitive`` only a window that holds
+    the text as it stands counts.
+    """
     k = old_text.count("\n") + 1
-    wanted = tx.prepared(F.lit(old_text), True, ignore_whitespace)
-    scored = blocks(line_table, k).withColumn("window", tx.prepared(F.col("text"), True, ignore_whitespace))
-    scored = scored.withColumns({"similarity": tx.similarity(F.col("window"), wanted), "query_id": F.lit(0)})
-    best = top_matches(scored, ["path"], 1)
-    good = (F.col("similarity") >= least) & (1 - F.col("similarity") <= most_distance)
-    found = best.select("path", "line_no", "similarity", F.when(good, "OK").otherwise("NO_MATCH_FOUND").alias("status"))
-    files = line_table.select("path").distinct()
-    return files.join(found, "path", "left").withColumn("status", F.coalesce("status", F.lit("NO_MATCH")))
-
-
-def edit_conflicts(placed: DataFrame) -> DataFrame:
-    """Edits (doc_id, edit_id, first_line, last_line) whose lines meet those of an earlier edit of the same document."""
-    earlier = placed.select(F.col("doc_id").alias("d"), F.col("edit_id").alias("e"), F.col("first_line").alias("lo"), F.col("last_line").alias("hi"))
-    meets = (F.col("doc_id") == F.col("d")) & (F.col("e") < F.col("edit_id")) & (F.col("lo") <= F.col("last_line")) & (F.col("hi") >= F.col("first_line"))
-    return placed.join(earlier, meets, "left_semi")
+    windows = blocks(line_table, k)
+    if case_sensitive:
+        found = windows.filter(F.contains("text", F.lit(old_text))).groupBy("path").agg(F.min("line_no").alias("line_no")).withColumns({"similarity": F.lit(1.0), "status": F.lit("OK")})
+    else:
+        prepared = windows.withColumn("line", tx.prepared(F.col("text"), True, ignore_whitespace))
+        wanted = line_table.sparkSession.range(1).select(tx.prepared(F.lit(old_text), True, ignore_whitespace).alias("query"))
+        scored = similar_pairs(prepared, wanted, least - 1e-9)
+        distance = (1 - F.col("similarity")) * F.greatest(F.length("line"), F.length("query"))
+        best = top_matches(scored.withColumns({"distance": distance, "query_id": F.lit(0)}), ["path"], 1)
+        good = F.col("distance") <= most_distance * F.greatest(F.length("text"), F.lit(len(old_text)))
+        found = best.select("path", "line_no", "similarity", F.when(good, "OK").otherwise("NO_MATCH_FOUND").alias("status"))
+    of_files = line_table.groupBy("path").agg(F.count("*").alias("lines_"))
+    missed = F.when(F.col("lines_") >= k, "NO_MATCH_FOUND").otherwise("NO_MATCH")
+    return of_files.join(found, "path", "left").select("path", "line_no", "similarity", F.coalesce("status", missed).alias("status"))
 
 
 def search_breakdown(found: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import corpus as co
+from tessera.operators import edits as ed
 from tessera.operators import parameters
 from tessera.plans.pixel_tables import rounded
 
@@ -190,7 +191,7 @@ SEARCHED = "Licensed under the Apache License, Version 2.0\nyou may not use this
 def similarity_top5(spark: SparkSession, d: str) -> DataFrame:
     """The five lines or blocks of each file that are most like a text of two lines, over a similarity of 0.1."""
     q = spark.createDataFrame([(0, SEARCHED)], "query_id int, query string")
-    found = co.best_matches(line_table(spark, d), q, 0.1, 5, n_queries=1)
+    found = co.best_matches(line_table(spark, d), q, 0.1, 5)
     return rounded(found.select("path", "query_id", "nth", "kind", "line_no", "similarity"), "similarity")
 
 
@@ -206,8 +207,7 @@ def varied_edits(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_edit(spark: SparkSession, d: str) -> DataFrame:
     """Varied benchmark items replaced in all files, as far as they are like a line or a block: from 0.6, where reports begin."""
-    e = varied_edits(spark, d)
-    out = co.fuzzy_edits(files(spark, d), e, force=True, least=0.6, n_edits=e.count())
+    out = co.fuzzy_edits(files(spark, d), varied_edits(spark, d), force=True, least=0.6)
     return rounded(out.select("path", "edit_id", "band", "similarity", "kind", "line_no", "applied", F.md5("edited").alias("edited")), "similarity")
 
 
@@ -223,13 +223,54 @@ def smart_search(spark: SparkSession, d: str) -> DataFrame:
     return co.smart_search(line_table(spark, d), "Apache", 20)
 
 
-@query("WITH p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS edit_id, l_linenumber * 3 AS first_line, l_linenumber * 3 + CAST(l_quantity AS INT) % 6 AS last_line FROM lineitem) SELECT DISTINCT p.doc_id, CAST(p.edit_id AS INT) AS edit_id FROM p JOIN p q ON p.doc_id = q.doc_id AND q.edit_id < p.edit_id AND q.first_line <= p.last_line AND q.last_line >= p.first_line")
+@query("""WITH RECURSIVE p AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS edit_id, l_linenumber * 3 AS a, l_linenumber * 3 + CAST(l_quantity AS INT) % 6 AS b FROM lineitem),
+f AS (SELECT doc_id, edit_id, [{'a': a, 'b': b}] AS held, TRUE AS ok FROM p WHERE edit_id = 1
+ UNION ALL SELECT doc_id, edit_id, CASE WHEN meets THEN held ELSE list_append(held, {'a': a, 'b': b}) END, NOT meets FROM (
+  SELECT p.doc_id, p.edit_id, f.held, p.a, p.b, len(list_filter(f.held, lambda h: h.a <= p.b AND h.b >= p.a)) > 0 AS meets FROM f JOIN p ON p.doc_id = f.doc_id AND p.edit_id = f.edit_id + 1))
+SELECT doc_id, CAST(edit_id AS INT) AS edit_id FROM f WHERE NOT ok""")
 def edit_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Edits that meet an earlier edit of their document which was itself accepted."""
     items = spark.read.parquet(f"{d}/lineitem.parquet")
     nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     first = F.col("l_linenumber") * 3
     placed = items.select(F.col("l_orderkey").alias("doc_id"), nth.alias("edit_id"), first.alias("first_line"), (first + F.round("l_quantity").cast("int") % 6).alias("last_line"))
-    return co.edit_conflicts(placed).select("doc_id", "edit_id").distinct()
+    return ed.edit_conflicts(placed).select("doc_id", "edit_id")
+
+
+# Edits of each document, from its own words: two neighbours, or a line break between them, become one of three texts.
+_SEQUENCE_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+e AS (SELECT doc_id, k, w[k] || ' ' || w[k + 1] AS old, CASE k % 3 WHEN 0 THEN '[' || w[k] || ']' WHEN 1 THEN w[k] || chr(10) || w[k + 1] ELSE 'gone' END AS new FROM (SELECT doc_id, w, unnest(range(1, least(len(w), 7))) AS k FROM w)),
+f(doc_id, k, text, held, outcomes) AS (SELECT doc_id, 0, text, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]), '' FROM documents WHERE doc_id IS NOT NULL
+ UNION ALL SELECT doc_id, k, CASE WHEN status = 'APPLIED' THEN substr(text, 1, spot - 1) || new || substr(text, spot + length(old)) ELSE text END,
+  CASE WHEN status = 'APPLIED' THEN list_append(list_transform(held, lambda h: {'a': h.a + CASE WHEN h.a > b THEN grown ELSE 0 END, 'b': h.b + CASE WHEN h.a > b THEN grown ELSE 0 END}), {'a': a, 'b': b + grown}) ELSE held END,
+  outcomes || CASE WHEN status = 'NO_MATCH_FOUND' THEN status ELSE status || ' ' || a || '-' || b END || ';'
+ FROM (SELECT *, CASE WHEN spot = 0 THEN 'NO_MATCH_FOUND' WHEN len(list_filter(held, lambda h: h.a <= b AND h.b >= a)) > 0 THEN 'OVERLAPPING_EDIT' ELSE 'APPLIED' END AS status
+  FROM (SELECT *, a + old_lines - 1 AS b, length(new) - length(replace(new, chr(10), '')) + 1 - old_lines AS grown
+   FROM (SELECT f.*, e.old, e.new, strpos(f.text, e.old) AS spot, length(e.old) - length(replace(e.old, chr(10), '')) + 1 AS old_lines,
+     length(substr(f.text, 1, strpos(f.text, e.old) - 1)) - length(replace(substr(f.text, 1, strpos(f.text, e.old) - 1), chr(10), '')) + 1 AS a
+    FROM (SELECT doc_id, k + 1 AS k, text, held, outcomes FROM f) f JOIN e USING (doc_id, k)))))
+SELECT doc_id, md5(text) AS edited, outcomes FROM f QUALIFY k = max(k) OVER (PARTITION BY doc_id)"""
+
+
+@query(_SEQUENCE_SQL)
+def edits_in_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """Up to six edits of each document one after the other, where they stand in the text that those before left."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("path"), "text")
+    w = docs.filter("text IS NOT NULL").select("path", F.filter(F.split("text", " "), lambda x: x != "").alias("w")).filter("size(w) > 1")
+    each = w.select("path", "w", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - 1, F.lit(6)))).alias("edit_id"))
+    k, one, two = F.col("edit_id"), F.get("w", F.col("edit_id") - 1), F.get("w", F.col("edit_id"))
+    new = F.when(k % 3 == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k % 3 == 1, F.concat(one, F.lit("\n"), two)).otherwise("gone")
+    edits = each.select("path", "edit_id", F.concat(one, F.lit(" "), two).alias("old_text"), new.alias("new_text"))
+    out = ed.edits_in_sequence(docs, edits, case_sensitive=True)
+    told = F.transform("outcomes", lambda o: F.concat_ws(" ", o["status"], F.concat(o["first_line"].cast("string"), F.lit("-"), o["last_line"].cast("string"))))
+    return out.select(F.col("path").alias("doc_id"), F.md5("edited").alias("edited"), F.concat(F.array_join(told, ";"), F.when(F.size(told) > 0, ";").otherwise("")).alias("outcomes"))
+
+
+@query()
+def edited_files(spark: SparkSession, d: str) -> DataFrame:
+    """All files with the varied benchmark items replaced: one text for each file in which an edit is accepted."""
+    out = ed.edited_files(files(spark, d), varied_edits(spark, d), force=True).filter("edited IS NOT NULL")
+    return out.select("path", F.md5("edited").alias("edited"), F.array_join(F.transform("accepted", lambda i: i.cast("string")), ",").alias("accepted"), F.array_join(F.transform("rejected", lambda i: i.cast("string")), ",").alias("rejected"))
 
 
 @query(f"WITH {LINES_SQL}, a AS (SELECT path, replace(text, 'the', 'THE') AS text FROM lines) SELECT count(*) AS changed FROM ((SELECT path, text FROM lines EXCEPT ALL SELECT path, text FROM a) UNION ALL (SELECT path, text FROM a EXCEPT ALL SELECT path, text FROM lines))")

@@ -105,7 +105,7 @@ def test_edits(spark):
     texts = spark.createDataFrame([("f", "alpha    beta\ngamma\ndelta one\nomega one"), ("g", "nothing alike")], "path string, text string")
     edits = spark.createDataFrame([(1, "gamma", "x"), (2, "alpha   beta!", "y"), (3, "delta onne\nomega onne", "z"), (4, "omega oni", "w")], "edit_id int, old_text string, new_text string")
     for force in (False, True):
-        banded = {(r.path, r.edit_id): r for r in corpus.fuzzy_edits(texts, edits, force, 0.6, n_edits=4).collect()}
+        banded = {(r.path, r.edit_id): r for r in corpus.fuzzy_edits(texts, edits, force, 0.6).collect()}
         assert (banded["f", 1].band, banded["f", 1].line_no, banded["f", 1].edited) == ("exact", 2, "alpha    beta\nx\ndelta one\nomega one")
         assert banded["f", 2].band in ("diagnose", "needs force") and banded["f", 2].line_no == 1
         block = banded["f", 3]
@@ -146,7 +146,7 @@ def test_best_matches_against_brute_force(spark, least):
     lines = corpus.lines(spark.createDataFrame(list(texts.items()), "path string, text string"))
     q = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
     got = {}
-    for r in corpus.best_matches(lines, q, least, n_queries=len(queries)).orderBy("nth").collect():
+    for r in corpus.best_matches(lines, q, least).orderBy("nth").collect():
         got.setdefault((r.path, r.query_id), []).append((r.kind, r.line_no, round(r.similarity, 9)))
     want = {(p, i): found for p, t in texts.items() for i, query in enumerate(queries) if (found := brute_matches(t, query, least))}
     assert got == want and len(want) >= 4

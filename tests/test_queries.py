@@ -77,5 +77,14 @@ def test_window_edits(spark):
     assert len(out) == 200 and {r.status for r in out} <= {"OK", "NO_MATCH", "NO_MATCH_FOUND"}
 
 
+def test_edited_files(spark):
+    """One text for each file in which the same edits, each for itself, are applied; accepted and rejected are all of those."""
+    out = registry.QUERIES["edited_files"](spark, SF).collect()
+    alone = {}
+    for r in registry.QUERIES["fuzzy_edit"](spark, SF).filter("applied").collect():
+        alone.setdefault(r.path, set()).add(str(r.edit_id))
+    assert {r.path: {*r.accepted.split(","), *r.rejected.split(",")} - {""} for r in out} == alone and alone
+
+
 def test_every_query_without_sql_is_tested():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans_palette", "median_cut_palette", "palette_pipeline", "similarity_top5", "fuzzy_edit", "window_edits"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans_palette", "median_cut_palette", "palette_pipeline", "similarity_top5", "fuzzy_edit", "window_edits", "edited_files"}
