@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.texts import WHITE_SPACE, file_bytes, held, slices
+from tessera.llm.texts import WHITE_SPACE, Known, file_bytes, held, slices
 
-#: Encoded runs, and words, that make a generation; a worker keeps two, so that what it meets often stays.
-MOST_RUNS = 300_000
+#: Bytes of encoded runs, and of words, that a worker keeps in each of two generations, so that what it meets often stays.
+RUN_BYTES, WORD_BYTES = 60_000_000, 30_000_000
 #: Rows that one recursive query makes, about: a string of n bytes has n in the first step, and one less in each.
-QUERY_ROWS = 1_000_000
+QUERY_ROWS = 600_000
 #: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
 PART, AROUND = 64, 8
 #: Pairs of tokens whose border was looked at that a worker keeps.
@@ -81,25 +81,6 @@ def _around(places: list[int], n: int, reach: int) -> list[list[int]]:
     return out
 
 
-class Generations(dict):
-    """What was met last, and behind it the generation before, of MOST_RUNS entries or somewhat more each."""
-
-    def __init__(self) -> None:
-        self.before: dict = {}
-
-    def turn(self) -> None:
-        if len(self) > MOST_RUNS:
-            self.before = dict(self)
-            self.clear()
-
-    def missing(self, wanted: set) -> set:
-        """What of ``wanted`` neither generation has; what the one before has comes to the front."""
-        absent = {w for w in wanted if w not in self}
-        old = {w for w in absent if w in self.before}
-        self.update((w, self.before[w]) for w in old)
-        return absent - old
-
-
 class ByteBpe:
     """The rank file at ``path`` as DuckDB tables, with the runs that this worker has met."""
 
@@ -120,7 +101,7 @@ class ByteBpe:
         self.db.unregister("m")
         self.db.unregister("v")
         #: Ids of words and of runs, joined by blanks, with the bytes that they decode to.
-        self.words, self.runs = Generations(), Generations()
+        self.words, self.runs = Known(WORD_BYTES), Known(RUN_BYTES)
         self.holds: dict[tuple[int, int], bool] = {}
 
     def encode_words(self, words: list[str]) -> None:
@@ -149,7 +130,8 @@ class ByteBpe:
         self.db.unregister("more")
         found = self.db.sql(_DECODE).to_arrow_table().to_pydict()
         for at, ids, hexed in zip(found["word"], found["ids"], found["hex"], strict=True):
-            self.words[words[at]] = (ids, bytes.fromhex(hexed))
+            decoded = bytes.fromhex(hexed)
+            self.words.add(words[at], (ids, decoded), len(ids) + 2 * len(decoded))
 
     def _contract(self, raw: list[bytes], numbers: np.ndarray) -> None:
         """The table ``encoded``: the tokens of each string of bytes under its number."""
@@ -217,15 +199,12 @@ class ByteBpe:
     def learn(self, runs: set[str]) -> None:
         """Encode runs of the text; the pattern never matches across the borders of runs."""
         split = {r: self.matches(r) for r in runs}
-        self.words.turn()
         new = self.words.missing({w for words in split.values() for w in words})
         self.encode_words(sorted(new, key=len))
         for run, words in split.items():
-            if len(words) == 1:
-                self.runs[run] = self.words[words[0]]
-            else:
-                found = [self.words[w] for w in words]
-                self.runs[run] = (" ".join([i for i, _ in found]), b"".join([b for _, b in found]))
+            found = [self.words.now[w] for w in words]
+            ids, decoded = found[0] if len(found) == 1 else (" ".join([i for i, _ in found]), b"".join([b for _, b in found]))
+            self.runs.add(run, (ids, decoded), len(ids) + 2 * len(decoded))
 
 
 #: What the pattern does at white space: a blank belongs to the word behind it, all before it stands alone.
@@ -239,12 +218,11 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
     """(ids joined by blanks, decoded bytes) of each text."""
     split = [_RUN.findall(t) for t in texts]
-    bpe.runs.turn()
     if new := bpe.runs.missing({r for runs in split for r in runs}):
         bpe.learn(new)
     out = []
     for runs in split:
-        found = list(map(bpe.runs.__getitem__, runs))
+        found = list(map(bpe.runs.now.__getitem__, runs))
         out.append((" ".join([i for i, _ in found]), b"".join([b for _, b in found])))
     return out
 
