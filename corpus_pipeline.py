@@ -17,6 +17,8 @@ from tessera.llm.scratch import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their word shingles of this size; the query op10_ngram_jaccard has its own.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
+#: Bitmaps, of 4 kB for 32768 rows each, that are broadcast together.
+BITMAPS = 1 << 14
 
 
 def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +31,20 @@ def identify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter(F.col("lang_pred") != UNDETERMINED).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+def keep_rows(numbered: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``numbered`` whose ``row`` is in ``kept``, without a shuffle of them: by bitmaps, up to BITMAPS of them.
+
+    ``row`` counts upwards in each part of the table, so that bitmaps are dense. With more of them rows are joined.
+    """
+    place, bucket = F.bitmap_bit_position(F.col("row") + 1), F.bitmap_bucket_number(F.col("row") + 1).alias("bucket")
+    bits = materialise(kept.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("bits")), "pipeline-kept")
+    if bits.count() > BITMAPS:
+        return numbered.join(kept, "row", "left_semi")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = numbered.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket")
+    return held.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, a null id being the greatest.
 
@@ -41,7 +57,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ranked = numbered.select("row", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("hash"), "row").alias("rank"))
     member = linked.select(F.col("doc_id").alias("row"), "component_id").join(ranked, "row")
     first = member.groupBy("component_id").agg(F.min("rank").alias("first")).select(F.col("first.row").alias("row"))
-    return numbered.join(first, "row", "left_semi").select(*docs.columns)
+    return keep_rows(numbered, first).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
