@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of values that windows over distinct values are cut into.
-PARTS = 32
+from tessera.operators.scans import carried, in_ranges, inside
+
 #: Values of a reference in a cell of the grid of shares, and cells at most.
 GRID_ROWS, MOST_CELLS = 8, 1 << 24
 
@@ -51,6 +51,12 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def channel_counts(df: DataFrame, keys: Sequence[str], channels: Sequence[str]) -> DataFrame:
+    """Rows of each distinct value of each channel (keys, channel, value, n), all in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])).alias("v")
+    return df.select(*keys, each).groupBy(*keys, "v.channel", "v.value").agg(F.count("*").alias("n"))
+
+
 def cumulative(counts: DataFrame, key: str, by: str) -> DataFrame:
     """Inclusive cumulative share of n; a group without rows has 0. The window runs over bins, never over rows of data."""
     upto = Window.partitionBy(key).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,46 +87,37 @@ def nearest_cdf_table(content: DataFrame, reference: DataFrame) -> DataFrame:
     return met.select("image_id", "bin", F.when(F.col("below").isNotNull() & lower, F.col("below.to")).otherwise(F.col("above.to")).alias("mapped"))
 
 
-def ranges_of(counts: DataFrame, by: str, parts: int = PARTS) -> tuple[list[float], int]:
-    """Values that cut the rows of ``counts`` into about equal ranges, and the number of rows."""
-    at = [i / parts for i in range(1, parts)]
-    bounds, n = counts.agg(F.percentile_approx(F.col(by).cast("double"), at, 1000), F.count("*")).first()
-    return sorted(set(bounds or [])), n
-
-
-def running_totals(counts: DataFrame, keys: Sequence[str], by: str, bounds: Sequence[float]) -> DataFrame:
+def running_totals(counts: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     """Counts (keys, by, n) with upto (n of all rows of the group up to this one), total and the value before, if any.
 
-    Windows run over one range of values of a group; what stands before a range is taken from the sums of ranges, as
-    many rows for a group as there are ranges. So neither a group nor a table without keys is one task's work.
+    The counts are dealt over Spark's range partitions and written once; what stands before a partition comes from the
+    sums of partitions. So neither a group nor a table without keys is one task's work, whatever its size.
     """
-    value = F.col(by).cast("double")
-    cut = counts.withColumn("range_", sum(((value > b).cast("int") for b in bounds), F.lit(0)))
-    sums = cut.groupBy(*keys, "range_").agg(F.sum("n").alias("of_range"), F.max(by).alias("top"))
-    ahead = Window.partitionBy(*keys).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(
-        *keys, "range_", F.coalesce(F.sum("of_range").over(ahead), F.lit(0)).alias("earlier"), F.max("top").over(ahead).alias("last"), F.sum("of_range").over(Window.partitionBy(*keys)).alias("total"),
-    )
-    inside = Window.partitionBy(*keys, "range_").orderBy(by)
-    upto = F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    counted = cut.withColumns({"upto": upto, "before": F.lag(by).over(inside)}).join(sums, [*keys, "range_"])
-    return counted.select(*keys, by, "n", (F.col("earlier") + F.col("upto")).alias("upto"), "total", F.coalesce("before", "last").alias("before"))
+    return totals_in_ranges(in_ranges(counts.select(*keys, by, "n"), [*keys, by], "counts"), keys, by)
+
+
+def totals_in_ranges(ranged: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
+    """:func:`running_totals` of counts that are dealt over ranges of (keys, by) already."""
+    ranged = carried(ranged, keys, {"earlier": (F.sum("n"), F.sum), "last": (F.max(by), F.max)}, whole={"total": (F.sum("n"), F.sum)})
+    upto = F.sum("n").over(inside(keys, [by]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = ranged.withColumns({"upto": F.coalesce("earlier", F.lit(0)) + upto, "before": F.coalesce(F.lag(by).over(inside(keys, [by])), "last")})
+    return counted.select(*keys, by, "n", "upto", "total", "before")
 
 
-def quantile_map(content: DataFrame, reference: DataFrame, n_reference: int) -> DataFrame:
+def quantile_map(content: DataFrame, reference: DataFrame, n_reference: int, on: Sequence[str] = ()) -> DataFrame:
     """For each content value (key columns, value, cdf): the reference's value at that share, linearly between neighbours.
 
-    ``reference`` is a table of :func:`running_totals` over its ``n_reference`` distinct values, called value. Each of
-    them answers for the shares from the one before, exclusive, to its own; they are laid on a grid of shares of about
+    ``reference`` is a table of :func:`running_totals` over its ``n_reference`` distinct values, called value; rows of
+    the two meet where the columns ``on`` agree. Each of them answers for the shares from the one before, exclusive, to its own; they are laid on a grid of shares of about
     GRID_ROWS values a cell, on which the two tables meet.
     """
     cells = max(1, min(MOST_CELLS, n_reference // GRID_ROWS))
     cell = lambda share: F.least(F.lit(cells - 1), F.floor(share * cells)).cast("int")
     answers = reference.select(
-        F.col("value").cast("double").alias("high"), F.col("before").cast("double").alias("low"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("over"), (F.col("upto") / F.col("total")).alias("most"),
+        *on, F.col("value").cast("double").alias("high"), F.col("before").cast("double").alias("low"), ((F.col("upto") - F.col("n")) / F.col("total")).alias("over"), (F.col("upto") / F.col("total")).alias("most"),
     )
     answers = answers.withColumn("cell", F.explode(F.sequence(cell(F.col("over")), cell(F.col("most")))))
-    met = content.withColumn("cell", cell(F.col("cdf"))).join(answers, "cell").filter((F.col("over") < F.col("cdf")) & (F.col("cdf") <= F.col("most")))
+    met = content.withColumn("cell", cell(F.col("cdf"))).join(answers, [*on, "cell"]).filter((F.col("over") < F.col("cdf")) & (F.col("cdf") <= F.col("most")))
     between = F.col("low") + (F.col("high") - F.col("low")) * ((F.col("cdf") - F.col("over")) / (F.col("most") - F.col("over")))
     mapped = F.when(F.col("low").isNull() | (F.col("most") == F.col("cdf")), F.col("high")).otherwise(between)
     return met.select(*[c for c in content.columns if c != "cdf"], mapped.alias("mapped"))
@@ -129,7 +126,7 @@ def quantile_map(content: DataFrame, reference: DataFrame, n_reference: int) ->
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """(keys, q0, q1, ...): interpolated quantiles of each group, from running totals of its distinct values."""
     counts = value_counts(df.filter(F.col(value).isNotNull()), keys, value)
-    totals = running_totals(counts, keys, value, ranges_of(counts, value)[0])
+    totals = running_totals(counts, keys, value)
     place = [F.lit(p) * (F.col("total") - 1) for p in shares]
     at = lambda i: F.max(F.when((F.col("upto") - F.col("n") <= i) & (i < F.col("upto")), F.col(value)))
     ends = [f for i, p in enumerate(place) for f in (at(F.floor(p)).alias(f"lo{i}"), at(F.ceil(p)).alias(f"hi{i}"), F.max(p - F.floor(p)).alias(f"part{i}"))]

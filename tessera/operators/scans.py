@@ -33,14 +33,18 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, on, how).drop(*[f"{k}_right_" for k in keys])
 
 
-def carried(ranged: DataFrame, keys: Sequence[str], totals: dict[str, tuple[Column, Callable[[Column], Column]]], behind: bool = False) -> DataFrame:
+def carried(ranged: DataFrame, keys: Sequence[str], totals: dict[str, tuple[Column, Callable[[Column], Column]]], behind: bool = False, whole: dict[str, tuple[Column, Callable[[Column], Column]]] | None = None) -> DataFrame:
     """``ranged`` with what the earlier ranges (or those behind) of its key come to, null where there are none.
 
-    ``totals`` has for each new column what a range comes to, an aggregate, and what several do, another.
+    ``totals`` has for each new column what a range comes to, an aggregate, and what several do, another; ``whole`` has
+    the same for columns over all ranges of the key.
     """
-    of_part = ranged.groupBy(*keys, PART).agg(*[of.alias(name) for name, (of, _) in totals.items()])
+    whole = whole or {}
+    of_part = ranged.groupBy(*keys, PART).agg(*[of.alias(name) for name, (of, _) in (totals | whole).items()])
     by = Window.partitionBy(*keys).orderBy(F.desc(PART) if behind else PART).rowsBetween(Window.unboundedPreceding, -1)
-    return join_keys(ranged, of_part.select(*keys, PART, *[over(F.col(name)).over(by).alias(name) for name, (_, over) in totals.items()]), [*keys, PART])
+    over = [combined(F.col(name)).over(by).alias(name) for name, (_, combined) in totals.items()]
+    over += [combined(F.col(name)).over(Window.partitionBy(*keys)).alias(name) for name, (_, combined) in whole.items()]
+    return join_keys(ranged, of_part.select(*keys, PART, *over), [*keys, PART])
 
 
 def inside(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.scans import carried, in_ranges, inside
+
 #: Health, worst last.
 STATUSES = ("healthy", "warning", "critical")
 
@@ -102,10 +104,17 @@ def batch_summary(manifest: DataFrame) -> DataFrame:
 
 
 def request_spans(events: DataFrame, key: str, start: Column, end: Column) -> DataFrame:
-    """Each start with the next end of the same key, if any (key, start_id, start_ts, end_id, end_ts)."""
-    after = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
-    next_end = F.last(F.when(end, F.struct("event_id", "ts")), ignorenulls=True).over(after)
-    return events.filter(start | end).withColumn("next", next_end).filter(start).select(key, F.col("event_id").alias("start_id"), F.col("ts").alias("start_ts"), F.col("next.event_id").alias("end_id"), F.col("next.ts").alias("end_ts"))
+    """Each start with the next end of the same key, if any (key, start_id, start_ts, end_id, end_ts).
+
+    Starts and ends are dealt over ranges of (key, time); the first end of the ranges behind is carried into each, so a
+    key with any share of all events is many tasks' work.
+    """
+    order = [key, "ts", "event_id"]
+    marked = events.filter(start | end).select(*order, start.alias("start_"), F.when(end, F.struct("ts", "event_id")).alias("end_"))
+    ranged = carried(in_ranges(marked, order, "spans"), [key], {"later_": (F.min("end_"), F.min)}, behind=True)
+    after = inside([key], [F.desc("ts"), F.desc("event_id")]).rowsBetween(Window.unboundedPreceding, -1)
+    found = ranged.withColumn("next_", F.coalesce(F.last("end_", ignorenulls=True).over(after), F.col("later_"))).filter("start_")
+    return found.select(key, F.col("event_id").alias("start_id"), F.col("ts").alias("start_ts"), F.col("next_.event_id").alias("end_id"), F.col("next_.ts").alias("end_ts"))
 
 
 def spans_by_id(logs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color
 from tessera.operators.difference import with_delta_e2000
-from tessera.operators.distribution import exact_quantiles, quantile_map, ranges_of, running_totals, value_counts
+from tessera.operators.distribution import channel_counts, exact_quantiles, quantile_map, running_totals, totals_in_ranges
+from tessera.operators.scans import in_ranges
 
 LAB = ("L", "a", "b")
 #: A deviation under which a channel is only shifted.
@@ -113,13 +114,13 @@ def reverse_blend(content: DataFrame, other: DataFrame, weights: Mapping[str, fl
 
 def quantile_transfer(content: DataFrame, reference: DataFrame, channels: Sequence[str], key: str = "image_id") -> DataFrame:
     """Each channel gets the reference's distribution: a value goes to the reference's value of the same cumulative share."""
+    own = running_totals(channel_counts(content, [key], channels), [key, "channel"], "value").select(key, "channel", "value", (F.col("upto") / F.col("total")).alias("cdf"))
+    counts = in_ranges(channel_counts(reference, [], channels), ["channel", "value"], "counts")
+    table = quantile_map(own, totals_in_ranges(counts, ["channel"], "value"), counts.count() // len(channels), ["channel"])
     out = content
     for c in channels:
-        own, ref = (value_counts(df.withColumn("value", F.col(c).cast("double")), keys, "value") for df, keys in ((content, [key]), (reference, [])))
-        own = running_totals(own, [key], "value", ranges_of(own, "value")[0]).select(key, "value", (F.col("upto") / F.col("total")).alias("cdf"))
-        bounds, n = ranges_of(ref, "value")
-        table = quantile_map(own, running_totals(ref, [], "value", bounds), n).select(F.col(key).alias("key_"), F.col("value").alias("value_"), F.col("mapped").alias(f"new_{c}"))
-        out = out.join(table, (F.col(key) == F.col("key_")) & (F.col(c).cast("double") == F.col("value_"))).drop("key_", "value_")
+        mine = table.filter(F.col("channel") == c).select(F.col(key).alias("key_"), F.col("value").alias("value_"), F.col("mapped").alias(f"new_{c}"))
+        out = out.join(mine, (F.col(key) == F.col("key_")) & (F.col(c).cast("double") == F.col("value_"))).drop("key_", "value_")
     return _result(out, content, channels, lambda c: F.col(f"new_{c}"))
 
 

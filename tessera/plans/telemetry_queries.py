@@ -205,8 +205,9 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 def _collected(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and give the rows of all micro-batches as a table."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.run_available(df, f"{base}/checkpoint", lambda batch, _: batch.write.mode("append").parquet(f"{base}/rows"), mode)
-    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+    # Under the number of the batch: one that runs again replaces its rows.
+    jobs.run_available(df, f"{base}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/rows/batch={n}"), mode)
+    return spark.read.schema(df.schema).parquet(f"{base}/rows").select(*df.columns)
 
 
 @query(f"WITH {METRIC_SQL} SELECT CAST(epoch_us(date_trunc('minute', ts)) AS BIGINT) AS window_start, operation, count(*) AS calls, round(sum(duration_ms), 4) AS total_ms, count(*) FILTER (NOT success) AS errors FROM metric GROUP BY ALL")
@@ -231,3 +232,12 @@ def streamed_alerts(spark: SparkSession, d: str) -> DataFrame:
     samples = _stream(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("memory_percent"), F.lit(0.0).alias("disk_percent"), F.lit(100.0).alias("disk_free_gb"), F.lit(0.0).alias("cpu_percent"))
     keyed = jobs.threshold_alerts(samples.withColumn("ts", F.col("event_id")))
     return _collected(spark, keyed).select(F.col("ts").alias("event_id"), "memory")
+
+
+@query("SELECT CAST(s.user_id AS VARCHAR) AS request_id, s.event_id AS start_id, e.event_id AS end_id FROM events s JOIN events e ON e.user_id = s.user_id AND s.event_type = 'click' AND e.event_type = 'purchase' AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 1 HOUR")
+def streamed_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks of a stream with the purchases of the same user within an hour: a join of two streams with bounded state."""
+    events = _stream(spark, d).select(F.col("user_id").cast("string").alias("request_id"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    starts, ends = events.filter("event_type = 'click'"), events.filter("event_type = 'purchase'")
+    spans = jobs.request_spans(starts, ends, keep=["event_id"]).filter("end_event_id IS NOT NULL")
+    return _collected(spark, spans.select("request_id", "event_id", "end_event_id")).select("request_id", F.col("event_id").alias("start_id"), F.col("end_event_id").alias("end_id"))

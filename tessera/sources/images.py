@@ -57,6 +57,6 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
     pixels.write.mode("overwrite").partitionBy("image_id").parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
+def write_manifest(manifest: DataFrame, path: str, mode: str = "append") -> None:
     """One row for each image: image_id, success, error, elapsed_ms."""
-    manifest.select("image_id", "success", "error", "elapsed_ms").write.mode("append").parquet(path)
+    manifest.select("image_id", "success", "error", "elapsed_ms").write.mode(mode).parquet(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,14 +57,17 @@ def threshold_alerts(samples: DataFrame) -> DataFrame:
     return banded.filter("memory <> 'healthy' OR disk <> 'healthy' OR cpu <> 'healthy'")
 
 
-def request_spans(starts: DataFrame, ends: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Starts (request_id, ts) with their ends (request_id, ts) within a time bound; unmatched starts come once the watermark is past."""
-    s = starts.select("request_id", F.col("ts").alias("start_ts"))
-    e = ends.select(F.col("request_id").alias("end_request"), F.col("ts").alias("end_ts"))
+def request_spans(starts: DataFrame, ends: DataFrame, within: str = "1 hour", late: str = LATE, keep: Sequence[str] = ()) -> DataFrame:
+    """Starts (request_id, ts) with their ends (request_id, ts) within a time bound; unmatched starts come once the watermark is past.
+
+    Columns ``keep`` of both are kept, those of the end as end_<name>.
+    """
+    s = starts.select("request_id", F.col("ts").alias("start_ts"), *keep)
+    e = ends.select(F.col("request_id").alias("end_request"), F.col("ts").alias("end_ts"), *[F.col(c).alias(f"end_{c}") for c in keep])
     if starts.isStreaming:
         s, e = s.withWatermark("start_ts", late), e.withWatermark("end_ts", late)
     same = (F.col("request_id") == F.col("end_request")) & (F.col("end_ts") >= F.col("start_ts")) & (F.col("end_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {within}"))
-    return s.join(e, same, "left_outer").select("request_id", "start_ts", "end_ts")
+    return s.join(e, same, "left_outer").select("request_id", "start_ts", "end_ts", *keep, *[f"end_{c}" for c in keep])
 
 
 def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
@@ -78,7 +81,9 @@ def incremental_transfer(spark: SparkSession, folder: str, reference: DataFrame,
     """Moment transfer of images that are new in a folder since the last run: each once, by the file source's checkpoint.
 
     A micro-batch has at most ``files_per_batch`` files, which bounds the list of its paths. Results are pixel tables
-    by image; a manifest beside them has one row for each file, with an error for those that don't decode.
+    by image; a manifest beside them has one row for each file, with an error for those that don't decode. Both are
+    written under the number of the batch, the manifest last: a batch that runs again replaces what it wrote, and one
+    without a manifest counts for nothing (:func:`committed_pixels`).
     """
     new = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files_per_batch).load(folder)
 
@@ -91,12 +96,18 @@ def incremental_transfer(spark: SparkSession, folder: str, reference: DataFrame,
         found = raw.select(file_name(F.col("origin")).alias("image_id"), "width", "height", F.col("nChannels").alias("channels"), "data")
         pixels = explode_pixels(found).select("image_id", "x", "y", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("lab")).select("image_id", "x", "y", "lab.*")
         began = time.monotonic()
-        moment_transfer(pixels, reference).write.mode("append").partitionBy("image_id").parquet(f"{out}/pixels")
+        moment_transfer(pixels, reference).write.mode("overwrite").partitionBy("image_id").parquet(f"{out}/pixels/batch={number}")
         # Images of a micro-batch are worked on together, so each is given an equal part of its time.
         each_ms = (time.monotonic() - began) * 1000 / len(paths)
         ok = found.select("image_id", F.lit(True).alias("success"))
         manifest = batch.select(file_name(F.col("path")).alias("image_id")).join(ok, "image_id", "left")
         manifest = manifest.select("image_id", F.coalesce("success", F.lit(False)).alias("success"), F.when(F.col("success").isNull(), "UNREADABLE_IMAGE").alias("error"), F.when(F.col("success"), F.lit(each_ms)).alias("elapsed_ms"))
-        write_manifest(manifest, f"{out}/manifest")
+        write_manifest(manifest, f"{out}/manifest/batch={number}", "overwrite")
 
     return run_available(new, checkpoint, each)
+
+
+def committed_pixels(spark: SparkSession, out: str) -> DataFrame:
+    """The pixels of all batches of :func:`incremental_transfer` whose manifest was written."""
+    batches = spark.read.parquet(f"{out}/manifest").select("batch").distinct()
+    return spark.read.parquet(f"{out}/pixels").join(F.broadcast(batches), "batch", "left_semi")

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 from test_sources import png
@@ -42,6 +43,27 @@ def test_new_images_are_transferred_once(spark, tmp_path):
     manifest = sorted((r.image_id, r.success) for r in spark.read.parquet(f"{tmp_path}/out/manifest").collect())
     assert manifest == [("bad.png", False), ("one.png", True), ("two.png", True)]
     assert spark.read.parquet(f"{tmp_path}/out/pixels").groupBy("image_id").count().filter("count = 2").count() == 2
+    # A batch whose end was not recorded runs again and changes nothing.
+    before = sorted(map(str, jobs.committed_pixels(spark, f"{tmp_path}/out").collect()))
+    for name in ("1", ".1.crc"):
+        (tmp_path / "c" / "commits" / name).unlink()
+    run()
+    assert sorted(map(str, jobs.committed_pixels(spark, f"{tmp_path}/out").collect())) == before and len(before) == 4
+    assert spark.read.parquet(f"{tmp_path}/out/manifest").count() == 3
+
+
+def test_spans_of_a_hot_key(spark):
+    """A user with most events is cut into ranges; the next end is found across them, and null users are a user."""
+    rng = random.Random(1)
+    rows = [(rng.choice([7, 7, 7, 7, None, 9]), i, rng.randint(0, 900), rng.choice(["click", "click", "purchase", "view"])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "user_id int, event_id int, ts int, kind string").repartition(4)
+    got = {r.start_id: r.end_id for r in telemetry.request_spans(df, "user_id", F.col("kind") == "click", F.col("kind") == "purchase").collect()}
+    ordered = sorted(rows, key=lambda r: (r[2], r[1]))
+    want = {}
+    for i, r in enumerate(ordered):
+        if r[3] == "click":
+            want[r[1]] = next((o[1] for o in ordered[i + 1 :] if o[0] == r[0] and o[3] == "purchase"), None)
+    assert got == want
 
 
 def test_running_health_changes_status(spark, tmp_path):
