@@ -5,15 +5,16 @@ A palette is a list of at most 256 (r, g, b) on the driver, which is its bound;
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import color
 from tessera.operators import stencil
+from tessera.sources.folders import written
 
 MOST_ENTRIES = 256
 RGB = ("r", "g", "b")
@@ -93,43 +94,125 @@ def distinct_colours(pixels: DataFrame, keys: Sequence[str] = ("image_id",)) ->
     return pixels.groupBy(*keys).agg(F.countDistinct(F.struct(*RGB)).alias("n_colours"), F.approx_count_distinct(F.struct(*RGB), 0.02).alias("n_colours_approx"))
 
 
-def kmeans_palette(pixels: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52))) -> list[tuple[int, int, int]]:
-    """Centres of k clusters of the colours, fractions cut off, of the restart with the least cost; exactly k if there are as many colours."""
-    counted = pixels.groupBy(*RGB).agg(F.count("*").cast("double").alias("n"))
-    data = VectorAssembler(inputCols=list(RGB), outputCol="features").transform(counted.select(*[F.col(c).cast("double").alias(c) for c in RGB], "n")).cache()
-    try:
-        k = min(k, data.count())
-        if k == 0:
-            return []
-        if k == 1:
-            mean = data.agg(*[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in RGB]).first()
-            return [tuple(int(mean[c]) for c in RGB)]
-        fitted = [KMeans(k=k, seed=s, weightCol="n", maxIter=20).fit(data) for s in seeds]
-        best = min(fitted, key=lambda m: m.summary.trainingCost)
-        return [tuple(int(v) for v in c) for c in best.clusterCenters()]
-    finally:
-        data.unpersist()
+def colour_counts(pixels: DataFrame) -> DataFrame:
+    """Pixels of each distinct colour (r, g, b, n): at most 2^24 rows, whatever the number of pixels."""
+    return pixels.groupBy(*RGB).agg(F.count("*").alias("n"))
+
+
+def _colours(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack([batch.column(c).to_numpy() for c in RGB], axis=1).astype(np.float64), batch.column("n").to_numpy().astype(np.float64)
+
+
+def _assigned(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point, the first of several, and the squared distance to it."""
+    distance = (points * points).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres * centres).sum(axis=1)
+    nearest = distance.argmin(axis=1)
+    return nearest, np.maximum(distance[np.arange(len(points)), nearest], 0)
+
+
+def _first_centres(points: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the points: each with a chance in proportion to its weight and its squared distance from those before."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
+    far = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    for _ in range(k - 1):
+        mass = weights * far
+        chosen.append(int(rng.choice(len(points), p=mass / mass.sum())))
+        far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
+
+
+def kmeans_palette(pixels: DataFrame, k: int, seeds: Sequence[int] = tuple(range(42, 52)), rounds: int = 20, sample: int = 20_000) -> list[tuple[int, int, int]]:
+    """Centres of k clusters of the colours, fractions cut off, of the restart with the least cost; exactly k if there are as many colours.
+
+    The counts of colours are written once. A round is one job for all restarts: tasks add up, for each centre of each
+    restart, the weighted colours nearest to it, and restarts x k rows come back. The first centres of each restart are
+    drawn from at most ``sample`` colours, the first by hash; every colour counts in every round. Rounds end when no
+    centre moves, or after ``rounds``.
+    """
+    counted = written(colour_counts(pixels), "colours")
+    few = counted.orderBy(F.xxhash64(*RGB), *RGB).limit(sample).select(*RGB, "n").toArrow()
+    points, weights = _colours(few)
+    k = min(k, len(points))
+    if k == 0:
+        return []
+    centres = np.stack([_first_centres(points, weights, k, s) for s in seeds])
+    cost = np.full(len(seeds), np.inf)
+    for _ in range(rounds):
+        new, cost = _kmeans_round(counted, centres)
+        moved = np.abs(new - centres).max()
+        centres = new
+        if moved < 1e-4:
+            break
+    return [tuple(int(v) for v in c) for c in centres[int(cost.argmin())]]
+
+
+def _kmeans_round(counted: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means of what lies nearest to each centre of each restart, and the cost of each restart before they move."""
+    restarts, k, _ = centres.shape
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((restarts, k, 5))
+        for batch in batches:
+            points, weights = _colours(batch)
+            for r in range(restarts):
+                nearest, distance = _assigned(points, centres[r])
+                for i, values in enumerate((*points.T, np.ones(len(points)), distance)):
+                    sums[r, :, i] += np.bincount(nearest, weights * values, k)
+        at = np.arange(restarts * k)
+        columns = [pa.array(at // k, pa.int32()), pa.array(at % k, pa.int32()), *[pa.array(c) for c in sums.reshape(-1, 5).T.copy()]]
+        yield pa.RecordBatch.from_arrays(columns, ["restart", "centre", *RGB, "n", "cost"])
+
+    parts = counted.mapInArrow(add_up, "restart int, centre int, r double, g double, b double, n double, cost double")
+    rows = parts.groupBy("restart", "centre").agg(*[F.sum(c).alias(c) for c in (*RGB, "n", "cost")]).collect()
+    new, cost = centres.copy(), np.zeros(restarts)
+    for row in rows:
+        cost[row.restart] += row.cost
+        if row.n > 0:
+            new[row.restart, row.centre] = [row.r / row.n, row.g / row.n, row.b / row.n]
+    return new, cost
+
+
+def _median_cut(points: np.ndarray, n: np.ndarray, k: int) -> list[np.ndarray]:
+    """The places of the colours of each box: the widest channel of any box is split at its weighted median until there are k."""
+    boxes = [np.arange(len(points))] if len(points) else []
+    widths = [np.ptp(points[b], axis=0) for b in boxes]
+    while 0 < len(boxes) < k:
+        # Of equal widths the first box, and of its channels red before green before blue.
+        wide, box, channel = max((w[c], -i, -c) for i, w in enumerate(widths) for c in range(3))
+        if wide <= 0:
+            break
+        inside = boxes[-box]
+        values = points[inside, -channel]
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(n[inside][order])
+        middle = (upto[-1] - 1) / 2
+        low, high = (values[order][np.searchsorted(upto, place, "right")] for place in (np.floor(middle), np.ceil(middle)))
+        cut = min(max((low + high) / 2, values.min()), values.max() - 1)
+        boxes[-box], widths[-box] = inside[values <= cut], np.ptp(points[inside[values <= cut]], axis=0)
+        boxes.append(inside[values > cut])
+        widths.append(np.ptp(points[boxes[-1]], axis=0))
+    return boxes
 
 
 def median_cut_palette(pixels: DataFrame, k: int) -> DataFrame:
     """k colours (idx, r, g, b): the box of colours with the widest channel is split at its weighted median until there are k.
 
-    Only the bounds of boxes, at most k rows, come to the driver in each round.
+    One aggregation to counts of colours; these, at most 2^24 rows by the nature of colours, are split in one task, so
+    that no round is a job of its own and nothing comes to the driver.
     """
-    counted = pixels.groupBy(*RGB).agg(F.count("*").alias("n"))
-    boxes = counted.withColumn("box", F.lit(0))
-    for new in range(1, k):
-        bounds = boxes.groupBy("box").agg(*[(F.max(c) - F.min(c)).alias(c) for c in RGB]).collect()
-        widest = max(((b[c], -b["box"], c) for b in bounds for c in RGB), default=(0, 0, "r"))
-        if widest[0] <= 0:
-            break
-        box, c = -widest[1], widest[2]
-        inside = boxes.filter(F.col("box") == box)
-        middle = inside.agg(F.percentile(c, F.lit(0.5), F.col("n")).alias("m"), F.max(c).alias("top"), F.min(c).alias("low")).first()
-        cut = min(max(middle["m"], middle["low"]), middle["top"] - 1)
-        boxes = boxes.withColumn("box", F.when((F.col("box") == box) & (F.col(c) > cut), F.lit(new)).otherwise(F.col("box")))
-    mean = lambda c: F.floor(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int").alias(c)
-    return boxes.groupBy("box").agg(*[mean(c) for c in RGB]).select(F.col("box").alias("idx"), *RGB)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.stack([b.column(c).to_numpy().astype(np.int16) for c in RGB], axis=1), b.column("n").to_numpy()) for b in batches]
+        if not parts:
+            return
+        points, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        boxes = _median_cut(points, n, k)
+        means = [np.floor((points[b].astype(np.float64) * n[b][:, None]).sum(axis=0) / n[b].sum()) for b in boxes]
+        columns = [pa.array(range(len(boxes)), pa.int32()), *[pa.array([int(m[c]) for m in means], pa.int32()) for c in range(3)]]
+        yield pa.RecordBatch.from_arrays(columns, ["idx", *RGB])
+
+    return colour_counts(pixels).repartition(1).mapInArrow(split, "idx int, r int, g int, b int")
 
 
 def sort_palette(entries: DataFrame, by: str = "brightness") -> DataFrame:

@@ -182,6 +182,40 @@ def test_mapping_over_many_entries_and_whole_pipeline(spark):
     assert full.count() == 64 and all(0 <= v <= 255 for r in full.collect() for v in (r.r, r.g, r.b))
 
 
+def test_median_cut_against_lists(spark):
+    rng = np.random.default_rng(6)
+    colours = [tuple(map(int, c)) for c in rng.integers(0, 256, (300, 3))] + [(5, 5, 5)] * 40 + [(5, 5, 6)] * 3
+    p = spark.createDataFrame([("i", n, 0, *c) for n, c in enumerate(colours)], schemas.PIXELS).repartition(4)
+    boxes = [colours]
+    while len(boxes) < 12:
+        width = lambda box, c: max(x[c] for x in box) - min(x[c] for x in box)
+        i, c = max(((i, c) for i in range(len(boxes)) for c in range(3)), key=lambda ic: (width(boxes[ic[0]], ic[1]), -ic[0], -ic[1]))
+        values = sorted(x[c] for x in boxes[i])
+        cut = min(max(np.median(values), values[0]), values[-1] - 1)
+        boxes[i], more = [x for x in boxes[i] if x[c] <= cut], [x for x in boxes[i] if x[c] > cut]
+        boxes.append(more)
+    want = [(i, *(int(np.floor(np.mean([x[c] for x in box]))) for c in range(3))) for i, box in enumerate(boxes)]
+    cut = palette.median_cut_palette(p, 12)
+    assert sorted(tuple(r) for r in cut.collect()) == want
+    assert palette.median_cut_palette(p.filter("false"), 3).count() == 0 and palette.kmeans_palette(p.filter("false"), 3) == []
+
+
+def test_a_round_of_k_means(spark):
+    rng = np.random.default_rng(7)
+    colours = np.concatenate([rng.integers(0, 256, (200, 3)), rng.integers(90, 99, (300, 3))])
+    p = spark.createDataFrame([("i", n, 0, *map(int, c)) for n, c in enumerate(colours)], schemas.PIXELS).repartition(4)
+    centres = rng.uniform(0, 255, (3, 6, 3))
+    new, cost = palette._kmeans_round(palette.colour_counts(p), centres)
+    for r in range(3):
+        far = ((colours[:, None] - centres[r][None]) ** 2).sum(axis=2)
+        nearest = far.argmin(axis=1)
+        assert cost[r] == pytest.approx(far.min(axis=1).sum())
+        for c in range(6):
+            assert new[r, c] == pytest.approx(colours[nearest == c].mean(axis=0) if (nearest == c).any() else centres[r, c])
+    of = lambda entries: ((colours[:, None] - np.array(entries, float)[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    assert of(palette.kmeans_palette(p, 6)) <= 1.001 * min(of(palette.kmeans_palette(p, 6, seeds=(s,))) for s in (42, 45, 51))
+
+
 def test_globs(spark):
     cases = [("*.py", "a/b/C.PY", True), ("src/**", "src/a/b.txt", True), ("src/*", "src/a/b.txt", False), ("*.{md,txt}", "x.md", True), (".env", "a/.env", True), ("a?.js", "ab.js", True), ("*.js", "a.jsx", False)]
     for glob, path, want in cases:
