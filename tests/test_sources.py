@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 
@@ -72,3 +73,18 @@ def test_logs_and_benchmarks(spark, tmp_path):
     assert [r.radius for r in files.read_benchmarks(spark, str(tmp_path / "bench")).collect()] == [1, 1]
     files.append_logs(files.read_logs(spark, str(tmp_path / "log.json")).drop("_corrupt_record").filter("level is not null"), str(tmp_path / "logs"))
     assert spark.read.json(str(tmp_path / "logs")).count() == 1
+
+
+def test_pixels_written_as_images_and_read_back(spark, tmp_path):
+    rng = random.Random(4)
+    sides = {"a.png": (5, 3), "b": (1, 1), "c.jpg": (16, 9)}
+    rows = [(n, x, y, *(rng.randrange(256) for _ in range(3))) for n, (w, h) in sides.items() for x in range(w) for y in range(h)]
+    gone = [r for r in rows if (r[0], r[1], r[2]) in {("a.png", 1, 1), ("a.png", 4, 1), ("c.jpg", 0, 0)} or (r[0] == "c.jpg" and r[2] == 4)]
+    kept = [r for r in rows if r not in gone]
+    df = spark.createDataFrame(kept, "image_id string, x int, y int, r int, g int, b int").repartition(3)
+    for _ in range(2):  # writing again replaces the same files
+        images.write_images(df, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["a.bmp", "b.bmp", "c.bmp"]
+    back = images.explode_pixels(images.read_images(spark, str(tmp_path / "out"))).collect()
+    want = {(n.split(".")[0] + ".bmp", *rest) for n, *rest in kept} | {(n.split(".")[0] + ".bmp", x, y, 0, 0, 0) for n, x, y, *_ in gone}
+    assert {tuple(r) for r in back} == want and len(back) == len(rows)
