@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,7 +14,7 @@ import pyarrow as pa
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 #: Python work goes over slices of about so many characters, so that memory is bounded by a text, not a batch.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -41,12 +42,20 @@ def held(name: str, build: Callable[[], Any]) -> Any:
     """
     if name not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _HELD[name] = build()
+        give_back()
     return _HELD[name]
 
 
+def give_back() -> None:
+    """Return memory that is free to the system: Python and the C library keep it for themselves otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def file_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
