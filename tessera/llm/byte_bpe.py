@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.texts import WHITE_SPACE, Known, file_bytes, held, slices
 
-#: Bytes of encoded runs, and of words, that a worker keeps in each of two generations, so that what it meets often stays.
-RUN_BYTES, WORD_BYTES = 45_000_000, 25_000_000
+#: Bytes of encoded runs and words that a worker keeps in each of two generations, so that what it meets often stays.
+KNOWN_BYTES = 90_000_000
 #: Rows that one recursive query makes, about: a string of n bytes has n in the first step, and one less in each.
-QUERY_ROWS = 400_000
+QUERY_ROWS = 600_000
 #: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
 PART, AROUND = 64, 8
 #: Pairs of tokens whose border was looked at that a worker keeps.
@@ -100,8 +100,8 @@ class ByteBpe:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM v")
         self.db.unregister("m")
         self.db.unregister("v")
-        #: Ids of words and of runs, joined by blanks, with the bytes that they decode to.
-        self.words, self.runs = Known(WORD_BYTES), Known(RUN_BYTES)
+        #: Of each word and run its ids, joined by blanks, a line break, and the bytes that they decode to: one value takes least.
+        self.known = Known(KNOWN_BYTES)
         self.holds: dict[tuple[int, int], bool] = {}
 
     def encode_words(self, words: list[str]) -> None:
@@ -130,8 +130,7 @@ class ByteBpe:
         self.db.unregister("more")
         found = self.db.sql(_DECODE).to_arrow_table().to_pydict()
         for at, ids, hexed in zip(found["word"], found["ids"], found["hex"], strict=True):
-            decoded = bytes.fromhex(hexed)
-            self.words.add(words[at], (ids, decoded), len(ids) + 2 * len(decoded))
+            self._keep(words[at], ids.encode(), bytes.fromhex(hexed))
 
     def _contract(self, raw: list[bytes], numbers: np.ndarray) -> None:
         """The table ``encoded``: the tokens of each string of bytes under its number."""
@@ -196,15 +195,17 @@ class ByteBpe:
             self.holds[a, b] = ids == [a, b]
         return [self.holds[p] for p in pairs]
 
+    def _keep(self, key: str, ids: bytes, decoded: bytes) -> None:
+        self.known.add(key, ids + b"\n" + decoded, len(ids) + 2 * len(decoded))
+
     def learn(self, runs: set[str]) -> None:
-        """Encode runs of the text; the pattern never matches across the borders of runs."""
+        """Encode runs of the text; the pattern never matches across the borders of runs, nor differently in a word alone."""
         split = {r: self.matches(r) for r in runs}
-        new = self.words.missing({w for words in split.values() for w in words})
-        self.encode_words(sorted(new, key=len))
+        self.encode_words(sorted(self.known.absent({w for words in split.values() for w in words}), key=len))
         for run, words in split.items():
-            found = [self.words.now[w] for w in words]
-            ids, decoded = found[0] if len(found) == 1 else (" ".join([i for i, _ in found]), b"".join([b for _, b in found]))
-            self.runs.add(run, (ids, decoded), len(ids) + 2 * len(decoded))
+            if len(words) > 1:
+                found = [self.known.now[w].split(b"\n", 1) for w in words]
+                self._keep(run, b" ".join([i for i, _ in found]), b"".join([d for _, d in found]))
 
 
 #: What the pattern does at white space: a blank belongs to the word behind it, all before it stands alone.
@@ -218,12 +219,12 @@ def codec(path: str, pattern: str) -> ByteBpe:
 def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
     """(ids joined by blanks, decoded bytes) of each text."""
     split = [_RUN.findall(t) for t in texts]
-    if new := bpe.runs.missing({r for runs in split for r in runs}):
+    if new := bpe.known.missing({r for runs in split for r in runs}):
         bpe.learn(new)
     out = []
     for runs in split:
-        found = list(map(bpe.runs.now.__getitem__, runs))
-        out.append((" ".join([i for i, _ in found]), b"".join([b for _, b in found])))
+        found = [v.split(b"\n", 1) for v in map(bpe.known.now.__getitem__, runs)]
+        out.append((b" ".join([i for i, _ in found]).decode(), b"".join([d for _, d in found])))
     return out
 
 

@@ -72,6 +72,10 @@ class Known:
         """What of ``wanted`` neither generation has; what the one before has comes to the front. Call before each slice."""
         if self.size > self.most:
             self.before, self.now, self.size = self.now, {}, 0
+        return self.absent(wanted)
+
+    def absent(self, wanted: set) -> set:
+        """The same within a slice."""
         absent = {w for w in wanted if w not in self.now}
         old = {w for w in absent if w in self.before}
         for w in old:
@@ -79,6 +83,6 @@ class Known:
         return absent - old
 
     def add(self, key: Any, value: Any, size: int) -> None:
-        """Keep an entry that takes ``size`` bytes besides what a key and a place in a table take."""
+        """Keep an entry that takes ``size`` bytes besides what a key, a value and a place in a table take."""
         self.now[key] = value
-        self.size += size + 250
+        self.size += size + 200

@@ -57,8 +57,7 @@ def test_decoded_bytes_are_those_of_the_ids(monkeypatch):
 
 
 def test_caches_that_start_anew(monkeypatch):
-    monkeypatch.setattr(bb, "RUN_BYTES", 1500)
-    monkeypatch.setattr(bb, "WORD_BYTES", 1500)
+    monkeypatch.setattr(bb, "KNOWN_BYTES", 1500)
     bpe, enc = bb.ByteBpe(PATH, P.PATTERN), library()
     for t in random_texts(40, seed=8):
         assert bb.encode_texts(bpe, [t])[0][0] == " ".join(map(str, enc.encode_ordinary(t)))
