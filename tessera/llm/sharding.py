@@ -26,7 +26,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", te
     where its middle falls. A small group of equal texts on a cut moves to one side as a whole; a large one is
     split, so that one group with a third of all rows still fills several shards evenly.
 
-    A null text has no bytes and counts ``overhead`` alone; its checksum is that of an empty text. Null and
+    Equal texts are ordered by id, rows that agree in both by a number of their own. Very long texts count whole; one
+    larger than a shard is in the one where its middle falls. A null text has no bytes and counts ``overhead`` alone; its checksum is that of an empty text. Null and
     repeated ids are rows like any other. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

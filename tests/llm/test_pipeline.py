@@ -86,6 +86,16 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(repr, want))
 
 
+def test_rows_kept_by_bitmap_and_by_join(spark, monkeypatch):
+    numbered = spark.range(0, 100_000, 1, 5).withColumn("row", F.monotonically_increasing_id())
+    kept = numbered.filter("id % 3 = 1 OR id IN (0, 32767, 32768, 99999)").select("row")
+    want = {i for i in range(100_000) if i % 3 == 1} | {0, 32767, 32768, 99999}
+    assert {r.id for r in cp.keep_rows(numbered, kept).collect()} == want
+    monkeypatch.setattr(cp, "BITMAPS", 0)
+    assert {r.id for r in cp.keep_rows(numbered, kept).collect()} == want
+    assert cp.keep_rows(numbered, kept.filter("false")).count() == 0
+
+
 def test_near_duplicates_against_five_word_brute_force(spark):
     rng = random.Random(9)
     rows = []

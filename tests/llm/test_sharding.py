@@ -47,6 +47,12 @@ def test_nulls_repeats_and_empty(spark):
     assert shard_by_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_very_long_text(spark):
+    by = check(spark, [(1, "é" * 400_000), *[(i, f"text {i}") for i in range(2, 400)]])
+    (shard,) = {s for s, members in by.items() for m in members if m.doc_id == 1}
+    assert max(m.size for m in by[shard]) == 800_008
+
+
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "a", 5, "k"), (2, "b", 6, "l")], SCHEMA + ", size long, shard string")
     assert sorted(r.doc_id for r in shard_by_bytes(df, 2).collect()) == [1, 2]
