@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Extensions by language, media type and kind; declarations that count as symbols.
+# Fixed values, from here to SYMBOL_PATTERNS, that have to be what users of such searches have today: extensions by
+# language, media type and kind, patterns of listings, error codes with their confidence, declarations that count as symbols.
 LANGUAGES = {"py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml", "sh": "bash"}
 MEDIA_TYPES = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "css": "text/css", "csv": "text/csv", "js": "text/javascript", "json": "application/json", "xml": "application/xml", "pdf": "application/pdf", "zip": "application/zip", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "mp3": "audio/mpeg", "mp4": "video/mp4"}
 BINARY_EXTENSIONS = (
@@ -25,7 +26,7 @@ DEFAULT_INCLUDES = (
     "*.m", "*.h", "*.c", "*.cpp", "*.hpp", "*.cs", "*.fs", "*.fsx", "*.clj", "*.cljs", "*.cljc", "*.edn", "*.ex", "*.exs", "*.erl", "*.hrl", "*.lua", "*.sql", "*.pl", "*.pm", "*.r", "*.jl", "*.dart", "*.groovy", "*.gradle",
     "*.nim", "*.zig", "*.v", "*.vh", "*.vhd", "*.cl", "*.tex", "*.sty", "*.cls", "*.rst", "*.adoc", "*.asciidoc",
 )
-# What an error code calls for: confidence and hint.
+# What an error code calls for: confidence and hint. The sentences are part of what callers compare.
 HINTS = {
     "ACCESS_DENIED": (0.9, "Path is outside of allowedDirectories. Check the 'path' argument."),
     "VALIDATION_ERROR": (0.8, "Check the required fields and their types in the arguments."),

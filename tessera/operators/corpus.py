@@ -51,6 +51,14 @@ def search(line_table: DataFrame, pattern: str, regex: bool = False, ignore_case
     return line_table.filter(F.contains(text, F.lit(wanted)))
 
 
+def search_many(line_table: DataFrame, patterns: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """Each line with each of the literals (pattern_id, pattern) that it holds, and the place of the first: one pass for all of them."""
+    fold = F.lower if ignore_case else F.col
+    asked = patterns.select("pattern_id", fold("pattern").alias("pattern"))
+    found = find_patterns(line_table.select("path", "line_no", fold("text").alias("text")), asked)
+    return found.select("path", "line_no", "pattern_id", F.col("at").alias("column"))
+
+
 def symbol_search(line_table: DataFrame, name: str) -> DataFrame:
     """One row for each line and declaration pattern that it matches."""
     patterns = [p.format(re.escape(name)) for p in tx.SYMBOL_PATTERNS]

@@ -55,6 +55,15 @@ def invalid_regex_search(spark: SparkSession, d: str) -> DataFrame:
     return co.search(line_table(spark, d), "(6", regex=True).select("path", "line_no")
 
 
+@query(f"""WITH {LINES_SQL}, p AS (SELECT item_id * 3 + k AS pattern_id, lower(string_split(text, ' ')[k + 2]) AS pattern FROM benchmark, range(3) r(k))
+SELECT path, line_no, CAST(pattern_id AS BIGINT) AS pattern_id, CAST(strpos(lower(text), pattern) AS INT) AS "column" FROM lines JOIN p ON length(pattern) > 7 AND contains(lower(text), pattern)""")
+def many_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all benchmark items, of eight characters or more, looked for in every line at once."""
+    words = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.posexplode(F.slice(F.split("text", " "), 2, 3)).alias("k", "pattern"))
+    asked = words.select((F.col("item_id") * 3 + F.col("k")).alias("pattern_id"), "pattern").filter(F.length("pattern") > 7)
+    return co.search_many(line_table(spark, d), asked)
+
+
 # Source lines made of parts: a declaration of each in one of six forms.
 _FORMS = ("def {}(x):", "class {}:", "function {}() {{", "const {} = 1", "let {} = 2", "return {}")
 SOURCE_SQL = "source AS (SELECT p_type AS path, CAST(p_partkey AS INT) AS line_no, CASE p_partkey % 6 " + " ".join(f"WHEN {i} THEN '" + "' || name || '".join(f.replace("{{", "{").split("{}")) + "'" for i, f in enumerate(_FORMS)) + " END AS text FROM (SELECT *, replace(p_brand, '#', '_') || '_' || p_size AS name FROM part))"
