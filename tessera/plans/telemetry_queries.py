@@ -241,3 +241,12 @@ def streamed_spans(spark: SparkSession, d: str) -> DataFrame:
     starts, ends = events.filter("event_type = 'click'"), events.filter("event_type = 'purchase'")
     spans = jobs.request_spans(starts, ends, keep=["event_id"]).filter("end_event_id IS NOT NULL")
     return _collected(spark, spans.select("request_id", "event_id", "end_event_id")).select("request_id", F.col("event_id").alias("start_id"), F.col("end_event_id").alias("end_id"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, event_type, first_value(CASE WHEN event_type = 'purchase' THEN {'id': event_id, 'ts': ts} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM events WHERE event_type IN ('click', 'purchase'))
+SELECT CAST(user_id AS VARCHAR) AS request_id, event_id AS start_id, nxt.id AS end_id FROM e WHERE event_type = 'click' AND nxt.ts <= ts + INTERVAL 1 HOUR""")
+def streamed_next_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks of a stream with the next purchase of the same user, if within an hour, by state and timers of each user."""
+    events = _stream(spark, d).filter("event_type IN ('click', 'purchase')")
+    events = events.select(F.col("user_id").cast("string").alias("request_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "click").alias("starts"))
+    return _collected(spark, jobs.next_end_spans(events)).filter("end_id IS NOT NULL").select("request_id", "start_id", "end_id")

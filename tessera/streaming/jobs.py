@@ -8,8 +8,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tessera.functions import color
 from tessera.functions.text import file_name
@@ -70,6 +71,67 @@ def request_spans(starts: DataFrame, ends: DataFrame, within: str = "1 hour", la
     return s.join(e, same, "left_outer").select("request_id", "start_ts", "end_ts", *keep, *[f"end_{c}" for c in keep])
 
 
+SPANS = "request_id string, start_id bigint, start_us bigint, end_id bigint, end_us bigint"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OpenRequests(StatefulProcessor):
+    """The starts of a key that no end has closed yet; each goes with the next end, or alone when its time is over."""
+
+    def __init__(self, within_us: int) -> None:
+        self.within_us = within_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start_id bigint, start_us bigint")
+
+    def _keep(self, rows: list[tuple[int, int]]) -> None:
+        self.open.put(rows) if rows else self.open.clear()
+
+    def _expiry(self, start_us: int) -> int:
+        return (start_us + self.within_us) // 1000 + 1
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        waiting, out = [tuple(r) for r in self.open.get()], []
+        for at, number, starts in zip(new["ts_us"].tolist(), new["event_id"].tolist(), new["starts"].tolist(), strict=True):
+            if starts:
+                waiting.append((number, at))
+                self.handle.registerTimer(self._expiry(at))
+                continue
+            closed = [s for s in waiting if s[1] <= at <= s[1] + self.within_us]
+            waiting = [s for s in waiting if s not in closed]
+            out += [(key[0], *s, number, at) for s in closed]
+        self._keep(waiting)
+        yield _span_rows(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(r) for r in self.open.get()]
+        over = [s for s in waiting if self._expiry(s[1]) <= expiredTimerInfo.getExpiryTimeInMs()]
+        self._keep([s for s in waiting if s not in over])
+        yield _span_rows([(key[0], *s, None, None) for s in over])
+
+    def close(self) -> None:
+        pass
+
+
+def _span_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["request_id", "start_id", "start_us", "end_id", "end_us"]).astype({c: "Int64" for c in ("start_id", "start_us", "end_id", "end_us")})
+
+
+def next_end_spans(events: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Each start of a stream (request_id, event_id, ts, starts) with the next end of its key within a time, by state and timers.
+
+    A start waits in the state of its key until an end closes it, or until the watermark is past its time: then it comes
+    without an end. So a key without open starts has no state, and one has no more of it than its starts of that time.
+    Needs the RocksDB state store; the batch twin is :func:`tessera.operators.telemetry.request_spans`.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    within_us = int(pd.Timedelta(within) / pd.Timedelta("1us"))
+    timed = events.withWatermark("ts", late).select("request_id", "event_id", "ts", "starts", F.unix_micros("ts").alias("ts_us"))
+    return timed.groupBy("request_id").transformWithStateInPandas(OpenRequests(within_us), SPANS, "Append", "EventTime")
+
+
 def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Process what is there now and stop; ``each`` gets every micro-batch with its number."""
     query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

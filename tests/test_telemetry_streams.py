@@ -52,6 +52,28 @@ def test_new_images_are_transferred_once(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/manifest").count() == 3
 
 
+def test_spans_by_state_and_timers(spark, tmp_path):
+    """Over several micro-batches as in one table; a start whose time is over comes alone, and its key has no state any more."""
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    rng = random.Random(2)
+    rows = [(rng.choice("abc"), 4 * m + i, at(m), rng.random() < 0.6) for m in range(0, 900, 7) for i in range(2)] + [("idle", 5000, at(100), True), ("last", 6000, at(3000), False)]
+    schema = "request_id string, event_id long, ts timestamp, starts boolean"
+    for part in range(4):
+        mine = [r for r in rows if part == min(3, int((r[2] - at(0)).total_seconds() // 18_000))]
+        spark.createDataFrame(mine, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = []
+    try:
+        jobs.run_available(jobs.next_end_spans(stream), f"{tmp_path}/c", lambda b, _: got.extend(b.collect()))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    batch = telemetry.request_spans(spark.createDataFrame(rows, schema), "request_id", F.col("starts"), ~F.col("starts"))
+    near = (F.unix_micros("end_ts") - F.unix_micros("start_ts")) <= 3_600_000_000
+    want = {r.start_id: r.end_id for r in batch.select("start_id", F.when(near, F.col("end_id")).alias("end_id")).collect()}
+    assert {r.start_id: r.end_id for r in got} == want and len(got) == len(want) and want[5000] is None
+
+
 def test_spans_of_a_hot_key(spark):
     """A user with most events is cut into ranges; the next end is found across them, and null users are a user."""
     rng = random.Random(1)
