@@ -84,7 +84,8 @@ def _around(places: list[int], n: int, reach: int) -> list[list[int]]:
 class ByteBpe:
     """The rank file at ``path`` as DuckDB tables, with the runs that this worker has met."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, known: int | None = None, query_rows: int | None = None):
+        self.query_rows = query_rows or QUERY_ROWS
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file_bytes(path).splitlines()) }
         self.ranks = ranks
         self.matches = regex.compile(pattern).findall
@@ -101,7 +102,7 @@ class ByteBpe:
         self.db.unregister("m")
         self.db.unregister("v")
         #: Of each word and run its ids, joined by blanks, a line break, and the bytes that they decode to: one value takes least.
-        self.known = Known(KNOWN_BYTES)
+        self.known = Known(known or KNOWN_BYTES)
         self.holds: dict[tuple[int, int], bool] = {}
 
     def encode_words(self, words: list[str]) -> None:
@@ -110,7 +111,7 @@ class ByteBpe:
         raw = [w.encode() for w in words]
         while begin < len(words):
             end, size = begin, 0
-            while end < len(words) and (size == 0 or size + min(_rows(raw[end]), PART * len(raw[end])) <= QUERY_ROWS):
+            while end < len(words) and (size == 0 or size + min(_rows(raw[end]), PART * len(raw[end])) <= self.query_rows):
                 size += min(_rows(raw[end]), PART * len(raw[end]))
                 end += 1
             self._encode(words[begin:end], raw[begin:end])
@@ -147,7 +148,7 @@ class ByteBpe:
         every, lo = list(each), 0
         while lo < len(every):
             hi, rows = lo, 0
-            while hi < len(every) and (hi == lo or rows + _rows(every[hi]) <= QUERY_ROWS):
+            while hi < len(every) and (hi == lo or rows + _rows(every[hi]) <= self.query_rows):
                 rows += _rows(every[hi])
                 hi += 1
             part, lo = every[lo:hi], hi
@@ -212,8 +213,8 @@ class ByteBpe:
 _RUN = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]")
 
 
-def codec(path: str, pattern: str) -> ByteBpe:
-    return held(f"codec {path} {pattern}", lambda: ByteBpe(path, pattern))
+def codec(path: str, pattern: str, known: int | None = None, query_rows: int | None = None) -> ByteBpe:
+    return held(f"codec {path} {pattern}", lambda: ByteBpe(path, pattern, known, query_rows))
 
 
 def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -228,19 +229,20 @@ def encode_texts(bpe: ByteBpe, texts: list[str]) -> list[tuple[str, bytes]]:
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, known: int | None = None, query_rows: int | None = None) -> DataFrame:
     """Encode every whole text of ``docs`` with the ranks at ``path`` and decode the ids again.
 
     Returns one row (id, n_tokens, ids_sha256, decoded_sha256) for each row; with ``keep_ids`` also the ids
     themselves as array<int>. The decoded digest is of the bytes that the ids stand for. Null and empty texts have no
-    ids. Very long texts and words are encoded whole. Of pairs of equal rank the leftmost merges. Rows are worked on
+    ids. ``known`` and ``query_rows`` stand for KNOWN_BYTES and QUERY_ROWS where workers have less memory. Very long texts
+    and words are encoded whole. Of pairs of equal rank the leftmost merges. Rows are worked on
     where they are, without a shuffle; null and repeated ids are rows like any other, equal texts give equal results;
     other columns are ignored. An empty table gives no rows.
     """
     kind = dict(docs.select(F.col(id_col).alias("doc_id")).dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = codec(path, pattern, known, query_rows)
         for part, texts in slices(batches):
             rows = encode_texts(bpe, texts)
             columns = [
