@@ -17,6 +17,8 @@ from tessera.llm.scratch import materialise
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their word shingles of this size; the query op10_ngram_jaccard has its own.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
+#: Bytes of known words, and rows of a query, in a worker that encodes: less than alone, as executors have grown by then.
+ENCODE_KNOWN, ENCODE_ROWS = 25_000_000, 200_000
 #: Bitmaps, of 4 kB for 32768 rows each, that are broadcast together.
 BITMAPS = 1 << 14
 
@@ -83,7 +85,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A null or empty text has no ids; very long texts and words are encoded whole; equal texts give equal rows.
     """
-    return encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return encode_documents(docs, path, public_tokenizers.PATTERN, keep_ids=True, known=ENCODE_KNOWN, query_rows=ENCODE_ROWS)
 
 
 STAGES = [
