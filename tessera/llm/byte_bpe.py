@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from tessera.llm.texts import WHITE_SPACE, Known, file_bytes, held, slices
 
 #: Bytes of encoded runs and words that a worker keeps in each of two generations, so that what it meets often stays.
-KNOWN_BYTES = 90_000_000
+KNOWN_BYTES = 220_000_000
 #: Rows that one recursive query makes, about: a string of n bytes has n in the first step, and one less in each.
-QUERY_ROWS = 600_000
+QUERY_ROWS = 1_000_000
 #: Bytes of the parts that longer words are cut into, and tokens on either side of a border that does not hold.
 PART, AROUND = 64, 8
 #: Pairs of tokens whose border was looked at that a worker keeps.
