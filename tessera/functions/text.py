@@ -43,6 +43,8 @@ TEXT_EXTENSIONS = ("txt", "md", "py", "js", "ts", "jsx", "tsx", "json", "html",
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "tif", "tiff", "bmp")
 SYMBOL_PATTERNS = (r"\bdef\s+{}", r"\bclass\s+{}", r"\bfunction\s+{}", r"\bconst\s+{}", r"\blet\s+{}", r"\bvar\s+{}")
 TEXT, BINARY, CAVEATS = "text", "binary", "text with caveats"
+# Percentages of similarity from which an edit is applied, applied if forced, and reported.
+APPLY, NEEDS_FORCE, DIAGNOSE = 98, 85, 60
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -52,7 +54,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def similarity_band(percent: Column) -> Column:
-    return F.when(percent >= 98, "apply").when(percent >= 85, "needs force").when(percent >= 60, "diagnose").otherwise("none")
+    return F.when(percent >= APPLY, "apply").when(percent >= NEEDS_FORCE, "needs force").when(percent >= DIAGNOSE, "diagnose").otherwise("none")
 
 
 def stripped(text: Column) -> Column:

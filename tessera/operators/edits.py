@@ -73,7 +73,9 @@ def edited_files(files: DataFrame, edits: DataFrame, force: bool = False, least:
     one are then replaced, from the first to the last. Returns path, edited (null where no edit is accepted), accepted
     and rejected, sorted arrays of their ids.
     """
-    found = corpus.located_edits(files, edits, force, least).filter("applied")
+    # What is less alike than the lowest band that is applied decides nothing, as the best match of an edit decides.
+    lowest = (tx.NEEDS_FORCE if force else tx.APPLY) / 100 - 1e-9
+    found = corpus.located_edits(files, edits, force, max(least, lowest)).filter("applied")
     piece = F.struct("edit_id", F.col("line_no").alias("first_line"), "last_line", "target", "new_text")
     listed = found.groupBy("path").agg(F.collect_list(piece).alias("edits")).withColumn("held", accepted_in_order(F.col("edits")))
     joined = files.select("path", "text").join(listed, "path", "left")

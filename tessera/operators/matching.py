@@ -1,4 +1,4 @@
-"""Searches for many texts at once: an automaton for literal patterns, and an index of q-grams for similar texts."""
+"""Searches for many texts at once: an automaton for literal patterns; for similar texts distances in bits, and an index of q-grams."""
 
 from __future__ import annotations
 
@@ -19,6 +19,10 @@ SLICE_CHARS, MOST_MATCHES, MOST_CELLS = 1_000_000, 4_000_000, 16_000_000
 BAND = 1.25
 #: Bits of a character in a q-gram, pairs that a task hands on at once, and the threshold below which q-grams tell nothing.
 CHAR_BITS, MOST_PAIRS, LEAST_THRESHOLD = 21, 50_000, 0.55
+#: More queries than this are looked up by q-grams, from this threshold on; else all pairs of fitting length and letters are measured.
+MANY_QUERIES, GRAM_THRESHOLD = 2000, 0.75
+#: Classes of characters that are counted, pairs that are measured together and pairs that wait for it.
+CLASSES, TOGETHER, WAITING = 64, 1 << 14, 1 << 18
 
 
 def passes_over(asked: DataFrame, text: str, most: int = PASS_CHARS) -> list[DataFrame]:
@@ -263,10 +267,17 @@ class BandedIndex:
                     yield mine[line], fits[query]
 
 
+def _fitting(rows: DataFrame, queries: list[str], threshold: float, line: str) -> DataFrame:
+    """Rows whose ``line`` is neither too short nor too long for all queries."""
+    sizes = [len(q) for q in queries] or [0]
+    longest = math.ceil(max(sizes) / threshold) + 1 if threshold > 0 else None
+    fits = F.length(line) >= math.floor(min(sizes) * threshold)
+    return rows.filter(fits if longest is None else fits & (F.length(line) <= longest))
+
+
 def candidates(rows: DataFrame, queries: list[str], threshold: float, line: str = "line") -> DataFrame:
     """Each row with the number (``query_no``) of each query that its ``line`` may resemble over the threshold."""
     sent = rows.sparkSession.sparkContext.broadcast(queries)
-    sizes = [len(q) for q in queries] or [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = BandedIndex(sent.value, threshold)
@@ -274,12 +285,159 @@ def candidates(rows: DataFrame, queries: list[str], threshold: float, line: str
             for which, query in index.candidates(values):
                 yield pa.RecordBatch.from_arrays([*part.take(pa.array(which)).columns, pa.array(query, pa.int32())], [*part.schema.names, "query_no"])
 
-    longest = math.ceil(max(sizes) / threshold) + 1 if threshold > 0 else None
-    fits = F.length(line) >= math.floor(min(sizes) * threshold)
-    rows = rows.filter(fits if longest is None else fits & (F.length(line) <= longest))
+    rows = _fitting(rows, queries, threshold, line)
     return rows.mapInArrow(run, _schema(rows, ", query_no int"))
 
 
+def _chars(texts: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+class BitQueries:
+    """Some texts (queries) as bits, for the edit distances of lines to them: Myers' algorithm, for many pairs at once.
+
+    A column of a pair's matrix is kept as its vertical differences, 64 rows in a word, and follows from the one before by
+    a few operations on words, whatever the distance. Pairs whose lengths or whose counts of characters alone leave no
+    similarity over the threshold are not measured.
+    """
+
+    def __init__(self, queries: Sequence[str], threshold: float) -> None:
+        self.threshold = threshold
+        self.sizes = np.array([len(t) for t in queries], np.int64)
+        self.chars = _chars(queries)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        #: Characters of the queries, in order; all others have the last code.
+        self.known = np.unique(self.chars)
+        self.words = np.maximum((self.sizes + 63) // 64, 1)
+        self.chars = np.searchsorted(self.known, self.chars)
+        self.counts = self._count(self.chars, self.sizes)
+
+    def _count(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        return np.bincount(owner * CLASSES + codes % CLASSES, minlength=len(sizes) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
+
+    def edits(self, longer: np.ndarray) -> np.ndarray:
+        return np.floor((1 - self.threshold) * longer + 1e-9).astype(np.int64)
+
+    def similar(self, lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of lines and queries more similar than the threshold, with the similarity, each pair once."""
+        lengths = np.array([len(t) for t in lines], np.int64)
+        chars = _chars(lines)
+        codes = np.searchsorted(self.known, chars)
+        if len(self.known):
+            codes[self.known[np.minimum(codes, len(self.known) - 1)] != chars] = len(self.known)
+        counts = self._count(codes, lengths)
+        begins = np.cumsum(lengths) - lengths
+        order = np.argsort(lengths, kind="stable")
+        in_order = lengths[order]
+        counts = counts[order]
+        held, waiting = [], 0
+        for query, size in enumerate(self.sizes.tolist()):
+            lo = int(np.searchsorted(in_order, math.floor(size * self.threshold) - 1))
+            hi = len(order) if self.threshold <= 0 else int(np.searchsorted(in_order, math.ceil(size / self.threshold) + 1, "right"))
+            # Each edit mends one character that the line has too many, one that it has too few, or both.
+            apart = np.abs(counts[lo:hi] - self.counts[query]).sum(1) + np.abs(in_order[lo:hi] - size)
+            fits = order[lo:hi][apart <= 2 * self.edits(np.maximum(in_order[lo:hi], size))]
+            held.append((fits, np.full(len(fits), query)))
+            waiting += len(fits)
+            if waiting >= WAITING:
+                yield from self._measured(held, codes, begins, lengths)
+                held, waiting = [], 0
+        yield from self._measured(held, codes, begins, lengths)
+
+    def _measured(self, held: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not held:
+            return
+        line, query = (np.concatenate(x) for x in zip(*held, strict=True))
+        words = self.words[query]
+        for n in np.unique(words).tolist():
+            mine = np.flatnonzero(words == n)
+            # The masks of the queries of a round, and the columns of its pairs, are bounded as well.
+            group = query[mine] // max(1, MOST_CELLS // 4 // ((len(self.known) + 1) * n))
+            mine = mine[np.lexsort((-lengths[line[mine]], group))]
+            group = np.sort(group)
+            most = max(1, min(TOGETHER, MOST_CELLS // 4 // n))
+            for g in np.unique(group).tolist():
+                first, last = np.searchsorted(group, g), np.searchsorted(group, g, "right")
+                for i in range(first, last, most):
+                    part = mine[i : min(i + most, last)]
+                    of_line, of_query = line[part], query[part]
+                    size = lengths[of_line]
+                    longer = np.maximum(size, self.sizes[of_query])
+                    found = np.where(longer == 0, 1.0, (longer - self._distances(codes, begins[of_line], size, of_query, n)) / np.maximum(longer, 1))
+                    over = found > self.threshold
+                    yield of_line[over], of_query[over], found[over]
+
+    def _masks(self, queries: np.ndarray, words: int) -> np.ndarray:
+        """For each word, query and code the rows of the query that have it."""
+        sizes = self.sizes[queries]
+        nth = np.repeat(np.arange(len(queries)), sizes)
+        place = np.arange(len(nth)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        masks = np.zeros((words, len(queries) * (len(self.known) + 1)), np.uint64)
+        code = self.chars[np.repeat(self.starts[queries], sizes) + place]
+        np.add.at(masks, (place // 64, nth * (len(self.known) + 1) + code), np.uint64(1) << (place % 64).astype(np.uint64))
+        return masks
+
+    def _distances(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, query: np.ndarray, words: int) -> np.ndarray:
+        """Edit distances of pairs in order of falling size of the line; all queries have so many words."""
+        queries, nth = np.unique(query, return_inverse=True)
+        masks, base = self._masks(queries, words), nth * (len(self.known) + 1)
+        n, one, top = len(sizes), np.uint64(1), np.uint64(63)
+        plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+        space = np.empty((7, n), np.uint64)
+        # Lines that have a character at a place come first.
+        active = n - np.searchsorted(sizes[::-1], np.arange(int(sizes.max(initial=0))), "right")
+        for j, a in enumerate(active.tolist()):
+            at = base[:a] + codes[begins[:a] + j]
+            eq, vertical, across, up, down, up_in, down_in = space[:, :a]
+            for w in range(words):
+                p, m = plus[w, :a], minus[w, :a]
+                np.take(masks[w], at, out=eq, mode="clip")
+                np.bitwise_or(eq, m, out=vertical)
+                if w:
+                    eq |= down_in
+                np.bitwise_and(eq, p, out=across)
+                across += p
+                across ^= p
+                across |= eq
+                np.bitwise_or(across, p, out=up)
+                np.invert(up, out=up)
+                up |= m
+                np.bitwise_and(p, across, out=down)
+                # What leaves a word at its last row enters the next one; into the first comes the row before the query.
+                np.right_shift(up, top, out=eq)
+                np.right_shift(down, top, out=across)
+                up <<= one
+                up |= up_in if w else one
+                down <<= one
+                if w:
+                    down |= down_in
+                np.bitwise_or(vertical, up, out=p)
+                np.invert(p, out=p)
+                p |= down
+                np.bitwise_and(up, vertical, out=m)
+                up_in[:], down_in[:] = eq, across
+        rows = self.sizes[query] - 64 * (words - 1)
+        last = np.where(rows >= 64, ~np.uint64(0), (one << np.minimum(rows, 63).astype(np.uint64)) - one)
+        plus[-1] &= last
+        minus[-1] &= last
+        return sizes + np.bitwise_count(plus).sum(0, dtype=np.int64) - np.bitwise_count(minus).sum(0, dtype=np.int64)
+
+
+def measured(rows: DataFrame, queries: list[str], threshold: float, line: str = "line") -> DataFrame:
+    """Each row with the number (``query_no``) of each query that its ``line`` resembles over the threshold, and the ``similarity``."""
+    sent = rows.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = BitQueries(sent.value, threshold)
+        for part, values in _slices(batches, line):
+            for which, query, found in bits.similar(values):
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(which)).columns, pa.array(query, pa.int32()), pa.array(found)], [*part.schema.names, "query_no", "similarity"])
+
+    rows = _fitting(rows, queries, threshold, line)
+    return rows.mapInArrow(run, _schema(rows, ", query_no int, similarity double"))
+
+
 def similarity_over(a: Column, b: Column, threshold: float) -> Column:
     """The similarity of two texts where it is over ``threshold``, else null; the distance is given up once it is too large."""
     longer = F.greatest(F.length(a), F.length(b))
@@ -291,8 +449,9 @@ def similarity_over(a: Column, b: Column, threshold: float) -> Column:
 def similar_pairs(rows: DataFrame, queries: DataFrame, threshold: float, line: str = "line", query: str = "query") -> DataFrame:
     """``rows`` and ``queries`` whose ``line`` and ``query`` are more similar than the threshold, with the similarity.
 
-    Queries are indexed in every task, PASS_CHARS characters of them at a time. Distances cost far more than moving the
-    rows, so these are dealt out over all tasks first. No pair over the threshold is lost. Null texts resemble nothing.
+    Queries go to every task, PASS_CHARS characters of them at a time. Distances cost far more than moving the rows, so
+    these are dealt out over all tasks first. Pairs are measured in bits, or, where very many queries are looked for at a
+    high threshold, found by q-grams first. No pair over the threshold is lost. Null texts resemble nothing.
     """
     rows = rows.filter(F.col(line).isNotNull())
     spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[c for c in rows.columns if c != line][:2] or [line])
@@ -300,7 +459,11 @@ def similar_pairs(rows: DataFrame, queries: DataFrame, threshold: float, line: s
     for part in passes_over(queries.filter(F.col(query).isNotNull()), query):
         listed = sorted(r[0] for r in part.select(query).distinct().collect())
         numbered = part.sparkSession.createDataFrame(list(enumerate(listed)), f"query_no int, `{query}` string").join(part, query)
-        met = candidates(spread, listed, threshold, line).join(F.broadcast(numbered), "query_no").drop("query_no")
-        met = met.withColumn("similarity", similarity_over(F.col(line), F.col(query), threshold)).filter(F.col("similarity").isNotNull())
+        if len(listed) > MANY_QUERIES and threshold >= GRAM_THRESHOLD:
+            met = candidates(spread, listed, threshold, line).join(F.broadcast(numbered), "query_no").drop("query_no")
+            met = met.withColumn("similarity", similarity_over(F.col(line), F.col(query), threshold)).filter(F.col("similarity").isNotNull())
+        else:
+            met = measured(spread, listed, threshold, line).join(F.broadcast(numbered), "query_no").drop("query_no")
+            met = met.select(*spread.columns, *[c for c in met.columns if c not in (*spread.columns, "similarity")], "similarity")
         found = met if found is None else found.unionByName(met)
     return found

@@ -187,3 +187,27 @@ def test_window_edits_by_case(spark):
     find = lambda **kw: {r.path: (r.line_no, r.status) for r in corpus.window_edits(lines, "two words", **kw).collect()}
     assert find() == {"f": (2, "OK"), "g": (1, "OK"), "h": (None, "NO_MATCH_FOUND")}
     assert find(case_sensitive=True) == {"f": (3, "OK"), "g": (None, "NO_MATCH_FOUND"), "h": (None, "NO_MATCH_FOUND")}
+
+
+@pytest.mark.parametrize("threshold", [-0.5, 0, 0.1, 0.45, 0.6, 0.85])
+def test_distances_in_bits(threshold, monkeypatch):
+    """Words of 64 rows and their borders, empty texts, characters that no query has; rounds of few pairs give the same."""
+    rng = random.Random(7)
+    queries = ["", "a", "ab", "x" * 64, "x" * 63 + "y", "ab" * 32 + "c", "日本" * 40, "é" * 130] + ["".join(rng.choices("abcd ", k=rng.randint(1, 140))) for _ in range(9)]
+    lines = ["", "b", "x" * 65, "日本" * 38 + "x"] + ["".join(rng.choices("abcd 😀", k=rng.randint(1, 150))) for _ in range(9)] + [q[1:] + "z" for q in queries]
+    want = sorted((i, j, like(x, y)) for i, x in enumerate(lines) for j, y in enumerate(queries) if like(x, y) > threshold)
+    found = lambda: sorted((int(i), int(j), float(s)) for a, b, f in matching.BitQueries(queries, threshold).similar(lines) for i, j, s in zip(a, b, f, strict=True))
+    assert found() == want
+    monkeypatch.setattr(matching, "TOGETHER", 3)
+    monkeypatch.setattr(matching, "WAITING", 5)
+    monkeypatch.setattr(matching, "MOST_CELLS", 200)
+    assert found() == want
+
+
+def test_low_thresholds_are_measured_in_bits(spark):
+    """No distance is worked out pair by pair by Spark's own function, which takes minutes on whole tables."""
+    lines = corpus.lines(spark.createDataFrame([("f", "alpha beta\nsomething else")], "path string, text string"))
+    q = spark.createDataFrame([(0, "alpha betta\nsomething"), (1, None)], "query_id int, query string")
+    found = corpus.best_matches(lines, q, 0.1, 5)
+    assert "levenshtein" not in found._jdf.queryExecution().toString().lower()
+    assert [(r.nth, r.kind, r.line_no) for r in found.orderBy("nth").collect()] == [(1, "single_line", 1), (2, "multi_line", 1), (3, "single_line", 2), (4, "single_line", 2)]
