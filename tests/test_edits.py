@@ -211,3 +211,14 @@ def test_low_thresholds_are_measured_in_bits(spark):
     found = corpus.best_matches(lines, q, 0.1, 5)
     assert "levenshtein" not in found._jdf.queryExecution().toString().lower()
     assert [(r.nth, r.kind, r.line_no) for r in found.orderBy("nth").collect()] == [(1, "single_line", 1), (2, "multi_line", 1), (3, "single_line", 2), (4, "single_line", 2)]
+
+
+def test_edited_files_looks_for_what_is_applied_only(spark, monkeypatch):
+    """Matches below the lowest applied band decide nothing, so none are looked for; a higher wish stays."""
+    asked, located = [], corpus.located_edits
+    monkeypatch.setattr(corpus, "located_edits", lambda files, es, force, least: asked.append(least) or located(files, es, force, least))
+    files = spark.createDataFrame([("f", "x" * 100 + "\n" + "z" * 20)], "path string, text string")
+    es = spark.createDataFrame([(1, "x" * 85 + "y" * 15, "one"), (2, "z" * 16 + "yyyy", "two")], "edit_id int, old_text string, new_text string")
+    got = [edits.edited_files(files, es, force, least).collect()[0] for force, least in ((True, 0.6), (False, 0.6), (True, 0.99))]
+    assert [round(a, 6) for a in asked] == [0.85, 0.98, 0.99]
+    assert [r.accepted for r in got] == [[1], [], []]
