@@ -222,3 +222,13 @@ def test_edited_files_looks_for_what_is_applied_only(spark, monkeypatch):
     got = [edits.edited_files(files, es, force, least).collect()[0] for force, least in ((True, 0.6), (False, 0.6), (True, 0.99))]
     assert [round(a, 6) for a in asked] == [0.85, 0.98, 0.99]
     assert [r.accepted for r in got] == [[1], [], []]
+
+
+def test_fuzzy_edits_measure_in_bits(spark):
+    """At 0.6, where nearly half of all pairs share enough q-grams, none is handed to Spark's own distance."""
+    files = spark.createDataFrame([("f", "alpha beta gamma\ndelta"), ("g", "alpha bexx gaxxa")], "path string, text string")
+    es = spark.createDataFrame([(1, "alpha betta gamma", "x"), (2, "delta", "y")], "edit_id int, old_text string, new_text string")
+    found = corpus.fuzzy_edits(files, es, True, 0.6)
+    assert "levenshtein" not in found._jdf.queryExecution().toString().lower()
+    got = {(r.path, r.edit_id): (r.band, round(r.similarity, 9), r.edited) for r in found.collect()}
+    assert got == {("f", 1): ("needs force", round(16 / 17, 9), "x\ndelta"), ("f", 2): ("exact", 1.0, "alpha beta gamma\ny"), ("g", 1): ("diagnose", round(1 - 5 / 17, 9), None)}
