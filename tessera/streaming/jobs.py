@@ -85,38 +85,55 @@ class OpenRequests(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", "start_id bigint, start_us bigint")
 
-    def _keep(self, rows: list[tuple[int, int]]) -> None:
-        self.open.put(rows) if rows else self.open.clear()
-
     def _expiry(self, start_us: int) -> int:
         return (start_us + self.within_us) // 1000 + 1
 
+    def _wait(self, waiting: list[tuple[int, int]], before: bool) -> None:
+        """Keep these starts, instead of those before; the first whose time is over wakes the key, and then sees to the others."""
+        if before and not waiting:
+            self.open.clear()
+        if waiting:
+            self.open.put(waiting)
+            self.handle.registerTimer(self._expiry(min(at for _, at in waiting)))
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        waiting, out = [tuple(r) for r in self.open.get()], []
-        for at, number, starts in zip(new["ts_us"].tolist(), new["event_id"].tolist(), new["starts"].tolist(), strict=True):
+        new = sorted(r for f in rows for r in zip(f["ts_us"].tolist(), f["event_id"].tolist(), f["starts"].tolist(), strict=True))
+        # Starts of earlier batches, the first in time last, as they may be later than rows of this one.
+        before = sorted((tuple(r) for r in self.open.get()), key=lambda s: s[1], reverse=True)
+        held, live, waiting, out = bool(before), [], [], []
+        for at, number, starts in new:
+            while before and before[-1][1] <= at:
+                live.append(before.pop())
             if starts:
-                waiting.append((number, at))
-                self.handle.registerTimer(self._expiry(at))
+                live.append((number, at))
                 continue
-            closed = [s for s in waiting if s[1] <= at <= s[1] + self.within_us]
-            waiting = [s for s in waiting if s not in closed]
-            out += [(key[0], *s, number, at) for s in closed]
-        self._keep(waiting)
-        yield _span_rows(out)
+            # Every start before this end is either closed or too old for it and for all later ones of this batch.
+            for s in live:
+                if at <= s[1] + self.within_us:
+                    out.append((key[0], *s, number, at))
+                else:
+                    waiting.append(s)
+            live = []
+        self._wait(waiting + live + before, held)
+        if out:
+            yield _span_rows(out)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         waiting = [tuple(r) for r in self.open.get()]
-        over = [s for s in waiting if self._expiry(s[1]) <= expiredTimerInfo.getExpiryTimeInMs()]
-        self._keep([s for s in waiting if s not in over])
-        yield _span_rows([(key[0], *s, None, None) for s in over])
+        self._wait([s for s in waiting if self._expiry(s[1]) > upto], bool(waiting))
+        over = [(key[0], *s, None, None) for s in waiting if self._expiry(s[1]) <= upto]
+        if over:
+            yield _span_rows(over)
 
     def close(self) -> None:
         pass
 
 
 def _span_rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["request_id", "start_id", "start_us", "end_id", "end_us"]).astype({c: "Int64" for c in ("start_id", "start_us", "end_id", "end_us")})
+    request, start, start_us, end, end_us = zip(*rows, strict=True)
+    # A column is all numbers or all nulls; frames of a key are small, and extension types would cost more than the rest.
+    return pd.DataFrame({"request_id": request, "start_id": start, "start_us": start_us, "end_id": end, "end_us": end_us})
 
 
 def next_end_spans(events: DataFrame, within: str = "1 hour", late: str = LATE) -> DataFrame:

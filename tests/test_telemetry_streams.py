@@ -114,3 +114,45 @@ def test_breakdown_and_config(spark):
     assert {r.source: r.n for r in corpus.search_breakdown(found).collect()} == {"text": 2, "symbol": 1}
     assert transfer.validate_config({"weight": 0.5, "tile": 8, "overlap": 2}) == []
     assert len(transfer.validate_config({"weight": 2, "weights": {"q": 0.5}, "tile": 0, "overlap": 1, "steps": [{}]})) == 5
+
+
+def test_a_key_of_a_stream_waits_with_one_timer():
+    """However many starts a key has: closed ones need no timer, the others wait for the first of them."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.rows = [], []
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, spans = Handle(), jobs.OpenRequests(1_000_000)
+    spans.init(handle)
+    rows = [(i, i * 1000, True) for i in range(2000)] + [(5000, 2_000_000, False), (5001, 2_500_000, True), (5002, 2_600_000, True)]
+    frame = pd.DataFrame(rows, columns=["event_id", "ts_us", "starts"])
+    out = pd.concat(spans.handleInputRows(("k",), iter([frame]), Now(0)))
+    assert sorted(out["start_id"].tolist()) == list(range(1000, 2000)) and set(out["end_id"]) == {5000}
+    assert handle.timers == [1001] and len(handle.rows) == 1002
+    over = pd.concat(spans.handleExpiredTimer(("k",), Now(2000), Now(1001)))
+    assert sorted(over["start_id"].tolist()) == list(range(1000)) and over["end_id"].isna().all()
+    assert handle.timers == [1001, 3501] and sorted(handle.rows) == [(5001, 2_500_000), (5002, 2_600_000)]
+    earlier = pd.DataFrame([(6000, 2_550_000, False)], columns=["event_id", "ts_us", "starts"])
+    out = pd.concat(spans.handleInputRows(("k",), iter([earlier]), Now(2000)))
+    assert out["start_id"].tolist() == [5001] and handle.rows == [(5002, 2_600_000)]
