@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.operators.matching import find_patterns, similar_pairs
+from tessera.operators.matching import find_patterns, similar_pairs, similar_stretches
 
 
 def lines(files: DataFrame, keep: Sequence[str] = ("path",)) -> DataFrame:
@@ -92,11 +92,25 @@ def best_matches(line_table: DataFrame, queries: DataFrame, least: float = 0.1,
     singles = similar_lines(line_table, queries, least).withColumn("kind", F.lit("single_line"))
     several = similar_blocks(line_table, queries, least).withColumns({"kind": F.lit("multi_line"), "query_line": F.lit(0)})
     columns = ["path", "query_id", "line_no", "query_line", "kind", "similarity", "text"]
+    return _ranked(singles.select(columns).unionByName(several.select(columns)), n)
+
+
+def _ranked(found: DataFrame, n: int) -> DataFrame:
     by = Window.partitionBy("path", "query_id").orderBy(F.desc("similarity"), F.desc("kind"), "line_no", "query_line")
-    ranked = singles.select(columns).unionByName(several.select(columns)).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= n)
+    ranked = found.withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= n)
     return ranked.select("path", "query_id", "nth", "kind", "line_no", "similarity", "text")
 
 
+def best_in_files(files: DataFrame, queries: DataFrame, least: float = 0.1, n: int = 5) -> DataFrame:
+    """What :func:`best_matches` finds in the lines of ``files`` (path, text), by one pass over the texts that moves no block of lines."""
+    single = queries.select("query_id", F.lit(1).alias("size"), F.posexplode(F.split("query", "\n")).alias("query_line", "query"))
+    single = single.withColumn("query", tx.stripped(F.col("query"))).filter(F.length("query") >= 3)
+    several = queries.select("query_id", F.size(F.split("query", "\n")).alias("size"), F.lit(0).alias("query_line"), tx.stripped(F.col("query")).alias("query")).filter("size > 1")
+    found = similar_stretches(files.select("path", "text"), single.unionByName(several), least, (3, 10))
+    kind = F.when(F.col("size") == 1, "single_line").otherwise("multi_line")
+    return _ranked(found.select("path", "query_id", "line_no", "query_line", kind.alias("kind"), "similarity", F.col("stretch").alias("text")), n)
+
+
 def blocks(line_table: DataFrame, k: int) -> DataFrame:
     """Every full block of k consecutive lines of a file, by the number of its first line."""
     ahead = Window.partitionBy("path").orderBy("line_no").rowsBetween(0, k - 1)
@@ -205,12 +219,16 @@ def located_edits(files: DataFrame, edits: DataFrame, force: bool = False, least
         "path", "edit_id", F.lit("exact").alias("band"), F.lit(1.0).alias("similarity"), F.lit("exact").alias("kind"), line.alias("line_no"),
         (line + F.size(F.split("old_text", "\n")) - 1).alias("last_line"), F.lit(True).alias("applied"), F.col("old_text").alias("target"), "new_text",
     )
-    best = best_matches(lines(files), edits.select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query")), least, 1)
+    best = best_in_files(files, edits.select(F.col("edit_id").alias("query_id"), F.col("old_text").alias("query")), least, 1)
     best = best.select("path", F.col("query_id").alias("edit_id"), "similarity", "kind", "line_no", F.col("text").alias("found"))
-    best = best.join(exact.select("path", "edit_id"), ["path", "edit_id"], "left_anti").withColumn("band", tx.similarity_band(F.col("similarity") * 100))
+    best = best.withColumn("band", tx.similarity_band(F.col("similarity") * 100))
     best = best.withColumn("applied", (F.col("band") == "apply") | ((F.col("band") == "needs force") & F.lit(force))).join(e.select("edit_id", "new_text"), "edit_id")
     last = F.col("line_no") + F.size(F.split("found", "\n")) - 1
-    return exact.unionByName(best.select("path", "edit_id", "band", "similarity", "kind", "line_no", last.alias("last_line"), "applied", tx.stripped(F.col("found")).alias("target"), "new_text"))
+    best = best.select("path", "edit_id", "band", "similarity", "kind", "line_no", last.alias("last_line"), "applied", tx.stripped(F.col("found")).alias("target"), "new_text")
+    # Both are looked for once; what is only alike counts where nothing is exact.
+    is_exact = F.col("kind") == "exact"
+    both = exact.unionByName(best).withColumn("exact_", F.max(is_exact).over(Window.partitionBy("path", "edit_id")))
+    return both.filter(is_exact | ~F.col("exact_")).drop("exact_")
 
 
 def fuzzy_edits(files: DataFrame, edits: DataFrame, force: bool = False, least: float = 0.1) -> DataFrame:

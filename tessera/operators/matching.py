@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 PASS_CHARS = 8_000_000
 #: Characters of texts that a task works on together, and matches of q-grams, or places for pairs, that it holds at once.
 SLICE_CHARS, MOST_MATCHES, MOST_CELLS = 1_000_000, 4_000_000, 16_000_000
+#: Characters of lines and blocks that are measured together; line ends of other systems, and white space as of Java's ``\\s``.
+STRETCH_CHARS, RETURNS, SPACE = 4_000_000, re.compile("\r\n?"), " \t\n\x0b\f\r"
 #: Lines of one band differ in length by at most this factor.
 BAND = 1.25
 #: Bits of a character in a q-gram, pairs that a task hands on at once, and the threshold below which q-grams tell nothing.
@@ -298,12 +301,14 @@ class BitQueries:
 
     A column of a pair's matrix is kept as its vertical differences, 64 rows in a word, and follows from the one before by
     a few operations on words, whatever the distance. Pairs whose lengths or whose counts of characters alone leave no
-    similarity over the threshold are not measured.
+    similarity over the threshold are not measured. Where queries and lines are of several kinds, only those of one kind
+    meet; pairs of all kinds are measured together.
     """
 
-    def __init__(self, queries: Sequence[str], threshold: float) -> None:
+    def __init__(self, queries: Sequence[str], threshold: float, kinds: Sequence[int] | None = None) -> None:
         self.threshold = threshold
         self.sizes = np.array([len(t) for t in queries], np.int64)
+        self.kinds = np.zeros(len(queries), np.int64) if kinds is None else np.array(kinds, np.int64)
         self.chars = _chars(queries)
         self.starts = np.cumsum(self.sizes) - self.sizes
         #: Characters of the queries, in order; all others have the last code.
@@ -319,7 +324,7 @@ class BitQueries:
     def edits(self, longer: np.ndarray) -> np.ndarray:
         return np.floor((1 - self.threshold) * longer + 1e-9).astype(np.int64)
 
-    def similar(self, lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def similar(self, lines: list[str], kinds: Sequence[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Numbers of lines and queries more similar than the threshold, with the similarity, each pair once."""
         lengths = np.array([len(t) for t in lines], np.int64)
         chars = _chars(lines)
@@ -328,13 +333,16 @@ class BitQueries:
             codes[self.known[np.minimum(codes, len(self.known) - 1)] != chars] = len(self.known)
         counts = self._count(codes, lengths)
         begins = np.cumsum(lengths) - lengths
-        order = np.argsort(lengths, kind="stable")
+        kinds = np.zeros(len(lines), np.int64) if kinds is None else np.array(kinds, np.int64)
+        order = np.lexsort((lengths, kinds))
         in_order = lengths[order]
         counts = counts[order]
+        edges = {k: (int(np.searchsorted(kinds[order], k)), int(np.searchsorted(kinds[order], k, "right"))) for k in np.unique(self.kinds).tolist()}
         held, waiting = [], 0
         for query, size in enumerate(self.sizes.tolist()):
-            lo = int(np.searchsorted(in_order, math.floor(size * self.threshold) - 1))
-            hi = len(order) if self.threshold <= 0 else int(np.searchsorted(in_order, math.ceil(size / self.threshold) + 1, "right"))
+            begin, end = edges[int(self.kinds[query])]
+            lo = begin + int(np.searchsorted(in_order[begin:end], math.floor(size * self.threshold) - 1))
+            hi = end if self.threshold <= 0 else begin + int(np.searchsorted(in_order[begin:end], math.ceil(size / self.threshold) + 1, "right"))
             # Each edit mends one character that the line has too many, one that it has too few, or both.
             apart = np.abs(counts[lo:hi] - self.counts[query]).sum(1) + np.abs(in_order[lo:hi] - size)
             fits = order[lo:hi][apart <= 2 * self.edits(np.maximum(in_order[lo:hi], size))]
@@ -438,6 +446,75 @@ def measured(rows: DataFrame, queries: list[str], threshold: float, line: str =
     return rows.mapInArrow(run, _schema(rows, ", query_no int, similarity double"))
 
 
+def _stretches(texts: list[str], ranges: dict[int, tuple[float, float]]) -> Iterator[tuple[list[int], list[int], list[int], list[str], list[str]]]:
+    """Lines of the texts and blocks of their lines whose length without white space at the ends is within the range of
+    their number of lines: text, number of lines, first line, the stretch and its stripped form, about STRETCH_CHARS at a time."""
+    held, chars = [], 0
+    for i, text in enumerate(texts):
+        lines = RETURNS.sub("\n", text).split("\n")
+        # Where each line begins, and the last ends, with one character between two of them.
+        begins = np.cumsum([0, *[len(t) + 1 for t in lines]])
+        for k, (least, most) in ranges.items():
+            if k > len(lines):
+                continue
+            for first in np.flatnonzero(begins[k:] - begins[:-k] - 1 >= least).tolist():
+                stretch = lines[first] if k == 1 else "\n".join(lines[first : first + k])
+                bare = stretch.strip(SPACE)
+                if least <= len(bare) <= most:
+                    held.append((i, k, first + 1, stretch, bare))
+                    chars += len(bare)
+                    if chars >= STRETCH_CHARS:
+                        yield tuple(map(list, zip(*held, strict=True)))
+                        held, chars = [], 0
+    if held:
+        yield tuple(map(list, zip(*held, strict=True)))
+
+
+def measured_stretches(texts: DataFrame, queries: list[tuple[int, str]], threshold: float, shortest: tuple[int, int], text: str = "text") -> DataFrame:
+    """Each row of ``texts`` with each line, or block of lines, of its ``text`` that resembles a query of as many lines over the threshold.
+
+    Queries are (number of lines, text without white space at its ends); lines and blocks are compared without it, from
+    ``shortest`` characters on. One pass makes the lines and blocks where the text is, so that no block is moved. Instead
+    of the text a row has query_no, similarity, line_no (the first line) and stretch, the line or block as it stands.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(queries)
+    more = ["query_no", "similarity", "line_no", "stretch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [k for k, _ in sent.value]
+        bits = BitQueries([q for _, q in sent.value], threshold, kinds)
+        ranges = {}
+        for k in sorted(set(kinds)):
+            sizes = bits.sizes[bits.kinds == k]
+            ranges[k] = max(shortest[k > 1], math.floor(sizes.min() * threshold)), math.ceil(sizes.max() / threshold) + 1 if threshold > 0 else math.inf
+        for part, values in _slices(batches, text):
+            kept = part.select([c for c in part.schema.names if c != text])
+            for row, k, first, stretch, bare in _stretches(values, ranges):
+                for which, query, found in bits.similar(bare, k):
+                    columns = [*kept.take(pa.array(np.array(row, np.int64)[which])).columns, pa.array(query, pa.int32()), pa.array(found)]
+                    columns += [pa.array(np.array(first, np.int32)[which]), pa.array([stretch[i] for i in which], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, [*kept.schema.names, *more])
+
+    schema = _schema(texts.drop(text), ", query_no int, similarity double, line_no int, stretch string")
+    return texts.mapInArrow(run, schema)
+
+
+def similar_stretches(texts: DataFrame, queries: DataFrame, threshold: float, shortest: tuple[int, int], text: str = "text") -> DataFrame:
+    """``texts`` and ``queries`` (size, a number of lines, and query) of which a line or block is more similar than the threshold.
+
+    As :func:`measured_stretches`, for any number of queries: they go to every task, PASS_CHARS characters at a time.
+    Texts are dealt out over all tasks first. Null texts and queries resemble nothing.
+    """
+    texts = texts.filter(F.col(text).isNotNull()).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = None
+    for part in passes_over(queries.filter(F.col("query").isNotNull()), "query"):
+        listed = sorted((r.size, r["query"]) for r in part.select("size", "query").distinct().collect())
+        numbered = part.sparkSession.createDataFrame([(i, *q) for i, q in enumerate(listed)], "query_no int, size int, query string").join(part, ["size", "query"])
+        met = measured_stretches(texts, listed, threshold, shortest, text).join(F.broadcast(numbered), "query_no").drop("query_no")
+        found = met if found is None else found.unionByName(met)
+    return found
+
+
 def similarity_over(a: Column, b: Column, threshold: float) -> Column:
     """The similarity of two texts where it is over ``threshold``, else null; the distance is given up once it is too large."""
     longer = F.greatest(F.length(a), F.length(b))

@@ -232,3 +232,19 @@ def test_fuzzy_edits_measure_in_bits(spark):
     assert "levenshtein" not in found._jdf.queryExecution().toString().lower()
     got = {(r.path, r.edit_id): (r.band, round(r.similarity, 9), r.edited) for r in found.collect()}
     assert got == {("f", 1): ("needs force", round(16 / 17, 9), "x\ndelta"), ("f", 2): ("exact", 1.0, "alpha beta gamma\ny"), ("g", 1): ("diagnose", round(1 - 5 / 17, 9), None)}
+
+
+def test_edits_are_located_in_one_pass(spark):
+    """Lines and blocks are made where the text is: one pass for all numbers of lines, one for exact occurrences, no block moved."""
+    files = spark.createDataFrame([("f", "\talpha beta gamma \r\ndelta one\r\n omega two\nzeta"), ("g", None), ("h", "x\r\ndelta one\r\nomega one ")], "path string, text string")
+    es = spark.createDataFrame([(1, "alpha betta gamma", "x"), (2, "delta onne\nomega onne", "y"), (3, "gamma\ndelta\nomega\nqqqq", "z"), (4, "zeta", "w"), (5, None, "v")], "edit_id int, old_text string, new_text string")
+    found = corpus.located_edits(files, es, True, 0.6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "collect_list" not in plan
+    for least in (0.1, 0.6):
+        q = es.withColumnsRenamed({"edit_id": "query_id", "old_text": "query"}).drop("new_text")
+        in_lines, in_files = ({tuple(r) for r in df.collect()} for df in (corpus.best_matches(corpus.lines(files), q, least), corpus.best_in_files(files, q, least)))
+        assert in_files == in_lines and in_files
+    got = {(r.path, r.edit_id): (r.band, r.kind, r.line_no, r.last_line, r.target) for r in found.collect()}
+    assert got["f", 4] == ("exact", "exact", 4, 4, "zeta") and ("f", 3) not in got
+    assert got["h", 2] == ("needs force", "multi_line", 2, 3, "delta one\nomega one") and got["f", 1][1:3] == ("single_line", 1)
