@@ -26,6 +26,8 @@ CHAR_BITS, MOST_PAIRS, LEAST_THRESHOLD = 21, 50_000, 0.55
 MANY_QUERIES, GRAM_THRESHOLD = 2000, 0.75
 #: Classes of characters that are counted, pairs that are measured together and pairs that wait for it.
 CLASSES, TOGETHER, WAITING = 64, 1 << 14, 1 << 18
+#: Columns after which it is looked again which pairs are still within reach.
+LOOK_EVERY = 32
 
 
 def passes_over(asked: DataFrame, text: str, most: int = PASS_CHARS) -> list[DataFrame]:
@@ -300,7 +302,8 @@ class BitQueries:
     """Some texts (queries) as bits, for the edit distances of lines to them: Myers' algorithm, for many pairs at once.
 
     A column of a pair's matrix is kept as its vertical differences, 64 rows in a word, and follows from the one before by
-    a few operations on words, whatever the distance. Pairs whose lengths or whose counts of characters alone leave no
+    a few operations on words, whatever the distance; a pair is given up at a column from which it can't be within reach
+    any more. Pairs whose lengths or whose counts of characters alone leave no
     similarity over the threshold are not measured. Where queries and lines are of several kinds, only those of one kind
     meet; pairs of all kinds are measured together.
     """
@@ -372,7 +375,7 @@ class BitQueries:
                     of_line, of_query = line[part], query[part]
                     size = lengths[of_line]
                     longer = np.maximum(size, self.sizes[of_query])
-                    found = np.where(longer == 0, 1.0, (longer - self._distances(codes, begins[of_line], size, of_query, n)) / np.maximum(longer, 1))
+                    found = np.where(longer == 0, 1.0, (longer - self._distances(codes, begins[of_line], size, of_query, n, longer)) / np.maximum(longer, 1))
                     over = found > self.threshold
                     yield of_line[over], of_query[over], found[over]
 
@@ -386,16 +389,43 @@ class BitQueries:
         np.add.at(masks, (place // 64, nth * (len(self.known) + 1) + code), np.uint64(1) << (place % 64).astype(np.uint64))
         return masks
 
-    def _distances(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, query: np.ndarray, words: int) -> np.ndarray:
-        """Edit distances of pairs in order of falling size of the line; all queries have so many words."""
+    @staticmethod
+    def _least(plus: np.ndarray, minus: np.ndarray, column: int, ahead: np.ndarray) -> np.ndarray:
+        """The least distance that pairs can end with, from a column of their matrices; ``ahead`` is by how many rows the
+        last cell's diagonal is ahead there. Neighbouring cells differ by one at most, and what is off the diagonal costs."""
+        steps = (np.bitwise_count(m.view(np.uint16)).astype(np.int8).reshape(len(m), -1, 4) for m in (plus, minus))
+        steps = np.subtract(*steps).transpose(1, 0, 2).reshape(plus.shape[1], -1)
+        at = np.full((len(steps), steps.shape[1] + 1), column, np.int32)
+        at[:, 1:] += np.cumsum(steps, axis=1, dtype=np.int32)
+        row, diagonal = np.arange(0, 16 * steps.shape[1], 16, dtype=np.int32), (column + ahead).astype(np.int32)[:, None]
+        off = np.maximum(np.maximum(row - diagonal, diagonal - row - 16), 0)
+        return ((at[:, :-1] + at[:, 1:] - 15 >> 1) + off).min(1)
+
+    def _distances(self, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, query: np.ndarray, words: int, longer: np.ndarray) -> np.ndarray:
+        """Edit distances of pairs in order of falling size of the line; all queries have so many words.
+
+        Of pairs that are given up it is ``longer``, the size of the longer text.
+        """
         queries, nth = np.unique(query, return_inverse=True)
         masks, base = self._masks(queries, words), nth * (len(self.known) + 1)
         n, one, top = len(sizes), np.uint64(1), np.uint64(63)
         plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
         space = np.empty((7, n), np.uint64)
-        # Lines that have a character at a place come first.
-        active = n - np.searchsorted(sizes[::-1], np.arange(int(sizes.max(initial=0))), "right")
-        for j, a in enumerate(active.tolist()):
+        kept, most, out = np.arange(n), self.edits(longer), longer.copy()
+        for j in range(int(sizes.max(initial=0))):
+            # Lines that have a character at a place come first.
+            a = len(sizes) - int(np.searchsorted(sizes[::-1], j, "right"))
+            if not a:
+                break
+            if j and j % LOOK_EVERY == 0 and self.threshold > 0 and j > most[:a].min():
+                stay = np.ones(len(sizes), bool)
+                stay[:a] = self._least(plus[:, :a], minus[:, :a], j, self.sizes[query[:a]] - sizes[:a]) <= most[:a]
+                if not stay.all():
+                    plus, minus = np.compress(stay, plus, axis=1), np.compress(stay, minus, axis=1)
+                    base, begins, sizes, query, kept, most = (v[stay] for v in (base, begins, sizes, query, kept, most))
+                    a = int(stay[:a].sum())
+                    if not a:
+                        break
             at = base[:a] + codes[begins[:a] + j]
             eq, vertical, across, up, down, up_in, down_in = space[:, :a]
             for w in range(words):
@@ -429,7 +459,8 @@ class BitQueries:
         last = np.where(rows >= 64, ~np.uint64(0), (one << np.minimum(rows, 63).astype(np.uint64)) - one)
         plus[-1] &= last
         minus[-1] &= last
-        return sizes + np.bitwise_count(plus).sum(0, dtype=np.int64) - np.bitwise_count(minus).sum(0, dtype=np.int64)
+        out[kept] = sizes + np.bitwise_count(plus).sum(0, dtype=np.int64) - np.bitwise_count(minus).sum(0, dtype=np.int64)
+        return out
 
 
 def measured(rows: DataFrame, queries: list[str], threshold: float, line: str = "line") -> DataFrame:

@@ -248,3 +248,22 @@ def test_edits_are_located_in_one_pass(spark):
     got = {(r.path, r.edit_id): (r.band, r.kind, r.line_no, r.last_line, r.target) for r in found.collect()}
     assert got["f", 4] == ("exact", "exact", 4, 4, "zeta") and ("f", 3) not in got
     assert got["h", 2] == ("needs force", "multi_line", 2, 3, "delta one\nomega one") and got["f", 1][1:3] == ("single_line", 1)
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85])
+def test_pairs_are_given_up_only_out_of_reach(threshold, monkeypatch):
+    """Looking at every column which pairs are still within reach loses none, and leaves out columns of those that are not."""
+    rng = random.Random(3)
+    near = lambda t: "".join(rng.choice(["", c, c + "x", "y"]) if rng.random() < (1 - threshold) * 0.8 else c for c in t)
+    queries = ["".join(rng.choices("abcdefgh ", k=k)) for k in (20, 63, 64, 65, 129, 200)]
+    lines = [near(q) for q in queries for _ in range(6)] + ["z" * 40 + q[40:] for q in queries] + ["".join(rng.choices("abcdefgh ", k=len(q))) for q in queries]
+    kinds = [i % 2 for i in range(len(queries))]
+    want = sorted((i, j, like(x, y)) for i, x in enumerate(lines) for j, y in enumerate(queries) if kinds[j] == i % 2 and like(x, y) > threshold)
+    for every in (1, 32):
+        monkeypatch.setattr(matching, "LOOK_EVERY", every)
+        found = matching.BitQueries(queries, threshold, kinds).similar(lines, [i % 2 for i in range(len(lines))])
+        assert sorted((int(i), int(j), float(s)) for a, b, f in found for i, j, s in zip(a, b, f, strict=True)) == want and want
+    measured = matching.BitQueries(queries[-1:], 0.85)
+    looked, least = [], measured._least
+    monkeypatch.setattr(measured, "_least", lambda *a: looked.append(a[2]) or least(*a))
+    assert not sum(len(a) for a, _, _ in measured.similar([queries[-1][::-1]])) and looked and max(looked) < 130
