@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -86,17 +87,18 @@ class Lattice:
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, from, to, piece) of every place of a piece; a character that is no piece is the unknown piece."""
         get, longest, unknown = self.index.get, self.longest, self.unknown
-        out: list[tuple[int, int, int, int]] = []
+        # Flat numbers, as a tuple for each place would take several times their memory.
+        out = array("i")
         for w, word in enumerate(words):
             n = len(word)
             for i in range(n):
                 p = get(word[i])
-                out.append((w, i, i + 1, unknown if p is None else p))
+                out.extend((w, i, i + 1, unknown if p is None else p))
                 for j in range(i + 2, min(n, i + longest) + 1):
                     p = get(word[i:j])
                     if p is not None:
-                        out.append((w, i, j, p))
-        table = np.array(out, np.int64).reshape(-1, 4)
+                        out.extend((w, i, j, p))
+        table = np.frombuffer(out, np.int32).reshape(-1, 4)
         return tuple(table[np.argsort(table[:, 2], kind="stable")].T)
 
     def forward(self, words: list[str], edges, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

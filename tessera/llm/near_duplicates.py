@@ -44,6 +44,8 @@ MOST_BROADCAST = 100_000
 FLUSH = 200_000
 #: Bits of the filter that picks texts whose arrays are needed: 16 for each wanted id, within these powers of 2. Its misses only cost time.
 LEAST_FILTER_BITS, MOST_FILTER_BITS = 20, 28
+#: Pairs of a task's tiles that are looked at together, about.
+PAIRS = 200_000
 MOST_WORDS = 200_000
 MOST_BITMAP = 1 << 14
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -121,16 +123,24 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _window_pairs(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j: every row with the later rows of its group, up to ``ends``, whose size is within reach; n ascends in a group."""
+def _window_pairs(n: np.ndarray, ends: np.ndarray, percent: int, most: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j: every row with the later rows of its group, up to ``ends``, whose size is within reach; n ascends in a group.
+
+    They come in parts of about ``most`` pairs, of whole rows i.
+    """
     rows = np.arange(len(n))
     step = np.int64(n.max(initial=0) + 2) * 2
     group = np.cumsum(np.r_[0, (ends[1:] != ends[:-1])]) if len(ends) else ends
     top = np.searchsorted(group * step + n, group * step + np.minimum(100 * n // percent, step - 1), side="right")
     count = np.maximum(np.minimum(top, ends) - rows - 1, 0)
-    i = np.repeat(rows, count)
-    j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + i + 1
-    return i, j
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, side="right")))
+        part = count[lo:hi]
+        i = np.repeat(rows[lo:hi], part)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part) + i + 1
+        lo = hi
 
 
 def tile_pairs(
@@ -147,10 +157,11 @@ def tile_pairs(
     is_large = (sizes > tile) | np.isin(key[starts], np.array(cut, np.int64))
     large = np.repeat(is_large, sizes)
     small = np.flatnonzero(~large)
-    i, j = _window_pairs(n[small], np.searchsorted(small, ends[small]), percent)
-    i, j = small[i], small[j]
-    keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
-    pairs = [np.stack([node[i[keep]], node[j[keep]]], axis=1)]
+    pairs = []
+    for i, j in _window_pairs(n[small], np.searchsorted(small, ends[small]), percent):
+        i, j = small[i], small[j]
+        keep = np.minimum(n[i] - at[i], n[j] - at[j]) >= needed(n[i], n[j], percent)
+        pairs.append(np.stack([node[i[keep]], node[j[keep]]], axis=1))
     for s, size in zip(starts[is_large].tolist(), sizes[is_large].tolist(), strict=True):
         # Even with the smallest node in reach, a row needs enough shingles from its place on; the others meet elsewhere.
         # Of a tile that is cut, smaller nodes may be in another part.
@@ -177,8 +188,8 @@ def _shingle_order(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, np.uint32)
         for _, texts in slices(batches):
-            found = [shingles(t, size) for t in texts]
-            total += np.bincount((np.concatenate(found) >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=cells).astype(np.uint32)
+            for t in texts:
+                np.add.at(total, (shingles(t, size) >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
         packed = [zlib.compress(total[r * each : (r + 1) * each].tobytes(), 1) for r in range(RANGES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(packed, pa.binary())], ["range", "counts"])
 

@@ -1,4 +1,6 @@
 import math
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -84,3 +86,14 @@ def test_edge_cases(spark):
     assert by[None][0].lang_pred == "en" and len(by[903]) == 2
     assert lg.identify(spark.createDataFrame([], schema), PATH).count() == 0
     assert lg.identify(spark.createDataFrame([(1, "a b", None, "")], schema), PATH).first().lang_pred == "und"
+
+
+def test_memory_of_edges():
+    """Places of pieces are flat numbers: under 100 bytes each, at the most."""
+    lattice = lg.Lattice(["▁", "a", "b", "ab", "ba", "▁a", "aba"])
+    words = ["▁" + "".join(random.Random(i).choices("ab", k=20)) for i in range(3000)]
+    tracemalloc.start()
+    edges = lattice.edges(words)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 100 * len(edges[0])

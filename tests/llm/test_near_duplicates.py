@@ -114,3 +114,13 @@ def test_intermediate_tables_can_be_removed(spark, tmp_path):
     assert df.count() == 5
     path = scratch._WRITTEN[-1].split("://")[1]
     assert Path(path).exists() and scratch.remove_tables(spark) >= 1 and not Path(path).exists() and not scratch._WRITTEN
+
+
+def test_pairs_in_parts():
+    """All pairs within reach, in parts of few of them, so that their number in a task's tiles is not its memory."""
+    n = np.sort(np.random.default_rng(3).integers(10, 30, 200)).reshape(20, 10).ravel()
+    ends = np.repeat(np.arange(10, 201, 10), 10)
+    parts = list(nd._window_pairs(n, ends, 80, most=25))
+    assert len(parts) > 5 and all(len(i) <= 25 for i, _ in parts)
+    found = [(a, b) for i, j in parts for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert found == [(a, b) for a in range(200) for b in range(a + 1, ends[a]) if 80 * n[b] <= 100 * n[a]]
