@@ -8,6 +8,7 @@ from tessera.functions import text as tx
 from tessera.operators import corpus, palette, parameters, stencil, transfer
 from tessera.operators import distribution as dist
 from tessera.operators.difference import with_delta_e2000
+from tessera.plans import pixel_tables
 
 LAB = "L double, a double, b double"
 
@@ -227,3 +228,19 @@ def test_validation():
         dtypes = [("image_id", "string"), ("x", "bigint")]
 
     assert schemas.validate(Frame(), schemas.PIXELS)[:2] == ["x: is bigint, not int", "y: missing"]
+
+
+def test_stencils_of_all_channels_at_once(spark):
+    """The same numbers as each channel by itself, over borders and gaps, with two shuffles in all, not two for each step."""
+    p = pixel_tables.pixels(spark, "/root/testdata/sf0.001").filter("(x * 7 + y * 3) % 11 <> 0")
+    wide = stencil.blurred_with_gradient(p.withColumn("grey", (F.col("r") + F.col("g")) / 2), ("r", "b"), "grey", 1.5)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = {(r.image_id, r.x, r.y): r for r in wide.collect()}
+    one = lambda v: p.select("image_id", "x", "y", v.cast("double").alias("v"))
+    for c in ("r", "b"):
+        rows = stencil.gaussian_blur(one(F.col(c)), 1.5, border="reflect").collect()
+        assert len(rows) == len(got) and all(got[r.image_id, r.x, r.y][f"blur_{c}"] == r.blur and got[r.image_id, r.x, r.y][c] == r.v for r in rows)
+    assert all(got[r.image_id, r.x, r.y].gradient == r.gradient for r in stencil.gradient(one((F.col("r") + F.col("g")) / 2)).collect())
+    middle = {(r.image_id, r.x, r.y): r for r in stencil.medians3(p, ("r", "b")).collect()}
+    for c in ("r", "b"):
+        assert all(middle[r.image_id, r.x, r.y][c] == r.median for r in stencil.median3(one(F.col(c))).collect())
