@@ -11,6 +11,7 @@ from tessera.llm.language import UNDETERMINED, identify
 from tessera.llm.mixing import mix_documents
 from tessera.llm.near_duplicates import link_documents
 from tessera.llm.pii import find_pii
+from tessera.llm.places import bit_bucket, bit_position, has_bit
 from tessera.llm.scratch import materialise
 
 #: The columns of documents; a table's further columns are left out of the run, whatever their names.
@@ -38,13 +39,11 @@ def keep_rows(numbered: DataFrame, kept: DataFrame) -> DataFrame:
 
     ``row`` counts upwards in each part of the table, so that bitmaps are dense. With more of them rows are joined.
     """
-    place, bucket = F.bitmap_bit_position(F.col("row") + 1), F.bitmap_bucket_number(F.col("row") + 1).alias("bucket")
-    bits = materialise(kept.groupBy(bucket).agg(F.bitmap_construct_agg(place).alias("bits")), "pipeline-kept")
+    bucket = bit_bucket(F.col("row")).alias("bucket")
+    bits = materialise(kept.groupBy(bucket).agg(F.bitmap_construct_agg(bit_position(F.col("row"))).alias("bits")), "pipeline-kept")
     if bits.count() > BITMAPS:
         return numbered.join(kept, "row", "left_semi")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = numbered.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket")
-    return held.filter(F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1)
+    return numbered.withColumn("bucket", bucket).join(F.broadcast(bits), "bucket").filter(has_bit(F.col("bits"), F.col("row")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.places import FILE, PLACE, bit_bucket, bit_position, has_bit, placed
 from tessera.llm.scratch import materialise
 
 #: Members of a node of the reduction tree, on average at the leaves and at most above.
@@ -214,6 +215,8 @@ def mix_copies(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
 
 #: Units of several rows up to which they are broadcast.
 BROADCAST_UNITS = 50_000
+#: Bitmaps, of 4 kB for 32768 rows of a file each, that are broadcast together.
+BITMAPS = 1 << 14
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
@@ -222,27 +225,42 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Rows of equal id, source and size share their unit's copies in the order of the parts of the input and, within a
     part, of a hash of the text; which of such rows is first is settled by that alone. A null id or source is a value
     like any other. Rows without words are taken as often as every row of their source is. Very long texts count by
-    their words. An empty table gives no rows.
+    their words. An empty table gives no rows. What is shuffled are ids and places of rows; how often a row is taken
+    comes back to it by broadcast bitmaps of places, up to BITMAPS of them, beyond that by a join.
     """
     unit = ("id_", "source_", "size_")
-    copies = mix_copies(docs, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    table = placed(docs, "mix-input")
+    copies = mix_copies(table, **options).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     copies = materialise(copies, "mix-copies")
-    sized = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.spark_partition_id().alias("part_"),
-        docs["doc_id"].alias("id_"), docs["source"].alias("source_"), F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long").alias("size_"),
+    sized = table.select(
+        FILE, PLACE, F.xxhash64("text").alias("hash_"), F.spark_partition_id().alias("part_"),
+        F.col("doc_id").alias("id_"), F.col("source").alias("source_"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size_"),
     )
+    sized = materialise(sized, "mix-rows")
     same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("size") == F.col("size_"))
     shared = copies.filter("rows > 1")
     shared = F.broadcast(shared) if shared.count() <= BROADCAST_UNITS else shared
-    joined = lambda units: sized.join(units, same).select("row", "part_", *unit, "copies", "rows")
+    joined = lambda units: sized.join(units, same).select(FILE, PLACE, "hash_", "part_", *unit, "copies", "rows")
     # Units of one row, nearly all, need no numbers. Rows of a larger unit are numbered within each part of the input,
     # on from what the parts before hold, so a unit of any share of all rows is many tasks' work.
-    one = joined(copies.filter("rows = 1")).select("row", F.col("copies").alias("times"))
-    many = joined(shared).withColumn("nth", F.row_number().over(Window.partitionBy(*unit, "part_").orderBy(F.xxhash64("row.text"))) - 1)
-    held = sized.drop("row").join(shared.select("doc_id", "source", "size"), same, "left_semi").groupBy(*unit, "part_").agg(F.count("*").alias("held"))
+    one = joined(copies.filter("rows = 1")).select(FILE, PLACE, F.col("copies").alias("times"))
+    many = joined(shared).withColumn("nth", F.row_number().over(Window.partitionBy(*unit, "part_").orderBy("hash_")) - 1)
+    held = sized.join(shared.select("doc_id", "source", "size"), same, "left_semi").groupBy(*unit, "part_").agg(F.count("*").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy(*unit).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     held = held.select(*[F.col(c).alias(f"{c}of") for c in (*unit, "part_")], before.alias("before"))
     many = many.join(held, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}of")) for c in (*unit, "part_")]))
     taken = F.floor(F.col("copies") / F.col("rows")) + (F.col("before") + F.col("nth") < F.col("copies") % F.col("rows")).cast("long")
-    repeated = one.unionByName(many.select("row", taken.alias("times"))).filter("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
-    return repeated.select("row.*")
+    times = one.unionByName(many.select(FILE, PLACE, taken.alias("times"))).filter("times > 0")
+    return _taken(table, times).select(*docs.columns)
+
+
+def _taken(table: DataFrame, times: DataFrame) -> DataFrame:
+    """The rows of ``table`` (file, place, ...) as often as ``times`` (file, place, times) says, 0 if it has none."""
+    bucket = bit_bucket(F.col(PLACE))
+    bits = times.groupBy(FILE, bucket.alias("bucket_"), "times").agg(F.bitmap_construct_agg(bit_position(F.col(PLACE))).alias("bits_")).withColumnRenamed("times", "times_")
+    bits = materialise(bits, "mix-taken")
+    if bits.count() > BITMAPS:
+        held = table.join(times.withColumnRenamed("times", "times_"), [FILE, PLACE])
+    else:
+        held = table.withColumn("bucket_", bucket).join(F.broadcast(bits), [FILE, "bucket_"]).filter(has_bit(F.col("bits_"), F.col(PLACE)))
+    return held.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times_"))))

@@ -339,9 +339,9 @@ def _compare_bitmaps(pairs: DataFrame, signatures: DataFrame, percent: int) -> D
             mask = pa.array(most >= needed(n, m, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    a = signatures.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("sig").alias("sa"))
-    b = signatures.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sb"))
-    full = pairs.join(a, "a").join(b, "b").select("a", "b", "n", "sa", "m", "sb")
+    # Both sides are the same columns under the same names, so that one shuffle of the signatures serves both joins.
+    full = pairs.join(signatures.alias("x"), F.col("a") == F.col("x.node")).join(signatures.alias("y"), F.col("b") == F.col("y.node"))
+    full = full.select("a", "b", F.col("x.n").alias("n"), F.col("x.sig").alias("sa"), F.col("y.n").alias("m"), F.col("y.sig").alias("sb"))
     return materialise(full.mapInArrow(keep, "a bigint, b bigint"), "bitmap-pairs")
 
 
@@ -386,9 +386,10 @@ def _arrays(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, size: int) ->
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["key", "array"])
 
-    # Tasks may build the array of a set that several of them hold, each once; the first stays.
-    built = docs.select("text", slot("doc_id").alias("slot")).mapInArrow(build, "key binary, array binary")
-    return materialise(built.join(origins.select("key", "node"), "key").groupBy("node").agg(F.first("array").alias("array")), "shingle-arrays")
+    # Tasks may build the array of a set that several of them hold, each once; the first stays. Grouped by the key that
+    # the join has as well, arrays are shuffled once.
+    built = docs.select("text", slot("doc_id").alias("slot")).mapInArrow(build, "key binary, array binary").groupBy("key").agg(F.first("array").alias("array"))
+    return materialise(built.join(origins.select("key", "node"), "key").select("node", "array"), "shingle-arrays")
 
 
 def _intersect(pairs: DataFrame, arrays: DataFrame, percent: int, by: Sequence[str]) -> DataFrame:

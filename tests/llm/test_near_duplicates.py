@@ -124,3 +124,28 @@ def test_pairs_in_parts():
     assert len(parts) > 5 and all(len(i) <= 25 for i, _ in parts)
     found = [(a, b) for i, j in parts for a, b in zip(i.tolist(), j.tolist(), strict=True)]
     assert found == [(a, b) for a in range(200) for b in range(a + 1, ends[a]) if 80 * n[b] <= 100 * n[a]]
+
+
+def test_signatures_and_arrays_are_shuffled_once(spark, monkeypatch):
+    """Both joins of pairs to signatures share one shuffle, and arrays are grouped and joined by one key."""
+    plans = {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return scratch.materialise(df, name)
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(30)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t + " end" * (i // 20)) for i, t in enumerate(texts * 2)], "doc_id long, text string")
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    monkeypatch.setattr(nd, "materialise", noted)
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert len({r.component_id for r in nd.link_documents(docs).collect()}) == 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plans["bitmap-pairs"].count("ReusedExchange") == 1
+    assert plans["shingle-arrays"].count("Exchange hashpartitioning(key") == plans["shingle-arrays"].count("Exchange hashpartitioning") == 2

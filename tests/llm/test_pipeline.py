@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from tessera.llm import mixing
 from tessera.llm.byte_bpe import encode_documents
 from tessera.llm.pii import base_spans
+from tessera.llm.places import FILE, PLACE, placed
 from test_mixing import size, targets
 from test_near_duplicates import brute, shingle_set
 
@@ -149,3 +151,34 @@ def test_stages_of_empty_and_odd_tables(spark, stage):
 def test_run(spark, folder):
     out = cp.run(spark, folder[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and out.count() > 50
+
+
+def test_mix_deals_no_texts_over_tasks(spark, folder):
+    """What the mix returns is read from the files of its input; only slim tables are shuffled."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        mixed = cp.mix_stage(spark, docs, path)
+        assert "Exchange hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+        assert mixed.count() > 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mix_by_bitmap_and_by_join(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    want = sorted(map(repr, cp.mix_stage(spark, docs, "").collect()))
+    assert len(set(want)) < len(want)
+    monkeypatch.setattr(mixing, "BITMAPS", 0)
+    assert sorted(map(repr, cp.mix_stage(spark, docs, "").collect())) == want
+
+
+def test_rows_from_one_place_are_told_apart(spark, folder):
+    """Of a table that repeats the rows of its files, each row has a place of its own."""
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    repeated = docs.withColumn("times", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).drop("times")
+    for table in (docs, repeated, docs.limit(7).unionByName(docs)):
+        found = placed(table, "test-placed")
+        assert found.select(FILE, PLACE).distinct().count() == found.count() == table.count()
