@@ -15,6 +15,7 @@ from tessera.functions import color
 from tessera.operators.difference import with_delta_e2000
 from tessera.operators.distribution import channel_counts, exact_quantiles, quantile_map, running_totals, totals_in_ranges
 from tessera.operators.scans import in_ranges
+from tessera.sources.folders import written
 
 LAB = ("L", "a", "b")
 #: A deviation under which a channel is only shifted.
@@ -113,7 +114,12 @@ def reverse_blend(content: DataFrame, other: DataFrame, weights: Mapping[str, fl
 
 
 def quantile_transfer(content: DataFrame, reference: DataFrame, channels: Sequence[str], key: str = "image_id") -> DataFrame:
-    """Each channel gets the reference's distribution: a value goes to the reference's value of the same cumulative share."""
+    """Each channel gets the reference's distribution: a value goes to the reference's value of the same cumulative share.
+
+    Content is written once: its values are counted and then looked up, and the joins of the look-up ask of each channel
+    that it is not null, which would put the formulas of computed channels into that filter, as often as they nest.
+    """
+    content = written(content, "content")
     own = running_totals(channel_counts(content, [key], channels), [key, "channel"], "value").select(key, "channel", "value", (F.col("upto") / F.col("total")).alias("cdf"))
     counts = in_ranges(channel_counts(reference, [], channels), ["channel", "value"], "counts")
     table = quantile_map(own, totals_in_ranges(counts, ["channel"], "value"), counts.count() // len(channels), ["channel"])

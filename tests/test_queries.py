@@ -88,3 +88,10 @@ def test_edited_files(spark):
 
 def test_every_query_without_sql_is_tested():
     assert set(registry.QUERIES) - set(registry.ORACLES) == {"kmeans_palette", "median_cut_palette", "palette_pipeline", "similarity_top5", "fuzzy_edit", "window_edits", "edited_files"}
+
+
+def test_statistics_histogram_reads_its_colours(spark):
+    """The joins look up channels that are written, so their formulas are not worked out again for filters."""
+    out = registry.QUERIES["statistics_histogram"](spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "POWER" not in plan
